@@ -56,6 +56,13 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), np.diff(self.first))
 
+    def heads(self, data: np.ndarray | None = None) -> np.ndarray:
+        """The first eight bytes of each word as one little-endian number."""
+        data = self.data if data is None else data
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))[self.start] & _KEEP[np.minimum(self.end - self.start, 8)]
+
     def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word's bytes (of ``data``, such as lower-cased ones)."""
         data = self.data if data is None else data

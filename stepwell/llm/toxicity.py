@@ -9,7 +9,10 @@ least one sentence is, so its score is the noisy-or of its sentences::
 Only texts carry labels.  The gradient of the text's likelihood flows through
 the noisy-or to the sentences, so the fitted sentence scores also locate what
 offends.  Words are runs of letters, digits and non-ASCII bytes, ASCII-lowered;
-those in fewer than MIN_TEXTS training texts have no weight.
+a word counts as itself and by its beginnings of PREFIXES bytes, which share
+what is learned among inflected forms.  Only what is in MIN_TEXTS training texts
+or more, and more often in positive ones than chance (MIN_Z standard errors),
+has a weight.
 
 The fit runs on the driver over a bounded sample (``labelled.training_rows``),
 as hashed words; the model is one table of 2**BITS weights.  Scoring is one
@@ -31,10 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .text import LOWER, blocks, words_of
+from .text import LOWER, blocks, seeded, words_of
 
 BITS = 20
-MIN_TEXTS = 8
+MIN_TEXTS, MIN_Z = 8, 3.0
+PREFIXES = (4, 5, 6)
 REJECT_FROM = 0.3
 OFFENDS_FROM = 0.5
 
@@ -50,16 +54,22 @@ class Model:
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature of each word, sentence of each word, text of each sentence, first byte and end byte of each sentence).
+    """(features of each word, sentence of each word, text of each sentence, first byte and end byte of each sentence).
 
-    Sentences without a word are not listed.
+    Features are an array of one column for the word and one per beginning;
+    0 stands for none.  Sentences without a word are not listed.
     """
     words = words_of(data, offsets, _INSIDE)
-    feature = (words.hashes(LOWER[data]) >> np.uint64(64 - BITS)).astype(np.int64)
+    lowered = LOWER[data]
+    whole = words.hashes(lowered)
     owner = words.text_of_word()
     if not len(owner):
         none = np.zeros(0, np.int64)
-        return feature, none, none, none, none
+        return np.zeros((0, 1 + len(PREFIXES)), np.int32), none, none, none, none
+    heads = words.heads(lowered)
+    length = words.end - words.start
+    hashed = [whole, *(np.where(length > k, seeded(heads & np.uint64((1 << 8 * k) - 1), k), 0) for k in PREFIXES)]
+    feature = np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in hashed], axis=1)
     stops = np.flatnonzero(_STOP[data])
     before = np.searchsorted(stops, words.start)
     new = np.ones(len(owner), bool)
@@ -74,48 +84,60 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Model:
-    """Adagrad on the noisy-or likelihood.  bags: per text the features and the sentence number of its words."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, sparsity: float = 1.0) -> Model:
+    """Adam with an L1 penalty on the noisy-or likelihood.
+
+    bags: per text the features and the sentence number of its words.
+    """
     weights = np.zeros(1 << BITS, np.float32)
     if not len(bags) or not labels.any():
         return Model(weights, -np.inf)
-    texts = np.zeros(1 << BITS, np.int32)
-    for feature, _ in bags:
-        texts[np.unique(feature)] += 1
-    known = np.flatnonzero(texts >= MIN_TEXTS)
+    y = labels.astype(bool)
+    texts, positive = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for (feature, _), bad in zip(bags, y):
+        found = np.unique(feature)
+        texts[found] += 1
+        positive[found] += bad
+    share = texts / len(y)
+    error = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / max(1, (~y).sum()))) + 1e-9
+    z = (positive / y.sum() - (texts - positive) / max(1, (~y).sum())) / error
+    texts[0] = 0
+    known = np.flatnonzero((texts >= MIN_TEXTS) & (z >= MIN_Z))
     slot = np.full(1 << BITS, -1)
     slot[known] = np.arange(len(known))
     at, sentence, owner, n = [], [], [], 0
     for i, (feature, own) in enumerate(bags):
         k = int(own[-1]) + 1 if len(own) else 0
-        on = np.flatnonzero(slot[feature] >= 0)
-        at.append(slot[feature[on]])
-        sentence.append(own[on] + n)
+        row, column = np.nonzero(slot[feature] >= 0)
+        at.append(slot[feature[row, column]])
+        sentence.append(own[row] + n)
         owner.append(np.full(k, i))
         n += k
     at, sentence, owner = (np.concatenate(x).astype(np.int64) for x in (at, sentence, owner))
-    y = labels.astype(bool)
-    w, b = np.zeros(len(known)), -6.0
-    sum_w, sum_b = np.full(len(known), 1e-6), 1e-6
-    for _ in range(rounds):
-        z = b + np.bincount(sentence, w[at], n)
+    w = np.zeros(len(known) + 1)  # the last is the bias
+    w[-1] = -6.0
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    grad = np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        z = np.clip(w[-1] + np.bincount(sentence, w[at], n), -60.0, 60.0)
         odds = np.bincount(owner, _softplus(z), len(y))
         pull = np.where(y, -1.0 / np.expm1(np.clip(odds, 1e-6, 50.0)), 1.0)
-        grad = pull[owner] / (1.0 + np.exp(-z))
-        step_w = np.bincount(at, grad[sentence], len(known)) + decay * len(y) * w
-        step_b = grad.sum()
-        sum_w += step_w**2
-        sum_b += step_b**2
-        w -= rate * step_w / np.sqrt(sum_w)
-        b -= rate * step_b / np.sqrt(sum_b)
-    weights[known] = w
-    return Model(weights, float(b))
+        slope = pull[owner] / (1.0 + np.exp(-z))
+        grad[:-1] = np.bincount(at, slope[sentence], len(known))
+        grad[-1] = slope.sum()
+        mean += 0.1 * (grad - mean)
+        square += 0.01 * (grad**2 - square)
+        pace = rate / (np.sqrt(square / (1 - 0.99**t)) + 1.0)
+        w -= pace * mean / (1 - 0.9**t)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - sparsity * pace[:-1], 0.0)
+    weights[known] = w[:-1]
+    return Model(weights, float(w[-1]))
 
 
 def score_block(model: Model, data: np.ndarray, offsets: np.ndarray):
     """(score of each text, text, score, first byte and end byte of each sentence)."""
     feature, sentence, owner, start, end = sentences(data, offsets)
-    z = model.bias + np.bincount(sentence, model.weights[feature], len(owner))
+    z = np.clip(model.bias + np.bincount(sentence, model.weights[feature].sum(axis=1), len(owner)), -60.0, 60.0)
     odds = _softplus(z)
     return -np.expm1(-np.bincount(owner, odds, len(offsets) - 1)), owner, 1.0 / (1.0 + np.exp(-z)), start, end
 
@@ -126,14 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             for i, j, data, offsets in blocks(batch.column(0)):
                 feature, sentence, owner, _, _ = sentences(data, offsets)
                 first = np.searchsorted(owner[sentence], np.arange(j - i + 1)) if len(owner) else np.zeros(j - i + 1, np.int64)
-                rows = [feature[a:b].astype(np.int32) for a, b in zip(first, first[1:])]
+                rows = [feature[a:b].ravel() for a, b in zip(first, first[1:])]
                 numbers = [(sentence[a:b] - (sentence[a] if b > a else 0)).astype(np.int32) for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], batch.column(2)[i:j], pa.array(rows, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))], names=["doc_id", "label", "feature", "sentence"])
 
     rows = training_rows(docs, labels, label).select("text", F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"))
     found = rows.mapInArrow(run, "doc_id string, label int, feature array<int>, sentence array<int>").toArrow().sort_by("doc_id")
     lists = lambda c: [x.values.to_numpy().astype(np.int64) for x in found[c]]
-    return fit(list(zip(lists("feature"), lists("sentence"))), found["label"].to_numpy())
+    return fit([(f.reshape(-1, 1 + len(PREFIXES)), s) for f, s in zip(lists("feature"), lists("sentence"))], found["label"].to_numpy())
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
