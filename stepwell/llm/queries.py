@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, quality_rules, token_counts, toxicity
+from . import chat_format, packing, quality_model, quality_rules, token_counts, toxicity, warc
 
 #: Longer documents are over the limit of a context.
 TOKEN_LIMIT = 4096
@@ -34,6 +34,63 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Both say what ends a turn of the template.
+CLASHING_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in CLASHING_TURNS)
+    clash = spark.sql(f"select * from values {rows} as t(conv_id, turn, role, text)")
+    return chat_format.digests(chat_format.format_conversations(said.unionByName(clash)))
+
+
+OP5_SQL = """
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked as (
+    select *, regexp_matches(body, '</?s>|<s esc>|\\[/?INST\\]') or (role <> 'assistant' and (contains(role, chr(10)) or regexp_matches(role, '</?s>|<s esc>|\\[/?INST\\]'))) as clash,
+        length(body) as plain_n, length(body) + 4 * (length(body) - length(replace(body, '&', ''))) + 3 * (length(body) - length(replace(body, '<', ''))) + 4 * (length(body) - length(replace(body, '[', ''))) as safe_n,
+        case when role = 'assistant' then 4 else 14 + length(role) end as plain_marks,
+        case when role = 'assistant' then 4 else 14 + length(role) + 4 * (length(role) - length(replace(role, '&', ''))) + 3 * (length(role) - length(replace(role, '<', ''))) + 4 * (length(role) - length(replace(role, '[', ''))) + 4 * (length(role) - length(replace(role, chr(10), ''))) end as safe_marks
+    from said
+)
+select conv_id, count(*)::bigint as n_turns,
+    sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn nulls first, role, body)) as turns_sha256,
+    coalesce(sum(case when role = 'assistant' then plain_n end), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(body, '' order by turn nulls first, role, body) filter (where role = 'assistant'), '')) as loss_sha256,
+    (case when bool_or(clash) then 7 + sum(safe_n + safe_marks) else 3 + sum(plain_n + plain_marks) end)::bigint as formatted_chars
+from marked group by conv_id
+"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    records = warc.read_archives(warc.write_archives(spark, pages), payload=False)
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+OP7_SQL = """
+with p as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages
+), f as (
+    select *, min(page_id) over (partition by digest) as first_id from p
+)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+    case when n >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+    case when n >= 100 and page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,8 +102,14 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op5_chat_format": op5_chat_format,
+    "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_model": op10_quality_model,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+    "op7_warc": OP7_SQL,
+}

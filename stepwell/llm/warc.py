@@ -98,21 +98,17 @@ def records_in(stream, size: int, start: int, end: int) -> Iterator[bytes]:
     def member() -> bytes | None:
         """The member at ``held``'s start, or None if it is no WARC record."""
         nonlocal held, at
-        unpack = zlib.decompressobj(31)
-        out, fed = [], 0
+        while len(held) < 512 and more():
+            pass
+        unpack, out, fed = zlib.decompressobj(31), [], 0
         try:
-            while True:
+            if zlib.decompressobj(31).decompress(held[:512], 5) != b"WARC/":
+                return None
+            while not unpack.eof:
                 if fed == len(held) and not more():
                     return None
-                part = unpack.decompress(held[fed:])
+                out.append(unpack.decompress(held[fed:]))
                 fed = len(held)
-                out.append(part)
-                if sum(map(len, out[:3])) >= 5 and not b"".join(out[:3]).startswith(b"WARC/"):
-                    return None
-                if unpack.eof:
-                    break
-                if len(out) > 2 and len(out[0]) + len(out[1]) < 5:
-                    out = [b"".join(out)]
         except zlib.error:
             return None
         used = len(held) - len(unpack.unused_data)
