@@ -152,7 +152,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
                     fs, root = filesystem(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz"
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 member = encode_record(page_id, url, bytes(payload), digest, refers_to)
                 out.write(member)
                 written, n = written + len(member), n + 1
