@@ -24,7 +24,7 @@ packed each; tokens of other columns do not exist.
 
 from __future__ import annotations
 
-import zlib
+import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,27 +39,34 @@ TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32_768
 BUFFER_TOKENS = 1_000_000
 END_ID = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 class WordTokens:
     """Ids of texts as little-endian 32-bit bytes, by a library tokenizer that never joins words across ASCII white space."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # what was known before the last overflow
 
     def __call__(self, text: bytes) -> bytes:
         words = text.split()
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            pass
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            found = self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found))
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.old, self.known = self.known, {}
+            new = list(dict.fromkeys(words))
+        self.known.update((w, self.old[w]) for w in new if w in self.old)
+        new = [w for w in new if w not in self.known]
+        found = self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
+        self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found))
         return b"".join(map(self.known.__getitem__, words))
 
 
