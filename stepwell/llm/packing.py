@@ -65,10 +65,19 @@ class WordTokens:
             new = list(dict.fromkeys(words))
         self.known.update((w, self.old[w]) for w in new if w in self.old)
         new = [w for w in new if w not in self.known]
-        found = self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found))
+        if new:
+            self.known.update(zip(new, self._encode([w.decode("utf-8") for w in new])))
         return b"".join(map(self.known.__getitem__, words))
 
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: one call over all, told apart by where tokens begin."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        cuts = np.searchsorted(begins, ends).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
+
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
