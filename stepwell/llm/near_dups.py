@@ -255,7 +255,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "d
     reps = stage(spark, classes, "classes")
     pairs = candidates(spark, reps.select(F.col("class_id").alias("id"), "bands"))
     needed = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct()
-    wanted = keyed.join(needed, F.col("key.id") == F.col("n"), "left_semi")
+    # ids that grow with the corpus are never broadcast: the plan is the same at every size
+    wanted = keyed.join(needed.hint("merge"), F.col("key.id") == F.col("n"), "left_semi")
     bags = stage(spark, _shingle_table(wanted).groupBy("key.id").agg(F.min_by("bag", "key.t").alias("bag")), "bags")
 
     labels, links, left = None, None, pairs.select("u", "v", F.col("u").alias("lu"), F.col("v").alias("lv"))
