@@ -20,10 +20,16 @@ Linking.
 2. Bands of ROWS registers: two documents at the threshold share one of BANDS
    bands with probability 1 - 5e-8.  Band rows are range-sorted by band and the
    next band, so a bucket of any size is spread over tasks; each row meets the
-   rows before it and the first of its bucket, never all pairs of a bucket.
-3. Candidates are verified on the exact multisets: first the least partner of
-   each document, then four, then all that are left; components are
-   contracted in between, so members of one group are not compared again.
+   row before it and the first of its bucket, never all pairs of a bucket.
+3. Each document is verified on the exact multisets against its least candidate;
+   verified links make components.
+4. Candidates that share two bands or more also make loose groups; any link lies
+   inside one.  Where a loose group holds several components, all its pairs of
+   different components are compared exactly, in pairs of blocks of about BLOCK
+   documents: a large component has blocks of its own, small ones share blocks,
+   and two blocks of one component never meet.  A pair of blocks is one matrix
+   product over the shingles they share and gives at most one link per pair of
+   components, so nothing of the size of all pairs is ever written.
 
 Defined cases: documents without words (null or empty texts) are alone; of rows
 that repeat a doc_id with other texts, the text of the least xxhash64 stands for
@@ -47,6 +53,7 @@ from .text import blocks, mix, seeded, shingles, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
+BLOCK = 256
 
 _UNIT = 2.0**-53
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +159,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """(u, v) of band rows (key, next, id) sorted by key: each row with the two before it and with the first of its bucket.
+    """(u, v) of band rows (key, next, id) sorted by key: each row with the one before it and with the first of its bucket.
 
     The ends of a partition are reported as well, since a bucket may go on in
     the next one; there are two of them per partition.
@@ -174,15 +181,14 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             head = x[at]
             if len(tail_key):
                 head[k == tail_key[0]] = first_id
-            pairs = [(x[1:], x[:-1], k[1:] == k[:-1]), (x[2:], x[:-2], k[2:] == k[:-2]), (x, head, x != head)]
+            pairs = [(x[1:], x[:-1], k[1:] == k[:-1]), (x, head, x != head)]
             u = np.concatenate([a[on] for a, _, on in pairs])
             v = np.concatenate([b[on] for _, b, on in pairs])
             both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
             both = both[both[:, 0] != both[:, 1]]
             if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["u", "v", "key"])
-            keep = k[-2:] == k[-1]
-            tail_key, tail_id, first_id = k[-2:][keep], x[-2:][keep], head[-1]
+            tail_key, tail_id, first_id = k[-1:], x[-1:], head[-1]
             last = (k[-1], x[-1])
         if edge:
             edge.append(last)
@@ -241,8 +247,67 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "bag_u", "bag_v").mapInArrow(run, "u long, v long")
 
 
+def _elements(bag: bytes) -> np.ndarray:
+    """A multiset as a set: the hash of each shingle and the number of its occurrence."""
+    n = len(bag) // 12
+    shingle, count = np.frombuffer(bag, "<u8", n), np.frombuffer(bag, "<u4", n, 8 * n).astype(np.int64)
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return mix(np.repeat(shingle, count) + _STRIDE * nth.astype(np.uint64))
+
+
+def similarities(bags: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of a few hundred multisets."""
+    sets = [_elements(b) for b in bags]
+    size = np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    on = np.flatnonzero(often[code] > 1)  # what one of them has alone is no overlap
+    column = np.cumsum(often > 1) - 1
+    shared = np.zeros((len(sets), len(sets)))
+    code, owner, step = column[code[on]], owner[on], 4096
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        a, b = np.searchsorted(code, [start, start + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[owner[a:b], code[a:b] - start] = 1
+        shared += part @ part.T
+    return shared / np.maximum(size[:, None] + size[None, :] - shared, 1)
+
+
+def _links_between(table: pa.Table) -> pa.Table:
+    """Links between components of one pair of blocks, one per pair of components."""
+    ids, label, side, bags = table["id"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy(), table["bag"].to_pylist()
+    near = np.triu(similarities(bags) >= THRESHOLD, 1)
+    i, j = np.nonzero(near & (label[:, None] != label[None, :]))
+    both = side[i] != side[j] if (side != side[0]).any() else np.ones(len(i), bool)
+    i, j = i[both], j[both]
+    ends = np.sort(np.stack([label[i], label[j]], axis=1), axis=1)
+    one = np.unique(ends, axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+    return pa.table({"u": ids[i[one]], "v": ids[j[one]]})
+
+
+def _block_links(spark: SparkSession, members: DataFrame, bags: DataFrame) -> DataFrame:
+    """All links between components of the loose groups; members: id, loose, label."""
+    parts = members.groupBy("loose", "label").agg(F.count("*").alias("n"))
+    small = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0))
+    loose = parts.groupBy("loose").agg(F.count("*").alias("n_labels"), small.alias("n_small")).where("n_labels > 1")
+    own = F.when(F.col("n") > BLOCK, F.col("label")).otherwise(F.lit(-1))
+    cut = lambda what, n: F.pmod(F.xxhash64(what), F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)))
+    placed = members.join(parts, ["loose", "label"]).join(loose, "loose")
+    placed = placed.select("id", "loose", "label", own.alias("pure"), F.when(F.col("n") > BLOCK, cut("id", "n")).otherwise(cut("label", "n_small")).alias("part"))
+    placed = stage(spark, placed, "blocks")
+    blocks_ = placed.select("loose", "pure", "part").distinct()
+    a = blocks_.select("loose", F.struct("pure", "part").alias("a"))
+    b = blocks_.select("loose", F.struct("pure", "part").alias("b"))
+    met = a.join(b, "loose").where((F.col("a") <= F.col("b")) & ((F.col("a.pure") < 0) | (F.col("a.pure") != F.col("b.pure"))))
+    sides = met.select("loose", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("own")).select("loose", "a", "b", F.col("own.pure").alias("pure"), F.col("own.part").alias("part"), (F.col("own") == F.col("a")).cast("int").alias("side"))
+    rows = sides.join(placed, ["loose", "pure", "part"]).join(bags, "id")
+    return rows.select("loose", "a", "b", "id", "label", "side", "bag").groupBy("loose", "a", "b").applyInArrow(_links_between, "u long, v long")
+
+
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of an equal multiset), group_id (least id of the group), n_links of the class.
+    """doc_id, class_id (least id of an equal multiset) and group_id (least id of the group).
 
     One row per doc_id; ids must be integers.
     """
@@ -253,37 +318,28 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "d
     worded = prints.where("size > 0 and doc_id is not null")
     classes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"))
     reps = stage(spark, classes, "classes")
-    pairs = candidates(spark, reps.select(F.col("class_id").alias("id"), "bands"))
+
+    met = candidates(spark, reps.select(F.col("class_id").alias("id"), "bands"))
+    side = lambda c: reps.select(F.col("class_id").alias(c), F.col("bands").alias(f"bands_{c}"))
+    common = F.size(F.filter(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), lambda same: same))
+    pairs = stage(spark, met.join(side("u"), "u").join(side("v"), "v").where(common >= 2).select("u", "v"), "pairs")
+
     needed = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct()
     # ids that grow with the corpus are never broadcast: the plan is the same at every size
     wanted = keyed.join(needed.hint("merge"), F.col("key.id") == F.col("n"), "left_semi")
     bags = stage(spark, _shingle_table(wanted).groupBy("key.id").agg(F.min_by("bag", "key.t").alias("bag")), "bags")
 
-    labels, links, left = None, None, pairs.select("u", "v", F.col("u").alias("lu"), F.col("v").alias("lv"))
-    for most in (1, 4, None):
-        chosen = left
-        if most is not None:
-            ranked = left.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("v")))
-            chosen = ranked.where(F.col("nth") <= most).drop("nth")
-        chosen = stage(spark, chosen, "chosen")
-        found = stage(spark, _verified(chosen.select("u", "v"), bags), "links")
-        links = found if links is None else links.unionByName(found)
-        if most is not None:
-            rest = left.select("u", "v").join(chosen.select("u", "v"), ["u", "v"], "left_anti")
-        labels = components(spark, links)
-        if most is not None:
-            side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
-            left = rest.join(side("u"), "u", "left").join(side("v"), "v", "left")
-            left = left.select("u", "v", F.coalesce("lu", "u").alias("lu"), F.coalesce("lv", "v").alias("lv")).where("lu <> lv")
-            left = stage(spark, left, "left")
-    degree = links.distinct().select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    table = reps.select("k1", "k2", "class_id").join(labels.select(F.col("node").alias("class_id"), F.col("component").alias("group_id")), "class_id", "left").join(degree, "class_id", "left")
+    first = pairs.groupBy("u").agg(F.min("v").alias("v"))
+    links = stage(spark, _verified(first, bags), "links")
+    labels = components(spark, links)
+    loose = components(spark, pairs)
+    members = loose.select(F.col("node").alias("id"), F.col("component").alias("loose")).join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    more = _block_links(spark, members.select("id", "loose", F.coalesce("component", "id").alias("label")), bags)
+    groups = components(spark, links.unionByName(stage(spark, more, "more-links")))
+
+    table = reps.select("k1", "k2", "class_id").join(groups.select(F.col("node").alias("class_id"), F.col("component").alias("group_id")), "class_id", "left")
     own = prints.select("doc_id", F.when(F.col("size") > 0, F.col("k1")).alias("k1"), F.when(F.col("size") > 0, F.col("k2")).alias("k2"))
-    return own.join(table, ["k1", "k2"], "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.min(F.coalesce("group_id", "class_id", "doc_id")).alias("group_id"),
-        F.coalesce(F.max("n_links"), F.lit(0).cast("long")).alias("n_links"),
-    )
+    return own.join(table, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "class_id", "doc_id").alias("group_id"))
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
