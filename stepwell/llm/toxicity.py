@@ -137,9 +137,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
 def score_block(model: Model, data: np.ndarray, offsets: np.ndarray):
     """(score of each text, text, score, first byte and end byte of each sentence)."""
     feature, sentence, owner, start, end = sentences(data, offsets)
-    z = np.clip(model.bias + np.bincount(sentence, model.weights[feature].sum(axis=1), len(owner)), -60.0, 60.0)
+    z = model.bias + np.bincount(sentence, model.weights[feature].sum(axis=1), len(owner))
     odds = _softplus(z)
-    return -np.expm1(-np.bincount(owner, odds, len(offsets) - 1)), owner, 1.0 / (1.0 + np.exp(-z)), start, end
+    return -np.expm1(-np.bincount(owner, odds, len(offsets) - 1)), owner, np.exp(-_softplus(-z)), start, end
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
