@@ -37,10 +37,11 @@ from .labelled import held_out, training_rows
 from .text import LOWER, blocks, seeded, words_of
 
 BITS = 20
-MIN_TEXTS, MIN_Z = 8, 3.0
+MIN_TEXTS, MIN_Z = 5, 5.0
 PREFIXES = (4, 5, 6)
 REJECT_FROM = 0.3
 OFFENDS_FROM = 0.5
+START_BIAS = -8.0  # log odds of a sentence that nothing is known of
 
 _BYTES = np.arange(256)
 _INSIDE = np.isin(_BYTES, [*range(48, 58), *range(65, 91), *range(97, 123)]) | (_BYTES >= 128)
@@ -84,7 +85,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, sparsity: float = 1.0) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, sparsity: float = 0.5) -> Model:
     """Adam with an L1 penalty on the noisy-or likelihood.
 
     bags: per text the features and the sentence number of its words.
@@ -115,7 +116,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         n += k
     at, sentence, owner = (np.concatenate(x).astype(np.int64) for x in (at, sentence, owner))
     w = np.zeros(len(known) + 1)  # the last is the bias
-    w[-1] = -6.0
+    w[-1] = START_BIAS
     mean, square = np.zeros_like(w), np.zeros_like(w)
     grad = np.zeros_like(w)
     for t in range(1, rounds + 1):
