@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
-from ..operators import checker, layers, metrics, prepare, sampling
+from ..operators import checker, joins, layers, metrics, prepare, sampling
 from ..streaming import episodes, events
 from . import jobs
 from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
@@ -531,3 +531,86 @@ def session_windows(spark, sf_dir):
 @query("select slug, n from (select replace(replace(lower(p_type), ' ', '_'), '-', '_') as slug, count(*)::bigint as n from part group by 1)")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(numbers.slug(F.col("p_type")).alias("slug")).agg(F.count("*").alias("n"))
+
+
+# One query per tool: the tool over a table's columns, with the SQL of what it must give.
+
+
+def _tool_query(name: str, source: str, key: str, build, field: str, kind: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = table(spark, sf_dir, source)
+        return t.select(key, build(t).alias("o")).select(key, "o.error_type", F.get_json_object("o.result", f"$.{field}").cast(kind).alias(field))
+
+    run.__name__ = f"tool_{name}"
+    run.__doc__ = f"{name} over {source}."
+    QUERIES[run.__name__] = run
+    ORACLES[run.__name__] = sql
+
+
+_pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+
+_tool_query("get_weather", "nation", "n_nationkey", lambda t: tools.get_weather(_pick(["Paris", " TOKYO ", "Atlantis", "cairo"], F.col("n_nationkey"))), "temperature_f", "int",
+            "select n_nationkey, case when n_nationkey % 4 = 2 then 'ToolExecutionError' end as error_type, ([59, 71, null, 95])[n_nationkey % 4 + 1]::int as temperature_f from nation")
+_tool_query("get_current_time", "nation", "n_nationkey", lambda t: tools.get_current_time(_pick(["utc", "JST", "mars"], F.col("n_nationkey"))), "current_time", "string",
+            "select n_nationkey, case when n_nationkey % 3 = 2 then 'ToolExecutionError' end as error_type, (['2026-09-08T12:00:00Z', '2026-09-08T21:00:00+09:00', null])[n_nationkey % 3 + 1] as current_time from nation")
+_tool_query("get_population", "nation", "n_nationkey", lambda t: tools.get_population(F.col("n_name")), "population_millions", "int",
+            "select n_nationkey, case when p is null then 'ToolExecutionError' end as error_type, p::int as population_millions from nation left join (values ('china', 1412), ('india', 1408), ('united states', 333), ('indonesia', 276), ('brazil', 214), ('japan', 125), ('egypt', 109), ('germany', 84), ('france', 68), ('united kingdom', 67)) v(c, p) on c = lower(trim(n_name))")
+_tool_query("get_capital", "nation", "n_nationkey", lambda t: tools.get_capital(F.col("n_name")), "capital", "string",
+            "select n_nationkey, case when p is null then 'ToolExecutionError' end as error_type, p as capital from nation left join (values ('france', 'paris'), ('japan', 'tokyo'), ('egypt', 'cairo'), ('germany', 'berlin'), ('united kingdom', 'london'), ('india', 'new delhi'), ('brazil', 'brasilia'), ('china', 'beijing'), ('united states', 'washington'), ('indonesia', 'jakarta')) v(c, p) on c = lower(trim(n_name))")
+_tool_query("get_elevation", "nation", "n_nationkey", lambda t: tools.get_elevation(_pick(["Fuji", "Everest", "nowhere"], F.col("n_nationkey"))), "elevation_m", "int",
+            "select n_nationkey, case when n_nationkey % 3 = 2 then 'ToolExecutionError' end as error_type, ([3776, 8849, null])[n_nationkey % 3 + 1]::int as elevation_m from nation")
+_tool_query("search_knowledge_base", "nation", "n_nationkey", lambda t: tools.search_knowledge_base(_pick(["lora", "", "zebra", "MODEL"], F.col("n_nationkey"))), "query", "string",
+            "select n_nationkey, (array[null, 'ToolArgumentError', 'ToolExecutionError', null])[n_nationkey % 4 + 1] as error_type, (['lora', null, null, 'MODEL'])[n_nationkey % 4 + 1] as query from nation")
+_tool_query("calculator", "part", "p_partkey", lambda t: tools.calculator(F.concat(F.col("p_size").cast("string"), F.lit(" * 4 - "), F.when(F.col("p_size") % 5 == 0, "x").otherwise("3"))), "result", "long",
+            "select p_partkey, case when p_size % 5 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 5 <> 0 then p_size * 4 - 3 end::bigint as result from part")
+_tool_query("convert_temperature", "part", "p_partkey", lambda t: tools.convert_temperature(F.col("p_size") * 9 + 32, F.lit("F"), F.when(F.col("p_size") % 4 == 0, "x").otherwise("Celsius")), "converted_value", "double",
+            "select p_partkey, case when p_size % 4 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 4 <> 0 then p_size * 5.0 end::double as converted_value from part")
+_tool_query("convert_length", "part", "p_partkey", lambda t: tools.convert_length(F.when(F.col("p_size") % 6 == 0, -F.col("p_size")).otherwise(F.col("p_size")), F.lit("km"), F.lit("Metres")), "converted_value", "double",
+            "select p_partkey, case when p_size % 6 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 6 <> 0 then p_size * 1000.0 end::double as converted_value from part")
+_tool_query("compare_numbers", "orders", "o_orderkey", lambda t: tools.compare_numbers(F.when(F.col("o_orderkey") % 9 == 0, float("nan")).otherwise(F.col("o_orderkey").cast("double")), F.col("o_custkey")), "larger", "string",
+            "select o_orderkey, case when o_orderkey % 9 = 0 then 'ToolArgumentError' end as error_type, case when o_orderkey % 9 = 0 then null when o_orderkey = o_custkey then 'equal' when o_orderkey > o_custkey then 'a' else 'b' end as larger from orders")
+_tool_query("average_numbers", "orders", "o_orderkey", lambda t: tools.average_numbers(F.col("o_orderkey"), F.col("o_custkey")), "average", "double",
+            "select o_orderkey, null::varchar as error_type, (o_orderkey + o_custkey) / 2.0::double as average from orders")
+_tool_query("round_number", "part", "p_partkey", lambda t: tools.round_number(F.col("p_size") + F.lit(0.5), F.when(F.col("p_size") % 7 == 0, 11).otherwise(0)), "rounded", "double",
+            "select p_partkey, case when p_size % 7 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 7 <> 0 then round_even(p_size + 0.5, 0) end::double as rounded from part")
+_tool_query("convert_currency", "part", "p_partkey", lambda t: tools.convert_currency(F.col("p_size"), F.when(F.col("p_size") % 8 == 0, " ").otherwise("US dollars"), F.lit("yen")), "converted_amount", "double",
+            "select p_partkey, case when p_size % 8 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 8 <> 0 then p_size * 147.0 end::double as converted_amount from part")
+_tool_query("get_stock_price", "part", "p_partkey", lambda t: tools.get_stock_price(_pick(["AAPL", "msft", "a1"], F.col("p_partkey"))), "price", "double",
+            "select p_partkey, case when p_partkey % 3 = 2 then 'ToolArgumentError' end as error_type, ([189.5, 415.2, null])[p_partkey % 3 + 1]::double as price from part")
+_tool_query("calculate_bmi", "part", "p_partkey", lambda t: tools.calculate_bmi(F.when(F.col("p_size") % 10 == 0, 0).otherwise(2), F.col("p_size") * 4), "bmi", "double",
+            "select p_partkey, case when p_size % 10 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 10 <> 0 then p_size * 1.0 end::double as bmi from part")
+_tool_query("calculate_tip", "part", "p_partkey", lambda t: tools.calculate_tip(F.col("p_size") * 10, F.when(F.col("p_size") % 11 == 0, -1).otherwise(20)), "total_amount", "double",
+            "select p_partkey, case when p_size % 11 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 11 <> 0 then p_size * 12.0 end::double as total_amount from part")
+
+
+@query()
+def tool_generate_random_number(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    out = tools.generate_random_number(F.lit(1).cast("long"), F.col("p_size").cast("long"))
+    return p.select("p_partkey", "p_size", out.alias("o")).select("p_partkey", "p_size", "o.error_type", F.get_json_object("o.result", "$.value").cast("long").alias("value"))
+
+
+@query("with a as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place from orders), b as (select o_custkey, o_orderkey as k, row_number() over (order by o_orderkey) - 1 as place from orders) select place::bigint as place, o_orderkey, o_custkey from a join b using (place)")
+def zip_strict(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    zipped = joins.zip_strict(o.select("o_orderkey"), o.select("o_orderkey", "o_custkey"), "o_orderkey", "o_orderkey")
+    return zipped.select("place", F.col("a.o_orderkey").alias("o_orderkey"), F.col("b.o_custkey").alias("o_custkey"))
+
+
+@query("select label::int as layer, count(*)::bigint as n from embeddings where label in (1, 3, 5) group by 1")
+def layer_subset(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("layer"), "vec_id")
+    return joins.layer_subset(vectors, spark.sql("select * from values (1), (3), (5) as t(layer)")).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("select (user_id % 16)::bigint as batch, count(*)::bigint as n, max(length(props))::bigint as longest, sum(length(props))::bigint as total, (count(*) filter (where length(props) >= 9))::bigint as hit_budget from events group by 1")
+def batch_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(16)).alias("batch"), F.length("props").cast("long").alias("n_tokens"), F.lit(9).alias("budget"))
+    return joins.batch_stats(e)
+
+
+@query(f"with {STEPS_SQL.strip()}, r as (select case when chain_length <= 3 then 'short' else 'long' end as level, case when task_set = 'seen_tools' then 'treated' else 'control' end as arm, avg(success::int::double) as rate from tasks group by 1, 2) select round((select rate from r where level = 'short' and arm = 'treated') - (select rate from r where level = 'short' and arm = 'control'), 9) as gain_low, round((select rate from r where level = 'long' and arm = 'treated') - (select rate from r where level = 'long' and arm = 'control'), 9) as gain_high")
+def interaction_contrast(spark, sf_dir):
+    rows = metrics.with_task_set(result_rows(spark, sf_dir))
+    cells = rows.groupBy(F.when(F.col("chain_length") <= 3, "short").otherwise("long").alias("level"), F.when(F.col("task_set") == "seen_tools", "treated").otherwise("control").alias("arm")).agg(metrics.chain_success_rate().alias("rate"))
+    return _rounded(joins.interaction(cells, "short", "long").drop("interaction"), "gain_low", "gain_high")
