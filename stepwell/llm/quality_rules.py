@@ -138,16 +138,39 @@ def apply_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "lang", "source", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict()).alias("kept"))
 
 
+def rate_values(text):
+    """STRUCT of n_words, n_repeat_words, and the value and bucket of each rate, as a column."""
+    names = ("n_words", "n_repeat_words", *RATES, *(f"b_{r}" for r in RATES))
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    def values(texts: pa.Array) -> pa.Array:
+        parts = {n: [np.zeros(0, np.int64)] for n in names}
+        for _, _, data, offsets in blocks(texts):
+            c = doc_counts(data, offsets)
+            c |= {r: c[a] * 10_000 // np.maximum(c[b], 1) for r, (a, b, _, _) in RATES.items()}
+            c |= {f"b_{r}": bucket_of(c[r]) for r in RATES}
+            for n in names:
+                parts[n].append(c[n])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(parts[n])) for n in names], names=list(names))
+
+    return values(text)
+
+
 def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    Decisions are made per row and joined back by doc_id, a text's failing rows
-    by the text's hash as well, so repeated ids with other texts stay apart.
+    Two passes: one adds up the sketches, one decides row by row beside the
+    fences of the row's group, so no text is shuffled unless there are so many
+    groups that their fences are no small table.
     """
-    marked = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rates = stage(spark, text_rates(marked, keep=("doc_id", "lang", "source", "_text_key")), "rates")
-    limits = thresholds(sketches(rates))
-    joined = rates.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    bad = joined.where(base_failed() | ~verdict()).select(F.col("doc_id").alias("_b_id"), F.col("lang").alias("_b_lang"), F.col("source").alias("_b_source"), F.col("_text_key").alias("_b_key")).distinct()
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("doc_id", "_b_id"), ("lang", "_b_lang"), ("source", "_b_source"), ("_text_key", "_b_key"))]
-    return marked.join(bad, same, "left_anti").select(*docs.columns)
+    rated = docs.select("lang", "source", rate_values(F.col("text")).alias("q")).select("lang", "source", "q.*")
+    sketch = stage(spark, sketches(rated), "sketch")
+    limits = stage(spark, thresholds(sketch), "fences")
+    own = limits.select(F.struct("t_lang", "t_source").alias("_group"), F.struct(*(c for c in limits.columns if c[:2] in ("lo", "hi"))).alias("_fences"))
+    same = F.col("lang").eqNullSafe(F.col("_group.t_lang")) & F.col("source").eqNullSafe(F.col("_group.t_source"))
+    ok = (F.col("_q.n_words") >= MIN_WORDS) & (F.col("_q.n_repeat_words") * 100 <= F.col("_q.n_words") * MAX_REPEAT_PERCENT)
+    for r, (_, _, _, low) in RATES.items():
+        ok &= F.col(f"_q.{r}") <= F.col(f"_fences.hi_{r}")
+        if low:
+            ok &= F.col(f"_q.{r}") >= F.col(f"_fences.lo_{r}")
+    return docs.withColumn("_q", rate_values(F.col("text"))).join(own, same, "left").where(F.coalesce(ok, F.lit(False))).select(*docs.columns)

@@ -7,6 +7,8 @@ machine-local folder.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or DEFAULT_SHARED_DIR).rstrip("/")
 
 
+_roots: set[str] = set()
+
+
+def clean(spark: SparkSession, root: str) -> None:
+    """Deletes an application's staged tables; results that read them must be written by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clean_at_exit(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped before
+        if spark.sparkContext._jsc is not None:
+            clean(spark, root)
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/stepwell/{tag}-{uuid.uuid4().hex[:12]}"
+    """A new folder of this application, which is deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/stepwell/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_clean_at_exit, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
