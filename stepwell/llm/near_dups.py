@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .id_filter import IdFilter
 from .staging import stage
 from .text import blocks, mix, seeded, shingles, words_of
 
@@ -325,8 +326,9 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "d
     pairs = stage(spark, met.join(side("u"), "u").join(side("v"), "v").where(common >= 2).select("u", "v"), "pairs")
 
     needed = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct()
-    # ids that grow with the corpus are never broadcast: the plan is the same at every size
-    wanted = keyed.join(needed.hint("merge"), F.col("key.id") == F.col("n"), "left_semi")
+    # a filter of fixed size keeps most texts out of the exact join, which has the same plan at every size
+    few = keyed.where(IdFilter(needed, "n").maybe(F.col("key.id")))
+    wanted = few.join(needed.hint("merge"), F.col("key.id") == F.col("n"), "left_semi")
     bags = stage(spark, _shingle_table(wanted).groupBy("key.id").agg(F.min_by("bag", "key.t").alias("bag")), "bags")
 
     first = pairs.groupBy("u").agg(F.min("v").alias("v"))
@@ -345,5 +347,7 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "d
 def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group: the row of the least id, with its columns."""
     groups = near_duplicate_groups(spark, docs)
-    gone = groups.where("group_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = stage(spark, groups.where("group_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
+    maybe = IdFilter(gone, "_gone").maybe(F.col("doc_id"))
+    others = docs.where(maybe).join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.where(~maybe).select(*docs.columns).unionByName(others.select(*docs.columns))
