@@ -23,18 +23,33 @@ def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v), the component being its least node.
+def _contracted(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Staged (node, component) by star contractions until nothing changes.
 
-    Each round is written to the shared folder; it ends when a round leaves the
-    edges as they are, after about log(nodes) rounds.  Hubs meet only in
-    aggregations and joins, never in one task's memory.
+    Each round is written to the shared folder; it ends after about log(nodes)
+    rounds.  Hubs meet only in aggregations and joins, never in one task's memory.
     """
-    now = stage(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    now, mark = stage(spark, edges, "edges"), None
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == mark or sign[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+            return stage(spark, now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "labels")
         mark = sign
         now = stage(spark, _stars(_stars(now, False), True), "edges")
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (u, v), the component being its least node.
+
+    First only each node's edge to its least neighbour is contracted; of the
+    others just those that still join different components take part.
+    """
+    own = stage(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    labels = _contracted(spark, own.groupBy("u").agg(F.min("v").alias("v")))
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    joined = own.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    ends = [F.coalesce(f"of_{c}", c) for c in ("u", "v")]
+    rest = joined.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).where("u <> v").distinct()
+    above = _contracted(spark, rest).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    every = own.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left")
+    return every.select("node", F.coalesce("component", "node").alias("component")).join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
