@@ -34,6 +34,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _op2_sql() -> str:
+    """Counts by lists and windows, quartiles of the buckets' least values, fences by group."""
+    space = "[ \\t\\n\\x0b\\f\\r]"
+    stacked = " union all ".join(f"select doc_id, lang, source, '{r}' as rate, {a} * 10000 // greatest({b}, 1) as v, {floor} as least, {str(low).lower()} as low from counts where n_words > 0" for r, (a, b, floor, low) in quality_rules.RATES.items())
+    quartile = lambda q, w: f"list_sort(list(bucket) over (partition by {w}))[ceil(count(*) over (partition by {w}) * {q} / 4.0)::int]"
+    groups = {"o": "lang, source, rate", "g": "lang, rate", "e": "rate"}
+    columns = ", ".join(f"count(*) over (partition by {w}) as {k}_n, {quartile(1, w)} as {k}_1, {quartile(3, w)} as {k}_3" for k, w in groups.items())
+    pick = lambda q: f"case when o_n >= {quality_rules.MIN_GROUP} then o_{q} when g_n >= {quality_rules.MIN_GROUP} then g_{q} else e_{q} end"
+    return f"""
+with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
+ws as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from (select doc_id, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') as w from d)),
+tri as (select doc_id, pos, word, lead(word, 1) over p as b, lead(word, 2) over p as c from ws window p as (partition by doc_id order by pos)),
+often as (select doc_id, pos from tri where c is not null qualify count(*) over (partition by doc_id, word, b, c) > 1),
+repeats as (select doc_id, count(distinct pos + k) as n_repeat_words from often, range(3) r(k) group by 1),
+nw as (select doc_id, count(*) as n_words from ws group by 1),
+ls as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where line <> '' and regexp_replace(line, '{space}', '', 'g') <> '' group by 1),
+counts as (
+    select d.*, coalesce(n_words, 0) as n_words, length(regexp_replace(t, '{space}', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+        coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+        length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) as n_bangs
+    from d left join nw using (doc_id) left join ls using (doc_id) left join repeats using (doc_id)
+), rates as ({stacked}),
+buckets as (select *, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end as bucket from rates),
+fenced as (select *, {columns} from buckets),
+inside as (
+    select doc_id, bool_and(v <= {pick(3)} + {quality_rules.FENCE} * greatest({pick(3)} - {pick(1)}, least) and (not low or v >= {pick(1)} - {quality_rules.FENCE} * greatest({pick(3)} - {pick(1)}, least))) as ok from fenced group by 1
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+    n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(ok, false) as kept
+from counts left join inside using (doc_id)
+"""
+
+
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicate_groups(spark, _table(spark, sf_dir, "documents"))
 
@@ -125,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": _op2_sql(),
     "op5_chat_format": OP5_SQL,
     "op7_warc": OP7_SQL,
 }
