@@ -10,7 +10,7 @@ FOLDS, HELD_OUT = 4, 2
 #: At most so many labelled documents, those with the smallest hash of their id, are learned from.
 MAX_TRAIN_DOCS = 6000
 #: Longer texts are not learned from; they are scored whole like all others.
-MAX_TRAIN_BYTES = 1_000_000
+MAX_TRAIN_BYTES = 100_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
