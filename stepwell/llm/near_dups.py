@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .id_filter import IdFilter
 from .staging import stage
-from .text import blocks, mix, seeded, shingles, words_of
+from .text import blocks, mix, release_memory, seeded, shingles, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 32
@@ -139,6 +139,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, size (shingles with repeats), k1 and k2 (hash of the multiset), bands (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(0)):
                 n = j - i

@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import release_memory
+
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32_768
-BUFFER_TOKENS = 1_000_000
+BUFFER_TOKENS = 500_000
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 class WordTokens:
@@ -176,6 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] =
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tokens, context = word_tokens(tokenizer_path), TaskContext.get()
         packer = Packer(tiers, (context.partitionId() if context else 0) << 36)
         schema = None

@@ -7,6 +7,9 @@ so the cost is a few array passes and not a Python object per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +42,14 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
         return mix(x + _GOLD * np.uint64(2 * seed + 1))
 
 
+def release_memory() -> None:
+    """Gives back to the system what a worker's earlier tasks have freed but its allocators still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @dataclass
 class Words:
     """Words of a block of texts; ``first[i]:first[i + 1]`` are those of text i."""
