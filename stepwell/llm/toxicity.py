@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .text import LOWER, blocks, seeded, words_of
+from .text import LOWER, blocks, release_memory, seeded, words_of
 
 BITS = 20
 MIN_TEXTS, MIN_Z = 5, 5.0
@@ -154,9 +154,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], batch.column(2)[i:j], pa.array(rows, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))], names=["doc_id", "label", "feature", "sentence"])
 
     rows = training_rows(docs, labels, label).select("text", F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"))
-    found = rows.mapInArrow(run, "doc_id string, label int, feature array<int>, sentence array<int>").toArrow().sort_by("doc_id")
-    lists = lambda c: [x.values.to_numpy().astype(np.int64) for x in found[c]]
-    return fit([(f.reshape(-1, 1 + len(PREFIXES)), s) for f, s in zip(lists("feature"), lists("sentence"))], found["label"].to_numpy())
+    found = rows.mapInArrow(run, "doc_id string, label int, feature array<int>, sentence array<int>").toArrow()
+    order = np.argsort(np.array(found["doc_id"].to_pylist(), object), kind="stable")
+
+    def lists(name: str) -> list[np.ndarray]:
+        """Views of the rows of a list column: nothing is copied."""
+        out = []
+        for chunk in found[name].chunks:
+            values, edges = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+            out += [values[a:b] for a, b in zip(edges, edges[1:])]
+        return [out[i] for i in order]
+
+    bags = [(f.reshape(-1, 1 + len(PREFIXES)), s) for f, s in zip(lists("feature"), lists("sentence"))]
+    model = fit(bags, found["label"].to_numpy()[order])
+    del found, bags
+    release_memory()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
