@@ -1,27 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: counted word-pair seeds, then local alignment.
 
 The benchmark is a stated query set, taken in blocks of at most
 BLOCK_BENCHMARK_BYTES, so what is sent to the executors has a fixed bound; more
 items mean more blocks.  For each block:
 
-1. One pass over the documents counts in how many of them each NGRAM-word
-   window of the items occurs (summed per task, then by gram).
-2. Of every SEED_WINDOW consecutive windows of an item the rarest is a seed.
-   Any unchanged run of NGRAM + SEED_WINDOW - 1 words of an item holds a seed,
-   also where all windows of an item are common in the corpus.
-3. A second pass finds seeds in documents, takes the passage around each cluster
-   of an item's seeds and aligns it with the item by Smith-Waterman over words,
-   so inserted, dropped and replaced words cost little.  An item has leaked
-   where the score is MIN_SCORE of a verbatim copy's or more.
-
-Nothing is shuffled but the sums of step 1: documents meet the items where they
-are, so neither a frequent passage nor a long document gathers in one task.
+1. An alignment of m of an item's n words with score MIN_SCORE * MATCH * n or
+   more has at most 2 (m - MIN_SCORE n) unmatched words and gaps.  So it spans at
+   most (3 - 2 MIN_SCORE) n words of the document, and at least
+   (2 MIN_SCORE - 1) n - 1 pairs of neighbouring words are the same in both.
+   Items of fewer than MIN_PAIRED words need have no such pair: their seeds are
+   single words, of which MIN_SCORE n must be found.
+2. Half of the pairs an alignment must have can be spared, so as many windows of
+   an item, those that most items share, are no seeds.
+3. One pass over the documents finds seeds, keeps the stretches that hold as many
+   as an alignment must have, and aligns the passage around them with the item
+   by Smith-Waterman over words, so inserted, dropped and replaced words cost
+   little.  An item has leaked where the score is MIN_SCORE of a verbatim copy's
+   or more; no alignment of that score is passed over.
+
+Nothing is shuffled: documents meet the items where they are, so neither a
+frequent passage nor a long document gathers in one task.
 
 Words are runs of letters, digits and non-ASCII bytes, ASCII-lowered.
 
 Defined cases: null and empty texts and items have no words and never match;
-items of fewer than NGRAM words are seeds as a whole; items of fewer than
-MIN_ITEM_WORDS words are not searched; equal items and repeated documents are
+items of fewer than MIN_ITEM_WORDS words are not searched; equal items and repeated documents are
 reported each; other columns are ignored.
 """
 
@@ -37,8 +40,7 @@ from pyspark.sql import functions as F
 
 from .text import LOWER, Words, blocks, seeded, words_of
 
-NGRAM, SEED_WINDOW = 4, 4
-MIN_ITEM_WORDS = 5
+MIN_ITEM_WORDS, MIN_PAIRED = 5, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
 BLOCK_BENCHMARK_BYTES = 4 << 20
@@ -76,16 +78,23 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def seeds_needed(n: int) -> tuple[int, int]:
+    """(words of a window, windows that any alignment of MIN_SCORE has) of an item of n words."""
+    if n < MIN_PAIRED:
+        return 1, int(np.ceil(MIN_SCORE * n - 1e-9))
+    return 2, max(1, int(np.ceil((2 * MIN_SCORE - 1) * n - 1 - 1e-9)))
+
+
 @dataclass
 class Block:
-    """Items of a block as word hashes, and their windows: hash, item and place, sorted by hash."""
+    """Items of a block as word hashes, the number of seeds each needs, and the seeds: hash and item, sorted by hash."""
 
     ids: list
     items: list[np.ndarray]
+    need: np.ndarray
     sizes: list[int]
     gram: np.ndarray
     item: np.ndarray
-    place: np.ndarray
 
     def find(self, hashes: np.ndarray, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For hashes of windows: (which of them, first index) where they are among sorted ``grams_``."""
@@ -101,18 +110,24 @@ def benchmark_block(ids: list, texts: list[str]) -> Block:
     for _, _, data, offsets in blocks(column):
         words, hashes = _words(data, offsets)
         items += [hashes[a:b] for a, b in zip(words.first, words.first[1:])]
-    found = []
+    sizes = np.ones(len(items), np.int64)
+    need = np.ones(len(items), np.int64)
+    gram, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, h in enumerate(items):
         if len(h) >= MIN_ITEM_WORDS:
-            size = min(NGRAM, len(h))
-            at, g = grams(h, np.zeros(len(h), np.int64), np.array([0, len(h)]), size)
-            found.append((g, np.full(len(at), i), at))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return Block(ids, items, [NGRAM], none.astype(np.uint64), none, none)
-    gram, item, place = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((place, item, gram))
-    return Block(ids, items, sorted({min(NGRAM, len(h)) for h in items if len(h) >= MIN_ITEM_WORDS}), gram[order], item[order], place[order])
+            sizes[i], need[i] = seeds_needed(len(h))
+            _, g = grams(h, np.zeros(len(h), np.int64), np.array([0, len(h)]), int(sizes[i]))
+            gram.append(g)
+            item.append(np.full(len(g), i))
+    gram, item = np.concatenate(gram), np.concatenate(item)
+    _, back, often = np.unique(gram, return_inverse=True, return_counts=True)
+    order = np.lexsort((gram, -often[back], item))  # of each item, the most shared first
+    gram, item = gram[order], item[order]
+    spare = need // 2
+    keep = np.arange(len(item)) - np.searchsorted(item, item) >= spare[item]
+    gram, item = gram[keep], item[keep]
+    order = np.lexsort((item, gram))
+    return Block(ids, items, need - spare, sorted(set(sizes[item].tolist())), gram[order], item[order])
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Block]:
@@ -131,53 +146,25 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[
         yield benchmark_block(ids, texts)
 
 
-def document_frequencies(spark: SparkSession, docs: DataFrame, block: Block, text: str = "text") -> np.ndarray:
-    """In how many documents each distinct gram of the block occurs (in the order of the distinct grams)."""
-    distinct = np.unique(block.gram)
-    shared = spark.sparkContext.broadcast((block, distinct))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, all_grams = shared.value
-        total = np.zeros(len(all_grams), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                words, hashes = _words(data, offsets)
-                owner = words.text_of_word()
-                for size in own.sizes:
-                    at, g = grams(hashes, owner, words.first, size)
-                    hit, k = own.find(g, all_grams)
-                    once = np.unique(owner[at[hit]] * len(all_grams) + k)
-                    total += np.bincount(once % max(1, len(all_grams)), minlength=len(all_grams))
-        seen = np.flatnonzero(total)
-        if len(seen):
-            yield pa.RecordBatch.from_pydict({"gram": seen, "n": total[seen]})
-
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(distinct), np.int64)
-    out[counted["gram"].to_numpy()] = counted["n"].to_numpy()
-    return out
-
-
-def rare_seeds(block: Block, frequency: np.ndarray) -> Block:
-    """The block with only the rarest window of each SEED_WINDOW consecutive ones of an item."""
-    distinct = np.unique(block.gram)
-    often = frequency[np.searchsorted(distinct, block.gram)]
-    keep = np.zeros(len(block.gram), bool)
-    order = np.lexsort((block.place, block.item))
-    edges = np.flatnonzero(np.diff(block.item[order], prepend=-1, append=-1))
-    for a, b in zip(edges, edges[1:]):
-        own = order[a:b]
-        for k in range(max(1, len(own) - SEED_WINDOW + 1)):
-            part = own[k : k + SEED_WINDOW]
-            keep[part[int(np.argmin(often[part]))]] = True
-    return Block(block.ids, block.items, block.sizes, block.gram[keep], block.item[keep], block.place[keep])
+def enough(block: Block, size: np.ndarray, text: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each seed found (sorted, distinct) is in a stretch that holds as many of its item's as an alignment must have."""
+    first = np.arange(len(at))
+    last = first + block.need[item] - 1
+    inside = last < len(at)
+    on, to = first[inside], last[inside]
+    full = (text[on] == text[to]) & (item[on] == item[to]) & (at[to] - at[on] <= (3 - 2 * MIN_SCORE) * size[item[on]])
+    change = np.zeros(len(at) + 1, np.int64)
+    np.add.at(change, on[full], 1)
+    np.add.at(change, to[full] + 1, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def leaks_of_texts(block: Block, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first byte, end byte) of the best alignment of each item that leaked into a text."""
     words, hashes = _words(data, offsets)
     owner = words.text_of_word()
-    text, item, at = [], [], []
+    none = np.zeros(0, np.int64)
+    text, item, at = [none], [none], [none]
     for size in block.sizes:
         place, g = grams(hashes, owner, words.first, size)
         hit, k = block.find(g, block.gram)
@@ -191,7 +178,12 @@ def leaks_of_texts(block: Block, data: np.ndarray, offsets: np.ndarray) -> Itera
     text, item, at = (np.concatenate(x).astype(np.int64) for x in (text, item, at))
     order = np.lexsort((at, item, text))
     text, item, at = text[order], item[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1])
+    text, item, at = text[new], item[new], at[new]
     size = np.array([len(h) for h in block.items], np.int64)
+    dense = enough(block, size, text, item, at)
+    text, item, at = text[dense], item[dense], at[dense]
     new = np.ones(len(at), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > 2 * size[item[1:]])
     edges = np.append(np.flatnonzero(new), len(at))
@@ -210,18 +202,13 @@ def leaks_of_texts(block: Block, data: np.ndarray, offsets: np.ndarray) -> Itera
         yield (t, i, *found)
 
 
-def seeded_blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Block]:
-    for block in benchmark_blocks(benchmark, item_id, text):
-        yield rare_seeds(block, document_frequencies(spark, docs, block, text))
-
-
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, score, start_byte, end_byte) of every item found in a document."""
     picked = docs.select("text", F.col(doc_id).alias("doc_id"))
     kind = benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, item_id {kind}, score double, start_byte long, end_byte long"
     out = spark.createDataFrame([], schema)
-    for block in seeded_blocks(spark, docs, benchmark, item_id):
+    for block in benchmark_blocks(benchmark, item_id, "text"):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -259,6 +246,6 @@ def has_leak(spark: SparkSession, block: Block, text: Column) -> Column:
 def filter_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
     out = docs
-    for block in seeded_blocks(spark, docs, benchmark):
+    for block in benchmark_blocks(benchmark, "item_id", "text"):
         out = out.where(~has_leak(spark, block, F.col("text")))
     return out

@@ -235,6 +235,37 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(spark, docs_of(spark, []), bench).count() == 0
 
 
+def test_every_alignment_is_found():
+    rng = np.random.default_rng(9)
+    words = [f"c{k}" for k in range(60)]
+    draw = lambda n: [words[k] for k in rng.integers(len(words), size=n)]
+    items = [draw(n) for n in (5, 6, 7, 11, 15, 24, 30, 41, 59) for _ in range(3)]
+    texts = []
+    for item in items:
+        for every in (1, 2, 3, 4, 5, 6, 7):
+            k = int(rng.integers(every))
+            replaced = ["other" if i % every == k else x for i, x in enumerate(item)]
+            inserted = [y for i, x in enumerate(item) for y in ([x, "other"] if i % every == k else [x])]
+            dropped = [x for i, x in enumerate(item) if i % every != k]
+            texts += [draw(20) + t + draw(20) for t in (replaced, inserted, dropped)]
+    texts += [f"{x} verbatim".split() for x in (" ".join(item) for item in items)] * 2
+    number = {w: i for i, w in enumerate([*words, "other", "verbatim"])}
+    numbers = lambda t: np.array([number[w] for w in t], np.uint64)
+    right = {(t, i) for t, x in enumerate(texts) for i, item in enumerate(items) if decontaminate.smith_waterman(numbers(item), numbers(x))[0] >= decontaminate.MIN_SCORE * decontaminate.MATCH * len(item)}
+    block = decontaminate.benchmark_block(list(range(len(items))), [" ".join(x) for x in items])
+    got = {(t + i, k) for i, _, data, offsets in blocks(pa.array([" ".join(x) for x in texts], pa.string())) for t, k, *_ in decontaminate.leaks_of_texts(block, data, offsets)}
+    assert got == right and len(right) > 200
+
+
+def test_edited_copies_leak(spark):
+    items = [" ".join(f"e{k}_{i}" for i in range(40)) for k in range(4)]
+    texts = [" ".join(x if i % every else "other" for i, x in enumerate(items[k].split())) for k, every in enumerate((4, 5, 6, 7))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for kept in (texts, texts + items):  # alone, and beside verbatim copies
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark, docs_of(spark, kept), bench).collect()}
+        assert got == {(k, k % 4) for k in range(len(kept))}
+
+
 # 5. Chat formatting
 
 
