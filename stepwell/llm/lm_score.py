@@ -4,14 +4,14 @@ Tokens are words (runs of bytes other than white space, ASCII-lowered) and one
 end per text.  The model interpolates three orders with absolute discounting:
 
     p1(w)     = (c(w) + 1) / (N + V + 1)                      every token
-    p2(w|v)   = (c(vw) - D) / c(v)   + l(v)  p1(w)            v, w frequent
-    p3(w|u,v) = (c(uvw) - D) / c(uv) + l(uv) p2(w|v)          u, v, w frequent
+    p2(w|v)   = (c(vw) - D) / c(v)   + l(v)  p1(w)
+    p3(w|u,v) = (c(uvw) - D) / c(uv) + l(uv) p2(w|v)
 
 where an n-gram is stored if it was seen MIN_COUNT times or more, the first
 term is 0 for one that is not, and l is what the stored ones leave of 1, so each
 is a distribution.  The end of the previous text is the context of a first word.
-The VOCABULARY most frequent tokens are frequent; counts of all others are
-exact at the first level.
+Every token has a number, its place among the sorted hashes.  One seen less than
+MIN_COUNT times can be in no n-gram that is stored, so it is passed over there.
 
 A text's log10 probability is ``sum(log p1)`` and, per token, ``log(p2 / p1)``
 and ``log(p3 / p2)``; these ratios and the logarithms of l are what the trie
@@ -24,7 +24,7 @@ of word numbers made monotone by adding the last value of the previous context;
 a second one of pointers says where a context's range begins.  A query finds
 ``word + base`` by successor search inside the range of its context.  Shards are
 files in the shared folder, built one per task and memory-mapped by the workers
-that score; neither driver nor broadcast holds more than the frequent tokens.
+that count n-grams and score; neither driver nor broadcast holds a token.
 
 Defined cases: a null or empty text is its end alone; without training rows all
 probabilities of a first token are 1 / (N + V + 1) with N = V = 0, so scores
@@ -47,8 +47,7 @@ from .staging import filesystem, new_dir, stage
 from .text import LOWER, blocks, words_of
 
 FOLDS, HELD_OUT = 7, 2
-VOCABULARY = 8191
-BITS = 13  # of a frequent token's number
+BITS = 31  # of a token's number
 MIN_COUNT, DISCOUNT = 2, 0.75
 SHARD_WORDS, SHARD_GRAMS = 1 << 18, 1 << 19
 BLOCK_BYTES = 2_000_000
@@ -97,18 +96,57 @@ def _counted(docs: DataFrame, schema: str, keys_of) -> DataFrame:
 
 
 @dataclass
-class Frequent:
-    """The frequent tokens: hashes in order, and the number of each."""
+class Words:
+    """The first level: a file per shard, and the number of the first token of each (one more at the end)."""
+
+    files: list[str]
+    starts: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number or -1, training count) of tokens by hash."""
+        bits = len(self.files).bit_length() - 1
+        number, count = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for k, at in _by_shard((hashes >> np.uint64(64 - bits)).astype(np.int64)):
+            if self.files[k]:
+                place, count[at] = _word_shard(self.files[k]).find(hashes[at] & np.uint64((1 << (64 - bits)) - 1))
+                number[at] = np.where(place >= 0, place + self.starts[k], -1)
+        return number, count
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.int64)
+        shard = np.searchsorted(self.starts, numbers, "right") - 1
+        for k, at in _by_shard(shard):
+            out[at] = _word_shard(self.files[k]).counts[numbers[at] - self.starts[k]]
+        return out
+
 
-    hashes: np.ndarray
-    numbers: np.ndarray
+def _distinct_grams(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(before, last, n, which of them each key is) of the distinct keys ``before * size + last``."""
+    one, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    return one // size, one % size, n, at
 
-    def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        k = np.searchsorted(self.hashes, hashes)
-        k[k == len(self.hashes)] = 0
-        return np.where(self.hashes[k] == hashes, self.numbers[k], -1)
+
+def _gram_rows(words: Words, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """(u, v, w, n) of the n-grams of a block by numbers of tokens; w is -1 in one of two tokens."""
+    h, first = token_hashes(data, offsets)
+    distinct, back = np.unique(h, return_inverse=True)
+    number, count = words.find(distinct)
+    w = np.where(count[back] >= MIN_COUNT, back, -1)  # places in ``distinct``, so keys of three stay narrow
+    end = int(w[first[1] - 1]) if len(first) > 1 else -1
+    v, u = contexts(w, first, end)
+    two = np.flatnonzero((w >= 0) & (v >= 0))
+    before, last, n2, at = _distinct_grams(v[two] * len(distinct) + w[two], len(distinct))
+    pair = np.full(len(w), -1)
+    pair[two] = at
+    three = two[u[two] >= 0]
+    of, third, n3, _ = _distinct_grams(pair[three - 1] * len(distinct) + w[three], len(distinct))
+    columns = (
+        np.concatenate([number[before], number[before[of]]]),
+        np.concatenate([number[last], number[last[of]]]),
+        np.concatenate([np.full(len(n2), -1), number[third]]),
+        np.concatenate([n2, n3]),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["u", "v", "w", "n"])
 
 
 def contexts(number: np.ndarray, first: np.ndarray, end_number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +164,11 @@ def contexts(number: np.ndarray, first: np.ndarray, end_number: int) -> tuple[np
 
 @dataclass
 class Model:
-    """What queries need of the driver: totals, frequent tokens and where the shards are."""
+    """What queries need of the driver: totals and where the shards are."""
 
     tokens: int
     types: int
-    frequent: Frequent
-    end_number: int
-    word_files: list[str]
+    words: Words
     gram_files: list[str]
 
     @property
@@ -207,11 +243,11 @@ def _level(context: np.ndarray, word: np.ndarray, n_contexts: int) -> dict[str,
     return out
 
 
-def _encode_grams(rows: dict[str, np.ndarray], shards: int) -> dict[str, np.ndarray]:
+def _encode_grams(rows: dict[str, np.ndarray], shards: int, types: int) -> dict[str, np.ndarray]:
     """A shard: level 2 (contexts: u / shards) and level 3 (contexts: places in level 2)."""
     two = rows["w"] < 0
     u, v = rows["u"][two], rows["v"][two]
-    per = -(-(VOCABULARY + 1) // shards)
+    per = -(-(types + 1) // shards)
     out = {f"two.{k}": x for k, x in _level(u // shards, v, per).items()}
     out["two_ratio"], out["two_book"] = _quantised(rows["ratio"][two])
     rest, out["one_rest_book"] = _quantised(rows["rest_one"][two])
@@ -235,41 +271,38 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     words = stage(spark, _counted(texts, "key long", lambda data, offsets: token_hashes(data, offsets)[0]), "words")
     total = words.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(VOCABULARY).toArrow()
-    hashes = top["key"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    frequent = Frequent(hashes[order], order.astype(np.int64))
-    end_number = int(frequent.numbers_of(np.array([END]))[0])
-
     shards = _power(total["types"], SHARD_WORDS)
     bits = shards.bit_length() - 1
     split = words.select(F.shiftrightunsigned("key", 64 - bits).alias("shard"), "key", "n")
-    word_files = _built(split, shards, ["key"], folder, "words", lambda rows: _encode_words(rows, bits))
-
-    shared = spark.sparkContext.broadcast((frequent, end_number))  # VOCABULARY entries at most
-
-    def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        own, end = shared.value
-        h, first = token_hashes(data, offsets)
-        w = own.numbers_of(h)
-        v, u = contexts(w, first, end)
-        two = (w >= 0) & (v >= 0)
-        three = two & (u >= 0)
-        return np.concatenate([v[two] << BITS | w[two], 1 << 62 | u[three] << 2 * BITS | v[three] << BITS | w[three]])
-
-    grams = stage(spark, _counted(texts, "key long", grams_of).where(F.col("n") >= MIN_COUNT), "grams")
-    part = lambda k: F.shiftright("key", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("long")
-    is_three = F.col("key") >= 1 << 62
-    numbered = spark.createDataFrame(pa.table({"number": np.arange(len(top)), "c": top["n"].to_numpy()})) if len(top) else spark.createDataFrame([], "number long, c long")
-    one = F.broadcast(numbered)
+    files = _built(split, shards, ["key"], folder, "words", lambda rows: _encode_words(rows, bits))
+
+    if total["types"] >= 1 << BITS:
+        raise ValueError(f"{total['types']} distinct tokens; a number has {BITS} bits")
+    sizes = np.zeros(shards, np.int64)
+    for row in split.groupBy("shard").count().collect():
+        sizes[row["shard"]] = row["count"]
+    shared = spark.sparkContext.broadcast(Words(files, np.concatenate([[0], np.cumsum(sizes)])))  # file names
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0), BLOCK_BYTES):
+                yield _gram_rows(shared.value, data, offsets)
+
+    def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cu, cw = (pa.array(shared.value.counts(batch.column(c).to_numpy())) for c in ("u", "v"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cu, cw], names=["u", "v", "c2", "cu", "cw"])
+
+    counted = texts.mapInArrow(grams_of, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+    grams = stage(spark, counted.where(F.col("n") >= MIN_COUNT), "grams")
+    is_three = F.col("w") >= 0
     unit = float(total["tokens"] + total["types"] + 1)
     p1 = (F.col("cw") + 1) / F.lit(unit)
-    two = grams.where(~is_three).select(part(1).alias("u"), part(0).alias("v"), F.col("n").alias("c2"))
-    two = two.join(one.select(F.col("number").alias("u"), F.col("c").alias("cu")), "u").join(one.select(F.col("number").alias("v"), F.col("c").alias("cw")), "v")
+    two = grams.where(~is_three).select("u", "v", F.col("n").alias("c2")).mapInArrow(with_counts, "u long, v long, c2 long, cu long, cw long")
     left = two.groupBy("u").agg((1 - F.sum((F.col("c2") - DISCOUNT) / F.col("cu"))).alias("rest_one"))
-    two = two.join(F.broadcast(left), "u").withColumn("p2", (F.col("c2") - DISCOUNT) / F.col("cu") + F.col("rest_one") * p1)
+    two = two.join(left, "u").withColumn("p2", (F.col("c2") - DISCOUNT) / F.col("cu") + F.col("rest_one") * p1)
     two = stage(spark, two.select("u", "v", "c2", "p2", F.log10(F.col("p2") / p1).alias("ratio"), F.log10("rest_one").alias("rest_one")), "two")
-    three = grams.where(is_three).select(part(2).alias("u"), part(1).alias("v"), part(0).alias("w"), F.col("n").alias("c3"))
+    three = grams.where(is_three).select("u", "v", "w", F.col("n").alias("c3"))
     three = three.join(two.select("u", "v", "c2"), ["u", "v"])
     under = three.groupBy("u", "v").agg((1 - F.sum((F.col("c3") - DISCOUNT) / F.col("c2"))).alias("rest_two"))
     lower = two.select(F.col("u").alias("v"), F.col("v").alias("w"), "p2")
@@ -280,8 +313,8 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     none = F.lit(0.0)
     rows = two.join(under, ["u", "v"], "left").select((F.col("u") % gram_shards).alias("shard"), "u", "v", F.lit(-1).cast("long").alias("w"), "ratio", "rest_one", F.coalesce(F.log10("rest_two"), none).alias("rest_two"))
     rows = rows.unionByName(three.select((F.col("u") % gram_shards).alias("shard"), "u", "v", "w", F.log10(p3 / F.col("p2")).alias("ratio"), none.alias("rest_one"), none.alias("rest_two")))
-    gram_files = _built(rows, gram_shards, ["u", "v", "w"], folder, "grams", lambda r: _encode_grams(r, gram_shards))
-    return Model(int(total["tokens"]), int(total["types"]), frequent, end_number, word_files, gram_files)
+    gram_files = _built(rows, gram_shards, ["u", "v", "w"], folder, "grams", lambda r: _encode_grams(r, gram_shards, int(total["types"])))
+    return Model(int(total["tokens"]), int(total["types"]), shared.value, gram_files)
 
 
 def _mapped(path: str) -> dict[str, np.ndarray]:
@@ -300,10 +333,11 @@ class WordShard:
         parts = _mapped(path)
         self.keys, self.counts = EliasFano(nested(parts, "keys")), parts["counts"]
 
-    def count(self, low: np.ndarray) -> np.ndarray:
+    def find(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place or -1, count) of each hash."""
         zero = np.zeros(len(low), np.int64)
         at = self.keys.find(low, zero, zero + self.keys.n)
-        return np.where(at >= 0, self.counts[at] if self.keys.n else 0, 0).astype(np.int64)
+        return at, np.where(at >= 0, self.counts[at] if self.keys.n else 0, 0).astype(np.int64)
 
 
 class GramShard:
@@ -356,16 +390,6 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[a]]), order[a:b]
 
 
-def word_counts(model: Model, hashes: np.ndarray) -> np.ndarray:
-    """Training counts of tokens by hash."""
-    bits = len(model.word_files).bit_length() - 1
-    out = np.zeros(len(hashes), np.int64)
-    for k, at in _by_shard((hashes >> np.uint64(64 - bits)).astype(np.int64)):
-        if model.word_files[k]:
-            out[at] = _word_shard(model.word_files[k]).count(hashes[at] & np.uint64((1 << (64 - bits)) - 1))
-    return out
-
-
 def gains(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, three: bool) -> np.ndarray:
     shards = len(model.gram_files)
     out = np.zeros(len(u))
@@ -381,30 +405,31 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray):
     h, first = token_hashes(data, offsets)
     owner = np.repeat(np.arange(n), np.diff(first))
     distinct, back = np.unique(h, return_inverse=True)
-    count = word_counts(model, distinct)
+    number, count = model.words.find(distinct)
     base = np.bincount(owner, (np.log10(count + 1.0) - model.log_unit)[back], n)
     known = np.bincount(owner, (count > 0)[back], n).astype(np.int64)
-    w = model.frequent.numbers_of(distinct)[back]
-    v, u = contexts(w, first, model.end_number)
+    w = np.where(count[back] >= MIN_COUNT, back, -1)
+    end = int(w[first[1] - 1]) if n else -1
+    v, u = contexts(w, first, end)
     score = base.copy()
-    rare = VOCABULARY  # a number that no frequent token has: never below any context
-    for three in (False, True):
-        on = np.flatnonzero((v >= 0) & ((u >= 0) if three else True))
-        last = np.where(w[on] >= 0, w[on], rare)
-        key = v[on] << BITS | last
-        if three:
-            key |= u[on] << 2 * BITS
-        one, at = np.unique(key, return_inverse=True)
-        mask = (1 << BITS) - 1
-        a, b, c = one >> 2 * BITS, one >> BITS & mask, one & mask
-        found = gains(model, a, b, c, True) if three else gains(model, b, c, c, False)
-        score += np.bincount(owner[on], found[at], n)
+    size = len(distinct) + 1
+    number = np.append(number, model.types)  # of a token in no n-gram: never below any context
+    on = np.flatnonzero(v >= 0)
+    last = np.where(w[on] >= 0, w[on], size - 1)
+    a, b, _, at = _distinct_grams(v[on] * size + last, size)
+    score += np.bincount(owner[on], gains(model, number[a], number[b], number[b], False)[at], n)
+    pair = np.full(len(w), -1)
+    pair[on] = at
+    on = on[u[on] >= 0]
+    last = np.where(w[on] >= 0, w[on], size - 1)
+    of, c, _, at = _distinct_grams(pair[on - 1] * size + last, size)
+    score += np.bincount(owner[on], gains(model, number[a[of]], number[b[of]], number[c], True)[at], n)
     return np.diff(first), known, base, score
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    shared = spark.sparkContext.broadcast(model)  # frequent tokens and file names
+    shared = spark.sparkContext.broadcast(model)  # file names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -347,6 +347,16 @@ def test_language_model_equals_plain(spark, monkeypatch):
         assert row["held_out"] == (i not in train) and row["score"] == pytest.approx(score, abs=0.02 * len(x))
 
 
+def test_every_word_is_in_ngrams(spark):
+    rng = np.random.default_rng(5)
+    filler = [f"f{k}" for k in range(9000)]
+    texts = [" ".join(rng.permutation(filler)) for _ in range(12)] + ["za zb zc"] * 5 + ["zc zb za"]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 2 <= sum(i in train for i in range(12, 18)) < sum(i in train for i in range(12))  # the z words are the rarest of 9,003
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in lm_score.score_documents(spark, docs_of(spark, texts)).collect()}
+    assert got[12] > 8 and got[17] < got[12] - 3
+
+
 def test_language_model_of_nothing(spark):
     assert lm_score.score_documents(spark, docs_of(spark, [])).count() == 0
 
