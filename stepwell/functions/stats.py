@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
 def mcnemar(only_a: Column, only_b: Column) -> Column:
     """Exact two-sided p of the binomial(n, 1/2) test on discordant pairs; 1 without any.
 
-    The tail is summed by a running product, scaled by 2**-n at the first term.
+    The tail is its largest term, whose logarithm is summed, times the sum of all
+    terms in units of it, so no power of 1/2 underflows.
     """
     n, k = (only_a + only_b).cast("double"), F.least(only_a, only_b).cast("int")
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("total"))
-    step = lambda acc, i: F.struct((acc["term"] * (n - i + 1) / i).alias("term"), (acc["total"] + acc["term"] * (n - i + 1) / i).alias("total"))
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["total"])
+    start = F.struct((n * F.lit(-math.log(2))).alias("log"), F.lit(1.0).alias("total"))
+    step = lambda acc, i: F.struct((acc["log"] + F.ln((n - i + 1) / i)).alias("log"), (acc["total"] * (i / (n - i + 1)) + 1).alias("total"))
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: F.exp(acc["log"] + F.ln(acc["total"])))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail * 2))
 
 

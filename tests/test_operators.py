@@ -97,6 +97,13 @@ def test_mcnemar_column(spark):
     assert [r[0] for r in got] == pytest.approx([0.03515625, 1.0, 1.0])
 
 
+def test_mcnemar_of_many_pairs(spark):
+    pairs = [(540, 561), (1000, 1000), (1000, 1100), (3000, 3200), (0, 1100), (700, 0)]
+    got = spark.createDataFrame(pairs, "a int, b int").select(stats.mcnemar(F.col("a"), F.col("b"))).collect()
+    want = [min(1.0, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)) if a * b else 2.0 ** (1 - a - b) for a, b in pairs]
+    assert [r[0] for r in got] == pytest.approx(want, rel=1e-9, abs=0)
+
+
 def test_layer_metrics():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(20, 10)), rng.normal(size=(20, 6))
