@@ -7,6 +7,8 @@ aggregates) and, for wide groups, one Arrow call per (layer, stream).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,6 +87,49 @@ def rsa(x: np.ndarray, y: np.ndarray) -> float:
     return 0.0 if below < EPSILON else float(1 - s @ t / below)
 
 
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What cka and rsa need of the rows of both sides, as one vector that can be added up."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
+    u, v = unit(x), unit(y)
+    a, b = (u * u).sum(1), (v * v).sum(1)  # the cells (i, i), which are no pairs
+    parts = [[len(x)], x.sum(0), y.sum(0), x.T @ x, y.T @ y, x.T @ y, u.T @ u, v.T @ v, u.T @ v, [a @ a, b @ b, a @ b]]
+    return np.concatenate([np.ravel(p).astype(np.float64) for p in parts])
+
+
+def _of_moments(m: np.ndarray, p: int, q: int) -> tuple[float, float]:
+    """(cka, RSA distance) from the moments of sides of p and q dimensions: no pair of rows is formed."""
+    sizes = [1, p, q, p * p, q * q, p * q, p * p, q * q, p * q, 3]
+    n, sx, sy, xx, yy, xy, uu, vv, uv, own = np.split(m, np.cumsum(sizes)[:-1])
+    centred = lambda c, a, b: float(((c - np.outer(a, b).ravel() / n[0]) ** 2).sum())
+    below = np.sqrt(centred(xx, sx, sx) * centred(yy, sy, sy))
+    ss, tt, st = ((c @ c - d) / 2 for c, d in zip((uu, vv, uv), own))
+    norm = np.sqrt(max(ss, 0.0)) * np.sqrt(max(tt, 0.0))
+    return (0.0 if below < EPSILON else centred(xy, sx, sy) / below), (0.0 if norm < EPSILON else float(1 - st / norm))
+
+
+def similarity_of_all(pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(layer, cka, cosine_distance) over all rows (layer int, x, y) of a layer, by sums of p x q cells."""
+    size = 1 + p + q + 2 * (p * p + q * q + p * q) + 3
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            layer = batch.column(0).to_numpy(zero_copy_only=False)
+            x, y = (np.array(batch.column(c).flatten(), np.float64).reshape(-1, w) for c, w in ((1, p), (2, q)))
+            for k in np.unique(layer):
+                total[int(k)] = total.get(int(k), 0.0) + _moments(x[layer == k], y[layer == k])
+        for k, m in total.items():
+            yield pa.RecordBatch.from_pydict({"layer": pa.array(np.full(size, k, np.int32)), "cell": np.arange(size), "m": m})
+
+    def finish(table: pa.Table) -> pa.Table:
+        found = _of_moments(table.sort_by("cell")["m"].to_numpy(), p, q)
+        return pa.table({"layer": table["layer"][:1], "cka": [found[0]], "cosine_distance": [found[1]]})
+
+    rows = pairs.where(F.col("layer").isNotNull() & (F.size("x") == p) & (F.size("y") == q)).select("layer", "x", "y")
+    summed = rows.mapInArrow(add, "layer int, cell long, m double").groupBy("layer", "cell").agg(F.sum("m").alias("m"))
+    return summed.groupBy("layer").applyInArrow(finish, "layer int, cka double, cosine_distance double")
+
+
 METRICS = {"cka": cka, "cosine_distance": rsa}
 
 

@@ -373,6 +373,13 @@ def rsa_by_layer(spark, sf_dir):
     return _rounded(layers.rsa_distance(x, y, "layer"), "cosine_distance", digits=6)
 
 
+@query()
+def similarity_all_rows(spark, sf_dir):
+    side = lambda start: F.transform(F.slice("embedding", start, 32), lambda v: v.cast("double"))
+    pairs = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("layer"), side(1).alias("x"), side(33).alias("y"))
+    return _rounded(layers.similarity_of_all(pairs, 32, 32), "cka", "cosine_distance", digits=6)
+
+
 @query(f"""with {_GRAM_SQL}, a as (select i as source_layer, least(round_even(i * 8 / 10.0, 0), 7)::int as target_layer from range(10) t(i))
     select source_layer::int as source_layer, target_layer, 'ffn' as stream from a""")
 def aligned_layers_compared(spark, sf_dir):

@@ -10,6 +10,7 @@ from stepwell.functions import losses, stats, values
 from stepwell.functions.numbers import md5_mod, py_round
 from stepwell.operators import layers, metrics, sampling
 from stepwell.plans import jobs
+from stepwell.plans.queries import QUERIES
 from stepwell.schemas import RESULT
 from stepwell.sources import readers, writers
 
@@ -104,6 +105,24 @@ def test_mcnemar_of_many_pairs(spark):
     assert [r[0] for r in got] == pytest.approx(want, rel=1e-9, abs=0)
 
 
+def test_similarity_reads_every_row(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("label", "embedding").toPandas()
+    got = {r["layer"]: r for r in QUERIES["similarity_all_rows"](spark, "/root/testdata/sf0.01").collect()}
+    assert rows.groupby("label").size().max() > 0 and set(got) == set(rows["label"])
+    for label, own in rows.groupby("label"):
+        e = np.array(own["embedding"].tolist(), np.float64)
+        assert got[label]["cka"] == pytest.approx(layers.cka(e[:, :32], e[:, 32:64]), abs=2e-6)
+        assert got[label]["cosine_distance"] == pytest.approx(layers.rsa(e[:, :32], e[:, 32:64]), abs=2e-6)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = np.hstack([x[:, :2] * 2, rng.normal(size=(300, 2))])  # more rows than 30
+    y[31:] += 5
+    pairs = spark.createDataFrame([(0, a.tolist(), b.tolist()) for a, b in zip(x, y)], "layer int, x array<double>, y array<double>")
+    found = layers.similarity_of_all(pairs, 3, 4).first()
+    assert (found["cka"], found["cosine_distance"]) == (pytest.approx(layers.cka(x, y)), pytest.approx(layers.rsa(x, y)))
+    assert found["cka"] != pytest.approx(layers.cka(x[:30], y[:30]), abs=1e-3)
+
+
 def test_layer_metrics():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(20, 10)), rng.normal(size=(20, 6))
