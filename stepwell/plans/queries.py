@@ -316,7 +316,7 @@ def template_bootstrap(spark, sf_dir):
 @query()
 def bootstrap_interval(spark, sf_dir):
     p = paired(spark, sf_dir).withColumn("clean", 1 - F.col("toxic"))
-    draws = stats.template_bootstrap(p, "quality", "clean", "template", 500, 11)
+    draws = stats.template_bootstrap(p, "quality", "clean", "template", 10_000, 11)
     return _rounded(stats.interval(draws), "low", "high", "p", "upper_bound", digits=6)
 
 

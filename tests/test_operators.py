@@ -123,6 +123,16 @@ def test_similarity_reads_every_row(spark):
     assert found["cka"] != pytest.approx(layers.cka(x[:30], y[:30]), abs=1e-3)
 
 
+def test_interval_of_ten_thousand_draws(spark, monkeypatch):
+    seen = []
+    own = stats.template_bootstrap
+    monkeypatch.setattr(stats, "template_bootstrap", lambda *args: seen.append(own(*args)) or seen[-1])
+    got = QUERIES["bootstrap_interval"](spark, "/root/testdata/sf0.001").first()
+    drawn = np.array([r["difference"] for r in seen[0].collect()])
+    assert len(drawn) == 10_000
+    assert (got["low"], got["high"]) == tuple(pytest.approx(np.percentile(drawn, x), abs=2e-6) for x in (2.5, 97.5))
+
+
 def test_layer_metrics():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(20, 10)), rng.normal(size=(20, 6))
