@@ -37,6 +37,10 @@ class IdFilter:
         words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
         self.shared = ids.sparkSession.sparkContext.broadcast(words)
 
+    def destroy(self) -> None:
+        """Frees the filter once what reads it has been written."""
+        self.shared.destroy()
+
     def maybe(self, id_column: Column) -> Column:
         """False for ids that are surely not in the table; null ids are not."""
         shared = self.shared

@@ -16,24 +16,28 @@ Only points up to a time that fills all registers are made; the limit grows
 for the few documents with an empty register.
 
 Linking.
-1. Documents with equal multisets form classes; the least id stands for each.
+1. Documents with equal multisets form classes; the least node stands for each.
 2. Bands of ROWS registers: two documents at the threshold share one of BANDS
-   bands with probability 1 - 5e-8.  Band rows are range-sorted by band and the
-   next band, so a bucket of any size is spread over tasks; each row meets the
-   row before it and the first of its bucket, never all pairs of a bucket.
+   bands with probability 1 - 6e-6, two at half of it seldom.  Band rows are
+   range-sorted, so a bucket of any size is spread over tasks; each row meets the
+   first of its bucket in its task and the ends of tasks meet, so a bucket of k
+   rows gives k edges, never all its pairs.
 3. Each document is verified on the exact multisets against its least candidate;
    verified links make components.
-4. Candidates that share two bands or more also make loose groups; any link lies
-   inside one.  Where a loose group holds several components, all its pairs of
-   different components are compared exactly, in pairs of blocks of about BLOCK
-   documents: a large component has blocks of its own, small ones share blocks,
-   and two blocks of one component never meet.  A pair of blocks is one matrix
-   product over the shingles they share and gives at most one link per pair of
-   components, so nothing of the size of all pairs is ever written.
-
-Defined cases: documents without words (null or empty texts) are alone; of rows
-that repeat a doc_id with other texts, the text of the least xxhash64 stands for
-the id; a null doc_id is alone; other columns are ignored.
+4. All candidates make loose groups: two documents that share a band are in one.
+   Where a loose group holds several components, all its pairs of different
+   components are compared exactly, in pairs of blocks of about BLOCK documents
+   and BLOCK_SHINGLES shingles: a large component has blocks of its own, small
+   ones share blocks, and two blocks of one component never meet.  A pair of
+   blocks is one matrix product over the shingles they share and gives at most one
+   link per pair of components, so nothing of the size of all pairs is written.
+
+Defined cases: documents without words (null or empty texts) are alone; equal
+rows are one document; a row that repeats a doc_id with another text, or whose
+doc_id is null, is a document of its own, whose node is a number from SURROGATE
+up (a hash of id and text), so that groups are named by an id where one has it;
+very long texts are one multiset each; an empty table has no row; other columns
+are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -52,9 +56,11 @@ from .staging import stage
 from .text import blocks, mix, release_memory, seeded, shingles, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 4, 32
+ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Least number that stands for a document that its doc_id does not tell apart.
+SURROGATE = 1 << 62
 
 _UNIT = 2.0**-53
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
@@ -160,51 +166,44 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, size long, k1 long, k2 long, bands array<bigint>")
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """(u, v) of band rows (key, next, id) sorted by key: each row with the one before it and with the first of its bucket.
+def _stars(rows: DataFrame) -> DataFrame:
+    """(u, v) of band rows (key, id) sorted by both: each row with the first of its bucket.
 
-    The ends of a partition are reported as well, since a bucket may go on in
-    the next one; there are two of them per partition.
+    The ends of a partition are reported as well (v null), since a bucket may go
+    on in the next one; there are two of them per partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_key, tail_id, first_id = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        edge = []
+        last_key, first_id, last_id, edge = None, 0, 0, []
         for batch in batches:
-            key, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            key, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             if not len(key):
                 continue
             if not edge:
                 edge.append((key[0], own[0]))
-            k, x = np.concatenate([tail_key, key]), np.concatenate([tail_id, own])
-            begin = np.ones(len(k), bool)
-            begin[1:] = k[1:] != k[:-1]
-            at = np.maximum.accumulate(np.where(begin, np.arange(len(k)), 0))
-            head = x[at]
-            if len(tail_key):
-                head[k == tail_key[0]] = first_id
-            pairs = [(x[1:], x[:-1], k[1:] == k[:-1]), (x, head, x != head)]
-            u = np.concatenate([a[on] for a, _, on in pairs])
-            v = np.concatenate([b[on] for _, b, on in pairs])
-            both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
+            begin = np.ones(len(key), bool)
+            begin[1:] = key[1:] != key[:-1]
+            head = own[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
+            if key[0] == last_key:
+                head[key == last_key] = first_id
+            both = np.unique(np.stack([np.maximum(own, head), np.minimum(own, head)], axis=1), axis=0)
             both = both[both[:, 0] != both[:, 1]]
             if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["u", "v", "key"])
-            tail_key, tail_id, first_id = k[-1:], x[-1:], head[-1]
-            last = (k[-1], x[-1])
+            last_key, first_id, last_id = key[-1], head[-1], own[-1]
         if edge:
-            edge.append(last)
+            edge.append((last_key, last_id))
             yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in edge]), pa.nulls(2, pa.int64()), pa.array([e[0] for e in edge])], names=["u", "v", "key"])
 
     return rows.mapInArrow(run, "u long, v long, key long")
 
 
 def candidates(spark: SparkSession, reps: DataFrame) -> DataFrame:
-    """Staged distinct (u, v), u > v, of representatives (id, bands) that meet in a band."""
-    rows = reps.select("id", F.posexplode("bands").alias("band", "key"), F.col("bands")).select("key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"), "id")
+    """Staged distinct (u, v), u > v, that connect representatives (id, bands) that meet in a band."""
+    rows = reps.select(F.explode("bands").alias("key"), "id")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(n, "key", "next", "id").sortWithinPartitions("key", "next", "id")
-    met = stage(spark, _neighbours(ordered), "met")
+    ordered = rows.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    met = stage(spark, _stars(ordered), "met")
     ends = Window.partitionBy("key").orderBy("u")
     over = met.where("v is null").select("u", F.lag("u").over(ends).alias("v")).where("u <> v")
     pairs = met.where("v is not null").select("u", "v").unionByName(over.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
@@ -212,7 +211,7 @@ def candidates(spark: SparkSession, reps: DataFrame) -> DataFrame:
 
 
 def _shingle_table(keyed: DataFrame) -> DataFrame:
-    """key, and its multiset as bytes: sorted distinct shingles, then their counts."""
+    """node, and its multiset as bytes: sorted distinct shingles, then their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +219,9 @@ def _shingle_table(keyed: DataFrame) -> DataFrame:
                 owner, shingle, count = multisets(data, offsets)
                 edges = np.searchsorted(owner, np.arange(j - i + 1))
                 rows = [shingle[a:b].tobytes() + count[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array(rows, pa.binary())], names=["key", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array(rows, pa.binary())], names=["id", "bag"])
 
-    return keyed.select("text", "key").mapInArrow(run, "key struct<id: long, t: long>, bag binary")
+    return keyed.select("text", "id").mapInArrow(run, "id long, bag binary")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -290,65 +289,89 @@ def _links_between(table: pa.Table) -> pa.Table:
 
 
 def _block_links(spark: SparkSession, members: DataFrame, bags: DataFrame) -> DataFrame:
-    """All links between components of the loose groups; members: id, loose, label."""
-    parts = members.groupBy("loose", "label").agg(F.count("*").alias("n"))
-    small = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0))
-    loose = parts.groupBy("loose").agg(F.count("*").alias("n_labels"), small.alias("n_small")).where("n_labels > 1")
-    own = F.when(F.col("n") > BLOCK, F.col("label")).otherwise(F.lit(-1))
-    cut = lambda what, n: F.pmod(F.xxhash64(what), F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)))
+    """All links between components of the loose groups; members: id, loose, label, size."""
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1))
+    parts = members.groupBy("loose", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    large = (F.col("n") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)
+    small = lambda c: F.sum(F.when(large, 0).otherwise(F.col(c)))
+    loose = parts.groupBy("loose").agg(F.count("*").alias("n_labels"), small("n").alias("n_small"), small("shingles").alias("small_shingles")).where("n_labels > 1")
+    own = F.when(large, F.col("label"))
+    cut = lambda what, n, size: F.pmod(F.xxhash64(what), blocks_of(F.col(n), F.col(size)))
     placed = members.join(parts, ["loose", "label"]).join(loose, "loose")
-    placed = placed.select("id", "loose", "label", own.alias("pure"), F.when(F.col("n") > BLOCK, cut("id", "n")).otherwise(cut("label", "n_small")).alias("part"))
+    placed = placed.select("id", "loose", "label", F.coalesce(own, F.lit(-1)).alias("pure"), own.isNotNull().alias("alone"), F.when(own.isNotNull(), cut("id", "n", "shingles")).otherwise(cut("label", "n_small", "small_shingles")).alias("part"))
     placed = stage(spark, placed, "blocks")
-    blocks_ = placed.select("loose", "pure", "part").distinct()
-    a = blocks_.select("loose", F.struct("pure", "part").alias("a"))
-    b = blocks_.select("loose", F.struct("pure", "part").alias("b"))
-    met = a.join(b, "loose").where((F.col("a") <= F.col("b")) & ((F.col("a.pure") < 0) | (F.col("a.pure") != F.col("b.pure"))))
-    sides = met.select("loose", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("own")).select("loose", "a", "b", F.col("own.pure").alias("pure"), F.col("own.part").alias("part"), (F.col("own") == F.col("a")).cast("int").alias("side"))
-    rows = sides.join(placed, ["loose", "pure", "part"]).join(bags, "id")
+    blocks_ = placed.select("loose", F.struct("alone", "pure", "part").alias("b")).distinct()
+    met = blocks_.withColumnRenamed("b", "a").join(blocks_, "loose").where((F.col("a") <= F.col("b")) & ~(F.col("a.alone") & F.col("b.alone") & (F.col("a.pure") == F.col("b.pure"))))
+    sides = met.select("loose", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("own"))
+    sides = sides.select("loose", "a", "b", "own.alone", "own.pure", "own.part", (F.col("own") == F.col("a")).cast("int").alias("side"))
+    rows = sides.join(placed, ["loose", "alone", "pure", "part"]).join(bags, "id")
     return rows.select("loose", "a", "b", "id", "label", "side", "bag").groupBy("loose", "a", "b").applyInArrow(_links_between, "u long, v long")
 
 
-def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of an equal multiset) and group_id (least id of the group).
+def _surrogate(doc_id: Column, t: Column) -> Column:
+    return F.lit(SURROGATE) + F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(0)), t), 2)
 
-    One row per doc_id; ids must be integers.
-    """
-    keyed = docs.select(F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    raw = stage(spark, fingerprints(keyed, "key", "text"), "prints")
-    one = F.min_by(F.struct("size", "k1", "k2", "bands"), "doc_id.t").alias("p")
-    prints = stage(spark, raw.groupBy(F.col("doc_id.id").alias("doc_id")).agg(one).select("doc_id", "p.*"), "documents")
-    worded = prints.where("size > 0 and doc_id is not null")
-    classes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = stage(spark, classes, "classes")
-
-    met = candidates(spark, reps.select(F.col("class_id").alias("id"), "bands"))
-    side = lambda c: reps.select(F.col("class_id").alias(c), F.col("bands").alias(f"bands_{c}"))
-    common = F.size(F.filter(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), lambda same: same))
-    pairs = stage(spark, met.join(side("u"), "u").join(side("v"), "v").where(common >= 2).select("u", "v"), "pairs")
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, t (hash of the text), node, class_id and group_id of every different document."""
+    keyed = _keyed(docs, doc_id, text)
+    raw = stage(spark, fingerprints(keyed.select(F.struct("id", "t").alias("key"), "text"), "key", "text").select("doc_id.id", "doc_id.t", "size", "k1", "k2", "bands"), "prints")
+    one = raw.groupBy("id", "t").agg(F.first("size").alias("size"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    twice = one.where("id is not null").groupBy("id").agg(F.min("t").alias("t0"), F.count("*").alias("n")).where("n > 1").select("id", "t0")
+    alone = F.col("id").isNull() | (F.col("t0").isNotNull() & (F.col("t") != F.col("t0")))
+    node = F.when(alone, _surrogate(F.col("id"), F.col("t"))).otherwise(F.col("id"))
+    prints = stage(spark, one.join(twice, "id", "left").select("id", "t", node.alias("node"), "size", "k1", "k2"), "documents")
+    least = prints.where("size > 0").groupBy("k1", "k2").agg(F.min("node").alias("class_id"), F.max("size").alias("size"))
+    bands = raw.where("size > 0").groupBy("k1", "k2").agg(F.first("bands").alias("bands"))
+    reps = stage(spark, least.join(bands, ["k1", "k2"]), "classes")
+
+    pairs = candidates(spark, reps.select(F.col("class_id").alias("id"), "bands"))
     needed = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    wanted = prints.join(needed, F.col("node") == F.col("n"), "left_semi").select("id", "t", "node")
     # a filter of fixed size keeps most texts out of the exact join, which has the same plan at every size
-    few = keyed.where(IdFilter(needed, "n").maybe(F.col("key.id")))
-    wanted = few.join(needed.hint("merge"), F.col("key.id") == F.col("n"), "left_semi")
-    bags = stage(spark, _shingle_table(wanted).groupBy("key.id").agg(F.min_by("bag", "key.t").alias("bag")), "bags")
+    seen = IdFilter(wanted.select((F.col("t")).alias("t")), "t")
+    few = keyed.where(seen.maybe(F.col("t")))
+    own = few.alias("f").join(wanted.alias("w").hint("merge"), F.col("f.id").eqNullSafe(F.col("w.id")) & (F.col("f.t") == F.col("w.t"))).select("f.text", F.col("w.node").alias("id"))
+    bags = stage(spark, _shingle_table(own).groupBy("id").agg(F.first("bag").alias("bag")), "bags")
+    seen.destroy()
 
     first = pairs.groupBy("u").agg(F.min("v").alias("v"))
     links = stage(spark, _verified(first, bags), "links")
     labels = components(spark, links)
     loose = components(spark, pairs)
     members = loose.select(F.col("node").alias("id"), F.col("component").alias("loose")).join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    more = _block_links(spark, members.select("id", "loose", F.coalesce("component", "id").alias("label")), bags)
+    members = members.join(reps.select(F.col("class_id").alias("id"), "size"), "id").select("id", "loose", F.coalesce("component", "id").alias("label"), "size")
+    more = _block_links(spark, members, bags)
     groups = components(spark, links.unionByName(stage(spark, more, "more-links")))
 
     table = reps.select("k1", "k2", "class_id").join(groups.select(F.col("node").alias("class_id"), F.col("component").alias("group_id")), "class_id", "left")
-    own = prints.select("doc_id", F.when(F.col("size") > 0, F.col("k1")).alias("k1"), F.when(F.col("size") > 0, F.col("k2")).alias("k2"))
-    return own.join(table, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "class_id", "doc_id").alias("group_id"))
+    worded = lambda c: F.when(F.col("size") > 0, F.col(c)).alias(c)
+    each = prints.select("id", "t", "node", worded("k1"), worded("k2"))
+    return each.join(table, ["k1", "k2"], "left").select("id", "t", "node", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("group_id", "class_id", "node").alias("group_id"))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (least node of an equal multiset) and group_id (least node of the group).
+
+    One row per different (doc_id, text); ids must be integers.
+    """
+    return _groups(spark, docs, doc_id, text).select(F.col("id").alias("doc_id"), "class_id", "group_id")
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group: the row of the least id, with its columns."""
-    groups = near_duplicate_groups(spark, docs)
-    gone = stage(spark, groups.where("group_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    maybe = IdFilter(gone, "_gone").maybe(F.col("doc_id"))
-    others = docs.where(maybe).join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return docs.where(~maybe).select(*docs.columns).unionByName(others.select(*docs.columns))
+    """One row of each group, that of the least node, with its columns; of equal rows one stays."""
+    groups = _groups(spark, docs, "doc_id", "text")
+    row, table = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), docs.schema
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), row.alias("row"))
+    repeated = whole.groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1")
+    fate = groups.select("id", "t", (F.col("node") != F.col("group_id")).alias("goes")).join(repeated.select(F.col("id").alias("r_id"), F.col("t").alias("r_t"), "n"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("t") == F.col("r_t")), "left")
+    special = stage(spark, fate.where("goes or n is not null").select(F.col("id").alias("s_id"), F.col("t").alias("s_t"), "goes"), "fate")
+    maybe = IdFilter(special, "s_t").maybe(F.col("t"))
+    met = whole.where(maybe).join(special.hint("merge"), F.col("id").eqNullSafe(F.col("s_id")) & (F.col("t") == F.col("s_t")), "left").where(~F.coalesce("goes", F.lit(False)))
+    once = met.where("goes is not null").groupBy("id", "t").agg(F.first("row").alias("row"))
+    kept = whole.where(~maybe).select("row").unionByName(met.where("goes is null").select("row")).unionByName(once.select("row"))
+    return kept.select(*(F.col("row").getField(f.name).alias(f.name) for f in table))
