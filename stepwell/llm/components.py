@@ -1,55 +1,50 @@
-"""Connected components of an edge table by alternating star contractions."""
+"""Connected components of an edge table by hooking and pointer jumping."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import stage
 
 
-def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
-    """Links each node's neighbours to the least of them and itself.
-
-    smaller: of the neighbours below a node (and the node), else of those above it.
-    """
-    both = edges if smaller else edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    linked = both.join(least, F.col("u") == F.col("c"))
-    if smaller:  # v < u: link v and u to m
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    else:
-        out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
-
-
-def _contracted(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Staged (node, component) by star contractions until nothing changes.
-
-    Each round is written to the shared folder; it ends after about log(nodes)
-    rounds.  Hubs meet only in aggregations and joins, never in one task's memory.
-    """
-    now, mark = stage(spark, edges, "edges"), None
+def _jumped(spark: SparkSession, parent: DataFrame, keys: list[str]) -> DataFrame:
+    """(u, v) with every v a root: the parent of the parent takes its place until none has one."""
     while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == mark or sign[0] == 0:
-            return stage(spark, now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "labels")
-        mark = sign
-        now = stage(spark, _stars(_stars(now, False), True), "edges")
+        above = parent.select(*keys, F.col("u").alias("v"), F.col("v").alias("w"))
+        step = stage(spark, parent.join(above, [*keys, "v"], "left").select(*keys, "u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "parents")
+        parent = step.select(*keys, "u", "v")
+        if step.where("moved").isEmpty():
+            return parent
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v), the component being its least node.
+def components(spark: SparkSession, edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, component) of every node of ``edges`` (keys, u, v), the component being its least node.
 
-    First only each node's edge to its least neighbour is contracted; of the
-    others just those that still join different components take part.
+    ``keys`` tell graphs apart that are solved together.  In a round every node
+    hooks to its least neighbour below it, trees are flattened in log(depth)
+    steps, and edges are carried over to the roots; edges that join no different
+    roots go.  A hub meets its neighbours only in aggregations and joins.
     """
-    own = stage(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    labels = _contracted(spark, own.groupBy("u").agg(F.min("v").alias("v")))
-    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    joined = own.join(at("u"), "u", "left").join(at("v"), "v", "left")
-    ends = [F.coalesce(f"of_{c}", c) for c in ("u", "v")]
-    rest = joined.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).where("u <> v").distinct()
-    above = _contracted(spark, rest).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    every = own.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left")
-    return every.select("node", F.coalesce("component", "node").alias("component")).join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    keys = list(keys)
+    tidy = lambda df, u, v: df.select(*keys, F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+    now = stage(spark, tidy(edges, F.col("u"), F.col("v")), "edges")
+    rounds: list[DataFrame] = []
+    while not now.isEmpty():
+        roots = _jumped(spark, now.groupBy(*keys, "u").agg(F.min("v").alias("v")), keys)
+        rounds.append(roots)
+        at = lambda c: roots.select(*keys, F.col("u").alias(c), F.col("v").alias(f"of_{c}"))  # noqa: B023, E731
+        met = now.join(at("u"), [*keys, "u"], "left").join(at("v"), [*keys, "v"], "left")
+        now = stage(spark, tidy(met, F.coalesce("of_u", "u"), F.coalesce("of_v", "v")), "edges")
+    if not rounds:
+        return now.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def composed(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        top = later.select(*keys, F.col("u").alias("v"), F.col("v").alias("w"))
+        return earlier.join(top, [*keys, "v"], "left").select(*keys, "u", F.coalesce("w", "v").alias("v")).unionByName(later)
+
+    found = reduce(composed, reversed(rounds))
+    own = found.select(*keys, F.col("v").alias("u"), "v").distinct()
+    return stage(spark, found.unionByName(own).select(*keys, F.col("u").alias("node"), F.col("v").alias("component")), "labels")

@@ -18,13 +18,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """(doc_id, text, label) of at most ``limit`` labelled rows outside the held-out fold.
+    """(doc_id, text, label) of at most ``limit`` labelled documents outside the held-out fold.
 
-    A document with several labels counts as the largest; null ids, labels and
-    texts are left out.  The chosen ids are bounded by ``limit``, so the join
-    that fetches their texts broadcasts them and moves no other text.
+    A document with several labels counts as the largest, one with several texts
+    as that of the least hash; null ids, labels and texts are left out.  The
+    chosen ids are bounded by ``limit``, so the join that fetches their texts
+    broadcasts them and moves no other text.
     """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     chosen = own.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES)).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(2 * limit)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))

@@ -341,8 +341,8 @@ def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> Dat
 
     first = pairs.groupBy("u").agg(F.min("v").alias("v"))
     links = stage(spark, _verified(first, bags), "links")
-    labels = components(spark, links)
-    loose = components(spark, pairs)
+    both = components(spark, links.select(F.lit(True).alias("linked"), "u", "v").unionByName(pairs.select(F.lit(False).alias("linked"), "u", "v")), "linked")
+    labels, loose = both.where("linked"), both.where("not linked")
     members = loose.select(F.col("node").alias("id"), F.col("component").alias("loose")).join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     members = members.join(reps.select(F.col("class_id").alias("id"), "size"), "id").select("id", "loose", F.coalesce("component", "id").alias("label"), "size")
     more = _block_links(spark, members, bags)

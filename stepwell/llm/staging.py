@@ -9,20 +9,26 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: After so many staged tables the driver's JVM collects garbage, so that Spark drops what finished steps have left.
+COLLECT_EVERY = 12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, as a URI or an absolute path."""
+    """The folder every executor sees, as a URI or an absolute path; on a cluster it has to be named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or DEFAULT_SHARED_DIR).rstrip("/")
 
 
 _roots: set[str] = set()
+_staged = itertools.count(1)
 
 
 def clean(spark: SparkSession, root: str) -> None:
@@ -55,6 +61,8 @@ def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_dir(spark, tag)
     df.write.parquet(path)
+    if next(_staged) % COLLECT_EVERY == 0:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

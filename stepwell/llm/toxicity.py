@@ -14,13 +14,15 @@ what is learned among inflected forms.  Only what is in MIN_TEXTS training texts
 or more, and more often in positive ones than chance (MIN_Z standard errors),
 has a weight.
 
-The fit runs on the driver over a bounded sample (``labelled.training_rows``),
-as hashed words; the model is one table of 2**BITS weights.  Scoring is one
-Arrow pass without a shuffle.
-
-Defined cases: null and empty texts have no sentence and score 0; repeated rows
-score alike; without any label the score of every text is 0; other columns,
-null or not, are ignored.
+The sample is bounded (``labelled.training_rows``).  Spark counts its hashed
+words and keeps those that have a weight; only their places in the sentences
+come to the driver, which fits a few thousand numbers.  The model is one table of
+2**BITS weights.  Scoring is one Arrow pass without a shuffle.
+
+Defined cases: null and empty texts have no sentence and score 0; texts of any
+length are scored whole; repeated rows score alike; without any label, or
+without any positive one, the score of every text is 0; an empty table has no
+row; other columns, null or of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
+from .staging import stage
 from .text import LOWER, blocks, release_memory, seeded, words_of
 
 BITS = 20
@@ -85,54 +88,32 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, sparsity: float = 0.5) -> Model:
-    """Adam with an L1 penalty on the noisy-or likelihood.
+def fit(at: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray, size: int, rounds: int = 200, rate: float = 0.1, sparsity: float = 0.5) -> np.ndarray:
+    """Weights of ``size`` features and the bias: Adam with an L1 penalty on the noisy-or likelihood.
 
-    bags: per text the features and the sentence number of its words.
+    at and sentence: a feature and a sentence in which it stands; owner: the text of each sentence.
     """
-    weights = np.zeros(1 << BITS, np.float32)
-    if not len(bags) or not labels.any():
-        return Model(weights, -np.inf)
-    y = labels.astype(bool)
-    texts, positive = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for (feature, _), bad in zip(bags, y):
-        found = np.unique(feature)
-        texts[found] += 1
-        positive[found] += bad
-    share = texts / len(y)
-    error = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / max(1, (~y).sum()))) + 1e-9
-    z = (positive / y.sum() - (texts - positive) / max(1, (~y).sum())) / error
-    texts[0] = 0
-    known = np.flatnonzero((texts >= MIN_TEXTS) & (z >= MIN_Z))
-    slot = np.full(1 << BITS, -1)
-    slot[known] = np.arange(len(known))
-    at, sentence, owner, n = [], [], [], 0
-    for i, (feature, own) in enumerate(bags):
-        k = int(own[-1]) + 1 if len(own) else 0
-        row, column = np.nonzero(slot[feature] >= 0)
-        at.append(slot[feature[row, column]])
-        sentence.append(own[row] + n)
-        owner.append(np.full(k, i))
-        n += k
-    at, sentence, owner = (np.concatenate(x).astype(np.int64) for x in (at, sentence, owner))
-    w = np.zeros(len(known) + 1)  # the last is the bias
+    y, n = labels.astype(bool), len(owner)
+    w = np.zeros(size + 1)  # the last is the bias
     w[-1] = START_BIAS
     mean, square = np.zeros_like(w), np.zeros_like(w)
-    grad = np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.clip(w[-1] + np.bincount(sentence, w[at], n), -60.0, 60.0)
-        odds = np.bincount(owner, _softplus(z), len(y))
-        pull = np.where(y, -1.0 / np.expm1(np.clip(odds, 1e-6, 50.0)), 1.0)
-        slope = pull[owner] / (1.0 + np.exp(-z))
-        grad[:-1] = np.bincount(at, slope[sentence], len(known))
-        grad[-1] = slope.sum()
+        grad = gradient(w, at, sentence, owner, y)
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad**2 - square)
         pace = rate / (np.sqrt(square / (1 - 0.99**t)) + 1.0)
         w -= pace * mean / (1 - 0.9**t)
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - sparsity * pace[:-1], 0.0)
-    weights[known] = w[:-1]
-    return Model(weights, float(w[-1]))
+    return w
+
+
+def gradient(w: np.ndarray, at: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the negative log likelihood of all texts: through the noisy-or to the sentences to the features."""
+    z = np.clip(w[-1] + np.bincount(sentence, w[at], len(owner)), -60.0, 60.0)
+    odds = np.bincount(owner, _softplus(z), len(y))
+    pull = np.where(y, -1.0 / np.expm1(np.clip(odds, 1e-6, 50.0)), 1.0)
+    slope = pull[owner] / (1.0 + np.exp(-z))
+    return np.append(np.bincount(at, slope[sentence], len(w) - 1), slope.sum())
 
 
 def score_block(model: Model, data: np.ndarray, offsets: np.ndarray):
@@ -143,7 +124,9 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray):
     return -np.expm1(-np.bincount(owner, odds, len(offsets) - 1)), owner, np.exp(-_softplus(-z)), start, end
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+def _bags(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, feature, sentence): the words of each text, a row of features each, and their sentences."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(0)):
@@ -153,23 +136,52 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 numbers = [(sentence[a:b] - (sentence[a] if b > a else 0)).astype(np.int32) for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], batch.column(2)[i:j], pa.array(rows, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))], names=["doc_id", "label", "feature", "sentence"])
 
-    rows = training_rows(docs, labels, label).select("text", F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"))
-    found = rows.mapInArrow(run, "doc_id string, label int, feature array<int>, sentence array<int>").toArrow()
-    order = np.argsort(np.array(found["doc_id"].to_pylist(), object), kind="stable")
-
-    def lists(name: str) -> list[np.ndarray]:
-        """Views of the rows of a list column: nothing is copied."""
-        out = []
-        for chunk in found[name].chunks:
-            values, edges = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-            out += [values[a:b] for a, b in zip(edges, edges[1:])]
-        return [out[i] for i in order]
-
-    bags = [(f.reshape(-1, 1 + len(PREFIXES)), s) for f, s in zip(lists("feature"), lists("sentence"))]
-    model = fit(bags, found["label"].to_numpy()[order])
-    del found, bags
+    return rows.select("text", F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id string, label int, feature array<int>, sentence array<int>")
+
+
+def speaking_features(bags: DataFrame, n: int, positive: int) -> DataFrame:
+    """(feature) in MIN_TEXTS texts or more and MIN_Z standard errors more often in positive ones."""
+    each = bags.select("label", F.explode(F.array_distinct("feature")).alias("feature")).where("feature <> 0")
+    counted = each.groupBy("feature").agg(F.count("*").alias("texts"), F.sum("label").alias("bad")).where(F.col("texts") >= MIN_TEXTS)
+    share, negative = F.col("texts") / n, max(1, n - positive)
+    error = F.sqrt(share * (1 - share) * (1 / positive + 1 / negative)) + 1e-9
+    return counted.where((F.col("bad") / positive - (F.col("texts") - F.col("bad")) / negative) / error >= MIN_Z).select("feature")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    spark = docs.sparkSession
+    bags = stage(spark, _bags(training_rows(docs, labels, label)), "bags")
+    total = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("positive")).first()
+    weights = np.zeros(1 << BITS, np.float32)
+    if not total["positive"]:
+        return Model(weights, -np.inf)
+    known = np.sort(speaking_features(bags, total["n"], total["positive"]).toArrow()["feature"].to_numpy())
+    shared = spark.sparkContext.broadcast(known)  # less than 2**BITS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            columns: list[list] = [[], [], []]
+            for feature, own in zip(batch.column(2), batch.column(3)):
+                feature, own = (x.values.to_numpy() for x in (feature, own))
+                at = slot[feature.reshape(-1, 1 + len(PREFIXES))]
+                row, column = np.nonzero(at >= 0)
+                for held, value in zip(columns, (at[row, column], own[row], int(own[-1]) + 1 if len(own) else 0)):
+                    held.append(value)
+            arrays = [pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "label", "at", "sentence", "n"])
+
+    found = bags.mapInArrow(run, "doc_id string, label int, at array<int>, sentence array<int>, n int").toArrow().sort_by("doc_id")
+    shared.destroy()
+    n = found["n"].to_numpy()
+    at, sentence = (found[c].combine_chunks() for c in ("at", "sentence"))
+    before = np.repeat(np.cumsum(n) - n, np.diff(at.offsets.to_numpy()))
+    fitted = fit(at.flatten().to_numpy().astype(np.int64), sentence.flatten().to_numpy() + before, np.repeat(np.arange(len(n)), n), found["label"].to_numpy(), len(known))
+    weights[known] = fitted[:-1]
+    del found, at, sentence, before
     release_memory()
-    return model
+    return Model(weights, float(fitted[-1]))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -472,6 +472,59 @@ def test_toxicity(spark):
     assert toxicity.score_documents(spark, docs.limit(0), labels).count() == 0
 
 
+def test_noisy_or_gradient():
+    rng = np.random.default_rng(8)
+    owner = np.repeat(np.arange(12), rng.integers(1, 5, 12))
+    at, sentence = rng.integers(0, 4, 90), np.sort(rng.integers(0, len(owner), 90))
+    y, w = rng.random(12) < 0.5, rng.normal(size=5)
+
+    def loss(w):
+        total = 0.0
+        for t in range(12):
+            clean = 1.0
+            for s in np.flatnonzero(owner == t):
+                clean *= 1 - 1 / (1 + math.exp(-(w[4] + w[at[sentence == s]].sum())))
+            total -= math.log(1 - clean) if y[t] else math.log(clean)
+        return total
+
+    step = 1e-6 * np.eye(5)
+    assert toxicity.gradient(w, at, sentence, owner, y) == pytest.approx([(loss(w + h) - loss(w - h)) / 2e-6 for h in step], rel=1e-4)
+
+
+def test_toxicity_equals_plain(spark):
+    """Chosen words and scores against loops over words; the fitted weights are the model's own."""
+    docs, labels = labelled(spark, 120)
+    model = toxicity.train(docs, labels)
+    kept, tag = docs.where("text is not null").toPandas(), {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    place = {}
+
+    def features(word):
+        if word not in place:
+            data = np.frombuffer(word, np.uint8)
+            place[word] = toxicity.sentences(data, np.array([0, len(data)]))[0][0]
+        return place[word]
+
+    bags = {d: [[features(w.encode().lower()) for w in re.findall(r"[0-9A-Za-z]+", s)] for s in re.split(r"[.!?\n]", t) if re.search(r"[0-9A-Za-z]", s)] for d, t in zip(kept["doc_id"], kept["text"])}
+    train = [d for d in bags if d in tag and zlib.crc32(str(d).encode()) % 4 != 2]
+    bad, texts, positive = sum(tag[d] for d in train), collections.Counter(), collections.Counter()
+    for d in train:
+        own = {int(f) for s in bags[d] for w in s for f in w} - {0}
+        texts.update(own)
+        positive.update(own if tag[d] else ())
+    good, n, chosen = len(train) - bad, len(train), set()
+    for f, k in texts.items():
+        error = math.sqrt(k / n * (1 - k / n) * (1 / bad + 1 / good)) + 1e-9
+        if k >= toxicity.MIN_TEXTS and (positive[f] / bad - (k - positive[f]) / good) / error >= toxicity.MIN_Z:
+            chosen.add(f)
+    assert chosen and set(np.flatnonzero(model.weights)) <= chosen
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark, docs, model).collect()}
+    for d, own in bags.items():
+        clean = 1.0
+        for s in own:
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(float(model.weights[f].sum()) for f in s))))
+        assert got[d] == pytest.approx(1 - clean, abs=1e-6)
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     rows = quality_model.score_documents(spark, docs.withColumn("n_words", F.lit("clash")), labels).join(labels, "doc_id").where("held_out").collect()
