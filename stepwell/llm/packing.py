@@ -10,16 +10,20 @@ every window is full.  Pieces too few for a window wait for more documents; the
 last ones of a partition go into windows of the powers of two that add up to
 them, which need no padding either.
 
-Windows of a tier are dealt into step groups of equal numbers of tokens; within
-a batch they are dealt in turn by attention work (the sum of squared piece
-lengths), so the steps of a group take alike long.
+Windows of a tier are dealt into step groups of STEP_TOKENS tokens each, in turn
+by attention work (the sum of squared piece lengths), so the steps of a group
+take alike long.  Windows too few for a group wait for the next batch; only the
+last group of a tier in a partition may be smaller.
 
 Each partition packs on its own in one pass: no shuffle, no group to gather, and
 memory bounded by BUFFER_TOKENS and the longest document.  Window and group
-numbers carry the partition's number; a lost task packs the same partition anew.
+numbers carry the partition's number.  Pieces of one length are taken in the
+order of arrival, so the same rows in the same order are packed alike, and a lost
+task packs its partition as before.
 
-Defined cases: a null or empty text is its end id alone; repeated rows are
-packed each; tokens of other columns do not exist.
+Defined cases: a null or empty text is its end id alone; a very long text is cut
+into whole windows; repeated rows are packed each; an empty table has no piece;
+tokens of other columns do not exist, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -35,50 +40,71 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import release_memory
+from .hash_table import Table
+from .text import blocks, release_memory, told_apart, words_of
 
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32_768
 BUFFER_TOKENS = 500_000
 END_ID = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 1_000_000
+BLOCK_BYTES = 1_000_000
 
 
 class WordTokens:
-    """Ids of texts as little-endian 32-bit bytes, by a library tokenizer that never joins words across ASCII white space."""
+    """Ids of texts by a library tokenizer that never joins words across ASCII white space.
+
+    Words are remembered by two 64-bit hashes; the library turns the new ones of
+    a block of texts into ids in few calls.  More than CACHED_WORDS start it over.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}  # what was known before the last overflow
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.old, self.known = self.known, {}
-            new = list(dict.fromkeys(words))
-        self.known.update((w, self.old[w]) for w in new if w in self.old)
-        new = [w for w in new if w not in self.known]
-        if new:
-            self.known.update(zip(new, self._encode([w.decode("utf-8") for w in new])))
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: one call over all, told apart by where tokens begin."""
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        cuts = np.searchsorted(begins, ends).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = Table()
+        self.check = np.zeros(0, np.uint64)
+        self.start = np.zeros(1, np.int64)  # of each word's ids, and the end of all
+        self.ids = np.zeros(0, "<u4")
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a block, where each text's begin and the end of all)."""
+        words = words_of(data, offsets)
+        check = words.hashes(seed=1 << 40)
+        key, first, back = told_apart(words.hashes(), check)
+        if len(self.check) + len(key) > CACHED_WORDS:
+            self._forget()
+        at = self.table.find(key)
+        fresh = at < 0
+        new = np.flatnonzero(fresh | (self.check[at] != check[first]) if len(self.check) else fresh)
+        if len(new):
+            raw, start, end = data.tobytes(), words.start[first[new]].tolist(), words.end[first[new]].tolist()
+            ids, sizes = self._encode([raw[a:b].decode("utf-8") for a, b in zip(start, end)])
+            at[new] = len(self.check) + np.arange(len(new))
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+            self.ids, self.check = np.concatenate([self.ids, ids]), np.concatenate([self.check, check[first[new]]])
+            put = new[fresh[new]]
+            self.table.put(key[put], at[put])
+        at = at[back]
+        size = self.start[at + 1] - self.start[at]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(self.start[at] - edge[:-1], size) + np.arange(edge[-1])
+        return self.ids[place], edge[words.first]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has): one call over some thousand, told apart by where tokens begin."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for some in batched(words, 8192):
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids[-1]))
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            sizes.append(np.diff(np.searchsorted(begins, ends), prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +113,7 @@ def word_tokens(path: str) -> WordTokens:
 
 
 class Packer:
-    """Packs documents of one partition.  A piece is (length, number, document index, start)."""
+    """Packs documents of one partition.  A waiting piece is (length, start, number of arrival, document)."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, first_window: int = 0, step_tokens: int = STEP_TOKENS):
         self.tiers, self.step_tokens = tiers, step_tokens
@@ -95,19 +121,20 @@ class Packer:
         self.waiting = 0
         self.window = self.group = first_window
         self.done: dict[int, list] = {}
-        self.open: dict[int, list] = {}
+        self.arrived = 0
 
     def add(self, document, length: int) -> None:
         start, top = 0, self.tiers[0]
+        self.arrived += 1
         while length - start >= top:
             self._close(top, [(top, document, start)])
             start += top
         if length > start:
-            self._pool(length - start, document, start)
+            self._pool(length - start, self.arrived, document, start)
 
-    def _pool(self, length: int, document, start: int) -> None:
+    def _pool(self, length: int, arrival: int, document, start: int) -> None:
         tier = min(t for t in self.tiers if t >= length)
-        insort(self.pools[tier], (length, start, id(document), document), key=lambda x: x[:3])
+        insort(self.pools[tier], (length, start, arrival, document), key=lambda x: x[:3])
         self.waiting += length
 
     def _take(self, room: int, tiers: tuple[int, ...]):
@@ -124,9 +151,9 @@ class Packer:
         """``room`` tokens of the shortest piece; the rest of it waits."""
         for t in reversed(self.tiers):
             if self.pools[t]:
-                length, start, _, document = self.pools[t].pop(0)
+                length, start, arrival, document = self.pools[t].pop(0)
                 self.waiting -= length
-                self._pool(length - room, document, start + room)
+                self._pool(length - room, arrival, document, start + room)
                 return room, document, start
         raise ValueError("no piece left")
 
@@ -159,18 +186,22 @@ class Packer:
             room -= piece[0]
         self._close(size, pieces)
 
-    def drain(self) -> Iterator[tuple[int, int, int, list]]:
-        """(window, tier, step group, pieces) of the closed windows."""
+    def drain(self, final: bool = True) -> Iterator[tuple[int, int, int, list]]:
+        """(window, tier, step group, pieces) of the closed windows; unless ``final``, those too few for a group wait."""
+        waiting = {}
         for size in sorted(self.done, reverse=True):
-            windows = sorted(self.done[size], key=lambda w: -sum(p[0] ** 2 for p in w))
             each = max(1, self.step_tokens // size)
-            groups = -(-len(windows) // each)
-            for k, pieces in enumerate(windows):
-                turn, place = divmod(k, groups)
-                yield self.window, size, self.group + (place if turn % 2 == 0 else groups - 1 - place), pieces
-                self.window += 1
-            self.group += groups
-        self.done = {}
+            whole = len(self.done[size]) // each * each
+            waiting[size] = self.done[size][whole:]
+            parts = [self.done[size][:whole], waiting.pop(size) if final else []]
+            for part in filter(None, parts):
+                groups = -(-len(part) // each)
+                for k, pieces in enumerate(sorted(part, key=lambda w: -sum(p[0] ** 2 for p in w))):
+                    turn, place = divmod(k, groups)
+                    yield self.window, size, self.group + (place if turn % 2 == 0 else groups - 1 - place), pieces
+                    self.window += 1
+                self.group += groups
+        self.done = {size: own for size, own in waiting.items() if own}
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", tiers: tuple[int, ...] = TIERS) -> DataFrame:
@@ -183,9 +214,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] =
         packer = Packer(tiers, (context.partitionId() if context else 0) << 36)
         schema = None
 
-        def rows() -> Iterator[pa.RecordBatch]:
+        def rows(final: bool) -> Iterator[pa.RecordBatch]:
             out: list[list] = [[] for _ in range(8 + len(keep))]
-            for window, tier, group, pieces in packer.drain():
+            for window, tier, group, pieces in packer.drain(final):
                 offset = 0
                 for length, document, start in pieces:
                     ids, total, own = document
@@ -200,17 +231,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] =
             names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
             schema = pa.schema([*((f"k{k}", batch.schema.types[k + 1]) for k in range(len(keep))), *zip(names, kinds)])
             own = list(zip(*(batch.column(k + 1).to_pylist() for k in range(len(keep)))))
-            column = batch.column(0)
-            for i in range(batch.num_rows):
-                value = column[i]
-                ids = (tokens(value.as_buffer().to_pybytes()) if value.is_valid else b"") + end
-                packer.add((ids, len(ids) // 4, own[i]), len(ids) // 4)
-                if packer.waiting + sum(len(w) * t for t, w in packer.done.items()) > BUFFER_TOKENS:
-                    packer.pack()
-                    yield from rows()
+            for i, j, data, offsets in blocks(batch.column(0), BLOCK_BYTES):
+                every, edge = tokens(data, offsets)
+                for k, (a, b) in enumerate(zip(edge, edge[1:]), i):
+                    ids = every[a:b].tobytes() + end
+                    packer.add((ids, len(ids) // 4, own[k]), len(ids) // 4)
+                    if packer.waiting + sum(len(w) * t for t, w in packer.done.items()) > BUFFER_TOKENS:
+                        packer.pack()
+                        yield from rows(False)
         packer.pack(final=True)
         if schema is not None:
-            yield from rows()
+            yield from rows(True)
 
     picked = docs.select(F.col(text).alias("text"), *(F.col(k).alias(f"k{n}") for n, k in enumerate(keep)))
     kept = ", ".join(f"k{n} {picked.schema[n + 1].dataType.simpleString()}" for n in range(len(keep)))

@@ -74,14 +74,14 @@ class Words:
         padded[: len(data)] = data
         return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))[self.start] & _KEEP[np.minimum(self.end - self.start, 8)]
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, data: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes (of ``data``, such as lower-cased ones)."""
         data = self.data if data is None else data
         padded = np.zeros(len(data) + 8, np.uint8)
         padded[: len(data)] = data
         loads = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
         left = self.end - self.start
-        h = left.astype(np.uint64)
+        h = left.astype(np.uint64) + np.uint64(seed)
         at = self.start
         todo = None
         while len(left):
@@ -98,6 +98,15 @@ class Words:
         return mix(h)
 
 
+def told_apart(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each item, first item of each key, key number of each item): items of one hash but different check get other keys."""
+    key, first, back = np.unique(h, return_index=True, return_inverse=True)
+    clash = check != check[first][back]
+    if clash.any():
+        return told_apart(np.where(clash, mix(h ^ check), h), check)
+    return key, first, back
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

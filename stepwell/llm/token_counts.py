@@ -13,23 +13,26 @@ token before it are a stable pair, that is, if the two texts joined tokenize
 into exactly these two tokens; there is one such piece.  The transition is
 annotated with the change of the token count, which may be negative where a
 longer piece absorbs earlier tokens.  Pieces are short, so there are finitely
-many states; they are compiled when first needed and kept in an open-addressing
-table of fixed size, which starts over when it is full.  So are the maps of
-whole runs from the start state, by a 64-bit hash of the run: the same word is
+many states; they are compiled when first needed and kept in a hash table, which
+starts over before a block when it has grown large.  So are the maps of whole
+runs from the start state, told apart by two 64-bit hashes: the same word is
 stepped through once per worker.
 
 No piece continues over the edge from a non-space to a space mark, nor over a
 character that the vocabulary lacks (it becomes one token per UTF-8 byte), so
 a text falls into runs with a known start state.  Runs are cut into chunks and
 all chunks of a block step through the transducer together, as array
-operations.  A chunk's state map is (entry state, exit state, count).  Chunks
-inside a long run start from the state that a warm-up over the characters
-before gives; the maps are then composed by a scan, and a chunk whose entry
-differs from the exit before it is run again from there, so the composition is
-exact whatever the warm-up gave.
-
-Defined cases: null and empty texts have 0 tokens; repeated rows are counted
-each; other columns are ignored.  Special strings in a text are plain text.
+operations.  A chunk's state map says, for an entry state, the exit state and the
+count; its first entry state is what a warm-up over the characters before gives.
+The maps are composed by a parallel prefix scan: in log steps every segment's map
+is joined to that of the segment before it.  Where a map has no entry for the
+state that the segment before leaves, the segment is entered from there until it
+meets a state that it knows, so the result is exact whatever the warm-up gave.
+
+Defined cases: null and empty texts have 0 tokens; a text of any length and of
+any number of different words is counted whole, in slices of SLICE runs; repeated
+rows are counted each; an empty table has no row; other columns are ignored,
+whatever their names.  Special strings in a text are plain text.
 """
 
 from __future__ import annotations
@@ -42,51 +45,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, blocks
+from .hash_table import Table
+from .text import Words, blocks, told_apart
 
 CHUNK, WARM_UP = 64, 48
-STEP_BITS, RUN_BITS = 20, 21
+#: What a worker remembers at most between blocks.
+KNOWN_STEPS, KNOWN_RUNS = 600_000, 1_200_000
+SLICE = 1 << 18
 BLOCK_BYTES = 1_000_000
 MARK = "▁"  # what the vocabulary has for a space
 START = 0
 
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Table:
-    """Vectorised open addressing: 64-bit keys to 64-bit values, in fixed memory."""
-
-    def __init__(self, bits: int):
-        self.bits, self.n = bits, 0
-        self.keys = np.zeros(1 << bits, np.uint64)  # 0 marks a free place
-        self.values = np.zeros(1 << bits, np.int64)
-
-    @property
-    def full(self) -> bool:
-        return self.n > 0.6 * (1 << self.bits)
-
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each key is or would be put, and what is there."""
-        with np.errstate(over="ignore"):
-            at = ((keys * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
-        held = self.keys[at]
-        off = np.flatnonzero((held != keys) & (held != 0))
-        while len(off):
-            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
-            now = held[off] = self.keys[at[off]]
-            off = off[(now != keys[off]) & (now != 0)]
-        return at, held
-
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct keys that are not there yet."""
-        self.n += len(keys)
-        while len(keys):
-            at, _ = self.places(keys)
-            self.keys[at] = keys
-            won = self.keys[at] == keys
-            self.values[at[won]] = values[won]
-            keys, values = keys[~won], values[~won]
-
 
 class Transducer:
     """States and annotated transitions of one vocabulary, compiled on demand."""
@@ -124,18 +93,22 @@ class Transducer:
                     self.piece_at.append(-1)
                 node = self.child[node][k]
             self.piece_at[node] = i
-        self.runs = Table(RUN_BITS)
-        self._clear()
+        self.forget_runs()
+        self._forget_steps()
 
     def _encode(self, text: str) -> list[int]:
         """Tokens of a text without the leading space mark: after a line end nothing merges."""
         return self.library.encode("\n" + text)[2:]
 
-    def _clear(self) -> None:
+    def forget_runs(self) -> None:
+        self.runs = Table()
+        self.check, self.of_run = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _forget_steps(self) -> None:
         self.states = [((0, -1, 0),)]
         self.number = {self.states[0]: START}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.steps = Table(STEP_BITS)
+        self.steps = Table()
 
     def _is_stable(self, a: int, b: int) -> bool:
         if (known := self.stable.get((a, b))) is None:
@@ -165,15 +138,15 @@ class Transducer:
 
     def step(self, state: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, change of the count) of each."""
-        keys = (state * self.n_classes + char).astype(np.uint64)  # not 0, as no class of the alphabet is
-        at, held = self.steps.places(keys)
-        missing = np.flatnonzero(held == 0)
+        keys = (state * self.n_classes + char).astype(np.uint64)
+        value = self.steps.find(keys)
+        missing = np.flatnonzero(value < 0)
         if len(missing):
-            new = np.unique(keys[missing])
+            new, back = np.unique(keys[missing], return_inverse=True)
             found = np.array([self._compile(k) for k in new.tolist()], np.int64)
-            self.steps.put(new, found[:, 0] << 32 | (found[:, 1] + 1024))
-            at[missing] = self.steps.places(keys[missing])[0]
-        value = self.steps.values[at]
+            found = found[:, 0] << 32 | (found[:, 1] + 1024)
+            self.steps.put(new, found)
+            value[missing] = found[back]
         return value >> 32, (value & 0xFFFFFFFF) - 1024
 
     def run(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +163,8 @@ class Transducer:
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Number of tokens of each text of a block."""
-        if self.steps.full:
-            self._clear()
-        if self.runs.full:
-            self.runs = Table(RUN_BITS)
+        if self.steps.n > KNOWN_STEPS:
+            self._forget_steps()
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(n, np.int64)
@@ -214,16 +185,11 @@ class Transducer:
         run_end = np.append(np.flatnonzero(fresh), len(chars))
         run_end = run_end[np.searchsorted(run_end, run_start, "right")]
 
-        keys = self._hashes(chars, run_start, run_end)
-        at, held = self.runs.places(keys)
-        missing = np.flatnonzero(held == 0)
-        if len(missing):
-            new, one = np.unique(keys[missing], return_index=True)
-            one = missing[one]
-            self.runs.put(new, self.run_counts(chars, run_start[one], run_end[one]))
-            at[missing] = self.runs.places(keys[missing])[0]
         owner = lambda at: full[np.searchsorted(begins, at, "right") - 1]
-        total = np.bincount(owner(run_start), self.runs.values[at], n)
+        total = np.zeros(n)
+        for k in range(0, len(run_start), SLICE):
+            some = slice(k, k + SLICE)
+            total += np.bincount(owner(run_start[some]), self._known_counts(chars, run_start[some], run_end[some]), n)
         other = np.flatnonzero(~known)
         if len(other):
             p = points[other]
@@ -231,13 +197,29 @@ class Transducer:
             total += np.bincount(owner(other), size, n)
         return np.rint(total).astype(np.int64)
 
-    def _hashes(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _known_counts(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of each run; different runs are stepped through once, remembered ones not at all."""
         wide = chars.astype("<u2" if self.n_classes < 1 << 16 else "<u4")
-        data, size = wide.view(np.uint8), wide.itemsize
-        return np.maximum(Words(data, start, start * size, end * size, start).hashes(), np.uint64(1))
+        size = wide.itemsize
+        words = Words(wide.view(np.uint8), start, start * size, end * size, start)
+        check = words.hashes(seed=1 << 40)
+        key, first, back = told_apart(words.hashes(), check)
+        if len(self.check) + len(key) > KNOWN_RUNS:
+            self.forget_runs()
+        at = self.runs.find(key)
+        fresh = at < 0
+        new = np.flatnonzero(fresh | (self.check[at] != check[first]) if len(self.check) else fresh)
+        out = self.of_run[at] if len(self.check) else np.zeros(len(key), np.int64)
+        if len(new):
+            out[new] = self.run_counts(chars, start[first[new]], end[first[new]])
+            if len(self.check) + len(new) <= KNOWN_RUNS:
+                put = new[fresh[new]]
+                self.runs.put(key[put], len(self.check) + np.arange(len(put)))
+                self.check, self.of_run = np.concatenate([self.check, check[first[put]]]), np.concatenate([self.of_run, out[put]])
+        return out[back]
 
     def run_counts(self, chars: np.ndarray, run_start: np.ndarray, run_end: np.ndarray) -> np.ndarray:
-        """Tokens of runs that begin in the start state: chunks in parallel, then the scan over their maps."""
+        """Tokens of runs that begin in the start state: maps of all chunks, composed by a prefix scan."""
         pieces = -(-(run_end - run_start) // CHUNK)
         head = np.cumsum(pieces) - pieces
         nth = np.arange(int(pieces.sum())) - np.repeat(head, pieces)
@@ -246,15 +228,26 @@ class Transducer:
         entry = np.full(len(start), START, np.int64)
         inner = np.flatnonzero(nth)
         if len(inner):
-            entry[inner] = self.run(chars, start[inner] - WARM_UP, np.full(len(inner), WARM_UP), entry[inner])[0]
+            warm = np.minimum(WARM_UP, nth[inner] * CHUNK)
+            entry[inner] = self.run(chars, start[inner] - warm, warm, entry[inner])[0]
         leave, count = self.run(chars, start, length, entry)
-        wrong = inner[leave[inner - 1] != entry[inner]]
-        while len(wrong):  # compose the maps: run again from the state that the chunk before left
-            entry[wrong] = leave[wrong - 1]
-            leave[wrong], count[wrong] = self.run(chars, start[wrong], length[wrong], entry[wrong])
-            after = wrong[wrong + 1 < len(start)] + 1
-            after = after[nth[after] > 0]
-            wrong = after[leave[after - 1] != entry[after]]
+        # the map of a segment that begins at a chunk and ends before ``stop``: entry -> leave[stop - 1], sum of counts
+        width = 1
+        while width < int(pieces.max(initial=0)):
+            later = np.flatnonzero((nth % (2 * width) == width))  # each joins the segment before it
+            at, state = later, leave[later - 1]
+            left = np.minimum(width, np.repeat(pieces, pieces)[later] - nth[later])
+            while len(at):  # from the state that the segment before leaves, until a state that the map knows
+                off = np.flatnonzero((state != entry[at]) & (left > 0))
+                at, state, left = at[off], state[off], left[off]
+                if len(at):
+                    entry[at] = state
+                    state, count[at] = self.run(chars, start[at], length[at], state)
+                    leave[at] = state
+                    at, left = at + 1, left - 1
+                    inside = left > 0
+                    at, state, left = at[inside], state[inside], left[inside]
+            width *= 2
         return np.rint(np.bincount(np.repeat(np.arange(len(pieces)), pieces), count, len(pieces))).astype(np.int64)
 
 

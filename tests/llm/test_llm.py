@@ -15,8 +15,9 @@ from hypothesis import strategies as st
 from oracle import compare
 from pyspark.sql import functions as F
 
-from stepwell.llm import chat_format, decontaminate, doc_stats, elias_fano, lm_score, near_dups, packing, quality_model, quality_rules, token_counts, toxicity, warc
+from stepwell.llm import chat_format, decontaminate, doc_stats, elias_fano, hash_table, lm_score, near_dups, packing, quality_model, quality_rules, token_counts, toxicity, warc
 from stepwell.llm.queries import ORACLES, QUERIES, vocabulary
+from stepwell.llm import text as text_module
 from stepwell.llm.text import blocks, words_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -71,11 +72,36 @@ def test_counts_of_any_text(transducer, texts):
     check_counts(transducer, texts)
 
 
-def test_chunk_maps_compose(transducer, monkeypatch):
-    monkeypatch.setattr(token_counts, "WARM_UP", 1)  # wrong entry states, which the scan has to mend
-    monkeypatch.setattr(token_counts, "CHUNK", 3)
-    transducer.runs = token_counts.Table(token_counts.RUN_BITS)
-    check_counts(transducer, ["internationalisation" * 20, "thethethethere" * 9, "aaaaaaa" * 13])
+@pytest.mark.parametrize("chunk, warm", [(3, 1), (2, 0), (7, 4), (64, 48)])
+def test_chunk_maps_compose(transducer, monkeypatch, chunk, warm):
+    monkeypatch.setattr(token_counts, "WARM_UP", warm)  # wrong entry states, which the scan has to mend
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    transducer.forget_runs()
+    check_counts(transducer, ["internationalisation" * 20, "thethethethere" * 9, "aaaaaaa" * 13, "x", "ab", "=" * 500, "".join(chr(97 + i * i % 23) for i in range(900))])
+
+
+def test_counts_with_small_memory(transducer, monkeypatch, corpus):
+    monkeypatch.setattr(token_counts, "KNOWN_RUNS", 50)
+    monkeypatch.setattr(token_counts, "KNOWN_STEPS", 100)
+    transducer.forget_runs()
+    check_counts(transducer, corpus["text"].tolist()[:60] + ODD)
+
+
+def test_counts_of_one_hash(transducer, monkeypatch):
+    transducer.forget_runs()
+    plain = text_module.Words.hashes
+    monkeypatch.setattr(text_module.Words, "hashes", lambda self, data=None, seed=0: plain(self, data, seed) if seed else np.full(len(self.end), 3, np.uint64))
+    check_counts(transducer, ["one two one", "two three", "one three two"])
+    transducer.forget_runs()
+
+
+def test_counts_of_a_text_of_very_many_words(transducer):
+    digits = np.arange(3_000_000)
+    text = " ".join(np.char.add("w", digits.astype(str)).tolist())
+    data = np.frombuffer(text.encode(), np.uint8)
+    got = transducer.counts(data, np.array([0, len(data)]))
+    assert got[0] == len(transducer.library.encode(text))
+    assert len(transducer.check) <= token_counts.KNOWN_RUNS
 
 
 def test_counts_in_spark(spark, transducer):
@@ -433,10 +459,57 @@ def test_packer_fills_every_window(lengths):
         assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_packing_repeats_itself_in_equal_steps(spark, corpus, monkeypatch):
+    monkeypatch.setattr(packing, "BUFFER_TOKENS", 40_000)
+    texts = ["tie tie"] * 50 + corpus["text"].tolist() + ["tie tie"] * 50
+    runs = [packing.pack_documents(docs_of(spark, texts).coalesce(1), vocabulary("word_bpe_49k.json")).collect() for _ in range(2)]
+    assert runs[0] == runs[1]
+    check_packing(runs[0], texts)
+    steps = collections.defaultdict(lambda: collections.defaultdict(int))
+    for r in runs[0]:
+        steps[r["tier"]][r["step_group"]] += r["length"]
+    for tier, own in steps.items():
+        assert sorted(own.values())[1:] == [packing.STEP_TOKENS] * (len(own) - 1) or tier < 256
+
+
+def ids_of(own, texts):
+    out = []
+    for _, _, data, offsets in blocks(pa.array(texts, pa.string())):
+        ids, edge = own(data, offsets)
+        out += [ids[a:b].tolist() for a, b in zip(edge, edge[1:])]
+    return out
+
+
+def test_hash_table(monkeypatch):
+    table, keys = hash_table.Table(4), np.random.default_rng(1).integers(0, 2**62, 5000).astype(np.uint64)
+    keys = np.unique(np.append(keys, np.uint64(0)))
+    for part in np.array_split(keys, 7):
+        assert (table.find(part) == -1).all()
+        table.put(part, (part & np.uint64(0xFFFF)).astype(np.int64))
+    assert (table.find(keys) == (keys & np.uint64(0xFFFF)).astype(np.int64)).all()
+    key, first, back = text_module.told_apart(np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64))
+    assert len(key) == 3 and back[0] == back[3] != back[1]
+
+
+def test_words_of_one_hash(monkeypatch):
+    own = packing.WordTokens(vocabulary("word_bpe_49k.json"))
+    plain = text_module.Words.hashes
+    monkeypatch.setattr(text_module.Words, "hashes", lambda self, data=None, seed=0: plain(self, data, seed) if seed else np.full(len(self.end), 3, np.uint64))
+    for t in ("one two one", "two three", "one three two"):
+        assert ids_of(own, [t]) == [own.library.encode(t, add_special_tokens=False).ids]
+
+
+def test_small_caches_give_the_same_ids(monkeypatch, corpus):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 30)
+    own = packing.WordTokens(vocabulary("word_bpe_49k.json"))
+    for t in corpus["text"].tolist()[:40]:
+        assert ids_of(own, [t]) == [own.library.encode(t, add_special_tokens=False).ids]
+
+
 def test_words_equal_whole_texts(corpus):
     own = packing.WordTokens(vocabulary("word_bpe_49k.json"))
     for t in corpus["text"].tolist()[:60] + ["<|endoftext|> a<|startoftext|>b", "é́ é ́x ﬁ İ ẞ", "a\x1cb\x85c\xa0d　e", "it's, don't..."]:
-        assert own(t.encode()) == np.array(own.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert ids_of(own, ["", t]) == [[], own.library.encode(t, add_special_tokens=False).ids]
 
 
 # 9 and 10. Classifiers
