@@ -11,14 +11,17 @@ and neither role nor text may hold a control string.  It is first rendered as
 it is (``<s>``) and parsed again; if the parser does not give back the source
 turns, its content is escaped (``&``, ``<``, ``[`` and, in roles, line ends) and
 it is rendered in the mode ``<s esc>``, which holds no control string and so
-always parses back.  Both steps are checked, the last by ``parsed``.
+always parses back.  Both steps are checked: a conversation that even its escaped
+form does not give back fails the query.
 
 The loss mask is a list of runs (length, whether the run is learned) over the
 rendered text; only the texts of assistant turns are learned.
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role,
-text), a null turn first, and repeated rows are turns of their own; a null
-conversation id is one conversation; other columns are ignored.
+text), a null turn first, and repeated rows are turns of their own; a row without
+a conversation id is a conversation of one turn, so such rows gather nowhere; a
+very long text is rendered whole; an empty table has no conversation; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,23 +97,41 @@ def mask_runs(turns: Column, escaped: Column) -> Column:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, turns (the source), formatted, escaped, mask_runs and parsed (read back from formatted)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
+    whole = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
+    whole = whole.unionByName(conversations.where("conv_id is null").select("conv_id", F.array(turn).alias("rows")))
     source = whole.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = source.withColumn("plain", render(F.col("turns"), False)).withColumn("escaped", ~F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False)))
     formatted = plain.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain")))
-    return formatted.select("conv_id", "turns", "formatted", "escaped", mask_runs(F.col("turns"), F.col("escaped")).alias("mask_runs"), parse(F.col("formatted")).alias("parsed"))
+    read = formatted.select("conv_id", "turns", "formatted", "escaped", mask_runs(F.col("turns"), F.col("escaped")).alias("mask_runs"), parse(F.col("formatted")).alias("parsed"))
+    return read.withColumn("parsed", identical(F.col("parsed"), F.col("turns"), F.col("conv_id")))
+
+
+def identical(parsed: Column, turns: Column, conv_id: Column) -> Column:
+    """The parsed turns; the query fails where they are not the source's."""
+    lost = F.raise_error(F.concat(F.lit("conversation not read back: "), F.coalesce(conv_id.cast("string"), F.lit("null"))))
+    return F.when(F.coalesce(parsed == turns, F.lit(False)), parsed).otherwise(lost.cast("array<struct<role: string, text: string>>"))
+
+
+def learned_text(formatted: Column, runs: Column, escaped: Column) -> Column:
+    """What lies under the mask in the rendered conversation, unescaped, run after run."""
+
+    def cut(acc: Column, run: Column) -> Column:
+        piece = F.substring(formatted, acc["at"], run["length"].cast("int"))
+        return F.struct((acc["at"] + run["length"].cast("int")).alias("at"), F.when(run["learned"], F.array_append(acc["said"], piece)).otherwise(acc["said"]).alias("said"))
+
+    pieces = F.aggregate(runs, F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("said")), cut, lambda acc: acc["said"])
+    return F.array_join(F.when(escaped, F.transform(pieces, unescape)).otherwise(pieces), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the rendered conversations hold, as read back by the parser and the mask."""
-    said = F.filter("parsed", _is_learned)
-    learned = F.array_join(F.transform(said, lambda t: t["text"]), "")
+    """What the rendered conversations hold, as read back by the parser and under the mask."""
     turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return formatted.select(
+    read = formatted.withColumn("learned", learned_text(F.col("formatted"), F.col("mask_runs"), F.col("escaped")))
+    return read.select(
         "conv_id",
         F.size("parsed").cast("long").alias("n_turns"),
         F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

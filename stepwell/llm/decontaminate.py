@@ -23,9 +23,11 @@ frequent passage nor a long document gathers in one task.
 
 Words are runs of letters, digits and non-ASCII bytes, ASCII-lowered.
 
-Defined cases: null and empty texts and items have no words and never match;
-items of fewer than MIN_ITEM_WORDS words are not searched; equal items and repeated documents are
-reported each; other columns are ignored.
+Defined cases: null and empty texts and items have no words and never match; an
+item of fewer than MIN_ALIGNED words is found only word for word, as it says too
+little to be told from others when edited; very long texts are searched whole;
+equal items and repeated documents are reported each; an empty table of either
+kind gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .text import LOWER, Words, blocks, seeded, words_of
 
-MIN_ITEM_WORDS, MIN_PAIRED = 5, 6
+MIN_ALIGNED, MIN_PAIRED = 5, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
 BLOCK_BENCHMARK_BYTES = 4 << 20
@@ -80,6 +82,8 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def seeds_needed(n: int) -> tuple[int, int]:
     """(words of a window, windows that any alignment of MIN_SCORE has) of an item of n words."""
+    if n < MIN_ALIGNED:
+        return n, 1
     if n < MIN_PAIRED:
         return 1, int(np.ceil(MIN_SCORE * n - 1e-9))
     return 2, max(1, int(np.ceil((2 * MIN_SCORE - 1) * n - 1 - 1e-9)))
@@ -114,7 +118,7 @@ def benchmark_block(ids: list, texts: list[str]) -> Block:
     need = np.ones(len(items), np.int64)
     gram, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, h in enumerate(items):
-        if len(h) >= MIN_ITEM_WORDS:
+        if len(h):
             sizes[i], need[i] = seeds_needed(len(h))
             _, g = grams(h, np.zeros(len(h), np.int64), np.array([0, len(h)]), int(sizes[i]))
             gram.append(g)
@@ -195,7 +199,7 @@ def leaks_of_texts(block: Block, data: np.ndarray, offsets: np.ndarray) -> Itera
         passage = hashes[low:high]
         score, end = smith_waterman(own, passage)
         share = score / (MATCH * len(own))
-        if share >= MIN_SCORE and share > best.get((t, i), (0.0,))[0]:
+        if share >= (MIN_SCORE if len(own) >= MIN_ALIGNED else 1.0) and share > best.get((t, i), (0.0,))[0]:
             back = smith_waterman(own[::-1], passage[:end][::-1])[1]
             best[t, i] = (share, int(words.start[low + end - back] - offsets[t]), int(words.end[low + end - 1] - offsets[t]))
     for (t, i), found in best.items():

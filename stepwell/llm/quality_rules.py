@@ -12,8 +12,10 @@ with fewer than MIN_GROUP texts uses the merged sketch of its language, or of
 all texts where that is small too.
 
 Defined cases: a null text has no words; a text without words, or that fails
-the base rules, is not kept; null language or source is a group of its own;
-repeated rows are counted and returned each.  Extra columns are ignored.
+the base rules, is not kept; null language or source is a group of its own; a
+very long text is measured whole; repeated rows are counted and returned each; an
+empty table has no row.  Extra columns are ignored, and kept by
+``filter_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -166,11 +168,13 @@ def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rated = docs.select("lang", "source", rate_values(F.col("text")).alias("q")).select("lang", "source", "q.*")
     sketch = stage(spark, sketches(rated), "sketch")
     limits = stage(spark, thresholds(sketch), "fences")
-    own = limits.select(F.struct("t_lang", "t_source").alias("_group"), F.struct(*(c for c in limits.columns if c[:2] in ("lo", "hi"))).alias("_fences"))
-    same = F.col("lang").eqNullSafe(F.col("_group.t_lang")) & F.col("source").eqNullSafe(F.col("_group.t_source"))
-    ok = (F.col("_q.n_words") >= MIN_WORDS) & (F.col("_q.n_repeat_words") * 100 <= F.col("_q.n_words") * MAX_REPEAT_PERCENT)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # so that no name of a column can clash
+    whole = docs.select(row.alias("row"), F.col("lang").alias("lang"), F.col("source").alias("source"), rate_values(F.col("text")).alias("q"))
+    same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+    ok = (F.col("q.n_words") >= MIN_WORDS) & (F.col("q.n_repeat_words") * 100 <= F.col("q.n_words") * MAX_REPEAT_PERCENT)
     for r, (_, _, _, low) in RATES.items():
-        ok &= F.col(f"_q.{r}") <= F.col(f"_fences.hi_{r}")
+        ok &= F.col(f"q.{r}") <= F.col(f"hi_{r}")
         if low:
-            ok &= F.col(f"_q.{r}") >= F.col(f"_fences.lo_{r}")
-    return docs.withColumn("_q", rate_values(F.col("text"))).join(own, same, "left").where(F.coalesce(ok, F.lit(False))).select(*docs.columns)
+            ok &= F.col(f"q.{r}") >= F.col(f"lo_{r}")
+    kept = whole.join(limits, same, "left").where(F.coalesce(ok, F.lit(False)))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -88,9 +88,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with said as (
-    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations
-    union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
-    union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    select conv_id, case when conv_id is null then row_number() over () end as alone, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations
+    union all select -1, null, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -1, null, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), marked as (
     select *, regexp_matches(body, '</?s>|<s esc>|\\[/?INST\\]') or (role <> 'assistant' and (contains(role, chr(10)) or regexp_matches(role, '</?s>|<s esc>|\\[/?INST\\]'))) as clash,
         length(body) as plain_n, length(body) + 4 * (length(body) - length(replace(body, '&', ''))) + 3 * (length(body) - length(replace(body, '<', ''))) + 4 * (length(body) - length(replace(body, '[', ''))) as safe_n,
@@ -103,7 +103,7 @@ select conv_id, count(*)::bigint as n_turns,
     coalesce(sum(case when role = 'assistant' then plain_n end), 0)::bigint as loss_chars,
     sha256(coalesce(string_agg(body, '' order by turn nulls first, role, body) filter (where role = 'assistant'), '')) as loss_sha256,
     (case when bool_or(clash) then 7 + sum(safe_n + safe_marks) else 3 + sum(plain_n + plain_marks) end)::bigint as formatted_chars
-from marked group by conv_id
+from marked group by conv_id, alone
 """
 
 

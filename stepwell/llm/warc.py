@@ -9,12 +9,16 @@ repeated attempts are never read.
 Reading: a file is cut into byte ranges.  A task looks for the gzip magic in its
 range, accepts a candidate only if its first bytes decode to a WARC header, then
 follows members one after the other.  A record belongs to the range in which it
-starts; its end may lie beyond.  Any range can be read alone and again.
-
-Defined cases: a null html is an empty payload, a null url an empty target;
-rows that repeat the smallest page id of a payload are responses all; a null
-page id stays null; short payloads (also empty ones) are always responses; an
-empty table gives no archive and no row; other columns are ignored.
+starts; its end may lie beyond.  Any range can be read alone and again.  Nothing
+is passed over: a file must begin with a record, each record be followed by one or
+by the file's end, and each be whole, else reading fails; the task of a range
+looks at the head of the first record after it, so no damage lies between ranges.
+
+Defined cases: a null html is an empty payload, a null url an empty target; a
+very long payload is one record; rows that repeat the smallest page id of a
+payload are responses all; a null page id stays null; short payloads (also empty
+ones) are always responses; an empty table gives no archive and no row; a
+truncated or corrupt file is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .id_filter import IdFilter
 from .staging import filesystem, new_dir, stage
 
 MIN_REVISIT = 100
@@ -82,8 +87,12 @@ def decode_record(raw: bytes) -> dict:
     }
 
 
+class DamagedArchive(ValueError):
+    """A file that does not hold one whole record after the other."""
+
+
 def records_in(stream, size: int, start: int, end: int) -> Iterator[bytes]:
-    """Decompressed records that begin in ``start:end`` of a seekable stream."""
+    """Decompressed records that begin in ``start:end`` of a seekable stream of ``size`` bytes."""
     held, at = b"", start  # held: bytes of the file from at on
 
     def more() -> bool:
@@ -95,43 +104,46 @@ def records_in(stream, size: int, start: int, end: int) -> Iterator[bytes]:
         held += stream.read(min(READ_BYTES, size - place))
         return True
 
-    def member() -> bytes | None:
-        """The member at ``held``'s start, or None if it is no WARC record."""
-        nonlocal held, at
+    def begins_record() -> bool:
+        """Whether a gzip member that decodes to a WARC header begins at ``held``'s start."""
         while len(held) < 512 and more():
             pass
+        try:
+            return held.startswith(MAGIC) and zlib.decompressobj(31).decompress(held[:512], 5) == b"WARC/"
+        except zlib.error:
+            return False
+
+    def member() -> bytes:
+        nonlocal held, at
         unpack, out, fed = zlib.decompressobj(31), [], 0
         try:
-            if zlib.decompressobj(31).decompress(held[:512], 5) != b"WARC/":
-                return None
             while not unpack.eof:
                 if fed == len(held) and not more():
-                    return None
+                    raise DamagedArchive(f"the record at byte {at} is cut off")
                 out.append(unpack.decompress(held[fed:]))
                 fed = len(held)
-        except zlib.error:
-            return None
+        except zlib.error as e:
+            raise DamagedArchive(f"the record at byte {at} is corrupt: {e}") from None
         used = len(held) - len(unpack.unused_data)
         held, at = held[used:], at + used
         return b"".join(out)
 
-    while at < end:
+    aligned = start == 0
+    while not aligned and at < end:  # the first record that starts in the range
         k = held.find(MAGIC)
+        skip = k if k >= 0 else max(0, len(held) - 2)
+        held, at = held[skip:], at + skip
         if k < 0:
-            skip = max(0, len(held) - 2)
-            held, at = held[skip:], at + skip
             if not more():
                 return
-            continue
-        if k:
-            held, at = held[k:], at + k
-            if at >= end:
-                return
-        record = member()
-        if record is None:
+        elif at < end and not (aligned := begins_record()):
             held, at = held[1:], at + 1
-        else:
-            yield record
+    while aligned and at < size:
+        if not begins_record():
+            raise DamagedArchive(f"no record at byte {at}")
+        if at >= end:
+            return
+        yield member()
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -139,10 +151,14 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
     folder = folder or new_dir(spark, "warc")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    copies = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    typed = rows.join(copies, "digest", "left").select(
-        F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).cast("string").alias("refers_to")
-    )
+    narrow = rows.where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "digest")
+    copies = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = stage(spark, narrow.join(copies, "digest").where("page_id <> first").distinct(), "revisits")
+    # only what is stored twice is joined, by page and not by payload; a filter of fixed size lets the rest pass
+    maybe = IdFilter(again.select(F.xxhash64("digest").alias("h")), "h").maybe(F.xxhash64("digest"))
+    first = rows.where(maybe).join(again.hint("merge"), ["page_id", "digest"], "left")
+    typed = rows.where(~maybe).withColumn("first", F.lit(None).cast(again.schema["first"].dataType)).unionByName(first)
+    typed = typed.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("first").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, written, n = None, 0, 0

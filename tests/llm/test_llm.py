@@ -157,9 +157,12 @@ def test_rules_equal_plain_sketches(spark, corpus):
 
 
 def test_rules_on_odd_rows(spark):
-    df = docs_of(spark, ODD + ODD, True)
-    assert quality_rules.apply_rules(spark, df.drop("n_words")).count() == 2 * len(ODD)
-    assert quality_rules.filter_documents(spark, df).columns == df.columns
+    df = docs_of(spark, ODD + ODD + ["word and other words of a text " * 2 + " ".join(f"w{i}" for i in range(60))], True)
+    df = df.withColumns({"q": F.lit("q"), "_q": F.lit("a"), "_group": F.lit("b"), "_fences": F.lit("c"), "row": F.lit("r"), "t_lang": F.lit("t"), "hi_upper": F.lit("h"), "odd.name": F.lit("o")})
+    assert quality_rules.apply_rules(spark, df).count() == 2 * len(ODD) + 1
+    got = quality_rules.filter_documents(spark, df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert got.collect() == df.where(F.col("doc_id") == 2 * len(ODD)).collect()
     assert quality_rules.apply_rules(spark, docs_of(spark, [])).count() == 0
 
 
@@ -221,8 +224,14 @@ def test_groups_equal_plain(spark, monkeypatch):
 
 def test_groups_of_nothing_and_repeats(spark):
     assert near_dups.near_duplicate_groups(spark, docs_of(spark, [])).count() == 0
-    df = docs_of(spark, ["one two three four five six"] * 2)
-    assert near_dups.near_duplicate_groups(spark, df.union(df)).count() == 2
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "quite another text under the same id"), (2, "one two three four five six"), (None, "one two three four five six"), (3, "quite another text under the same id"), (None, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_gone", "row", "id", "t", "goes", "n", "odd.name")})
+    got = near_dups.near_duplicate_groups(spark, df).collect()
+    named = collections.Counter(r["group_id"] for r in got if r["group_id"] < near_dups.SURROGATE)
+    assert len(got) == 7 and named in ({1: 3, 3: 2, 4: 1}, {2: 3, 1: 2, 4: 1})  # whichever text of 1 has the smaller hash
+    kept = near_dups.filter_documents(spark, df)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    assert sorted((r["text"] or "") for r in kept.collect()) == ["", "", "one two three four five six", "quite another text under the same id"]
 
 
 # 4. Decontamination
@@ -255,12 +264,39 @@ def test_leaks(spark):
     texts += [f"{noise(5)} {items[0]}"] * 20  # a common passage still has seeds
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark, docs_of(spark, texts, True), bench).collect()}
-    assert got == {(1, 0), (2, 1), (4, 3)} | {(8 + k, 0) for k in range(20)}
-    assert decontaminate.filter_documents(spark, docs_of(spark, texts), bench).count() == len(texts) - 23
+    assert got == {(1, 0), (2, 1), (4, 3), (7, 5)} | {(8 + k, 0) for k in range(20)}  # (7, 5): a short item, word for word
+    assert decontaminate.filter_documents(spark, docs_of(spark, texts), bench).count() == len(texts) - 24
     assert decontaminate.find_leaks(spark, docs_of(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(spark, docs_of(spark, []), bench).count() == 0
 
 
+def test_short_items_are_found_verbatim():
+    block = decontaminate.benchmark_block(list(range(4)), ["one", "two three", "a b c d", "one two three four five"])
+    texts = ["ONE.", "x two, three y", "two x three", "a b c e", "z a b c d", "three two", "one two three four six", ""]
+    got = {(i + t, k) for i, _, data, offsets in blocks(pa.array(texts)) for t, k, *_ in decontaminate.leaks_of_texts(block, data, offsets)}
+    assert got == {(0, 0), (1, 1), (4, 2), (6, 0), (6, 1), (6, 3)}
+
+
+def test_leaks_equal_plain(spark, corpus):
+    """The whole result against an alignment of every document with every item."""
+    docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    pick = lambda t: [w.lower() for w in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", t or "")]
+    numbers = collections.defaultdict(lambda: len(numbers))
+    texts = {r["doc_id"]: np.array([numbers[w] for w in pick(r["text"])], np.uint64) for r in docs.select("doc_id", "text").collect()}
+    items = {r["item_id"]: np.array([numbers[w] for w in pick(r["text"])], np.uint64) for r in bench.collect()}
+    right = {}
+    for d, x in texts.items():
+        own = set(x.tolist())
+        for i, item in items.items():
+            need = decontaminate.MIN_SCORE * len(item)
+            if sum(w in own for w in item.tolist()) >= need:  # fewer common words cannot score as much
+                score = decontaminate.smith_waterman(item, x)[0] / (decontaminate.MATCH * len(item))
+                if score >= decontaminate.MIN_SCORE:
+                    right[d, i] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(spark, docs, bench).collect()}
+    assert got == pytest.approx(right) and right
+
+
 def test_every_alignment_is_found():
     rng = np.random.default_rng(9)
     words = [f"c{k}" for k in range(60)]
@@ -312,6 +348,23 @@ def test_round_trip(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_digests_read_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a</s>b"), (1, 2, "assistant", "c&d"), (2, 0, "assistant", "plain"), (None, 0, "assistant", "x"), (None, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(df)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = [(r["conv_id"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.digests(formatted).collect()]
+    assert sorted(got, key=str) == sorted([(1, 9, sha("a</s>bc&d")), (2, 5, sha("plain")), (None, 1, sha("x")), (None, 1, sha("x"))], key=str)
+    shifted = formatted.withColumn("mask_runs", F.transform("mask_runs", lambda r: F.struct(r["length"].alias("length"), (~r["learned"]).alias("learned"))))
+    assert not {r["loss_sha256"] for r in chat_format.digests(shifted).collect()} & {g[2] for g in got}
+
+
+def test_what_is_not_read_back_fails(spark):
+    df = spark.createDataFrame([([("user", "a")], [("user", "b")]), ([("user", "a")], None)], "turns array<struct<role: string, text: string>>, parsed array<struct<role: string, text: string>>")
+    for row in (0, 1):
+        with pytest.raises(Exception, match="not read back"):
+            df.select(chat_format.identical(F.col("parsed"), F.col("turns"), F.lit(1))).collect()[row]
+
+
 def test_native_plan(spark):
     plan = QUERIES["op5_chat_format"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -399,6 +452,23 @@ def test_splits_own_every_record_once():
         assert [warc.decode_record(r)["page_id"] for r in found] == [str(i) for i in range(60)]
 
 
+def test_damaged_archives_are_errors():
+    rng = np.random.default_rng(6)
+    parts = [warc.encode_record(str(i), "u", rng.bytes(700), "0" * 64, None) for i in range(12)]
+    raw = b"".join(parts)
+    at = len(b"".join(parts[:5]))
+    broken = {
+        "cut off": raw[:-1], "cut in a body": raw[:-400], "only a head": raw[: len(raw) - len(parts[-1]) + 20], "corrupt body": raw[: at + 300] + b"\0" * 40 + raw[at + 340 :],
+        "corrupt head": raw[:at] + b"\0" * 30 + raw[at + 30 :], "leading bytes": b"xx" + raw, "bytes between": raw[:at] + b"junk" + raw[at:], "zeros behind": raw + bytes(900),
+    }
+    for name, data in broken.items():
+        for size in (101, 1000, 4096, len(data)):
+            with pytest.raises(warc.DamagedArchive):
+                for s in range(0, len(data), size):
+                    list(warc.records_in(io.BytesIO(data), len(data), s, min(len(data), s + size)))
+                pytest.fail(f"{name}, {size}")
+
+
 def test_archives_round_trip(spark):
     long = "é" * 200
     rows = [(5, "u5", long), (3, "u3", long), (9, None, None), (1, "u1", "short"), (2, "u2", "short"), (3, "u3", long), (None, "u", "x" * 150)]
