@@ -41,14 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hash_table import Table
+from .staging import small_batches
 from .text import blocks, release_memory, told_apart, words_of
 
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32_768
 BUFFER_TOKENS = 500_000
 END_ID = 1
-CACHED_WORDS = 1_000_000
-BLOCK_BYTES = 1_000_000
+CACHED_WORDS = 500_000
+BLOCK_BYTES = 500_000
 
 
 class WordTokens:
@@ -207,10 +208,11 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row per piece: ``keep``, start, length, ids (binary), doc_tokens, sequence_id, offset, tier, step_group."""
     end = np.array([END_ID], "<u4").tobytes()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         tokens, context = word_tokens(tokenizer_path), TaskContext.get()
+        release_memory()
         packer = Packer(tiers, (context.partitionId() if context else 0) << 36)
         schema = None
 

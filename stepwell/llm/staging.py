@@ -53,12 +53,20 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows of whole texts travel to Python in batches of at most ``rows``: both ends hold a batch or two for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of a table, not the plan
     that made it.
     """
+    small_batches(spark)
     path = new_dir(spark, tag)
     df.write.parquet(path)
     if next(_staged) % COLLECT_EVERY == 0:
