@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -39,18 +40,23 @@ def block_end(text: str, start: int) -> int:
     raise CallError("unbalanced braces")
 
 
+_NAME = re.compile(r'"name"[^:]*:[^"]*"((?:\\.|[^"\\])*)"', re.S)
+_ARGUMENTS = re.compile(r'"arguments"[^:]*:\s*')
+_OPENS = re.compile(r"\s*(?=\{)")
+
+
 def parse_block(block: str) -> tuple[str, dict, str]:
     """(name, arguments, style) of a call block."""
-    name = re.search(r'"name"\s*:\s*"([^"]*)"', block)
+    name = _NAME.search(block)
     if not name:
         raise CallError("no name")
-    at = re.search(r'"arguments"\s*:\s*', block)
-    if not at:
+    label = _ARGUMENTS.search(block)
+    if not label:
         return name[1], {}, "missing"
-    rest = block[at.end() :]
-    quote = rest[:1]
-    if quote in ("'", '"') and quote:
-        inner = _QUOTED[quote].match(rest)
+    at = label.end()
+    quote = block[at : at + 1]
+    if quote and quote in _QUOTED:
+        inner = _QUOTED[quote].match(block, at)
         if not inner:
             raise CallError("unterminated string")
         style = "string_single_quoted" if quote == "'" else "string_double_quoted"
@@ -58,7 +64,7 @@ def parse_block(block: str) -> tuple[str, dict, str]:
     elif quote == "{":
         style = "raw_object"
         try:
-            value = json.loads(rest[: block_end(rest, 0)])
+            value = json.loads(block[at : block_end(block, at)])
         except ValueError as e:
             raise CallError(str(e)) from None
     else:
@@ -77,16 +83,26 @@ def _value(text: str):
     raise CallError("arguments do not parse")
 
 
+def _blocks(chat: str) -> Iterator[tuple[int, str]]:
+    """(place of the tag, block) of every call; a tag inside a block is part of its text."""
+    after = 0
+    for tag in re.finditer(re.escape(TAG), chat):
+        if tag.start() < after:
+            continue
+        opens = _OPENS.match(chat, tag.end())
+        if not opens:
+            raise CallError("no block after the tag")
+        after = block_end(chat, opens.end())
+        yield tag.start(), chat[opens.end() : after]
+
+
 def calls_in(chat: str | None) -> dict:
     """All calls of a text in order, or the error of the first block that does not parse."""
     found = []
     try:
-        for m in re.finditer(re.escape(TAG), chat or ""):
-            start = m.end() + len(chat[m.end() :]) - len(chat[m.end() :].lstrip())
-            if chat[start : start + 1] != "{":
-                raise CallError("no block after the tag")
-            name, arguments, style = parse_block(chat[start : block_end(chat, start)])
-            found.append({"name": name, "arguments": json.dumps(arguments, sort_keys=True), "arg_keys": sorted(map(str, arguments)), "style": style, "char_offset": m.start()})
+        for place, block in _blocks(chat or ""):
+            name, arguments, style = parse_block(block)
+            found.append({"name": name, "arguments": json.dumps(arguments, sort_keys=True), "arg_keys": sorted(map(str, arguments)), "style": style, "char_offset": place})
     except (CallError, RecursionError) as e:
         return {"calls": None, "error": str(e) or "error"}
     return {"calls": found, "error": None}

@@ -1,86 +1,38 @@
-"""The simulated tools as column expressions.
+"""The simulated tools, each written once against ``algebra``.
 
-Each returns STRUCT<result STRING (JSON), error_type STRING, error STRING>:
-failure is a value, never an exception inside a task.  Only three tools need
-Python (expression evaluation, rounding to a column's number of places, and a
-hash of Python's number format); they run on Arrow batches.
+As a function of columns a tool gives STRUCT<result STRING (JSON), error_type
+STRING, error STRING>: failure is a value, never an exception inside a task.
+Only two need Python there (expression evaluation and rounding to a column's
+number of places); they run on Arrow batches.  ``call_plain`` is the same tool
+for one call of a model.
 """
 
 from __future__ import annotations
 
 import ast
-import hashlib
-import json
 import math
 import operator
 from collections.abc import Callable
+from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tool_tables as T
-from .numbers import md5_mod, py_round
+from .algebra import ARGUMENT, EXECUTION, Columns, Plain, ToolFailure, outcome
 
-OUTCOME = "struct<result: string, error_type: string, error: string>"
+#: name -> tool(algebra, *arguments), in the order of the signature.
+RULES: dict[str, Callable] = {}
 
 
-def outcome(result: Column, *failures: tuple[Column, str, Column | str]) -> Column:
-    """The first failure whose condition holds, else the result as JSON."""
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
-    kind, why = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for condition, name, message in reversed(failures):
-        kind, why = F.when(condition, F.lit(name)).otherwise(kind), F.when(condition, text(message)).otherwise(why)
-    return F.struct(F.when(kind.isNull(), F.to_json(result)).alias("result"), kind.alias("error_type"), why.alias("error"))
-
-
-def _key(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-
-
-def _table(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
-
-
-def _looked_up(values: dict, key: Column) -> Column:
-    return F.try_element_at(_table(values), key)
-
-
-def _not_finite(*values: Column) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out |= v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return out
-
-
-def get_weather(city: Column) -> Column:
-    key = _key(city)
-    degrees, sky = (_looked_up({k: v[i] for k, v in T.WEATHER.items()}, key) for i in (0, 1))
-    return outcome(F.struct(city.alias("city"), degrees.alias("temperature_f"), sky.alias("condition")), (degrees.isNull(), "ToolExecutionError", F.concat(F.lit("no weather for "), city)))
-
-
-def _lookup_tool(values: dict, argument: str, field: str) -> Callable[[Column], Column]:
-    def tool(value: Column) -> Column:
-        found = _looked_up(values, _key(value))
-        return outcome(F.struct(value.alias(argument), found.alias(field)), (found.isNull(), "ToolExecutionError", F.concat(F.lit(f"unknown {argument} "), value)))
-
-    return tool
-
-
-get_current_time = _lookup_tool(T.TIMES, "timezone", "current_time")
-get_population = _lookup_tool(T.POPULATION_MILLIONS, "country", "population_millions")
-get_capital = _lookup_tool(T.CAPITALS, "country", "capital")
-get_elevation = _lookup_tool(T.ELEVATIONS_M, "place", "elevation_m")
-
-
-def search_knowledge_base(query: Column) -> Column:
-    q = _key(query)
-    matches = F.map_filter(_table(T.KNOWLEDGE), lambda k, v: k.contains(q) | F.lower(v).contains(q))
-    return outcome(F.struct(query.alias("query"), matches.alias("matches")), (q == "", "ToolArgumentError", "empty query"), (F.size(matches) == 0, "ToolExecutionError", F.concat(F.lit("nothing about "), query)))
+def rule(f: Callable) -> Callable:
+    RULES[f.__name__] = f
+    return partial(f, Columns())
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
-_LARGEST_POWER = 10_000
+#: A whole number of more digits cannot be written as text.
+_MOST_DIGITS = 4300
 
 
 def evaluate(expression: str):
@@ -96,7 +48,7 @@ def evaluate(expression: str):
                 return node.value
             case ast.BinOp() if type(node.op) in _OPERATORS:
                 a, b = value(node.left), value(node.right)
-                if isinstance(node.op, ast.Pow) and abs(b) > _LARGEST_POWER:
+                if isinstance(node.op, ast.Pow) and isinstance(a, int) and isinstance(b, int) and abs(a) > 1 and b * math.log10(abs(a)) > _MOST_DIGITS:
                     raise ValueError("power too large")
                 return _OPERATORS[type(node.op)](a, b)
             case ast.UnaryOp() if type(node.op) in _OPERATORS:
@@ -106,24 +58,9 @@ def evaluate(expression: str):
     return value(ast.parse(expression.strip(), mode="eval"))
 
 
-def _python_tool(run: Callable[..., dict], *columns: Column) -> Column:
-    """A tool in Python over Arrow batches; a ValueError or arithmetic error is an argument error."""
-
-    @F.arrow_udf(OUTCOME)
-    def tool(*arrays: pa.Array) -> pa.Array:
-        rows = []
-        for values in zip(*(a.to_pylist() for a in arrays)):
-            try:
-                rows.append({"result": json.dumps(run(*values)), "error_type": None, "error": None})
-            except (ValueError, SyntaxError, ArithmeticError, TypeError, RecursionError) as e:
-                rows.append({"result": None, "error_type": "ToolArgumentError", "error": str(e) or type(e).__name__})
-        return pa.array(rows, pa.struct([("result", pa.string()), ("error_type", pa.string()), ("error", pa.string())]))
-
-    return tool(*columns)
-
-
-def calculator(expression: Column) -> Column:
-    return _python_tool(lambda e: {"expression": e, "result": evaluate(e)}, expression)
+@rule
+def calculator(x, expression):
+    return x.by_python(lambda e: {"expression": e, "result": evaluate(e)}, expression)
 
 
 def _rounded_to(value: float, decimals: float) -> dict:
@@ -134,108 +71,167 @@ def _rounded_to(value: float, decimals: float) -> dict:
     return {"value": value, "decimals": int(decimals), "rounded": round(value, int(decimals))}
 
 
-def round_number(value: Column, decimals: Column) -> Column:
-    return _python_tool(_rounded_to, value, decimals)
+@rule
+def round_number(x, value, decimals):
+    return x.by_python(_rounded_to, value, decimals)
 
 
-def _random_between(low, high) -> dict:
-    if low >= high:
-        raise ValueError("min must be below max")
-    digest = int(hashlib.md5(f"{low}|{high}".encode(), usedforsecurity=False).hexdigest(), 16)
-    share = digest % T.RANDOM_STEPS / T.RANDOM_STEPS
-    whole = isinstance(low, int) and isinstance(high, int)
-    value = int(low + share * (high - low + 1)) if whole else low + share * (high - low)
-    return {"min": low, "max": high, "value": low if whole and value > high else value}
+@rule
+def get_weather(x, city):
+    degrees, sky = (x.lookup({k: v[i] for k, v in T.WEATHER.items()}, x.key(city)) for i in (0, 1))
+    return x.answer(lambda: {"city": city, "temperature_f": degrees, "condition": sky}, (lambda: x.missing(degrees), EXECUTION, "no weather for ", city))
+
+
+def _looked_up(name: str, table: dict, argument: str, field: str) -> Callable:
+    def tool(x, value):
+        found = x.lookup(table, x.key(value))
+        return x.answer(lambda: {argument: value, field: found}, (lambda: x.missing(found), EXECUTION, f"unknown {argument} ", value))
+
+    tool.__name__ = name
+    return rule(tool)
+
+
+get_current_time = _looked_up("get_current_time", T.TIMES, "timezone", "current_time")
+get_population = _looked_up("get_population", T.POPULATION_MILLIONS, "country", "population_millions")
+get_capital = _looked_up("get_capital", T.CAPITALS, "country", "capital")
+get_elevation = _looked_up("get_elevation", T.ELEVATIONS_M, "place", "elevation_m")
 
 
-def generate_random_number(low: Column, high: Column) -> Column:
-    """Whole numbers if both columns are integers."""
-    return _python_tool(_random_between, low, high)
+@rule
+def search_knowledge_base(x, query):
+    text = x.key(query)
+    found = x.entries(T.KNOWLEDGE, text)
+    return x.answer(lambda: {"query": query, "matches": found}, (lambda: text == "", ARGUMENT, "empty query"), (lambda: x.size(found) == 0, EXECUTION, "nothing about ", query))
 
 
-def _to_celsius(value: Column, unit: Column) -> Column:
-    return F.when(unit == "f", (value - 32) * 5 / 9).when(unit == "k", value + T.ABSOLUTE_ZERO_C).otherwise(value)
+def _converted(x, value, from_unit, to_unit, out):
+    return {"value": value, "from_unit": from_unit, "to_unit": to_unit, "converted_value": x.round(out, 2)}
 
 
-def convert_temperature(value: Column, from_unit: Column, to_unit: Column) -> Column:
-    value = value.cast("double")
-    source, target = (_looked_up(T.TEMPERATURE_UNITS, _key(u)) for u in (from_unit, to_unit))
-    celsius = _to_celsius(value, source)
-    converted = F.when(target == "f", celsius * 9 / 5 + 32).when(target == "k", celsius - T.ABSOLUTE_ZERO_C).otherwise(celsius)
-    result = F.struct(value.alias("value"), from_unit.alias("from_unit"), to_unit.alias("to_unit"), py_round(converted, 2).alias("converted_value"))
-    return outcome(result, (source.isNull() | target.isNull(), "ToolArgumentError", "unknown temperature unit"), (celsius < T.ABSOLUTE_ZERO_C, "ToolArgumentError", "below absolute zero"))
+@rule
+def convert_temperature(x, value, from_unit, to_unit):
+    value, zero = x.number(value), T.ABSOLUTE_ZERO_C
+    source, target = (x.lookup(T.TEMPERATURE_UNITS, x.key(u)) for u in (from_unit, to_unit))
+    celsius = x.by(source, {"f": lambda: (value - 32) * 5 / 9, "k": lambda: value + zero, "c": lambda: value})
+    there = lambda: x.by(target, {"f": lambda: celsius * 9 / 5 + 32, "k": lambda: celsius - zero, "c": lambda: celsius})
+    known = lambda: x.either(x.missing(source), x.missing(target))
+    return x.answer(lambda: _converted(x, value, from_unit, to_unit, there()), (known, ARGUMENT, "unknown temperature unit"), (lambda: celsius < zero, ARGUMENT, "below absolute zero"))
 
 
-def compare_numbers(a: Column, b: Column) -> Column:
-    a, b = a.cast("double"), b.cast("double")
-    larger = F.when(a == b, "equal").when(a > b, "a").otherwise("b")
-    return outcome(F.struct(a.alias("a"), b.alias("b"), larger.alias("larger"), py_round(F.abs(a - b), 4).alias("difference")), (_not_finite(a, b), "ToolArgumentError", "numbers must be finite"))
+@rule
+def convert_length(x, value, from_unit, to_unit):
+    value = x.number(value)
+    source, target = (x.lookup(T.METRES, x.key(u)) for u in (from_unit, to_unit))
+    known = lambda: x.either(x.missing(source), x.missing(target))
+    return x.answer(lambda: _converted(x, value, from_unit, to_unit, value * source / target), (known, ARGUMENT, "unknown length unit"), (lambda: value < 0, ARGUMENT, "negative length"))
 
 
-def convert_length(value: Column, from_unit: Column, to_unit: Column) -> Column:
-    value = value.cast("double")
-    source, target = (_looked_up(T.METRES, _key(u)) for u in (from_unit, to_unit))
-    result = F.struct(value.alias("value"), from_unit.alias("from_unit"), to_unit.alias("to_unit"), py_round(value * source / target, 2).alias("converted_value"))
-    return outcome(result, (source.isNull() | target.isNull(), "ToolArgumentError", "unknown length unit"), (value < 0, "ToolArgumentError", "negative length"))
+@rule
+def compare_numbers(x, a, b):
+    a, b = x.number(a), x.number(b)
+    odd = (lambda: x.either(x.unusual(a), x.unusual(b)), ARGUMENT, "numbers must be finite")
+    return x.answer(lambda: {"a": a, "b": b, "larger": x.choose(a == b, "equal", x.choose(a > b, "a", "b")), "difference": x.round(x.magnitude(a - b), 4)}, odd)
 
 
-def average_numbers(a: Column, b: Column) -> Column:
-    a, b = a.cast("double"), b.cast("double")
-    return outcome(F.struct(a.alias("a"), b.alias("b"), py_round((a + b) / 2, 4).alias("average")), (_not_finite(a, b), "ToolArgumentError", "numbers must be finite"))
+@rule
+def average_numbers(x, a, b):
+    a, b = x.number(a), x.number(b)
+    odd = (lambda: x.either(x.unusual(a), x.unusual(b)), ARGUMENT, "numbers must be finite")
+    return x.answer(lambda: {"a": a, "b": b, "average": x.round((a + b) / 2, 4)}, odd)
 
 
-def calculate_distance(origin: Column, destination: Column) -> Column:
+@rule
+def calculate_distance(x, origin, destination):
     least, values = T.DISTANCE_KM
-    pair = F.array_join(F.array_sort(F.array(_key(origin), _key(destination))), "|")
-    result = F.struct(origin.alias("origin"), destination.alias("destination"), (md5_mod(pair, values) + least).alias("distance_km"))
-    return outcome(result, ((_key(origin) == "") | (_key(destination) == ""), "ToolArgumentError", "places must not be empty"))
+    ends = [x.key(origin), x.key(destination)]
+    km = lambda: x.md5_mod(x.joined("|", *ends), values) + least
+    return x.answer(lambda: {"origin": origin, "destination": destination, "distance_km": km()}, (lambda: x.either(ends[0] == "", ends[1] == ""), ARGUMENT, "places must not be empty"))
 
 
-def _per_usd(currency: Column) -> Column:
+def _per_usd(x, currency):
     least, values, unit = T.FALLBACK_RATE
-    name = F.coalesce(_looked_up(T.CURRENCY_NAMES, _key(currency)), _key(currency))
-    return F.coalesce(_looked_up(T.PER_USD, name), md5_mod(name, values) / unit + least)
+    name = x.first(x.lookup(T.CURRENCY_NAMES, x.key(currency)), lambda: x.key(currency))
+    return x.first(x.lookup(T.PER_USD, name), lambda: x.md5_mod(name, values) / unit + least)
 
 
-def convert_currency(amount: Column, from_currency: Column, to_currency: Column) -> Column:
-    amount = amount.cast("double")
-    converted = amount * (_per_usd(to_currency) / _per_usd(from_currency))
-    result = F.struct(amount.alias("amount"), from_currency.alias("from_currency"), to_currency.alias("to_currency"), py_round(converted, 2).alias("converted_amount"))
-    return outcome(result, (amount < 0, "ToolArgumentError", "negative amount"), ((_key(from_currency) == "") | (_key(to_currency) == ""), "ToolArgumentError", "currencies must not be empty"))
+@rule
+def convert_currency(x, amount, from_currency, to_currency):
+    amount = x.number(amount)
+    out = lambda: x.round(amount * (_per_usd(x, to_currency) / _per_usd(x, from_currency)), 2)
+    empty = lambda: x.either(x.key(from_currency) == "", x.key(to_currency) == "")
+    result = lambda: {"amount": amount, "from_currency": from_currency, "to_currency": to_currency, "converted_amount": out()}
+    return x.answer(result, (lambda: amount < 0, ARGUMENT, "negative amount"), (empty, ARGUMENT, "currencies must not be empty"))
 
 
-def get_stock_price(symbol: Column) -> Column:
+@rule
+def get_stock_price(x, symbol):
     least, values, unit = T.FALLBACK_PRICE
-    key = _key(symbol)
-    price = F.coalesce(_looked_up(T.STOCK_PRICES, key), py_round(md5_mod(key, values) / unit + least, 2))
-    return outcome(F.struct(symbol.alias("symbol"), price.alias("price")), (~key.rlike(r"^\p{L}+$"), "ToolArgumentError", "not a ticker"))
+    key = x.key(symbol)
+    price = lambda: x.first(x.lookup(T.STOCK_PRICES, key), lambda: x.round(x.md5_mod(key, values) / unit + least, 2))
+    return x.answer(lambda: {"symbol": symbol, "price": price()}, (lambda: x.matches(key, r"^$|[^\p{L}]"), ARGUMENT, "not a ticker"))
 
 
-def calculate_discount(price: Column, percentage: Column) -> Column:
-    price, percentage = price.cast("double"), percentage.cast("double")
-    result = F.struct(price.alias("original_price"), percentage.alias("discount_percentage"), py_round(price * (1 - percentage / 100), 2).alias("discounted_price"))
-    return outcome(result, (price < 0, "ToolArgumentError", "negative price"), (~percentage.between(0, 100), "ToolArgumentError", "percentage outside 0 to 100"))
+@rule
+def calculate_discount(x, original_price, discount_percentage):
+    price, percent = x.number(original_price), x.number(discount_percentage)
+    result = lambda: {"original_price": price, "discount_percentage": percent, "discounted_price": x.round(price * (1 - percent / 100), 2)}
+    return x.answer(result, (lambda: price < 0, ARGUMENT, "negative price"), (lambda: x.either(percent < 0, percent > 100), ARGUMENT, "percentage outside 0 to 100"))
+
+
+@rule
+def calculate_bmi(x, height, weight):
+    height, weight = x.number(height), x.number(weight)
+    result = lambda: {"height": height, "weight": weight, "bmi": x.round(x.ratio(weight, height * height), 1)}
+    return x.answer(result, (lambda: x.either(height <= 0, weight <= 0), ARGUMENT, "height and weight must be positive"))
+
+
+@rule
+def calculate_tip(x, bill_amount, tip_percentage):
+    bill, percent = x.number(bill_amount), x.number(tip_percentage)
+    tip = x.round(bill * percent / 100, 2)
+    result = lambda: {"bill_amount": bill, "tip_percentage": percent, "tip_amount": tip, "total_amount": x.round(bill + tip, 2)}
+    return x.answer(result, (lambda: x.either(bill < 0, percent < 0), ARGUMENT, "negative bill or percentage"))
+
+
+@rule
+def calculate_age(x, birthdate):
+    born = x.date(x.stripped(birthdate))
+    today = T.TODAY.month * 100 + T.TODAY.day
+    result = lambda: {"birthdate": birthdate, "age_years": T.TODAY.year - x.year(born) - x.whole(x.day_of(born) > today)}
+    return x.answer(result, (lambda: x.missing(born), ARGUMENT, "not a date"), (lambda: born > T.TODAY, ARGUMENT, "after the reference date"))
+
+
+def _draw(low, high) -> dict:
+    """A number fixed by the two ends: the MD5 of both as text, as a share of the range."""
+    if not low < high:
+        raise ValueError("min must be below max")
+    share = Plain().md5_mod(f"{low}|{high}", T.RANDOM_STEPS) / T.RANDOM_STEPS
+    if type(low) is int and type(high) is int:
+        drawn = math.trunc(share * (high - low + 1) + low)
+        return {"min": low, "max": high, "value": drawn if drawn <= high else low}
+    return {"min": low, "max": high, "value": low + (high - low) * share}
 
 
-def calculate_bmi(height: Column, weight: Column) -> Column:
-    height, weight = height.cast("double"), weight.cast("double")
-    result = F.struct(height.alias("height"), weight.alias("weight"), py_round(F.try_divide(weight, height * height), 1).alias("bmi"))
-    return outcome(result, ((height <= 0) | (weight <= 0), "ToolArgumentError", "height and weight must be positive"))
+@rule
+def generate_random_number(x, low, high):
+    """Whole numbers if both ends are integers; Python, as its text of a number is hashed."""
+    return x.by_python(_draw, low, high)
 
 
-def calculate_tip(bill: Column, percentage: Column) -> Column:
-    bill, percentage = bill.cast("double"), percentage.cast("double")
-    tip = py_round(bill * percentage / 100, 2)
-    result = F.struct(bill.alias("bill_amount"), percentage.alias("tip_percentage"), tip.alias("tip_amount"), py_round(bill + tip, 2).alias("total_amount"))
-    return outcome(result, ((bill < 0) | (percentage < 0), "ToolArgumentError", "negative bill or percentage"))
+def call_plain(name: str, arguments: dict) -> dict:
+    """The result, or a ToolFailure; whatever else goes wrong in a tool is an argument error."""
+    try:
+        given = [arguments[n] for n in SIGNATURES[name]]
+        if len(given) != len(arguments):
+            raise ToolFailure(ARGUMENT, "arguments do not fit")
+        return RULES[name](Plain(), *given)
+    except ToolFailure:
+        raise
+    except Exception as e:
+        raise ToolFailure(ARGUMENT, f"{type(e).__name__}: {e}") from None
 
 
-def calculate_age(birthdate: Column) -> Column:
-    text = F.regexp_replace(birthdate, r"(?U)^\s+|\s+$", "")
-    born = F.when(text.rlike(r"^\d+-\d+-\d+$"), F.try_to_date(text, "y-M-d"))
-    before = F.month(born) * 100 + F.day(born) > T.TODAY.month * 100 + T.TODAY.day
-    age = F.lit(T.TODAY.year) - F.year(born) - before.cast("int")
-    return outcome(F.struct(birthdate.alias("birthdate"), age.alias("age_years")), (born.isNull(), "ToolArgumentError", "not a date"), (born > F.lit(T.TODAY), "ToolArgumentError", "after the reference date"))
+SIGNATURES: dict[str, tuple[str, ...]] = {**T.EXTENDED_TOOLS, **T.CORPUS_TOOLS}
 
 
 class Registry:
@@ -287,14 +283,39 @@ def _argument(tool: str, name: str, text: Column) -> Column:
     return text.try_cast("double") if name in _NUMBERS else text
 
 
-_TOOLS = {**{n: globals()[n] for n in (*T.EXTENDED_TOOLS, *T.CORPUS_TOOLS)}}
-_DESCRIPTIONS = {n: n.replace("_", " ").capitalize() + "." for n in _TOOLS}
+DESCRIPTIONS = {
+    "get_weather": "Temperature in Fahrenheit and sky of a city.",
+    "calculator": "Value of an arithmetic expression.",
+    "search_knowledge_base": "Entries of the knowledge base that hold a text.",
+    "get_current_time": "Time in a time zone.",
+    "convert_temperature": "A temperature in another unit: Fahrenheit, Celsius or Kelvin.",
+    "compare_numbers": "The larger of two numbers and how far they are apart.",
+    "get_population": "Population of a country in millions.",
+    "get_capital": "Capital of a country.",
+    "get_elevation": "Height of a mountain in metres.",
+    "convert_length": "A length in another unit: m, km, ft or mi.",
+    "average_numbers": "Mean of two numbers.",
+    "round_number": "A number rounded to some decimals.",
+    "calculate_distance": "Distance of two places in kilometres.",
+    "convert_currency": "An amount of money in another currency.",
+    "get_stock_price": "Price of a stock by its ticker.",
+    "calculate_discount": "Price after a discount in percent.",
+    "calculate_bmi": "Body mass index of a height in metres and a weight in kilograms.",
+    "calculate_tip": "Tip and total of a bill.",
+    "calculate_age": "Age in years of someone born on a date (YYYY-MM-DD).",
+    "generate_random_number": "A number between two others.",
+}
+
+
+def schema_of(arguments: tuple[str, ...]) -> dict:
+    """The JSON schema of a tool's arguments."""
+    return {"type": "object", "properties": {n: {"type": "number" if n in _NUMBERS else "string"} for n in arguments}, "required": list(arguments)}
 
 
 def _registry(names: dict[str, tuple[str, ...]]) -> Registry:
     out = Registry()
     for n, arguments in names.items():
-        out.register(n, arguments, _TOOLS[n], _DESCRIPTIONS[n])
+        out.register(n, arguments, partial(RULES[n], Columns()), DESCRIPTIONS[n])
     return out
 
 

@@ -1,8 +1,10 @@
 """Similarity of layer representations: linear CKA and RSA distance.
 
-Activations are rows (layer, stream, sample_id, vec).  Two forms: relational
+Activations are rows (layer, stream, sample_id, vec).  Three forms: relational
 (Gram cells by an equi-join on sample pairs within a layer, double centring by
-aggregates) and, for wide groups, one Arrow call per (layer, stream).
+aggregates) for the cells themselves; sums of products of dimensions, which form
+no pair of rows, for the metrics of whole layers; and the same sums in one Arrow
+call per pair of aligned layers for probe sets.
 """
 
 from __future__ import annotations
@@ -66,25 +68,20 @@ def rsa_distance(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, F.when(below < EPSILON, 0.0).otherwise(1 - F.try_divide("st", below)).alias("cosine_distance"))
 
 
+def _sides(x: np.ndarray, y: np.ndarray, least: int) -> tuple[float, float]:
+    if len(x) != len(y) or len(x) < least:
+        raise ValueError(f"{least} or more samples, as many on both sides, are needed")
+    return _of_moments(_moments(x, y), x.shape[1], y.shape[1])
+
+
 def cka(x: np.ndarray, y: np.ndarray) -> float:
-    """Linear CKA of two matrices with a row per sample."""
-    if len(x) != len(y):
-        raise ValueError("numbers of samples differ")
-    center = lambda k: k - k.mean(0) - k.mean(1)[:, None] + k.mean()
-    kx, ky = center(x @ x.T), center(y @ y.T)
-    below = float(np.sqrt((kx * kx).sum() * (ky * ky).sum()))
-    return 0.0 if below < EPSILON else float((kx * ky).sum() / below)
+    """Linear CKA of two matrices with a row per sample, by sums of products of dimensions."""
+    return _sides(x, y, 1)[0]
 
 
 def rsa(x: np.ndarray, y: np.ndarray) -> float:
-    if len(x) != len(y) or len(x) < 2:
-        raise ValueError("two or more samples, as many on both sides, are needed")
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
-    upper = np.triu_indices(len(x), 1)
-    s, t = (unit(m) @ unit(m).T for m in (x, y))
-    s, t = s[upper], t[upper]
-    below = float(np.linalg.norm(s) * np.linalg.norm(t))
-    return 0.0 if below < EPSILON else float(1 - s @ t / below)
+    """1 - cosine of the pairwise cosine similarities, by the same sums: linear in the samples."""
+    return _sides(x, y, 2)[1]
 
 
 def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:

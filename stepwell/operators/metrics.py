@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
@@ -140,6 +140,9 @@ def loss_log_summary(log: DataFrame, *keys: str, order: str = "step") -> DataFra
 
 
 def generation_stats(outputs: DataFrame, *keys: str) -> DataFrame:
-    """Least, upper-middle and largest number of tokens, and sums."""
-    sorted_n = F.array_sort(F.collect_list("n_tokens"))
-    return outputs.groupBy(*keys).agg(F.min("n_tokens").alias("least"), F.get(sorted_n, F.floor(F.size(sorted_n) / 2).cast("int")).alias("median"), F.max("n_tokens").alias("most"), F.sum("n_tokens").alias("total"))
+    """Least, upper-middle and largest number of tokens, and sums, from counts per value: no group gathers its rows."""
+    own = Window.partitionBy(*keys)
+    each = outputs.groupBy(*keys, "n_tokens").agg(F.count("*").alias("n"))
+    upto = each.withColumns({"upto": F.sum("n").over(own.orderBy("n_tokens")), "size": F.sum("n").over(own)})
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("size") / 2), F.col("n_tokens")))
+    return upto.groupBy(*keys).agg(F.min("n_tokens").alias("least"), middle.alias("median"), F.max("n_tokens").alias("most"), F.sum(F.col("n_tokens") * F.col("n")).alias("total"))

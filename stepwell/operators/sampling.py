@@ -67,9 +67,13 @@ def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def top_n(counts: DataFrame, key: str, n: int, count: str = "n") -> DataFrame:
-    """The n largest counts, ties by key."""
-    return counts.orderBy(F.desc(count), key).limit(n)
+def top_n(counts: DataFrame, key: str, n: int, known: DataFrame, count: str = "n") -> DataFrame:
+    """The n of the ``known`` keys with the largest counts (0 where there is none), ties by key; more than there are is an error."""
+    every = known.select(key).distinct()
+    if n > every.count():
+        raise ValueError(f"{n} of fewer keys are wanted")
+    zero = F.coalesce(count, F.lit(0)).alias(count)
+    return every.join(counts.select(key, count), key, "left").select(key, zero).orderBy(F.desc(count), key).limit(n)
 
 
 def most_common(df: DataFrame, key: str, first_seen: str, n: int = 40) -> DataFrame:

@@ -74,6 +74,7 @@ def raw_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.pmod("event_id", F.lit(10))
     call = F.concat(F.lit('<functioncall> {"name": "'), "event_type", F.lit('", "arguments": \''), "props", F.lit("'} <|endoftext|>"))
+    noted = F.concat(F.lit('<functioncall> {"name": "'), "event_type", F.lit('", "note": "a <functioncall> comes", "arguments": \''), "props", F.lit("'} <|endoftext|>"))
     goal = F.concat(F.lit("USER: please log "), "event_type", F.lit("\n\n\nASSISTANT: "))
     chat = (
         F.when(k == 0, F.concat(goal, F.lit("no call today")))
@@ -82,6 +83,7 @@ def raw_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, F.concat(F.lit("ASSISTANT: "), call))
         .when(k == 4, F.concat(F.lit("USER:  \nASSISTANT: "), call))
         .when(k == 5, F.concat(goal, F.lit('<functioncall> {"name": "'), "event_type", F.lit('", "arguments": {"other": 1}}')))
+        .when(k == 6, F.concat(goal, noted))  # a tag inside a block is part of its text
         .otherwise(F.concat(goal, call))
     )
     return e.select(F.col("event_id").alias("source_index"), chat.alias("chat"))
@@ -99,8 +101,8 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activations(spark: SparkSession, sf_dir: str, start: int, width: int) -> DataFrame:
-    """Embeddings as activations: layer = label, a side takes some of the dimensions; 30 probes a layer."""
+    """Embeddings as activations: layer = label, a side takes some of the dimensions; samples by their place in the layer."""
     e = table(spark, sf_dir, "embeddings")
     vec = F.transform(F.slice("embedding", start, width), lambda v: v.cast("double"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return e.select(F.col("label").cast("int").alias("layer"), F.lit("ffn").alias("stream"), F.col("vec_id").alias("sample_id"), vec.alias("vec"), nth.alias("nth")).where("nth <= 30").drop("nth")
+    return e.select(F.col("label").cast("int").alias("layer"), F.lit("ffn").alias("stream"), nth.alias("sample_id"), vec.alias("vec"))

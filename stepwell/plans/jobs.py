@@ -6,6 +6,7 @@ import copy
 import json
 import time
 from collections.abc import Callable
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,19 +65,17 @@ def result_path(root: str, kind: str, **keys) -> str:
     return "/".join([root.rstrip("/"), kind, *(f"{k}={v}" for k, v in keys.items() if v is not None)])
 
 
-def run_jobs(jobs: list[dict], run: Callable[[dict], None], done: Callable[[dict], bool], budget_s: float | None = None, clock: Callable[[], float] = time.monotonic) -> dict[str, list[dict]]:
-    """Runs jobs in order; skips finished ones, defers those past the time budget, lets a failure through."""
-    out: dict[str, list[dict]] = {"ran": [], "skipped": [], "deferred": []}
-    began = clock()
-    for job in jobs:
-        if done(job):
-            out["skipped"].append(job)
-        elif budget_s is not None and clock() - began >= budget_s:
-            out["deferred"].append(job)
-        else:
-            run(job)
-            out["ran"].append(job)
-    return out
+def run_jobs(jobs: DataFrame, finished: DataFrame, keys: list[str], run: Callable[[dict], None], budget_s: float = float("inf"), clock: Callable[[], float] = time.monotonic) -> dict[str, list[dict]]:
+    """Does the pending jobs in the order of their keys while the time budget lasts; a failure is let through.
+
+    A job list is a dimension of some hundred rows.  Returns what was ran, skipped
+    (it had a result) and deferred (the budget was used up).
+    """
+    rows = lambda df: [r.asDict() for r in df.orderBy(*keys).collect()]
+    todo, end = rows(pending(jobs, finished, keys)), clock() + budget_s
+    started = takewhile(lambda job: clock() < end, todo)
+    ran = [job for job in started if run(job) is None or job]
+    return {"ran": ran, "skipped": rows(jobs.join(finished.select(*keys), keys, "left_semi")), "deferred": todo[len(ran) :]}
 
 
 def set_path(config: dict, path: str, value) -> dict:

@@ -133,10 +133,11 @@ def kept_per_tool_zero_filled(spark, sf_dir):
     return prepare.kept_per_tool(_classified(spark, sf_dir)[1].where("reason = 'ok'"), event_tools(spark))
 
 
-@query(f"with {_CHATS_SQL} select event_type as tool, count(*)::bigint as n from r where reason = 'ok' group by 1 order by n desc, tool limit 2")
+@query(f"with {_CHATS_SQL} select t.tool, count(r.source_index)::bigint as n from (values ('click'), ('view'), ('purchase'), ('never_called')) t(tool) left join r on r.event_type = t.tool and reason = 'ok' group by 1 order by n desc, tool limit 4")
 def top_n_tools(spark, sf_dir):
+    """Four of the four curated tools: the one that is never called counts 0."""
     kept = _classified(spark, sf_dir)[1].where("reason = 'ok'")
-    return sampling.top_n(kept.groupBy("tool").agg(F.count("*").alias("n")), "tool", 2)
+    return sampling.top_n(kept.groupBy("tool").agg(F.count("*").alias("n")), "tool", 4, event_tools(spark).select("tool"))
 
 
 _SPLIT_SQL = f"""with {_CHATS_SQL}, k as (select source_index, event_type as tool, row_number() over (partition by event_type order by md5('42|' || source_index), source_index) as rn, count(*) over (partition by event_type) as n from r where reason = 'ok'),
@@ -153,7 +154,7 @@ def stratified_split(spark, sf_dir):
     return _split(spark, sf_dir).select("source_index", "tool", "split")
 
 
-@query("select 0::bigint as n_shared")
+@query(_SPLIT_SQL + " select (count(*) - count(distinct 'corpus-' || source_index))::bigint as n_shared from s")
 def split_disjoint(spark, sf_dir):
     s = _split(spark, sf_dir).select("task_id", "split")
     train, test = (s.where(F.col("split") == x).select("task_id") for x in ("train", "test"))
@@ -228,10 +229,12 @@ def paired_disagreement(spark, sf_dir):
     return p.agg(F.count("*").alias("n_compared"), F.sum((F.col("quality") != F.col("toxic")).cast("long")).alias("differing"))
 
 
-@query(f"with {STEPS_SQL.strip()}, b as (select * from tasks where task_key % 3 <> 0) select count(*)::bigint as n_compared, count(*)::bigint as same_success, count(*)::bigint as same_tools from b")
+@query(f"with {STEPS_SQL.strip()}, b as (select * from tasks where task_key % 3 <> 0) select count(*)::bigint as n_compared, (count(*) filter (where task_key % 5 <> 0))::bigint as same_success, (count(*) filter (where task_key % 7 <> 0 or n_steps = 1))::bigint as same_tools from b")
 def rerun_agreement(spark, sf_dir):
     rows = result_rows(spark, sf_dir)
-    recorded = rows.where("task_key % 3 <> 0").withColumn("ord", F.lit(1)).unionByName(rows.where("task_key % 3 = 1").withColumn("success", ~F.col("success")).withColumn("ord", F.lit(0)))
+    changed = rows.where("task_key % 3 <> 0").withColumn("success", F.when(F.pmod("task_key", F.lit(5)) == 0, ~F.col("success")).otherwise(F.col("success")))
+    changed = changed.withColumn("steps", F.when(F.pmod("task_key", F.lit(7)) == 0, F.slice("steps", 1, 1)).otherwise(F.col("steps")))
+    recorded = changed.withColumn("ord", F.lit(1)).unionByName(rows.where("task_key % 3 = 1").withColumn("success", ~F.col("success")).withColumn("ord", F.lit(0)))
     return checker.agreement(rows, recorded)
 
 
@@ -289,28 +292,22 @@ def wilson_ci(spark, sf_dir):
     return counted.select("source", "n", F.col("k").cast("long").alias("k"), F.round(w["center"], 9).alias("center"), F.round(w["half"], 9).alias("half"))
 
 
-@query("""with p as (select lang, quality, 1 - toxic as clean from labels join documents using (doc_id) where doc_id % 7 = 0),
+@query("""with p as (select lang, quality, 1 - toxic as clean from labels join documents using (doc_id)),
     c as (select lang, count(*) as n, count(*) filter (where quality = 1 and clean = 0) as only_a, count(*) filter (where quality = 0 and clean = 1) as only_b, avg(quality) - avg(clean) as difference from p group by 1)
     select lang, n::bigint as n, only_a::bigint as only_a, only_b::bigint as only_b, round(difference, 9) as difference,
     round(case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))) from range(least(only_a, only_b) + 1) t(i))) end, 9) as p from c""")
 def mcnemar_exact(spark, sf_dir):
-    p = paired(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("doc_id % 7 = 0").withColumn("clean", 1 - F.col("toxic"))
-    return _rounded(stats.contrast(p, "quality", "clean", "lang"), "difference", "p")
-
-
-@query(ORACLES["mcnemar_exact"].replace(" where doc_id % 7 = 0", ""))
-def mcnemar_all_rows(spark, sf_dir):
     p = paired(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("clean", 1 - F.col("toxic"))
     return _rounded(stats.contrast(p, "quality", "clean", "lang"), "difference", "p")
 
 
 @query("""with p as (select coalesce(source, '') || '-' || coalesce(lang, '') as template, quality::double as a, (1 - toxic)::double as b from labels join documents using (doc_id)),
     c as (select template, sum(a) as a, sum(b) as b, count(*) as n, row_number() over (order by template) - 1 as i from p group by 1), z as (select count(*) as size from c),
-    d as (select draw, ('0x' || substr(md5('11|' || draw || '|' || slot), 1, 8))::bigint % size as i from range(500) t(draw), z, range(size) s(slot))
+    d as (select draw, ('0x' || substr(md5('11|' || draw || '|' || slot), 1, 8))::bigint % size as i from range(10000) t(draw), z, range(size) s(slot))
     select draw::bigint as draw, round(sum(a) / sum(n) - sum(b) / sum(n), 9) as difference from d join c using (i) group by 1""")
 def template_bootstrap(spark, sf_dir):
     p = paired(spark, sf_dir).withColumn("clean", 1 - F.col("toxic"))
-    return _rounded(stats.template_bootstrap(p, "quality", "clean", "template", 500, 11), "difference")
+    return _rounded(stats.template_bootstrap(p, "quality", "clean", "template", 10_000, 11), "difference")
 
 
 @query()
@@ -323,12 +320,12 @@ def bootstrap_interval(spark, sf_dir):
 @query("""with r as (select (doc_id % 5)::int as seed, coalesce(source, '') || '-' || coalesce(lang, '') as template, quality - (1 - toxic) as d from labels join documents using (doc_id)),
     cells as (select seed, template, avg(d::double) as d from r group by 1, 2),
     si as (select seed, row_number() over (order by seed) - 1 as i from (select distinct seed from cells)), ti as (select template, row_number() over (order by template) - 1 as i from (select distinct template from cells)),
-    sd as (select draw, seed, count(*) as n_seed from (select draw, ('0x' || substr(md5('5|seed|' || draw || '|' || slot), 1, 8))::bigint % (select count(*) from si) as i from range(200) t(draw), range((select count(*) from si)) s(slot)) join si using (i) group by 1, 2),
-    td as (select draw, template, count(*) as n_template from (select draw, ('0x' || substr(md5('5|template|' || draw || '|' || slot), 1, 8))::bigint % (select count(*) from ti) as i from range(200) t(draw), range((select count(*) from ti)) s(slot)) join ti using (i) group by 1, 2)
+    sd as (select draw, seed, count(*) as n_seed from (select draw, ('0x' || substr(md5('5|seed|' || draw || '|' || slot), 1, 8))::bigint % (select count(*) from si) as i from range(6000) t(draw), range((select count(*) from si)) s(slot)) join si using (i) group by 1, 2),
+    td as (select draw, template, count(*) as n_template from (select draw, ('0x' || substr(md5('5|template|' || draw || '|' || slot), 1, 8))::bigint % (select count(*) from ti) as i from range(6000) t(draw), range((select count(*) from ti)) s(slot)) join ti using (i) group by 1, 2)
     select draw::bigint as draw, round(sum(d * n_seed * n_template) / sum(n_seed * n_template), 9) as difference from sd join cells using (seed) join td using (draw, template) group by 1""")
 def crossed_bootstrap(spark, sf_dir):
     rows = paired(spark, sf_dir).select(F.pmod("doc_id", F.lit(5)).cast("int").alias("seed"), "template", (F.col("quality") - (1 - F.col("toxic"))).alias("d"))
-    return _rounded(stats.crossed_bootstrap(rows, "d", "seed", "template", 200, 5), "difference")
+    return _rounded(stats.crossed_bootstrap(rows, "d", "seed", "template", 6000, 5), "difference")
 
 
 @query("with s as (select event_type, (user_id % 5)::bigint as seed, avg(value) as m from events group by 1, 2) select event_type, round(avg(m), 6) as mean, round(stddev_samp(m), 6) as sd, count(*)::bigint as n_seeds from s group by 1")
@@ -354,40 +351,49 @@ def generation_stats(spark, sf_dir):
 
 # Representations and losses.
 
-_GRAM_SQL = """v as (select label as layer, vec_id, embedding::double[] as e, row_number() over (partition by label order by vec_id) as nth from embeddings), p as (select * from v where nth <= 30),
-g as (select a.layer, a.vec_id as i, b.vec_id as j, list_inner_product(a.e[1:32], b.e[1:32]) as x, list_inner_product(a.e[33:64], b.e[33:64]) as y from p a join p b using (layer)),
-k as (select layer, i, j, x - avg(x) over (partition by layer, i) - avg(x) over (partition by layer, j) + avg(x) over (partition by layer) as kx, y - avg(y) over (partition by layer, i) - avg(y) over (partition by layer, j) + avg(y) over (partition by layer) as ky from g)"""
+#: Both metrics of the rows p (groups {k}, i, x, y) from all pairs of a group.
+_PAIRS_SQL = """g as (select {k}, a.i, b.i as j, list_inner_product(a.x, b.x) as x, list_inner_product(a.y, b.y) as y, list_cosine_similarity(a.x, b.x) as s, list_cosine_similarity(a.y, b.y) as t from p a join p b using ({k})),
+k as (select {k}, i, j, s, t, x - avg(x) over (partition by {k}, i) - avg(x) over (partition by {k}, j) + avg(x) over (partition by {k}) as kx, y - avg(y) over (partition by {k}, i) - avg(y) over (partition by {k}, j) + avg(y) over (partition by {k}) as ky from g),
+m as (select {k}, round(sum(kx * ky) / sqrt(sum(kx * kx) * sum(ky * ky)), 6) as cka, round(1 - sum(s * t) filter (where i < j) / (sqrt(sum(s * s) filter (where i < j)) * sqrt(sum(t * t) filter (where i < j))), 6) as cosine_distance from k group by {k})"""
+_LAYERS_SQL = "p as (select label as layer, vec_id as i, (embedding::double[])[1:32] as x, (embedding::double[])[33:64] as y from embeddings), " + _PAIRS_SQL.format(k="layer")
 
 
-@query(f"with {_GRAM_SQL} select layer::int as layer, round(sum(kx * ky) / sqrt(sum(kx * kx) * sum(ky * ky)), 6) as cka from k group by 1")
+def _layer_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda start: F.transform(F.slice("embedding", start, 32), lambda v: v.cast("double"))
+    pairs = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("layer"), side(1).alias("x"), side(33).alias("y"))
+    return _rounded(layers.similarity_of_all(pairs, 32, 32), "cka", "cosine_distance", digits=6)
+
+
+@query(f"with {_LAYERS_SQL} select layer::int as layer, cka from m")
 def cka_by_layer(spark, sf_dir):
-    x, y = activations(spark, sf_dir, 1, 32), activations(spark, sf_dir, 33, 32)
-    return _rounded(layers.cka_from_grams(layers.centered_gram(x, "layer"), layers.centered_gram(y, "layer"), "layer"), "cka", digits=6)
+    return _layer_sides(spark, sf_dir).select("layer", "cka")
 
 
-@query("""with v as (select label as layer, vec_id, embedding::double[] as e, row_number() over (partition by label order by vec_id) as nth from embeddings), p as (select * from v where nth <= 30),
-    c as (select a.layer, list_cosine_similarity(a.e[1:32], b.e[1:32]) as s, list_cosine_similarity(a.e[33:64], b.e[33:64]) as t from p a join p b on a.layer = b.layer and a.vec_id < b.vec_id)
-    select layer::int as layer, round(1 - sum(s * t) / (sqrt(sum(s * s)) * sqrt(sum(t * t))), 6) as cosine_distance from c group by 1""")
+@query(f"with {_LAYERS_SQL} select layer::int as layer, cosine_distance from m")
 def rsa_by_layer(spark, sf_dir):
-    x, y = activations(spark, sf_dir, 1, 32), activations(spark, sf_dir, 33, 32)
-    return _rounded(layers.rsa_distance(x, y, "layer"), "cosine_distance", digits=6)
+    return _layer_sides(spark, sf_dir).select("layer", "cosine_distance")
 
 
-@query()
+@query(f"with {_LAYERS_SQL} select layer::int as layer, cka, cosine_distance from m")
 def similarity_all_rows(spark, sf_dir):
-    side = lambda start: F.transform(F.slice("embedding", start, 32), lambda v: v.cast("double"))
-    pairs = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("layer"), side(1).alias("x"), side(33).alias("y"))
-    return _rounded(layers.similarity_of_all(pairs, 32, 32), "cka", "cosine_distance", digits=6)
+    return _layer_sides(spark, sf_dir)
 
 
-@query(f"""with {_GRAM_SQL}, a as (select i as source_layer, least(round_even(i * 8 / 10.0, 0), 7)::int as target_layer from range(10) t(i))
-    select source_layer::int as source_layer, target_layer, 'ffn' as stream from a""")
-def aligned_layers_compared(spark, sf_dir):
+@query(f"with {_LAYERS_SQL} select layer::int as layer, round(sum(kx * kx), 3) as norm from k group by 1")
+def centered_gram_norm(spark, sf_dir):
+    """The cells of the centred Gram matrices themselves, whose number is the square of a layer's probes."""
     x = activations(spark, sf_dir, 1, 32)
-    y = activations(spark, sf_dir, 33, 32).where("layer < 8")
-    shared = x.withColumn("sample_id", F.row_number().over(Window.partitionBy("layer").orderBy("sample_id")))
-    probes = y.withColumn("sample_id", F.row_number().over(Window.partitionBy("layer").orderBy("sample_id")))
-    return layers.compare_layers(shared, probes, layers.align_layers(spark, 10, 8)).select("source_layer", "target_layer", "stream")
+    return _rounded(layers.centered_gram(x, "layer").groupBy("layer").agg(F.sum(F.col("k") * F.col("k")).alias("norm")), "norm", digits=3)
+
+
+@query("""with v as (select label, embedding::double[] as e, row_number() over (partition by label order by vec_id) as i from embeddings),
+    a as (select i as source_layer, least(round_even(i * 8 / 10.0, 0), 7)::int as target_layer from range(10) t(i)),
+    p as (select source_layer, target_layer, s.i, s.e[1:32] as x, t.e[33:64] as y from a join v s on s.label = source_layer join v t on t.label = target_layer and t.i = s.i), """ + _PAIRS_SQL.format(k="source_layer, target_layer") + """
+    select source_layer::int as source_layer, target_layer, 'ffn' as stream, cka, cosine_distance from m""")
+def aligned_layers_compared(spark, sf_dir):
+    """Ten source layers against the eight aligned ones, by sample."""
+    x, y = activations(spark, sf_dir, 1, 32), activations(spark, sf_dir, 33, 32).where("layer < 8")
+    return _rounded(layers.compare_layers(x, y, layers.align_layers(spark, 10, 8)), "cka", "cosine_distance", digits=6)
 
 
 @query("select i::int as source_layer, least(round_even(i * 40 / 36.0, 0), 39)::int as target_layer from range(36) t(i)")
@@ -446,11 +452,11 @@ def tool_calculate_age(spark, sf_dir):
     return o.select("o_orderkey", out.alias("o")).select("o_orderkey", F.get_json_object("o.result", "$.age_years").cast("int").alias("age_years"))
 
 
-@query("select p_partkey, case when p_size > 40 then 'ToolArgumentError' end as error_type from part")
+@query("select p_partkey, case when p_size > 40 then 'ToolArgumentError' end as error_type, case when p_size <= 40 then p_size * 75.0 end::double as discounted_price from part")
 def tool_calculate_discount(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    out = tools.calculate_discount(F.col("p_retailprice"), F.when(F.col("p_size") > 40, F.lit(101)).otherwise(F.col("p_size")))
-    return p.select("p_partkey", out["error_type"].alias("error_type"))
+    out = tools.calculate_discount(F.col("p_size") * 100, F.when(F.col("p_size") > 40, F.lit(101)).otherwise(25))
+    return p.select("p_partkey", out.alias("o")).select("p_partkey", "o.error_type", F.get_json_object("o.result", "$.discounted_price").cast("double").alias("discounted_price"))
 
 
 @query()
@@ -499,11 +505,13 @@ def episode_scripted(spark, sf_dir):
     return metrics.summarize(rows, "condition", "task_set", "chain_length")
 
 
-@query("select event_id::varchar as task_id, event_type in ('click', 'view') and event_id % 3 <> 0 as success from events")
+@query("select event_id::varchar as task_id, event_type in ('click', 'view') and event_id % 3 <> 0 and not (event_type = 'click' and event_id % 3 = 1) as success from events")
 def bfcl_check(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    output = F.concat(F.lit('<tool_call>{"name": "'), "event_type", F.lit('", "arguments": '), F.when(F.col("event_id") % 3 == 0, '{"other": 1}').otherwise(F.col("props")), F.lit("}</tool_call>"))
     k = F.get_json_object("props", "$.k")
+    blank = F.concat(F.lit('{"k": '), k, F.lit(', "unit": ""}'))  # "" says that a parameter may be left out, it is no value
+    given = F.when(F.col("event_id") % 3 == 0, '{"other": 1}').when((F.col("event_id") % 3 == 1) & (F.col("event_type") == "click"), blank).otherwise(F.col("props"))
+    output = F.concat(F.lit('<tool_call>{"name": "'), "event_type", F.lit('", "arguments": '), given, F.lit("}</tool_call>"))
     truth = F.concat(F.lit('{"click": {"k": ['), k, F.lit(', "x"], "unit": ["", "s"]}, "view": {"k": [-1, '), k, F.lit("]}}"))
     return checker.score_calls(e.select(F.col("event_id").cast("string").alias("id"), output.alias("output"), truth.alias("truth")), F.lit("base"), F.lit("simple")).select("task_id", "success")
 
@@ -596,7 +604,8 @@ _tool_query("calculate_tip", "part", "p_partkey", lambda t: tools.calculate_tip(
             "select p_partkey, case when p_size % 11 = 0 then 'ToolArgumentError' end as error_type, case when p_size % 11 <> 0 then p_size * 12.0 end::double as total_amount from part")
 
 
-@query()
+@query("""with p as (select p_partkey, p_size, ('0x' || md5('1|' || p_size))::uhugeint % 10000000 as h from part)
+    select p_partkey, p_size, case when p_size <= 1 then 'ToolArgumentError' end as error_type, case when p_size > 1 then least(floor(1 + h / 10000000.0 * p_size), p_size) end::bigint as value from p""")
 def tool_generate_random_number(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     out = tools.generate_random_number(F.lit(1).cast("long"), F.col("p_size").cast("long"))

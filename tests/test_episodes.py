@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from stepwell.functions.tool_tables import DEMO_TOOLS
 from stepwell.operators import metrics
 from stepwell.plans.tasks import task_set
-from stepwell.streaming.episodes import Episode, run_tasks, scripted, TOOLS
+import pytest
+
+from stepwell.streaming import episodes
+from stepwell.streaming.episodes import TOOLS, Episode, run_tasks, run_tasks_batched, scripted
 
 CALL = '<tool_call>{"name": "%s", "arguments": %s}</tool_call>'
 
@@ -13,7 +16,7 @@ CALL = '<tool_call>{"name": "%s", "arguments": %s}</tool_call>'
 def play(answers, **task):
     it = iter(answers)
     task = {"task_id": "t", "chain_length": 1, "user_goal": "g", "expected_tool_sequence": ["calculator"], "injected_error_at_step": None, "expected_arguments": None} | task
-    return Episode(task, DEMO_TOOLS, lambda messages: next(it)).play()
+    return episodes.play(Episode(task, DEMO_TOOLS), lambda messages: next(it)).state()
 
 
 def test_all_tasks_complete(spark):
@@ -26,6 +29,30 @@ def test_all_tasks_complete(spark):
         assert recovered.count() == 0
 
 
+def test_batched_equals_sequential(spark):
+    tasks = task_set(spark, "c").where("chain_length = 3")
+    by_goal = {r["user_goal"]: r.asDict() for r in tasks.collect()}
+
+    def model():
+        of = {g: scripted(t) for g, t in by_goal.items()}
+
+        def answer(histories):
+            assert len(histories) <= 8
+            return [of[h[1]["content"]](h) for h in histories]
+
+        return answer
+
+    one, many = run_tasks(tasks, scripted, TOOLS["c"]), run_tasks_batched(tasks, model, TOOLS["c"], 8)
+    assert sorted(one.collect()) == sorted(many.collect())
+    with pytest.raises(ValueError, match="answers to"):
+        episodes.play_batched([Episode(t, DEMO_TOOLS) for t in by_goal.values()], lambda h: ["x"] * (len(h) - 1), 8)
+
+
+def test_prompt_tells_every_tool():
+    prompt = episodes.system_prompt(TOOLS["x"])
+    assert all(f"- {n}: " in prompt and f'"{a}"' in prompt for n, args in TOOLS["x"].items() for a in args)
+
+
 def test_sets_are_disjoint(spark):
     a, b = (task_set(spark, k).select("task_id") for k in ("c", "x"))
     assert a.intersect(b).count() == 0 and a.distinct().count() == 121

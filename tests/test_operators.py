@@ -1,4 +1,6 @@
+import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -81,16 +83,12 @@ def test_python_rounding_and_hash(spark):
     assert got == int(hashlib.md5(b"abc").hexdigest(), 16) % 4951
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(0, 40), st.integers(0, 40))
-def test_mcnemar_tail(a, b):
-    n, k = a + b, min(a, b)
-    want = 1.0 if not n else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
-    term = total = 0.5**n
-    for i in range(1, k + 1):
-        term *= (n - i + 1) / i
-        total += term
-    assert (1.0 if not n else min(1.0, 2 * total)) == pytest.approx(want)
+def test_mcnemar_tail(spark):
+    pairs = [(a, b) for a in range(0, 41, 4) for b in range(0, 41, 5)]
+    got = spark.createDataFrame(pairs, "a int, b int").select("a", "b", stats.mcnemar(F.col("a"), F.col("b")).alias("p")).collect()
+    for a, b, p in got:
+        n, k = a + b, min(a, b)
+        assert p == pytest.approx(1.0 if not n else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n))
 
 
 def test_mcnemar_column(spark):
@@ -161,14 +159,46 @@ def test_losses(spark):
         losses.combined_loss(df, "g", temperature=0)
 
 
-def test_values():
-    assert values.values_match(1, 1.0000001) and not values.values_match(True, 1) and values.values_match(" A ", "a")
-    truth = {"f": {"a": [1, 2], "b": ["", "x"], "c": [[1, 2]]}}
-    assert values.call_accepted("f", {"a": 2, "c": [1, 2]}, truth)
-    assert not values.call_accepted("f", {"a": 3, "c": [1, 2]}, truth)
-    assert not values.call_accepted("f", {"a": 1, "c": 1}, truth)
-    assert not values.call_accepted("f", {"a": 1, "c": [1, 2], "z": 0}, truth)
-    assert not values.call_accepted("g", {}, truth) and not values.call_accepted("f", {"c": [1, 2]}, truth)
+def test_values(spark):
+    pairs = [("1", "1.0000001", True), ("true", "1", False), ("1", "true", False), ("true", "true", True), ('" A "', '"a"', True), ('"1"', "1", False), ("null", "null", True), ("null", '""', False), ("[1, 2]", "[1,2]", True), ('{"b": 1, "a": 2}', '{"a": 2, "b": 1}', True), ("2.5", "2.5", True), ("1000000", "1000000.5", True), ("1", "1.1", False)]
+    df = spark.createDataFrame(pairs, "x string, y string, want boolean")
+    for r in df.select("*", values.values_match_col(F.col("x"), F.col("y")).alias("got")).collect():
+        assert r["got"] == r["want"] == values.Loose(json.loads(r["x"])).agrees_with(json.loads(r["y"])), r
+    pairs = [('{"a": 1, "b": "x"}', '{"b": " X", "a": 1.0}', True), ('{"a": 1}', '{"a": 1, "b": 2}', False), ("{}", "{}", True), ('{"a": 1}', '{"b": 1}', False), ('{"a": true}', '{"a": 1}', False)]
+    df = spark.createDataFrame(pairs, "x string, y string, want boolean")
+    for r in df.select("*", values.arguments_match_col(F.col("x"), F.col("y")).alias("got")).collect():
+        assert r["got"] == r["want"] == values.same_call_arguments(json.loads(r["x"]), json.loads(r["y"])), r
+
+
+def test_accepted_calls(spark):
+    truth = json.dumps({"f": {"a": [1, 2], "b": ["", "x"], "c": [[1, 2]]}})
+    cases = [
+        ('{"name": "f", "arguments": {"a": 2, "c": [1, 2]}}', True), ('{"name": "f", "arguments": {"a": 2, "b": "X ", "c": [1, 2.0]}}', True), ('{"name": "f", "arguments": {"a": 3, "c": [1, 2]}}', False),
+        ('{"name": "f", "arguments": {"a": 1, "c": 1}}', False), ('{"name": "f", "arguments": {"a": 1, "c": [1, 2], "z": 0}}', False), ('{"name": "g", "arguments": {}}', False), ('{"name": "f", "arguments": {"c": [1, 2]}}', False),
+        ('{"name": "f", "arguments": {"a": 2, "b": "", "c": [1, 2]}}', False), ('{"name": "f", "arguments": {"a": 2, "b": " ", "c": [1, 2]}}', False), ('{"name": "f", "arguments": {"a": 2, "c": [1, 2, 3]}}', False), ('{"name": "f", "arguments": {"a": [1], "c": [1, 2]}}', False),
+    ]
+    df = spark.createDataFrame([(c, truth, w) for c, w in cases], "c string, t string, want boolean")
+    for r in df.select("*", values.call_accepted_col(F.col("c"), F.col("t")).alias("got")).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_losses_of_a_large_vocabulary(spark):
+    n = 32_000
+    df = spark.range(4).select(F.col("id").alias("g"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i + F.col("id"))).alias("student"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.cos(i)).alias("teacher"), F.lit(7).alias("label"))
+    began = time.time()
+    got = {r["g"]: r for r in losses.combined_loss(df, "g").collect()}
+    assert time.time() - began < 30
+    i = np.arange(1, n + 1)
+    soft = lambda z: z - np.log(np.exp(z).sum())
+    assert got[2]["sft_loss"] == pytest.approx(-soft(np.sin(i + 2))[7])
+
+
+def test_top_n_counts_what_was_never_kept(spark):
+    known = spark.createDataFrame([("b",), ("a",), ("c",)], "tool string")
+    counts = spark.createDataFrame([("c", 5), ("other", 9)], "tool string, n bigint")
+    assert [tuple(r) for r in sampling.top_n(counts, "tool", 2, known).collect()] == [("c", 5), ("a", 0)]
+    with pytest.raises(ValueError):
+        sampling.top_n(counts, "tool", 4, known)
 
 
 def test_jobs(spark, tmp_path):
@@ -176,7 +206,8 @@ def test_jobs(spark, tmp_path):
     assert sorted(jobs.parse_jobs(df, ["seed", "condition"]).collect()) == [(0, "base"), (1, "distilled")]
     with pytest.raises(Exception, match="malformed"):
         jobs.parse_jobs(spark.createDataFrame([("x:base",)], "spec string"), ["seed", "condition"]).collect()
-    got = jobs.run_jobs([{"i": i} for i in range(4)], lambda j: None, lambda j: j["i"] == 0, budget_s=2, clock=iter(range(10)).__next__)
+    todo = spark.range(4).withColumnRenamed("id", "i")
+    got = jobs.run_jobs(todo, todo.where("i = 0"), ["i"], lambda j: None, budget_s=2, clock=iter(range(10)).__next__)
     assert [j["i"] for j in got["skipped"]] == [0] and [j["i"] for j in got["ran"]] == [1] and [j["i"] for j in got["deferred"]] == [2, 3]
     done = []
     for _ in range(2):

@@ -32,6 +32,15 @@ def test_no_and_two_calls():
     assert [c["name"] for c in two] == ["a", "b"] and two[1]["char_offset"] > two[0]["char_offset"]
 
 
+def test_tags_and_quotes_inside_a_block():
+    inside = calls_in("""<functioncall> {"name": "a", "arguments": {"x": "see <functioncall> {"}} y <functioncall> {"name": "b"}""")
+    assert inside["calls"] is None  # braces in texts count
+    inside = calls_in("""<functioncall> {"name": "a", "arguments": {"x": "see <functioncall>"}} y <functioncall> {"name": "b"}""")
+    assert [c["name"] for c in inside["calls"]] == ["a", "b"]
+    quoted = calls_in(r"""<functioncall> {"name": "a\"b", "arguments": '{}'}""")["calls"]
+    assert quoted[0]["name"] == r"a\"b"
+
+
 def test_reasons_in_order(spark):
     call = """<functioncall> {"name": "click", "arguments": '{"k": 1}'}"""
     chats = {

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepwell.functions import tools
-from stepwell.functions.local_tools import ToolFailure, call_local
+from stepwell.functions.algebra import ToolFailure
+from stepwell.functions.tools import call_plain
 
 CALLS = [
     ("get_weather", {"city": " Paris "}), ("get_weather", {"city": "Atlantis"}), ("calculator", {"expression": "7 * 8 - 3"}), ("calculator", {"expression": "1 / 0"}), ("calculator", {"expression": "2 ** 3"}),
@@ -20,7 +21,7 @@ CALLS = [
 ]
 
 
-def test_columns_equal_functions(spark):
+def test_both_readings_agree(spark):
     both = tools.extended_registry()
     for n, (a, d, f) in tools.corpus_registry().tools.items():
         both.register(n, a, f, d)
@@ -28,7 +29,7 @@ def test_columns_equal_functions(spark):
     got = df.select("i", both.call(F.col("tool"), F.col("arguments")).alias("o")).select("i", "o.*").orderBy("i").collect()
     for row, (name, arguments) in zip(got, CALLS):
         try:
-            want, kind = call_local(name, arguments), None
+            want, kind = call_plain(name, arguments), None
         except ToolFailure as e:
             want, kind = None, e.kind
         assert row["error_type"] == kind, (name, arguments, row)
