@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
-from ..operators import checker, joins, layers, metrics, prepare, sampling
+from ..operators import checker, joins, layers, metrics, prepare, reports, sampling
 from ..streaming import episodes, events
-from . import jobs
+from . import jobs, runs
 from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
 from .tasks import task_set, unknown_tools
 
@@ -636,3 +636,56 @@ def interaction_contrast(spark, sf_dir):
     rows = metrics.with_task_set(result_rows(spark, sf_dir))
     cells = rows.groupBy(F.when(F.col("chain_length") <= 3, "short").otherwise("long").alias("level"), F.when(F.col("task_set") == "seen_tools", "treated").otherwise("control").alias("arm")).agg(metrics.chain_success_rate().alias("rate"))
     return _rounded(joins.interaction(cells, "short", "long").drop("interaction"), "gain_low", "gain_high")
+
+
+# Reports and runs.
+
+
+@query("select o_custkey % 16 as bucket, avg(o_orderkey) filter (where o_orderpriority = '1-URGENT') as \"1-URGENT\", avg(o_orderkey) filter (where o_orderpriority = '5-LOW') as \"5-LOW\" from orders group by 1")
+def pivot_of_means(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(16)).alias("bucket"), "o_orderpriority", "o_orderkey")
+    return reports.pivoted(o, "bucket", "o_orderpriority", ["1-URGENT", "5-LOW"], "o_orderkey")
+
+
+@query("select t.ord, t.event_type, round(avg(value), 9) as value from (values (0, 'view'), (1, 'never_seen'), (2, 'click')) t(ord, event_type) left join events using (event_type) group by 1, 2")
+def means_in_order(spark, sf_dir):
+    return _rounded(reports.reindexed_means(table(spark, sf_dir, "events"), "event_type", ["view", "never_seen", "click"], "value"), "value")
+
+
+@query("select label, count(*)::bigint as n, sum((embedding[1] > embedding[2])::int)::bigint as n_closer, round(avg(abs(embedding[1]::double - embedding[2]::double)), 9) as mean_gap, round(max(abs(embedding[1]::double - embedding[2]::double)), 9) as max_gap from embeddings group by 1")
+def closer_count(spark, sf_dir):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return _rounded(reports.closer(table(spark, sf_dir, "embeddings").select("label", at(0).alias("a"), at(1).alias("b")), "a", "b", "label"), "mean_gap", "max_gap")
+
+
+@query("select user_id, event_id as step, round(value, 9) as loss, round(value - lag(value) over (partition by user_id order by event_id), 9) as change from events where event_id % 3 = 0")
+def loss_curve(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    return _rounded(reports.loss_curve(log, "user_id", "loss", 3), "loss", "change")
+
+
+@query("select event_id, event_type from events where event_type = 'click' order by event_id limit 5")
+def capped_samples(spark, sf_dir):
+    return reports.first_rows(table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "event_type"), "event_id")
+
+
+@query("select l_orderkey, l_linenumber, count(*)::bigint as n from lineitem group by 1, 2 having count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return reports.repeated_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("""select c as condition, seed::int as seed, task_set, 1.0::double as full_chain_success_rate, n::bigint as n_tasks from (values ('a'), ('b')) x(c), (values (0), (1)) y(seed), (values ('seen_tools', 121), ('unseen_tools_ext', 158)) z(task_set, n) where c = 'b'
+    union all select 'a', seed, task_set, 0.0, n from (values (0), (1)) y(seed), (values ('seen_tools', 121), ('unseen_tools_ext', 158)) z(task_set, n)""")
+def evaluation_grid(spark, sf_dir):
+    """Two conditions, two seeds, two task sets: one model knows every call, one only talks."""
+    sets = {"seen_tools": (task_set(spark, "c"), episodes.TOOLS["c"]), "unseen_tools_ext": (task_set(spark, "x"), episodes.TOOLS["x"])}
+    rows = runs.evaluate_grid({"a": lambda seed: episodes.talker, "b": lambda seed: episodes.scripted}, [0, 1], sets)
+    return metrics.summarize(rows, "condition", "seed", "task_set").select("condition", "seed", "task_set", "full_chain_success_rate", "n_tasks")
+
+
+@query("select 'm' as condition, round(avg((event_id % 2 = 0)::int), 9) as accuracy, (count(*) filter (where event_id % 2 <> 0))::bigint as n_malformed from events")
+def single_turn_run(spark, sf_dir):
+    """A model that calls the function of its prompt on even ids and writes broken JSON on odd ones."""
+    function = F.array(F.struct(F.lit("f").alias("name"), F.lit("a function").alias("description"), F.lit("{}").alias("parameters")))
+    examples = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit('{"f": {"k": [1]}}').alias("truth"), function.alias("function"), F.col("event_id").cast("string").alias("user_message"))
+    return _rounded(runs.summarize_calls(runs.run_calls(examples, episodes.even_caller, "m", "simple")), "accuracy")

@@ -224,6 +224,16 @@ def careless(task: dict) -> Model:
     return lambda messages: good(messages) if sum(m["role"] == "tool" for m in messages) < 2 else "All done."
 
 
+def talker(task: dict) -> Model:
+    """A model that never calls a tool."""
+    return lambda messages: "Let me think about it."
+
+
+def even_caller() -> BatchModel:
+    """A batch model for single turns: a call for even numbers, broken JSON for odd ones."""
+    return lambda prompts: ['<tool_call>{"name": "f", "arguments": {"k": 1}}</tool_call>' if int(p[-1]["content"]) % 2 == 0 else "<tool_call>{broken}</tool_call>" for p in prompts]
+
+
 def episode_gate(outputs: DataFrame, max_failures: int) -> DataFrame:
     """Fails the query if more than ``max_failures`` outputs hold no call; else their number."""
     bad = F.count(F.when(~F.col("output").rlike(r"(?s)<tool_call>\s*\{.*?\}\s*</tool_call>"), 1))
