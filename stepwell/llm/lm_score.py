@@ -44,14 +44,15 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, dump, load, nested
 from .staging import filesystem, new_dir, stage
-from .text import LOWER, blocks, words_of
+from .text import LOWER, blocks, mix, words_of
 
 FOLDS, HELD_OUT = 7, 2
 BITS = 31  # of a token's number
 MIN_COUNT, DISCOUNT = 2, 0.75
-SHARD_WORDS, SHARD_GRAMS = 1 << 18, 1 << 19
+SHARD_WORDS, SHARD_GRAMS, SHARD_PAIRS = 1 << 18, 1 << 19, 1 << 22
 BLOCK_BYTES = 2_000_000
-GATHER = 2_000_000  # counts that a task holds before it sends them on
+GATHER = 2_000_000  # counts or n-grams that a task holds before it sends them on
+SEND_ROWS = 50_000  # rows that go to the JVM together
 END = np.uint64(0x0E5D0F7E87)  # stands for the end among the hashes of words
 
 
@@ -120,33 +121,127 @@ class Words:
         return out
 
 
-def _distinct_grams(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(before, last, n, which of them each key is) of the distinct keys ``before * size + last``."""
-    one, at, n = np.unique(key, return_inverse=True, return_counts=True)
-    return one // size, one % size, n, at
+def _distinct_grams(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, last, which of them each key is) of the distinct keys ``before * size + last``."""
+    one, at = np.unique(key, return_inverse=True)
+    return one // size, one % size, at
 
 
-def _gram_rows(words: Words, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    """(u, v, w, n) of the n-grams of a block by numbers of tokens; w is -1 in one of two tokens."""
+def _pairs_of(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``u << BITS | v``, w) of every two tokens in a row and the one after them; w is -1 if that is rare or beyond the text."""
     h, first = token_hashes(data, offsets)
     distinct, back = np.unique(h, return_inverse=True)
     number, count = words.find(distinct)
-    w = np.where(count[back] >= MIN_COUNT, back, -1)  # places in ``distinct``, so keys of three stay narrow
-    end = int(w[first[1] - 1]) if len(first) > 1 else -1
-    v, u = contexts(w, first, end)
-    two = np.flatnonzero((w >= 0) & (v >= 0))
-    before, last, n2, at = _distinct_grams(v[two] * len(distinct) + w[two], len(distinct))
-    pair = np.full(len(w), -1)
-    pair[two] = at
-    three = two[u[two] >= 0]
-    of, third, n3, _ = _distinct_grams(pair[three - 1] * len(distinct) + w[three], len(distinct))
-    columns = (
-        np.concatenate([number[before], number[before[of]]]),
-        np.concatenate([number[last], number[last[of]]]),
-        np.concatenate([np.full(len(n2), -1), number[third]]),
-        np.concatenate([n2, n3]),
-    )
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["u", "v", "w", "n"])
+    token = np.where(count >= MIN_COUNT, number, -1)[back]
+    before, _ = contexts(token, first, int(token[first[1] - 1]) if len(first) > 1 else -1)
+    after = np.append(token[1:], -1)
+    after[first[1:] - 1] = -1
+    on = np.flatnonzero((before >= 0) & (token >= 0))
+    return (before[on] << BITS) | token[on], after[on]
+
+
+def _tally(pair: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (pair, w) in order, with the sum of their ``n``."""
+    if not len(pair):
+        return pair, w, n
+    order = np.lexsort((w, pair))
+    pair, w = pair[order], w[order]
+    at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])]))
+    return pair[at], w[at], np.add.reduceat(n[order], at)
+
+
+def _packed(pair: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts in order of pair as four columns of 32 bits, byte by byte, compressed."""
+    columns = np.stack([np.diff(pair >> BITS, prepend=0), pair & ((1 << BITS) - 1), w + 1, n]).astype("<u4")
+    planes = columns.view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(content: bytes, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(content, 16 * rows, codec="zstd"), np.uint8).reshape(4, 4, rows)
+    u, v, w, n = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+    return (np.cumsum(u) << BITS) | v, w - 1, n
+
+
+def _by_value(batches: Iterator[pa.RecordBatch], names: list[str], column: str = "shard") -> Iterator[tuple[int, list[dict[str, np.ndarray]]]]:
+    """The rows of each value of a sorted column, as the pieces they came in."""
+    now, parts = None, []
+    for batch in batches:
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        value = columns[column]
+        edges = np.flatnonzero(np.diff(value, prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:]):
+            if now is not None and value[a] != now:
+                yield now, parts
+                parts = []
+            now = int(value[a])
+            parts.append({c: v[a:b] for c, v in columns.items()})
+    if parts:
+        yield now, parts
+
+
+def _shares(words: Words, pair: np.ndarray, w: np.ndarray, n: np.ndarray, unit: float) -> pa.RecordBatch:
+    """Stored n-grams of some pairs, whole: (u, v, w or -1, discounted share of the context, p1(v) if of two, what is left to (u, v))."""
+    at = np.flatnonzero(np.diff(pair, prepend=-1))
+    c2 = np.add.reduceat(n, at) if len(at) else n
+    owner = np.repeat(np.arange(len(at)), np.diff(at, append=len(pair)))
+    three = np.flatnonzero((w >= 0) & (n >= MIN_COUNT))
+    share = (n[three] - DISCOUNT) / c2[owner[three]]
+    rest = 1 - np.bincount(owner[three], share, len(at))
+    two = np.flatnonzero(c2 >= MIN_COUNT)
+    u, v = pair[at[two]] >> BITS, pair[at[two]] & ((1 << BITS) - 1)
+    columns = {
+        "u": np.concatenate([u, pair[three] >> BITS]),
+        "v": np.concatenate([v, pair[three] & ((1 << BITS) - 1)]),
+        "w": np.concatenate([np.full(len(two), -1), w[three]]),
+        "share": np.concatenate([(c2[two] - DISCOUNT) / words.counts(u), share]),
+        "unigram": np.concatenate([(words.counts(v) + 1) / unit, np.zeros(len(three))]),
+        "rest": np.concatenate([rest[two], np.zeros(len(three))]),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _stored(texts: DataFrame, words, tokens: int, unit: float) -> DataFrame:
+    """Rows of ``_shares`` of all texts.
+
+    A task adds up what it finds and sends it on as compressed runs, one per
+    shard; a shard is a hash of the pair, so no word is the key of a shuffle.
+    The count of a pair is the sum over all that may follow it.
+    """
+    shards = _power(tokens, SHARD_PAIRS)
+    shift = np.uint64(64 - (shards.bit_length() - 1))
+
+    def runs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pair, w = (np.concatenate(x) for x in zip(*held))
+        pair, w, n = _tally(pair, w, np.ones(len(pair), np.int64))
+        parts = list(_by_shard((mix(pair.view(np.uint64)) >> shift).astype(np.int64)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in parts], pa.int64()), pa.array([len(at) for _, at in parts], pa.int64()), pa.array([_packed(pair[at], w[at], n[at]) for _, at in parts], pa.binary())],
+            names=["shard", "size", "run"],
+        )
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0), BLOCK_BYTES):
+                held.append(_pairs_of(words.value, data, offsets))
+                size += len(held[-1][0])
+                if size > GATHER:
+                    yield runs(held)
+                    held, size = [], 0
+        if size:
+            yield runs(held)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _by_value(batches, ["shard", "size", "run"]):
+            unpacked = (_unpacked(r, int(k)) for p in parts for r, k in zip(p["run"], p["size"]))
+            pair, w, n = _tally(*(np.concatenate(x) for x in zip(*unpacked)))
+            rows = _shares(words.value, pair, w, n, unit)
+            for i in range(0, len(rows), SEND_ROWS):
+                yield rows.slice(i, SEND_ROWS)
+
+    sent = texts.mapInArrow(found, "shard long, size long, run binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    return sent.mapInArrow(added, "u long, v long, w long, share double, unigram double, rest double")
 
 
 def contexts(number: np.ndarray, first: np.ndarray, end_number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,24 +287,9 @@ def _built(rows: DataFrame, shards: int, order: list[str], folder: str, name: st
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-
-        def done():
+        for k, parts in _by_value(batches, names):
             content = dump(encode({c: np.concatenate([p[c] for p in parts]) for c in names}))
-            return pa.RecordBatch.from_pydict({"shard": [now], "path": [_write(folder, f"{name}-{now:05d}", content)]})
-
-        for batch in batches:
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            shard = columns["shard"]
-            edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-            for a, b in zip(edges, edges[1:]):
-                if now is not None and shard[a] != now:
-                    yield done()
-                    parts = []
-                now = int(shard[a])
-                parts.append({c: v[a:b] for c, v in columns.items()})
-        if parts:
-            yield done()
+            yield pa.RecordBatch.from_pydict({"shard": [k], "path": [_write(folder, f"{name}-{k:05d}", content)]})
 
     made = rows.repartition(shards, "shard").sortWithinPartitions("shard", *order).mapInArrow(run, "shard long, path string").collect()
     paths = {r["shard"]: r["path"] for r in made}
@@ -260,7 +340,8 @@ def _encode_grams(rows: dict[str, np.ndarray], shards: int, types: int) -> dict[
     key = (u << BITS) | v
     parent = np.searchsorted(key, (rows["u"][three] << BITS) | rows["v"][three])
     out |= {f"three.{k}": x for k, x in _level(parent, rows["w"][three], len(u)).items()}
-    out["three_ratio"], out["three_book"] = _quantised(rows["ratio"][three])
+    ratio = np.log10(rows["ratio"][three] + 10 ** rows["rest_two"][two][parent]) if len(parent) else rows["ratio"][three]
+    out["three_ratio"], out["three_book"] = _quantised(ratio)
     out["two_rest"], out["two_rest_book"] = _quantised(rows["rest_two"][two])
     return out
 
@@ -283,36 +364,19 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         sizes[row["shard"]] = row["count"]
     shared = spark.sparkContext.broadcast(Words(files, np.concatenate([[0], np.cumsum(sizes)])))  # file names
 
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0), BLOCK_BYTES):
-                yield _gram_rows(shared.value, data, offsets)
-
-    def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cu, cw = (pa.array(shared.value.counts(batch.column(c).to_numpy())) for c in ("u", "v"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cu, cw], names=["u", "v", "c2", "cu", "cw"])
-
-    counted = texts.mapInArrow(grams_of, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
-    grams = stage(spark, counted.where(F.col("n") >= MIN_COUNT), "grams")
-    is_three = F.col("w") >= 0
     unit = float(total["tokens"] + total["types"] + 1)
-    p1 = (F.col("cw") + 1) / F.lit(unit)
-    two = grams.where(~is_three).select("u", "v", F.col("n").alias("c2")).mapInArrow(with_counts, "u long, v long, c2 long, cu long, cw long")
-    left = two.groupBy("u").agg((1 - F.sum((F.col("c2") - DISCOUNT) / F.col("cu"))).alias("rest_one"))
-    two = two.join(left, "u").withColumn("p2", (F.col("c2") - DISCOUNT) / F.col("cu") + F.col("rest_one") * p1)
-    two = stage(spark, two.select("u", "v", "c2", "p2", F.log10(F.col("p2") / p1).alias("ratio"), F.log10("rest_one").alias("rest_one")), "two")
-    three = grams.where(is_three).select("u", "v", "w", F.col("n").alias("c3"))
-    three = three.join(two.select("u", "v", "c2"), ["u", "v"])
-    under = three.groupBy("u", "v").agg((1 - F.sum((F.col("c3") - DISCOUNT) / F.col("c2"))).alias("rest_two"))
+    grams = stage(spark, _stored(texts, shared, total["tokens"], unit), "grams")
+    two = grams.where(F.col("w") < 0)
+    left = two.groupBy("u").agg((1 - F.sum("share")).alias("rest_one"))
+    two = two.join(left, "u").withColumn("p2", F.col("share") + F.col("rest_one") * F.col("unigram"))
+    two = stage(spark, two.select("u", "v", "p2", F.log10(F.col("p2") / F.col("unigram")).alias("ratio"), F.log10("rest_one").alias("rest_one"), "rest"), "two")
+    gram_shards = _power(grams.count(), SHARD_GRAMS)
+    # p3 / p2(w|v), where p2(w|v) and what is left to (u, v) are rows of ``two``
     lower = two.select(F.col("u").alias("v"), F.col("v").alias("w"), "p2")
-    three = three.join(under, ["u", "v"]).join(lower, ["v", "w"])
-    p3 = (F.col("c3") - DISCOUNT) / F.col("c2") + F.col("rest_two") * F.col("p2")
-    n_grams = grams.count()
-    gram_shards = _power(n_grams, SHARD_GRAMS)
-    none = F.lit(0.0)
-    rows = two.join(under, ["u", "v"], "left").select((F.col("u") % gram_shards).alias("shard"), "u", "v", F.lit(-1).cast("long").alias("w"), "ratio", "rest_one", F.coalesce(F.log10("rest_two"), none).alias("rest_two"))
-    rows = rows.unionByName(three.select((F.col("u") % gram_shards).alias("shard"), "u", "v", "w", F.log10(p3 / F.col("p2")).alias("ratio"), none.alias("rest_one"), none.alias("rest_two")))
+    three = grams.where(F.col("w") >= 0).select("u", "v", "w", "share").join(lower, ["v", "w"])
+    shard, none = (F.col("u") % gram_shards).alias("shard"), F.lit(0.0)
+    rows = two.select(shard, "u", "v", F.lit(-1).cast("long").alias("w"), "ratio", "rest_one", F.log10("rest").alias("rest_two"))
+    rows = rows.unionByName(three.select(shard, "u", "v", "w", (F.col("share") / F.col("p2")).alias("ratio"), none.alias("rest_one"), none.alias("rest_two")))
     gram_files = _built(rows, gram_shards, ["u", "v", "w"], folder, "grams", lambda r: _encode_grams(r, gram_shards, int(total["types"])))
     return Model(int(total["tokens"]), int(total["types"]), shared.value, gram_files)
 
@@ -356,21 +420,19 @@ class GramShard:
         base[inner] = words.get(start[inner] - 1) + np.uint64(1)
         return words.find(base + word.astype(np.uint64), start, end), end > start
 
-    def gain(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, shards: int, three: bool) -> np.ndarray:
-        """log10 p2(v|u) / p1(v), or, with ``three``, log10 p3(w|u,v) / p2(w|v)."""
+    def gain_two(self, own: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 p2(v|u) / p1(v), place of u v or -1), where u is context ``own`` of this shard."""
         p = self.parts
-        own = u // shards
         at, _ = self.child("two", own, v)
-        if not three:
-            missing = np.where(p["one_has"][own] > 0, p["one_rest_book"][p["one_rest"][own]], 0.0)
-            return np.where(at >= 0, p["two_book"][p["two_ratio"][at]] if len(p["two_ratio"]) else 0.0, missing)
-        out = np.zeros(len(u))
-        on = np.flatnonzero(at >= 0)
-        if len(on):
-            below, has = self.child("three", at[on], w[on])
-            found = p["three_book"][p["three_ratio"][below]] if len(p["three_ratio"]) else 0.0
-            out[on] = np.where(below >= 0, found, np.where(has, p["two_rest_book"][p["two_rest"][at[on]]], 0.0))
-        return out
+        missing = np.where(p["one_has"][own] > 0, p["one_rest_book"][p["one_rest"][own]], 0.0)
+        return np.where(at >= 0, p["two_book"][p["two_ratio"][at]] if len(p["two_ratio"]) else 0.0, missing), at
+
+    def gain_three(self, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 p3(w|u,v) / p2(w|v), where u v is at ``place``."""
+        p = self.parts
+        below, has = self.child("three", place, w)
+        found = p["three_book"][p["three_ratio"][below]] if len(p["three_ratio"]) else 0.0
+        return np.where(below >= 0, found, np.where(has, p["two_rest_book"][p["two_rest"][place]], 0.0))
 
 
 @lru_cache(maxsize=4096)
@@ -390,12 +452,23 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[a]]), order[a:b]
 
 
-def gains(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, three: bool) -> np.ndarray:
+def gains_two(model: Model, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 p2(v|u) / p1(v), place of u v in its shard or -1)."""
     shards = len(model.gram_files)
-    out = np.zeros(len(u))
+    out, place = np.zeros(len(u)), np.full(len(u), -1)
     for k, at in _by_shard(u % shards):
         if model.gram_files[k]:
-            out[at] = _gram_shard(model.gram_files[k]).gain(u[at], v[at], w[at], shards, three)
+            out[at], place[at] = _gram_shard(model.gram_files[k]).gain_two(u[at] // shards, v[at])
+    return out, place
+
+
+def gains_three(model: Model, u: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 p3(w|u,v) / p2(w|v), where u v is at ``place`` of its shard."""
+    out = np.zeros(len(u))
+    on = np.flatnonzero(place >= 0)
+    for k, at in _by_shard(u[on] % len(model.gram_files)):
+        at = on[at]
+        out[at] = _gram_shard(model.gram_files[k]).gain_three(place[at], w[at])
     return out
 
 
@@ -416,14 +489,15 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray):
     number = np.append(number, model.types)  # of a token in no n-gram: never below any context
     on = np.flatnonzero(v >= 0)
     last = np.where(w[on] >= 0, w[on], size - 1)
-    a, b, _, at = _distinct_grams(v[on] * size + last, size)
-    score += np.bincount(owner[on], gains(model, number[a], number[b], number[b], False)[at], n)
+    a, b, at = _distinct_grams(v[on] * size + last, size)
+    gain, place = gains_two(model, number[a], number[b])
+    score += np.bincount(owner[on], gain[at], n)
     pair = np.full(len(w), -1)
     pair[on] = at
     on = on[u[on] >= 0]
     last = np.where(w[on] >= 0, w[on], size - 1)
-    of, c, _, at = _distinct_grams(pair[on - 1] * size + last, size)
-    score += np.bincount(owner[on], gains(model, number[a[of]], number[b[of]], number[c], True)[at], n)
+    of, c, at = _distinct_grams(pair[on - 1] * size + last, size)
+    score += np.bincount(owner[on], gains_three(model, number[a[of]], place[of], number[c])[at], n)
     return np.diff(first), known, base, score
 
 

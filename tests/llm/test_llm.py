@@ -436,6 +436,30 @@ def test_every_word_is_in_ngrams(spark):
     assert got[12] > 8 and got[17] < got[12] - 3
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**31 - 1), st.integers(0, 3), st.integers(-1, 2**31 - 2)), min_size=1, max_size=60))
+def test_runs_of_counts(grams):
+    u, v, w = np.array(grams, np.int64).T
+    pair, w, n = lm_score._tally((u << lm_score.BITS) | v, w, np.ones(len(u), np.int64))
+    want = collections.Counter(grams)
+    assert [(int(p) >> lm_score.BITS, int(p) & (2**31 - 1), int(x)) for p, x in zip(pair, w)] == sorted(want)
+    assert n.tolist() == [want[k] for k in sorted(want)]
+    for a, b in zip((pair, w, n), lm_score._unpacked(lm_score._packed(pair, w, n), len(n))):
+        assert a.tolist() == b.tolist()
+
+
+def test_counts_sent_in_many_runs_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = docs_of(spark, [" ".join(f"w{min(rng.geometric(0.1), 60)}" for _ in range(rng.integers(1, 80))) for _ in range(200)] + ODD)
+    whole = lm_score.score_documents(spark, df).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm_score, "GATHER", 100)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(lm_score, "SHARD_PAIRS", 200)
+    monkeypatch.setattr(lm_score, "SEND_ROWS", 7)
+    for a, b in zip(whole, lm_score.score_documents(spark, df).orderBy("doc_id").collect()):
+        assert a["score"] == pytest.approx(b["score"])
+
+
 def test_language_model_of_nothing(spark):
     assert lm_score.score_documents(spark, docs_of(spark, [])).count() == 0
 
