@@ -72,15 +72,17 @@ class EliasFano:
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
         sample = self.ones if one else self.zeros
-        word = sample[rank // _SAMPLE].astype(np.int64)
-        last = len(self.high) - 1
+        part, last = rank // _SAMPLE, len(sample) - 1
         upto = lambda w: self.before[w].astype(np.int64) if one else w * 64 - self.before[w].astype(np.int64)
-        todo = np.arange(len(rank))
-        while len(todo):
-            more = word[todo] < last
-            todo = todo[more]
-            todo = todo[upto(word[todo] + 1) <= rank[todo]]
-            word[todo] += 1
+        word = sample[part].astype(np.int64)
+        end = np.where(part < last, sample[np.minimum(part + 1, last)], len(self.high) - 1).astype(np.int64)
+        todo = np.flatnonzero(word < end)
+        while len(todo):  # runs of the other bit can be long, so by halves
+            middle = (word[todo] + end[todo] + 1) // 2
+            after = upto(middle) > rank[todo]
+            word[todo] = np.where(after, word[todo], middle)
+            end[todo] = np.where(after, middle - 1, end[todo])
+            todo = todo[word[todo] < end[todo]]
         bits = self.high[word] if one else ~self.high[word]
         return word * 64 + _select_in_word(bits, rank - upto(word))
 
@@ -105,9 +107,11 @@ class EliasFano:
         at, stop = np.clip(first, start, end), np.clip(after, start, end)
         low = value & _U64((1 << self.width) - 1)
         todo = np.flatnonzero(at < stop)
-        while len(todo):
-            todo = todo[unpack_bits(self.low, at[todo], self.width) < low[todo]]
-            at[todo] += 1
+        while len(todo):  # a crowded range has many numbers of one high part, so by halves
+            middle = (at[todo] + stop[todo]) // 2
+            less = unpack_bits(self.low, middle, self.width) < low[todo]
+            at[todo] = np.where(less, middle + 1, at[todo])
+            stop[todo] = np.where(less, stop[todo], middle)
             todo = todo[at[todo] < stop[todo]]
         return at
 
