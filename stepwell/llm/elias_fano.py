@@ -36,16 +36,23 @@ def unpack_bits(packed: np.ndarray, index: np.ndarray, width: int) -> np.ndarray
     return (loads[bit >> 3] >> (bit & 7).astype(np.uint64)) & _U64((1 << width) - 1)
 
 
+_L, _H = _U64(0x0101010101010101), _U64(0x8080808080808080)  # each byte's lowest, highest bit
+_IN_BYTE = np.zeros((256, 8), np.uint8)  # place of the k-th one of a byte
+for _bit in range(8):
+    _of = np.flatnonzero(np.arange(256) >> _bit & 1)
+    _IN_BYTE[_of, np.bitwise_count(_of & ((1 << _bit) - 1))] = _bit
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the ``rank``-th (from 0) one of each word."""
-    at = np.zeros(len(word), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & _U64((1 << half) - 1)).astype(np.int64)
-        up = rank >= low
-        rank = rank - low * up
-        word = np.where(up, word >> _U64(half), word)
-        at += half * up
-    return at
+    """Place of the ``rank``-th (from 0) one of each word: its byte by sums of ones up to each byte, then a table."""
+    with np.errstate(over="ignore"):
+        ones = word - ((word >> _U64(1)) & _U64(0x5555555555555555))
+        ones = (ones & _U64(0x3333333333333333)) + ((ones >> _U64(2)) & _U64(0x3333333333333333))
+        upto = ((ones + (ones >> _U64(4))) & _U64(0x0F0F0F0F0F0F0F0F)) * _L
+        rank = rank.astype(np.uint64)
+        at = np.bitwise_count(((rank * _L | _H) - upto) & _H).astype(np.uint64) << _U64(3)
+        rank -= ((upto << _U64(8)) >> at) & _U64(255)
+    return at.astype(np.int64) + _IN_BYTE[(word >> at) & _U64(255), rank]
 
 
 class EliasFano:
@@ -99,12 +106,13 @@ class EliasFano:
         out[some] = self._select(high[some] - 1, False) - (high[some] - 1)
         return out
 
-    def successor(self, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Index of the first number >= ``value`` in ``start:end``, or ``end``."""
+    def _search(self, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first number >= ``value`` in ``start:end``, or ``end``; whether it is ``value``)."""
         value = value.astype(np.uint64)
         high = (value >> _U64(self.width)).astype(np.int64)
         first, after = self._from_high(high), self._from_high(high + 1)
         at, stop = np.clip(first, start, end), np.clip(after, start, end)
+        same = stop.copy()
         low = value & _U64((1 << self.width) - 1)
         todo = np.flatnonzero(at < stop)
         while len(todo):  # a crowded range has many numbers of one high part, so by halves
@@ -113,16 +121,19 @@ class EliasFano:
             at[todo] = np.where(less, middle + 1, at[todo])
             stop[todo] = np.where(less, stop[todo], middle)
             todo = todo[at[todo] < stop[todo]]
-        return at
+        found = at < same  # of the same high part, so the low one decides
+        on = np.flatnonzero(found)
+        found[on] = unpack_bits(self.low, at[on], self.width) == low[on]
+        return at, found
+
+    def successor(self, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Index of the first number >= ``value`` in ``start:end``, or ``end``."""
+        return self._search(value, start, end)[0]
 
     def find(self, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index of ``value`` in ``start:end``, or -1."""
-        at = self.successor(value, start, end)
-        on = np.flatnonzero(at < end)
-        out = np.full(len(at), -1)
-        same = self.get(at[on]) == value[on].astype(np.uint64)
-        out[on[same]] = at[on[same]]
-        return out
+        at, found = self._search(value, start, end)
+        return np.where(found, at, -1)
 
 
 def dump(arrays: dict[str, np.ndarray]) -> bytes:

@@ -144,10 +144,14 @@ def _tally(pair: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     """The distinct (pair, w) in order, with the sum of their ``n``."""
     if not len(pair):
         return pair, w, n
-    order = np.lexsort((w, pair))
-    pair, w = pair[order], w[order]
-    at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])]))
-    return pair[at], w[at], np.add.reduceat(n[order], at)
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.diff(pair, prepend=-1) != 0
+    key = (np.cumsum(new) << 32) | (w[order] + 1)  # place of the pair, then w
+    again = np.argsort(key)
+    key, n = key[again], n[order][again]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return pair[at], (key[at] & ((1 << 32) - 1)) - 1, np.add.reduceat(n, at)
 
 
 def _packed(pair: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
@@ -414,10 +418,13 @@ class GramShard:
         words, pointers = self.levels[level]
         if not words.n:
             return np.full(len(context), -1), np.zeros(len(context), bool)
+        new = np.diff(context, prepend=-1) != 0  # queries come by context, so one lookup serves many words
+        which, context = np.cumsum(new) - 1, context[new]
         start, end = pointers.get(context).astype(np.int64), pointers.get(context + 1).astype(np.int64)
         base = np.zeros(len(context), np.uint64)
         inner = np.flatnonzero(start > 0)
         base[inner] = words.get(start[inner] - 1) + np.uint64(1)
+        start, end, base = start[which], end[which], base[which]
         return words.find(base + word.astype(np.uint64), start, end), end > start
 
     def gain_two(self, own: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
