@@ -44,12 +44,12 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, dump, load, nested
 from .staging import filesystem, new_dir, stage
-from .text import LOWER, blocks, mix, words_of
+from .text import LOWER, blocks, mix, release_memory, words_of
 
 FOLDS, HELD_OUT = 7, 2
 BITS = 31  # of a token's number
 MIN_COUNT, DISCOUNT = 2, 0.75
-SHARD_WORDS, SHARD_GRAMS, SHARD_PAIRS = 1 << 18, 1 << 19, 1 << 22
+SHARD_WORDS, SHARD_GRAMS, SHARD_PAIRS = 1 << 18, 1 << 19, 1 << 20
 BLOCK_BYTES = 2_000_000
 GATHER = 2_000_000  # counts or n-grams that a task holds before it sends them on
 SEND_ROWS = 50_000  # rows that go to the JVM together
@@ -225,6 +225,7 @@ def _stored(texts: DataFrame, words, tokens: int, unit: float) -> DataFrame:
         )
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held, size = [], 0
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0), BLOCK_BYTES):
@@ -237,6 +238,7 @@ def _stored(texts: DataFrame, words, tokens: int, unit: float) -> DataFrame:
             yield runs(held)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for _, parts in _by_value(batches, ["shard", "size", "run"]):
             unpacked = (_unpacked(r, int(k)) for p in parts for r, k in zip(p["run"], p["size"]))
             pair, w, n = _tally(*(np.concatenate(x) for x in zip(*unpacked)))
@@ -291,6 +293,7 @@ def _built(rows: DataFrame, shards: int, order: list[str], folder: str, name: st
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for k, parts in _by_value(batches, names):
             content = dump(encode({c: np.concatenate([p[c] for p in parts]) for c in names}))
             yield pa.RecordBatch.from_pydict({"shard": [k], "path": [_write(folder, f"{name}-{k:05d}", content)]})
@@ -513,6 +516,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # file names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(0), BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], *map(pa.array, score_block(shared.value, data, offsets))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
