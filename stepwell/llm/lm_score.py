@@ -50,7 +50,7 @@ FOLDS, HELD_OUT = 7, 2
 BITS = 31  # of a token's number
 MIN_COUNT, DISCOUNT = 2, 0.75
 SHARD_WORDS, SHARD_GRAMS, SHARD_PAIRS = 1 << 18, 1 << 19, 1 << 20
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 GATHER = 2_000_000  # counts or n-grams that a task holds before it sends them on
 SEND_ROWS = 50_000  # rows that go to the JVM together
 END = np.uint64(0x0E5D0F7E87)  # stands for the end among the hashes of words
