@@ -98,19 +98,42 @@ class EliasFano:
         index = index.astype(np.int64)
         return ((self._select(index, True) - index).astype(np.uint64) << _U64(self.width)) | unpack_bits(self.low, index, self.width)
 
-    def _from_high(self, high: np.ndarray) -> np.ndarray:
-        """Index of the first number whose high part is ``high`` or more."""
+    def get_two(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at ``index`` and at the places after it; the second one's bit is mostly close to the first one's."""
+        index = index.astype(np.int64)
+        bit = self._select(index, True)
+        after = self._next(bit, True)
+        far = np.flatnonzero(after < 0)
+        after[far] = self._select(index[far] + 1, True)
+        number = lambda b, i: ((b - i).astype(np.uint64) << _U64(self.width)) | unpack_bits(self.low, i, self.width)
+        return number(bit, index), number(after, index + 1)
+
+    def _next(self, bit: np.ndarray, one: bool) -> np.ndarray:
+        """The next one (zero) after each bit where it lies in the same word of the bit after, else -1."""
+        word = (bit + 1) >> 6
+        bits = self.high[np.minimum(word, len(self.high) - 1)]
+        bits = (bits if one else ~bits) >> ((bit + 1) & 63).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            skip = np.bitwise_count(~bits & (bits - _U64(1)))  # 64 where no bit is left
+        return np.where((skip < 64) & (word < len(self.high)), bit + 1 + skip, -1)
+
+    def _of_high(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the first number whose high part is ``high`` or more, and more than ``high``."""
         high = np.minimum(high, self.n_zeros)
-        out = np.zeros(len(high), np.int64)
+        zero = np.full(len(high), -1, np.int64)  # the zero that ends the numbers below
         some = np.flatnonzero(high > 0)
-        out[some] = self._select(high[some] - 1, False) - (high[some] - 1)
-        return out
+        zero[some] = self._select(high[some] - 1, False)
+        after = self._next(zero, False)
+        far = np.flatnonzero((after < 0) & (high < self.n_zeros))
+        after[far] = self._select(high[far], False)
+        first = zero - (high - 1)
+        return first, np.where(high < self.n_zeros, after - high, first)
 
     def _search(self, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first number >= ``value`` in ``start:end``, or ``end``; whether it is ``value``)."""
         value = value.astype(np.uint64)
         high = (value >> _U64(self.width)).astype(np.int64)
-        first, after = self._from_high(high), self._from_high(high + 1)
+        first, after = self._of_high(high)
         at, stop = np.clip(first, start, end), np.clip(after, start, end)
         same = stop.copy()
         low = value & _U64((1 << self.width) - 1)

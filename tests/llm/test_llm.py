@@ -383,6 +383,20 @@ def test_elias_fano(values, universe):
     q = np.arange(0, 5001, 37).astype(np.uint64)
     zero = np.zeros(len(q), np.int64)
     assert e.successor(q, zero, zero + len(v)).tolist() == np.searchsorted(v, q).tolist()
+    first, after = e.get_two(np.arange(max(0, len(v) - 1)))
+    assert (first.tolist(), after.tolist()) == (v[:-1].tolist(), v[1:].tolist())
+    rng = np.random.default_rng(len(v))
+    start = rng.integers(0, len(v) + 1, len(q))
+    end = np.minimum(start + rng.integers(0, len(v) + 1, len(q)), len(v))
+    assert e.successor(q, start, end).tolist() == [int(s + np.searchsorted(v[s:t], x)) for x, s, t in zip(q, start, end)]
+
+
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(2**63, 2**63 + 9), max_size=60))
+def test_order_of_numbers(values):
+    v = np.array(values, np.uint64)
+    assert lm_score.ordered(v).tolist() == np.argsort(v, kind="stable").tolist()
+    distinct, back = lm_score.distinct_of(v)
+    assert distinct.tolist() == sorted(set(values)) and distinct[back].tolist() == values
 
 
 def test_language_model_equals_plain(spark, monkeypatch):
