@@ -75,13 +75,18 @@ class Words:
         return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))[self.start] & _KEEP[np.minimum(self.end - self.start, 8)]
 
     def hashes(self, data: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (of ``data``, such as lower-cased ones)."""
+        """A 64-bit hash of each word's bytes (of ``data``, such as lower-cased ones).
+
+        The length is mixed with the seed before any byte comes in: words that
+        differ only by NUL bytes at the end get unrelated hashes, and two words
+        that meet under one seed do not under another.
+        """
         data = self.data if data is None else data
         padded = np.zeros(len(data) + 8, np.uint8)
         padded[: len(data)] = data
         loads = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
         left = self.end - self.start
-        h = left.astype(np.uint64) + np.uint64(seed)
+        h = seeded(left.astype(np.uint64), seed)
         at = self.start
         todo = None
         while len(left):
