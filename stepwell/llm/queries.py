@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lm_score, near_dups, packing, quality_model, quality_rules, token_counts, toxicity, warc
+from . import chat_format, decontaminate, exact_dups, lm_score, merkle, near_dups, packing, quality_model, quality_rules, token_counts, toxicity, warc
 
 #: Longer documents are over the limit of a context.
 TOKEN_LIMIT = 4096
@@ -144,6 +144,52 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(merkle.manifest(spark, _table(spark, sf_dir, "documents")))
+
+
+def _op11_sql() -> str:
+    """Levels by recursion over whole runs; the paths of leaves, then of sources, joined and folded one level at a time."""
+    fields = {"doc_id": "doc_id", "source": "source", "lang": "lang", "n_chars": "n_chars"}
+    of = lambda x: f"coalesce(octet_length(encode({x}::varchar))::varchar || ':' || {x}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(of(x) for x in (*fields.values(), text)) + ")"
+    lower = f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')"
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"
+    up = """select g, level + 1, idx // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' order by idx)) from {t} where n > 1 group by g, level, idx // 16"""
+    siblings = """select m.key, m.level, coalesce(string_agg(o.digest, '' order by o.idx) filter (where o.idx < m.at), '') as before, coalesce(string_agg(o.digest, '' order by o.idx) filter (where o.idx > m.at), '') as after
+        from (select k.key, k.g, x.level, k.idx // (16 ** x.level)::bigint as at from {keys} k join (select distinct g, level, n from {t}) x on x.g = k.g and x.n > 1) m join {t} o on o.g = m.g and o.level = m.level and o.idx // 16 = m.at // 16 group by m.key, m.level, m.at"""
+    return f"""
+with recursive rows as (
+    select row_number() over () as key, doc_id, dense_rank() over (order by source nulls first) - 1 as g, row_number() over (partition by source order by doc_id) - 1 as idx, count(*) over (partition by source) as n,
+        {leaf("text")} as leaf, case when {crc} % 5 = 0 then {leaf(lower)} else {leaf("text")} end as changed from documents
+), nodes(g, level, idx, n, digest) as (select g, 0, idx, n, leaf from rows union all {up.format(t="nodes")}),
+tops as (select g as idx, g as key, 0 as g, count(*) over () as n, digest from nodes where n = 1),
+sources(g, level, idx, n, digest) as (select g, 0, idx, n, digest from tops union all {up.format(t="sources")}),
+root as (select digest as root from sources where n = 1),
+low as ({siblings.format(keys="rows", t="nodes")}), high as ({siblings.format(keys="tops", t="sources")}),
+path as (
+    select key, row_number() over (partition by key order by phase, level) as step, before, after from (
+        select key, 0 as phase, level, before, after from low union all select r.key, 1, h.level, h.before, h.after from rows r join high h on h.key = r.g)
+), folds(key, step, digest) as (
+    select key, 0, changed from rows union all select f.key, f.step + 1, sha256(p.before || f.digest || p.after) from folds f join path p on p.key = f.key and p.step = f.step + 1
+), ends as (select key, arg_max(digest, step) as folded_root from folds group by key),
+proofs as (select key, sha256(string_agg(before || after, '' order by step)) as proof_sha256 from path group by key)
+select doc_id, leaf, t.digest as subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from rows join (select key as top, digest from tops) t on top = rows.g join ends using (key) left join proofs using (key), root
+"""
+
+
+def op13_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dups.duplicate_groups(spark, _table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+with d as (select doc_id, length(coalesce(text, '')) as size, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') as body from documents),
+g as (select doc_id, body, first_value(doc_id) over (partition by body order by size desc, doc_id) as keep_id, count(*) over (partition by body) as group_size from d)
+select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as kept, sha256(body) as text_sha256 from g
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -155,10 +201,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_model": op10_quality_model,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_exact_dups": op13_exact_dups,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _op2_sql(),
     "op5_chat_format": OP5_SQL,
     "op7_warc": OP7_SQL,
+    "op11_merkle_manifest": _op11_sql(),
+    "op13_exact_dups": OP13_SQL,
 }
