@@ -18,22 +18,30 @@ BITS = 24  # two megabytes
 HASHES = 2
 
 
-def _places(ids: np.ndarray) -> list[np.ndarray]:
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     x = ids.astype(np.int64).view(np.uint64)
-    return [(seeded(x, 900 + k) >> np.uint64(64 - BITS)).astype(np.int64) for k in range(HASHES)]
+    return [(seeded(x, 900 + k) >> np.uint64(64 - bits)).astype(np.int64) for k in range(HASHES)]
+
+
+def in_filter(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter of these words."""
+    out = np.ones(len(ids), bool)
+    for place in _places(ids, len(words).bit_length() + 5):
+        out &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return out
 
 
 class IdFilter:
-    def __init__(self, ids: DataFrame, column: str):
-        """ids: a table of long ids; at most 2**BITS / 64 rows come to the driver."""
+    def __init__(self, ids: DataFrame, column: str, bits: int = BITS):
+        """ids: a table of long ids; at most 2**bits / 64 rows come to the driver."""
 
         def run(batches):
             for batch in batches:
-                place = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False)))
+                place = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False), bits))
                 yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
         found = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long")).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        words = np.zeros(1 << (BITS - 6), np.uint64)
+        words = np.zeros(1 << (bits - 6), np.uint64)
         words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
         self.shared = ids.sparkSession.sparkContext.broadcast(words)
 
@@ -48,10 +56,6 @@ class IdFilter:
         @F.arrow_udf("boolean")
         def test(ids: pa.Array) -> pa.Array:
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            x = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            out = valid.copy()
-            for place in _places(x):
-                out &= (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-            return pa.array(out)
+            return pa.array(valid & in_filter(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)))
 
         return test(id_column.cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dups, lm_score, merkle, near_dups, packing, quality_model, quality_rules, token_counts, toxicity, warc
+from . import chat_format, collocations, decontaminate, exact_dups, lm_score, merkle, near_dups, packing, quality_model, quality_rules, token_counts, toxicity, warc
 
 #: Longer documents are over the limit of a context.
 TOKEN_LIMIT = 4096
@@ -179,6 +179,27 @@ from rows join (select key as top, digest from tops) t on top = rows.g join ends
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) as piece from documents
+), w as (select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') as words from pieces),
+grams as (select lang, words[i:i + k - 1] as words, k from w, range(1, 5) s(k), unnest(range(1, len(words) - k + 2)) t(i)),
+f as (select lang, words, k, count(*) as f from grams group by all),
+c as (select lang, words, k, f as a from f where k > 1 and f >= 30),
+cuts as (select c.lang, c.words, a, t.cut, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score from c, range(1, 4) t(cut) join f l on l.lang = c.lang and l.words = c.words[1:t.cut] join f r on r.lang = c.lang and r.words = c.words[t.cut + 1:] where t.cut < c.k),
+best as (select *, row_number() over (partition by lang, words order by score, cut) as nth from cuts),
+parts as (select lang, c.words[i:i + n - 1] as words, max(a) as longest from c, range(2, 4) s(n), unnest(range(1, len(c.words) - n + 2)) t(i) where n < c.k group by all),
+kept as (select b.lang, array_to_string(b.words, ' ') as phrase, a, l, r, score from best b left join parts p on p.lang = b.lang and p.words = b.words where nth = 1 and not coalesce(100 * longest >= 80 * a, false)),
+ordered as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept),
+n as (select lang, sum(f) as n from f where k = 1 group by 1)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ordered join n using (lang) where rank <= 2000
+"""
+
+
 def op13_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dups.duplicate_groups(spark, _table(spark, sf_dir, "documents"))
 
@@ -202,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_model": op10_quality_model,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_collocations": op12_collocations,
     "op13_exact_dups": op13_exact_dups,
 }
 
@@ -210,5 +232,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op11_merkle_manifest": _op11_sql(),
+    "op12_collocations": OP12_SQL,
     "op13_exact_dups": OP13_SQL,
 }
