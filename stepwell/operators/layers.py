@@ -1,10 +1,9 @@
 """Similarity of layer representations: linear CKA and RSA distance.
 
-Activations are rows (layer, stream, sample_id, vec).  Three forms: relational
-(Gram cells by an equi-join on sample pairs within a layer, double centring by
-aggregates) for the cells themselves; sums of products of dimensions, which form
-no pair of rows, for the metrics of whole layers; and the same sums in one Arrow
-call per pair of aligned layers for probe sets.
+Activations are rows (layer, stream, sample_id, vec).  The cells of Gram matrices
+are in ``gram``, as tiles.  Here the metrics of whole layers come from sums of
+products of dimensions, which form no pair of rows, and those of probe sets from
+the same sums in one Arrow call per pair of aligned layers.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
@@ -27,10 +26,6 @@ def align_layers(spark: SparkSession, n_source: int, n_target: int) -> DataFrame
     return spark.range(n_source).select(F.col("id").cast("int").alias("source_layer"), target.cast("int").alias("target_layer"))
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def mean_pool(tokens: DataFrame, *keys: str) -> DataFrame:
     """Mean vector per group of token rows (vec)."""
     long = tokens.select(*keys, F.posexplode("vec").alias("i", "x"))
@@ -38,36 +33,6 @@ def mean_pool(tokens: DataFrame, *keys: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
 
 
-def centered_gram(vectors: DataFrame, *keys: str) -> DataFrame:
-    """(keys, i, j, k) of the doubly centred Gram matrix of each group's vectors."""
-    a = vectors.select(*keys, F.col("sample_id").alias("i"), F.col("vec").alias("x"))
-    b = vectors.select(*keys, F.col("sample_id").alias("j"), F.col("vec").alias("y"))
-    gram = a.join(b, list(keys)).select(*keys, "i", "j", dot(F.col("x"), F.col("y")).alias("g"))
-    over = lambda *c: F.avg("g").over(Window.partitionBy(*keys, *c))
-    return gram.select(*keys, "i", "j", (F.col("g") - over("i") - over("j") + over()).alias("k"))
-
-
-def cka_from_grams(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
-    """CKA of two centred Gram tables per group; 0 where the denominator vanishes."""
-    both = x.withColumnRenamed("k", "kx").join(y.withColumnRenamed("k", "ky"), [*keys, "i", "j"])
-    sums = both.groupBy(*keys).agg(*(F.sum(F.col(a) * F.col(b)).alias(n) for n, a, b in (("xy", "kx", "ky"), ("xx", "kx", "kx"), ("yy", "ky", "ky"))))
-    below = F.sqrt(F.col("xx") * F.col("yy"))
-    return sums.select(*keys, F.when(below < EPSILON, 0.0).otherwise(F.try_divide("xy", below)).alias("cka"))
-
-
-def rsa_distance(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
-    """1 - cosine of the upper triangles of both cosine-similarity matrices; 0 where a norm vanishes."""
-
-    def triangle(vectors: DataFrame, name: str) -> DataFrame:
-        unit = vectors.select(*keys, "sample_id", "vec", F.greatest(F.sqrt(dot(F.col("vec"), F.col("vec"))), F.lit(EPSILON)).alias("norm"))
-        a, b = (unit.select(*keys, F.col("sample_id").alias(i), F.col("vec").alias(f"v{i}"), F.col("norm").alias(f"n{i}")) for i in ("i", "j"))
-        return a.join(b, list(keys)).where("i < j").select(*keys, "i", "j", (dot(F.col("vi"), F.col("vj")) / (F.col("ni") * F.col("nj"))).alias(name))
-
-    sums = triangle(x, "s").join(triangle(y, "t"), [*keys, "i", "j"]).groupBy(*keys).agg(*(F.sum(F.col(a) * F.col(b)).alias(n) for n, a, b in (("st", "s", "t"), ("ss", "s", "s"), ("tt", "t", "t"))))
-    below = F.sqrt(F.col("ss")) * F.sqrt(F.col("tt"))
-    return sums.select(*keys, F.when(below < EPSILON, 0.0).otherwise(1 - F.try_divide("st", below)).alias("cosine_distance"))
-
-
 def _sides(x: np.ndarray, y: np.ndarray, least: int) -> tuple[float, float]:
     if len(x) != len(y) or len(x) < least:
         raise ValueError(f"{least} or more samples, as many on both sides, are needed")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
-from ..operators import checker, joins, layers, metrics, prepare, reports, sampling
+from ..operators import checker, gram, joins, layers, metrics, prepare, reports, sampling
 from ..streaming import episodes, events
 from . import jobs, runs
 from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
@@ -381,9 +381,48 @@ def similarity_all_rows(spark, sf_dir):
 
 @query(f"with {_LAYERS_SQL} select layer::int as layer, round(sum(kx * kx), 3) as norm from k group by 1")
 def centered_gram_norm(spark, sf_dir):
-    """The cells of the centred Gram matrices themselves, whose number is the square of a layer's probes."""
-    x = activations(spark, sf_dir, 1, 32)
-    return _rounded(layers.centered_gram(x, "layer").groupBy("layer").agg(F.sum(F.col("k") * F.col("k")).alias("norm")), "norm", digits=3)
+    """Sums over the cells of the centred Gram matrices, whose number is the square of a layer's probes, tile by tile."""
+    return _rounded(gram.centered_norm(_probes(spark, sf_dir), "layer"), "norm", digits=3)
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("layer"), F.col("vec_id").alias("sample_id"), F.slice("embedding", 1, 32).alias("vec"))
+
+
+@query("""with p as (select label::int as layer, vec_id as i, (embedding::double[])[1:32] as x from embeddings),
+    s as (select a.layer, list_cosine_similarity(a.x, b.x) as s from p a join p b on a.layer = b.layer and a.i < b.i)
+    select layer, count(*)::bigint as n_pairs, round(sum(s), 6) as total, round(sum(s * s), 6) as squares, round(min(s), 6) as least, round(max(s), 6) as most from s group by 1""")
+def gram_triangle(spark, sf_dir):
+    """The pairs i < j of a layer's samples, by their cosine similarity."""
+    return _rounded(gram.triangle_sums(_probes(spark, sf_dir), "layer"), "total", "squares", "least", "most", digits=6)
+
+
+@query("""with p as (select label::int as layer, vec_id as i, (embedding::double[])[1:32] as x from embeddings),
+    s as (select a.layer, a.i, b.i as j, list_cosine_similarity(a.x, b.x) as s from p a join p b on a.layer = b.layer and a.i < b.i)
+    select layer, i, j, round(s, 6) as s from s qualify row_number() over (partition by layer order by round(s, 6) desc, i, j) = 1""")
+def closest_pair(spark, sf_dir):
+    """The two most similar samples of each layer, out of all cells above the diagonal."""
+    cells = _rounded(gram.triangle(_probes(spark, sf_dir), "layer"), "s", digits=6)
+    best = cells.groupBy("layer").agg(F.min_by(F.struct("i", "j", "s"), F.struct(F.negative("s"), "i", "j")).alias("c"))
+    return best.select("layer", "c.i", "c.j", "c.s")
+
+
+@query("""with p as (select label::int as layer, vec_id as i, (embedding::double[])[1:32] as x from embeddings),
+    g as (select layer, a.i, b.i as j, list_inner_product(a.x, b.x) as g from p a join p b using (layer)),
+    k as (select layer, i, g - avg(g) over (partition by layer, i) - avg(g) over (partition by layer, j) + avg(g) over (partition by layer) as k from g)
+    select layer, i as sample_id, round(sum(abs(k)), 6) as row_total from k group by 1, 2""")
+def centered_gram_rows(spark, sf_dir):
+    """The cells of each row of the doubly centred matrix."""
+    cells = gram.centered_gram(_probes(spark, sf_dir), "layer")
+    return _rounded(cells.groupBy("layer", F.col("i").alias("sample_id")).agg(F.sum(F.abs("k")).alias("row_total")), "row_total", digits=6)
+
+
+@query(f"with {_LAYERS_SQL} select layer::int as layer, cka, cosine_distance from m")
+def similarity_by_tiles(spark, sf_dir):
+    """Both metrics from the cells of both sides' matrices, tile by tile."""
+    side = lambda start: F.slice("embedding", start, 32)
+    pairs = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("layer"), F.col("vec_id").alias("sample_id"), side(1).alias("x"), side(33).alias("y"))
+    return _rounded(gram.cka_by_tiles(pairs, "layer").join(gram.rsa_by_tiles(pairs, "layer"), "layer"), "cka", "cosine_distance", digits=6)
 
 
 @query("""with v as (select label, embedding::double[] as e, row_number() over (partition by label order by vec_id) as i from embeddings),
