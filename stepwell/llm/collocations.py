@@ -10,9 +10,10 @@ counted per language.
    range of cells; a range is added up in one small array.  The count of a cell is
    an upper bound of the count of each phrase in it.
 2. Candidates.  Cells of MIN_COUNT or more go into a Bloom filter of fixed size.  A
-   second pass over the texts gives the distinct phrases that pass it, and a join
-   with the cells themselves drops what the filter let through by chance.  No
-   phrase of MIN_COUNT occurrences is lost.
+   second pass over the texts gives the distinct phrases that pass it, sent as
+   compressed runs of a range of cells; where the runs of a range meet, its heavy
+   cells drop what the filter let through by chance.  No phrase of MIN_COUNT
+   occurrences is lost.
 3. Automata.  Candidates, and the first and last word of each, are dealt by hash
    into blocks of about BLOCK_PATTERN_BYTES.  A block is broadcast and compiled
    into one pyahocorasick automaton for each language; patterns carry a blank at
@@ -35,10 +36,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import operator
+import pickle
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -65,7 +69,7 @@ CELLS_PER_BYTE = 2
 RANGE_BITS = 22
 GATHER = 4_000_000
 FILTER_BITS = 26
-BLOCK_PATTERN_BYTES = 3 << 20
+BLOCK_PATTERN_BYTES = 6 << 20
 BLOCK_TEXT_BYTES = 2_000_000
 LONG_WORD = 64
 RANK_BUCKETS = 64
@@ -186,17 +190,71 @@ def _token(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD and word[:1] != bytes([_MARK]) else bytes([_MARK]) + hashlib.blake2b(word, digest_size=20).hexdigest().encode()
 
 
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of each stretch, each followed by a line break."""
+    length = end - begin
+    to = np.cumsum(length + 1) - length - 1
+    out = np.full(int(length.sum()) + len(length), 0x0A, np.uint8)
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(to, length) + step] = data[np.repeat(begin, length) + step]
+    return out
+
+
+@dataclass
+class Found:
+    """Phrases of a language that a task has found in heavy cells: cells, patterns and, where they differ, phrases."""
+
+    cells: list[np.ndarray] = field(default_factory=list)
+    lines: list[bytes] = field(default_factory=list)
+    odd: dict[bytes, bytes] = field(default_factory=dict)
+
+    def add(self, words: Words, data: np.ndarray, at: np.ndarray, n: int, cells: np.ndarray) -> None:
+        size = words.end - words.start
+        plain = (size <= LONG_WORD) & (data[words.start] != _MARK)
+        tied = np.zeros(len(size), bool)  # a blank alone follows, and then the next word
+        tied[:-1] = (words.start[1:] - words.end[:-1] == 1) & (data[words.end[:-1]] == 0x20)
+        easy = plain[at]
+        for k in range(1, n):
+            easy &= tied[at + k - 1] & plain[at + k]
+        self.cells += [cells[easy], cells[~easy]]
+        self.lines.append(_slices(data, words.start[at[easy]], words.end[at[easy] + n - 1]).tobytes())
+        for i in at[~easy]:
+            own = [data[a:b].tobytes() for a, b in zip(words.start[i : i + n], words.end[i : i + n])]
+            phrase, pattern = b" ".join(own), b" ".join(map(_token, own))
+            self.lines.append(pattern + b"\n")
+            if phrase != pattern:
+                self.odd[pattern] = phrase
+
+    def runs(self, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(range, run, odd) of the phrases of each range of two to the power of ``bits`` cells: a run is (size, cells in the range, patterns)."""
+        cells = np.concatenate(self.cells)
+        patterns_ = pa.array(b"".join(self.lines).split(b"\n")[:-1], pa.binary())
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        where = cells >> bits
+        edges = np.flatnonzero(np.diff(where, prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:]):
+            own = patterns_.take(pa.array(order[a:b])).to_pylist()
+            low = (cells[a:b] & ((1 << bits) - 1)).astype("<u4").tobytes()
+            odd = [x for pattern in own if pattern in self.odd for x in (pattern, self.odd[pattern])]
+            yield int(where[a]), pickle.dumps((b - a, pa.compress(low + b"\n".join(own), codec="zstd", asbytes=True), 4 * (b - a) + sum(map(len, own)) + b - a - 1)), b"\n".join(odd)
+
+
 def candidates(spark: SparkSession, texts: DataFrame, heavy: DataFrame, bits: int) -> DataFrame:
-    """(lang, pattern, phrase) of the distinct phrases in heavy cells; phrase is null where it is the pattern."""
+    """(lang, pattern, phrase) of the distinct phrases in heavy cells; phrase is null where it is the pattern.
+
+    Tasks send the phrases that they find as one compressed run for each range of
+    cells and language; a range's runs meet its heavy cells and become one set.
+    """
     cells = IdFilter(heavy, "cell", FILTER_BITS)
     shared = cells.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Table()  # hash of a phrase to a second hash: one that has both was given before
+        found: dict[str, Found] = collections.defaultdict(Found)
         for lang, data, offsets in _by_lang(batches):
             words, piece = _pieces(data, offsets)
             first, second = (list(_phrases(lang, words.hashes(seed=s), piece)) for s in (0, 1 << 40))
-            found: list[tuple[int, bytes, bytes | None]] = []
             for (n, at, h), (_, _, check) in zip(first, second):
                 cell = (h >> np.uint64(64 - bits)).astype(np.int64)
                 on = np.flatnonzero(in_filter(shared.value, cell))
@@ -209,17 +267,34 @@ def candidates(spark: SparkSession, texts: DataFrame, heavy: DataFrame, bits: in
                 fresh = np.flatnonzero(known < 0)
                 fresh = fresh[np.unique(h[on[fresh]], return_index=True)[1]]
                 seen.put(h[on[fresh]], mark[fresh])
-                for i, k in zip(at[on[known != mark]], cell[on[known != mark]]):
-                    own = [data[a:b].tobytes() for a, b in zip(words.start[i : i + n], words.end[i : i + n])]
-                    phrase, pattern = b" ".join(own), b" ".join(map(_token, own))
-                    found.append((int(k), pattern, phrase if phrase != pattern else None))
-            if found:
-                cell, pattern, phrase = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(cell, pa.int64()), pa.array(pattern).cast(pa.string()), pa.array(phrase, pa.binary()).cast(pa.string())], names=["lang", "cell", "pattern", "phrase"])
+                on = on[known != mark]
+                if len(on):
+                    found[lang].add(words, data, at[on], n, cell[on])
+        for lang, own in found.items():
+            for where, content, odd in own.runs(RANGE_BITS):
+                yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([lang]), pa.array([content], pa.binary()), pa.array([odd], pa.binary())], names=["range", "lang", "run", "odd"])
+        seen = found = None
         release_memory()
 
-    found = texts.mapInArrow(run, "lang string, cell long, pattern string, phrase string").groupBy("lang", "cell", "pattern").agg(F.max("phrase").alias("phrase"))
-    out = stage(spark, found.join(heavy, "cell", "left_semi").select("lang", "pattern", "phrase"), "candidates")
+    def merge(key: tuple, runs: pa.Table, own: pa.Table) -> pa.Table:
+        full = np.sort(own["cell"].to_numpy()) & ((1 << RANGE_BITS) - 1)
+        every: dict[str, set[bytes]] = collections.defaultdict(set)
+        phrases: dict[tuple[str, bytes], bytes] = {}
+        for row in runs.to_pylist():
+            size, content, length = pickle.loads(row["run"])
+            plain = pa.decompress(content, length, codec="zstd", asbytes=True)
+            on = np.isin(np.frombuffer(plain[: 4 * size], "<u4"), full)
+            every[row["lang"]].update(itertools.compress(plain[4 * size :].split(b"\n"), on.tolist()))
+            odd = row["odd"].split(b"\n") if row["odd"] else []
+            phrases.update({(row["lang"], p): x for p, x in zip(odd[::2], odd[1::2])})
+        lang = [x for x, own_ in every.items() for _ in own_]
+        pattern = [p for own_ in every.values() for p in own_]
+        phrase = [phrases.get(x) for x in zip(lang, pattern)]
+        return pa.table({"lang": pa.array(lang, pa.string()), "pattern": pa.array(pattern, pa.binary()).cast(pa.string()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string())})
+
+    found = texts.mapInArrow(run, "range long, lang string, run binary, odd binary").groupBy("range")
+    full = heavy.select(F.shiftright("cell", RANGE_BITS).alias("range"), "cell").groupBy("range")
+    out = stage(spark, found.cogroup(full).applyInArrow(merge, "lang string, pattern string, phrase string"), "candidates")
     cells.destroy()
     return out
 
@@ -263,15 +338,15 @@ def guarded(data: np.ndarray, offsets: np.ndarray) -> str:
 _compiled: tuple[str, dict] = ("", {})
 
 
-def automata(key: str, block: dict[str, list[tuple[int, str]]]) -> dict[str, ahocorasick.Automaton]:
-    """An automaton for each language of a block, kept by a worker until the next block."""
+def automata(key: str, block: dict[str, tuple[np.ndarray, str]]) -> dict[str, ahocorasick.Automaton]:
+    """An automaton for each language of a block (ids, patterns by line), kept by a worker until the next block."""
     global _compiled
     if _compiled[0] != key:
         _compiled = ("", {})
         made = {}
-        for lang, own in block.items():
+        for lang, (_, lines) in block.items():
             made[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k, (_, pattern) in enumerate(own):
+            for k, pattern in enumerate(lines.split("\n")):
                 made[lang].add_word(f" {pattern} ", k)
             made[lang].make_automaton()
         _compiled = (key, made)
@@ -287,9 +362,11 @@ def pattern_counts(spark: SparkSession, texts: DataFrame, listed: DataFrame, n_b
     """(id, f) of every pattern that occurs: one pass over the texts for each block of patterns."""
     out = None
     for k in range(n_blocks):
-        block: dict[str, list[tuple[int, str]]] = {}
-        for row in listed.where(F.col("block") == k).select("id", "lang", "pattern").toArrow().to_pylist():
-            block.setdefault(row["lang"], []).append((row["id"], row["pattern"]))
+        rows = listed.where(F.col("block") == k).select("id", "lang", "pattern").toArrow()
+        block = {}
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            own = rows.filter(pc.equal(rows["lang"], lang))
+            block[lang] = own["id"].to_numpy(), "\n".join(own["pattern"].to_pylist())
         shared = spark.sparkContext.broadcast(block)
         name = uuid.uuid4().hex
 
@@ -301,12 +378,11 @@ def pattern_counts(spark: SparkSession, texts: DataFrame, listed: DataFrame, n_b
                 if lang in machines:
                     counted = matches(machines[lang], guarded(data, offsets))
                     if counted:
-                        n = total.setdefault(lang, np.zeros(len(own[lang]), np.int64))
+                        n = total.setdefault(lang, np.zeros(len(own[lang][0]), np.int64))
                         n[np.fromiter(counted.keys(), np.int64, len(counted))] += np.fromiter(counted.values(), np.int64, len(counted))
             for lang, n in total.items():
                 on = np.flatnonzero(n)
-                ids = np.array([i for i, _ in own[lang]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(n[on])], names=["id", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[lang][0][on]), pa.array(n[on])], names=["id", "f"])
             release_memory()
 
         counted = stage(spark, texts.mapInArrow(run, "id long, f long").groupBy("id").agg(F.sum("f").alias("f")), "pattern-counts")

@@ -219,7 +219,7 @@ def test_guarded_texts_match_whole_words(texts):
         for words in plain_pieces(text):
             for k in range(1, 4):
                 f.update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
-    machine = collocations.automata(repr(list(f)), {"l": list(enumerate(f))})["l"] if f else None
+    machine = collocations.automata(repr(list(f)), {"l": (np.arange(len(f)), "\n".join(f))})["l"] if f else None
     for _, _, data, offsets in blocks(pa.array(texts, pa.string())):
         text = collocations.guarded(data, offsets)
         assert {list(f)[k]: n for k, n in collocations.matches(machine, text).items()} == f if f else text == ""
