@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
 from ..operators import checker, gram, joins, layers, metrics, prepare, reports, sampling
+from ..sources import shared
+from ..streaming import attempts as in_order
 from ..streaming import episodes, events
 from . import jobs, runs
 from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
@@ -92,6 +94,29 @@ def truncate_at_first_failure(spark, sf_dir):
     return kept.groupBy("task_key").agg(F.count("*").alias("n_attempted"))
 
 
+_ATTEMPTS = """a as (select l_orderkey as task_key, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice, l_quantity, l_discount) - 1 as attempt, l_returnflag = 'R' as failed from lineitem where l_orderkey in (select o_orderkey from orders)),
+    s as (select *, coalesce(sum((not failed)::int) over (partition by task_key order by attempt rows between unbounded preceding and 1 preceding), 0) as step from a),
+    t as (select *, row_number() over (partition by task_key, step order by attempt) as nth from s),
+    e as (select *, failed and nth > {retries} as ends from t), c as (select *, coalesce(sum(ends::int) over (partition by task_key order by attempt rows between unbounded preceding and 1 preceding), 0) as ended from e)
+    select task_key, attempt::int as attempt, step::int as step, failed, case when ends then 'failed' end as outcome from c where ended = 0"""
+
+
+@query(f"with {_ATTEMPTS.format(retries=1)}")
+def attempt_steps(spark, sf_dir):
+    """The step each attempt is at, with one retry of a step, as one table."""
+    return in_order.in_order_batch(attempts(spark, sf_dir).withColumnRenamed("step_index", "attempt"), 1)
+
+
+@query(f"with k as (with {_ATTEMPTS.format(retries=0)}) select task_key, count(*)::bigint as n_attempted from k group by 1")
+def attempts_stream(spark, sf_dir):
+    """The same log as a stream of shuffled files, where attempts of a task arrive in any order, cut at the first failure."""
+    log = attempts(spark, sf_dir).select("task_key", F.col("step_index").alias("attempt"), "failed", F.timestamp_seconds(F.lit(10**9)).alias("ts"))
+    folder = shared.new_folder(spark, "attempts")
+    log.repartition(4, F.xxhash64("task_key", "attempt")).write.parquet(f"{folder}/in")
+    kept = in_order.replay(spark, f"{folder}/in", log.schema, f"{folder}/out", f"{folder}/state", files_per_trigger=2)
+    return kept.groupBy("task_key").agg(F.count("*").alias("n_attempted"))
+
+
 # Corpus preparation.
 
 _CHATS_SQL = """e as (select event_id as source_index, event_type, json_extract(props, '$.k')::bigint as k, event_id % 10 as m from events),
