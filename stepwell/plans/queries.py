@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
 from ..operators import checker, gram, joins, layers, metrics, prepare, reports, sampling
-from ..sources import shared
+from ..sources import json_arrays, readers, shared, writers
 from ..streaming import attempts as in_order
 from ..streaming import episodes, events
 from . import jobs, runs
@@ -594,6 +594,37 @@ def parse_jobs(spark, sf_dir):
     return jobs.parse_jobs(spec, ["seed", "condition"])
 
 
+# Files.
+
+
+@query("select event_id, event_type, user_id, round(value, 9) as value, props, event_type || ' \"[,' || chr(92) || '{' || event_id as note from events")
+def json_array_files(spark, sf_dir):
+    """Arrays that tasks write, read back by ranges that cut elements and strings anywhere."""
+    note = F.concat("event_type", F.lit(' "[,\\{'), F.col("event_id").cast("string"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value", "props", note.alias("note"))
+    folder = shared.new_folder(spark, "arrays")
+    json_arrays.write_json_arrays(e.repartition(3, "event_id"), folder)
+    back = json_arrays.read_json_arrays(spark, f"{folder}/*.json", "event_id bigint, event_type string, user_id bigint, value double, props string, note string", 65_537)
+    return _rounded(back.drop("file", "at"), "value")
+
+
+@query("select event_id::varchar as id, event_type || chr(10) || 'k' as user_message, case when event_id % 4 = 1 then 'last' else 'first' end || event_id as truth from events where event_id % 3 <> 0 and event_id % 5 <> 0")
+def examples_from_files(spark, sf_dir):
+    """Questions and answers as two files of lines: some have no answer, some two truths, some a later answer that wins."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("id"), "event_type")
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    turns = F.array(F.array(message("system", F.lit("s")), message("user", F.col("event_type"))), F.array(message("user", F.lit("k"))))
+    function = F.array(F.struct(F.col("event_type").alias("name"), F.lit("d").alias("description"), F.struct(F.lit(1).alias("x")).alias("parameters")))
+    folder = shared.new_folder(spark, "examples")
+    writers.write_jsonl(e.select("id", turns.alias("question"), function.alias("function")), f"{folder}/questions")
+    truth = lambda name: F.concat(F.lit(name), "id")
+    first = e.where("event_id % 3 <> 0").select("id", F.when(F.col("event_id") % 5 == 0, F.array(truth("a"), truth("b"))).otherwise(F.array(truth("first"))).alias("ground_truth"))
+    again = e.where("event_id % 3 <> 0 and event_id % 5 <> 0 and event_id % 4 = 1").select("id", F.array(truth("last")).alias("ground_truth"))
+    writers.write_jsonl(first, f"{folder}/answers/a")
+    writers.write_jsonl(again, f"{folder}/answers/b")
+    return readers.read_examples(spark, f"{folder}/questions", f"{folder}/answers/*").select("id", "user_message", "truth")
+
+
 # Event time (an addition).
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DEFAULT_TASK_SET, PREPARED, RESULT, STEP
+from ..operators import checker
+from ..schemas import BFCL_ANSWER, BFCL_QUESTION, DEFAULT_TASK_SET, PREPARED, RESULT, STEP
+from . import json_arrays
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -20,8 +22,18 @@ def jsonl_of_text(texts: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def read_json_arrays(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Files that hold one JSON array each, with the file a row came from."""
-    return spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("file", F.input_file_name())
+    """Files that hold one JSON array each, read by byte ranges, with the file a row came from."""
+    return json_arrays.read_json_arrays(spark, glob, schema).drop("at")
+
+
+def read_examples(spark: SparkSession, questions: str, answers: str) -> DataFrame:
+    """Benchmark questions with their ground truth, from two files of JSON lines joined by id; later lines win.
+
+    A line's place in its file is its order; lines that are no JSON have no id and meet nothing.
+    """
+    lines = lambda path, schema: spark.read.text(path).select(F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"), F.from_json("value", schema).alias("r")).select("r.*", "ord").where("id is not null")
+    asked = lines(questions, BFCL_QUESTION)
+    return checker.join_examples(asked.drop("ord"), lines(answers, BFCL_ANSWER))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
