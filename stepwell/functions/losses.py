@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IGNORED = -100
-
+from .numbers import let
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used (also inside a lambda)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+IGNORED = -100
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Linear in the vocabulary: the largest logit and the sum of exponentials are bound once per row."""
     scaled = F.transform(logits, lambda v: v.cast("double") / temperature)
     total = lambda p: F.log(F.aggregate(p["z"], F.lit(0.0), lambda acc, v: acc + F.exp(v - p["top"])))
-    shifted = lambda p: _let(p["top"] + total(p), lambda low: F.transform(p["z"], lambda v: v - low))
-    return _let(scaled, lambda z: _let(F.struct(z.alias("z"), F.array_max(z).alias("top")), shifted))
+    shifted = lambda p: let(p["top"] + total(p), lambda low: F.transform(p["z"], lambda v: v - low))
+    return let(scaled, lambda z: let(F.struct(z.alias("z"), F.array_max(z).alias("top")), shifted))
 
 
 def kd_divergence(student: Column, teacher: Column, temperature: float) -> Column:
@@ -30,7 +27,7 @@ def kd_divergence(student: Column, teacher: Column, temperature: float) -> Colum
 def cross_entropy(logits: Column, label: Column, smoothing: float = 0.0) -> Column:
     """Negative log likelihood of a label, smoothed over the vocabulary; null where the label is ignored."""
     mean = lambda p: F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v) / F.size(p)
-    loss = _let(log_softmax(logits), lambda p: -(1 - smoothing) * F.get(p, label.cast("int")) - smoothing * mean(p))
+    loss = let(log_softmax(logits), lambda p: -(1 - smoothing) * F.get(p, label.cast("int")) - smoothing * mean(p))
     return F.when(label != IGNORED, loss)
 
 

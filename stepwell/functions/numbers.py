@@ -7,6 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used (also inside a lambda)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def py_round(value: Column, digits: int) -> Column:
     """``round(value, digits)`` of the exact binary value, half to even.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import parse_output
-from ..functions.values import call_accepted_col
+from ..functions.parsing import answer
+from ..functions.values import accepted
 from .sampling import last_wins
 
 
@@ -30,9 +30,8 @@ def build_prompt(functions: Column, user_message: Column) -> Column:
 
 def score_calls(outputs: DataFrame, condition: Column, category: Column) -> DataFrame:
     """One flat row per (id, output, truth)."""
-    parsed = outputs.withColumn("p", parse_output(F.col("output")))
-    call = F.when(F.col("p.kind") == "call", F.concat(F.lit('{"name": '), F.to_json(F.array("p.name")).substr(F.lit(2), F.length(F.to_json(F.array("p.name"))) - 2), F.lit(', "arguments": '), F.col("p.arguments"), F.lit("}")))
-    ok = F.coalesce(call_accepted_col(call, F.col("truth")), F.lit(False))
+    parsed = outputs.select("id", answer(F.col("output")).alias("p"), F.try_parse_json("truth").alias("t"))
+    ok = F.coalesce((F.col("p.kind") == "call") & F.col("t").isNotNull() & accepted(F.col("p.value"), F.col("t")), F.lit(False))
     return parsed.select(
         condition.alias("condition"), F.concat(F.lit("bfcl_"), category).alias("task_set"), F.col("id").alias("task_id"), ok.alias("success"), F.col("p.name").alias("tool_name"),
         F.when(F.col("p.kind") == "malformed", "MalformedCallError").alias("error_type"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import strip, word_count
-from ..functions.parsing import find_calls, last_user_before
+from ..functions.parsing import ParseCalls, find_calls, last_user_before
 from .sampling import most_common
 
 REASONS = ("parse_error", "zero_calls", "multi_call", "tool_not_selected", "non_canonical_args", "no_user_turn", "empty_user_goal", "ok")
@@ -17,6 +17,11 @@ def parse_corpus(raw: DataFrame) -> DataFrame:
     return raw.select("source_index", "chat", find_calls(F.col("chat")).alias("p")).select("source_index", "chat", "p.calls", "p.error")
 
 
+def call_rows(raw: DataFrame) -> DataFrame:
+    """source_index, nth, name, arguments, arg_keys, style, char_offset, error: a row for each call of each text."""
+    return ParseCalls(raw.select(F.col("source_index").cast("long").alias("source_index"), "chat").asTable())
+
+
 def classify(parsed: DataFrame, tools: DataFrame) -> DataFrame:
     """Adds reason (the first that applies) and the record's columns.
 
@@ -47,9 +52,9 @@ def records(classified: DataFrame) -> DataFrame:
     )
 
 
-def tool_frequency(parsed: DataFrame) -> DataFrame:
-    """How often each tool is called, over all calls of all rows that parse."""
-    return parsed.select("source_index", F.explode("calls").alias("c")).groupBy(F.col("c.name").alias("tool")).agg(F.count("*").alias("n"), F.min("source_index").alias("first_seen"))
+def tool_frequency(calls: DataFrame) -> DataFrame:
+    """How often each tool is called, over all calls (``call_rows``) of all rows that parse."""
+    return calls.where("error is null").groupBy(F.col("name").alias("tool")).agg(F.count("*").alias("n"), F.min("source_index").alias("first_seen"))
 
 
 def reason_counts(classified: DataFrame) -> DataFrame:

@@ -126,9 +126,8 @@ r as (select *, case when m = 2 then 'parse_error' when m = 0 then 'zero_calls'
 
 @query("with e as (select event_id as source_index, event_type, json_extract(props, '$.k')::bigint as k, event_id % 10 as m from events) select source_index, event_type as name, case when m = 5 then null else k end as k, case when m = 5 then 'raw_object' else 'string_single_quoted' end as style from e, range(case when m = 1 then 2 when m in (0, 2) then 0 else 1 end)")
 def parse_calls(spark, sf_dir):
-    parsed = prepare.parse_corpus(raw_chats(spark, sf_dir))
-    one = parsed.select("source_index", F.explode("calls").alias("c"))
-    return one.select("source_index", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.k").cast("long").alias("k"), F.col("c.style").alias("style"))
+    calls = prepare.call_rows(raw_chats(spark, sf_dir)).where("error is null")
+    return calls.select("source_index", "name", F.get_json_object("arguments", "$.k").cast("long").alias("k"), "style")
 
 
 def _classified(spark, sf_dir):
@@ -149,7 +148,7 @@ def prepared_records(spark, sf_dir):
 
 @query(f"with {_CHATS_SQL}, c as (select * from e, range(case when m = 1 then 2 when m in (0, 2) then 0 else 1 end)) select event_type as tool, count(*)::bigint as n, min(source_index) as first_seen from c group by 1 order by n desc, first_seen limit 40")
 def tool_frequency_top40(spark, sf_dir):
-    counted = prepare.tool_frequency(prepare.parse_corpus(raw_chats(spark, sf_dir)))
+    counted = prepare.tool_frequency(prepare.call_rows(raw_chats(spark, sf_dir)))
     return counted.orderBy(F.desc("n"), "first_seen").limit(40)
 
 

@@ -1,7 +1,10 @@
+import pyarrow as pa
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stepwell.functions.parsing import calls_in, last_user_before, parse_output
+from stepwell.functions.parsing import calls_in, last_user_before, parse_output, scan
 from stepwell.operators import prepare
 
 
@@ -41,6 +44,28 @@ def test_tags_and_quotes_inside_a_block():
     assert quoted[0]["name"] == r"a\"b"
 
 
+PIECES = ["<functioncall>", "<function", "call> ", " ", "\u00a0", "\x1c", "é", "{", "}", "}}", '{"name": "f"}', '{"name": "g", "arguments": {"x": "{}"}}', """{"name": "h", "arguments": '{"a": 1}'}""", "text"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=8).map("".join) | st.none(), max_size=5))
+@example(["<function", "call> {}"])
+@example(["<functioncall> {", '"name": "a"}'])
+def test_a_batch_is_read_like_its_texts(texts):
+    calls, errors = scan(pa.array(texts, pa.string()))
+    assert [{"calls": c, "error": e} for c, e in zip(calls, errors)] == [calls_in(t) for t in texts]
+    sliced = pa.array(["x", *texts, "y"], pa.string())[1:-1]
+    assert scan(sliced) == (calls, errors)
+
+
+def test_table_function_has_a_row_for_each_call(spark):
+    chats = [None, "none", '<functioncall> {"name": "a"} é <functioncall> {"name": "b", "arguments": {"z": 1, "y": 2}}', "<functioncall> {"]
+    raw = spark.createDataFrame(list(enumerate(chats)), "source_index int, chat string").repartition(2)
+    got = sorted(tuple(r) for r in prepare.call_rows(raw).select("source_index", "nth", "name", "arg_keys", "char_offset", "error").collect() if r["error"] is None)
+    assert got == [(2, 0, "a", [], 0, None), (2, 1, "b", ["y", "z"], 31, None)]
+    assert [tuple(r) for r in prepare.call_rows(raw).where("error is not null").select("source_index", "nth", "error").collect()] == [(3, None, "unbalanced braces")]
+
+
 def test_reasons_in_order(spark):
     call = """<functioncall> {"name": "click", "arguments": '{"k": 1}'}"""
     chats = {
