@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stepwell.llm import collocations, exact_dups, lm_score, merkle, packing, quality_rules
+from stepwell.llm import collocations, decontaminate, exact_dups, lm_score, merkle, packing, quality_rules
 from stepwell.llm.queries import vocabulary
 from stepwell.llm.text import blocks, words_of
 
@@ -271,3 +271,70 @@ def test_one_row_of_equal_texts_stays(spark):
     assert left.columns == docs.columns
     bodies = [re.sub("[ \t-\r]", "", r["text"] or "") for r in left.collect()]
     assert sorted(bodies) == sorted({re.sub("[ \t-\r]", "", t or "") for _, t in rows})
+
+
+# 4. Decontamination with words that are drawn as in prose
+
+
+def zipf_block(n_items, n_words, n_docs, seed=0):
+    rng = np.random.default_rng(seed)
+    weight = 1 / np.arange(1, 20_001)
+    draw = lambda n: " ".join(f"w{k}" for k in rng.choice(20_000, n, p=weight / weight.sum()))
+    items, texts = [draw(n_words) for _ in range(n_items)], [draw(500) for _ in range(n_docs)]
+    known = decontaminate.windows_of(decontaminate.items_of(items))
+    counts, total = np.zeros(len(known), np.int64), 0
+    for _, _, data, offsets in blocks(pa.array(texts)):
+        words, hashes = decontaminate._words(data, offsets)
+        total += len(hashes)
+        for size in (1, 2):
+            g = decontaminate.grams(hashes, words.text_of_word(), words.first, size)[1]
+            k = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            counts += np.bincount(k[known[k] == g], minlength=len(known))
+    return items, texts, decontaminate.benchmark_block(list(range(n_items)), items, known, counts, total)
+
+
+def test_common_words_start_few_alignments(monkeypatch):
+    """4,000 items of 12 words: of 160,000 pairs of text and item next to none is aligned alone, and few stretches are scored."""
+    items, texts, block = zipf_block(4000, 12, 40)
+    aligned, scored = [], []
+    align, score = decontaminate.smith_waterman, decontaminate.score_bounds
+    monkeypatch.setattr(decontaminate, "smith_waterman", lambda *a: aligned.append(1) or align(*a))
+    monkeypatch.setattr(decontaminate, "score_bounds", lambda i, p: scored.append(len(i)) or score(i, p))
+    leaky = [f"{texts[0]} {items[7]} {texts[1]}", f"{texts[2]} {items[9].rsplit(' ', 3)[0]} new words"]
+    found = [(i + t, k) for i, _, data, offsets in blocks(pa.array(texts + leaky)) for t, k, *_ in decontaminate.leaks_of_texts(block, data, offsets)]
+    assert set(found) == {(40, 7), (41, 9)}
+    assert len(aligned) <= 10 and sum(scored) < 200 * len(texts)
+
+
+def test_rare_seeds_miss_no_alignment_of_common_words():
+    items, texts, block = zipf_block(60, 14, 10, seed=5)
+    rng = np.random.default_rng(6)
+    edited = []
+    for k, item in enumerate(items):
+        own = item.split()
+        for _ in range(6):
+            new = [w for w in own if rng.random() > 0.15]
+            for at in sorted(rng.integers(0, len(new) + 1, rng.integers(0, 5)), reverse=True):
+                new.insert(at, f"w{rng.integers(50)}")
+            edited.append(" ".join([*texts[k % 10].split()[:30], *new, *texts[(k + 1) % 10].split()[:30]]))
+    number = collections.defaultdict(lambda: len(number))
+    numbers = lambda t: np.array([number[w] for w in t.split()], np.uint64)
+    right = {(t, i) for t, x in enumerate(edited) for i, item in enumerate(items) if decontaminate.smith_waterman(numbers(item), numbers(x))[0] >= decontaminate.MIN_SCORE * decontaminate.MATCH * 14}
+    got = {(i + t, k) for i, _, data, offsets in blocks(pa.array(edited)) for t, k, *_ in decontaminate.leaks_of_texts(block, data, offsets)}
+    assert got == right and len(right) > 200
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 5), min_size=6, max_size=6), min_size=1, max_size=4), st.lists(st.lists(st.integers(1, 5), min_size=1, max_size=15), min_size=4, max_size=4))
+def test_scores_of_many_passages_at_once(items, passages):
+    items, passages = [np.array(x, np.uint64) * 7919 for x in items], [np.array(x, np.uint64) * 7919 for x in passages[: len(items)]]
+    assert decontaminate.score_bounds(items, passages).tolist() == [decontaminate.smith_waterman(a, b)[0] for a, b in zip(items, passages)]
+
+
+def test_counts_of_the_corpus(spark):
+    items = decontaminate.items_of(["a b c", "c a"])
+    known = decontaminate.windows_of(items)
+    docs = spark.createDataFrame([("A b, c c a",), ("b",), (None,), ("x a",)], "text string").repartition(2)
+    counts, total = decontaminate.corpus_counts(spark, docs, known)
+    word = lambda *w: decontaminate._windows(decontaminate.items_of([" ".join(w)])[0], len(w))[0]
+    assert total == 8 and {w: int(counts[np.searchsorted(known, word(*w.split()))]) for w in ("a", "b", "c", "a b", "b c", "c a")} == {"a": 3, "b": 2, "c": 2, "a b": 1, "b c": 1, "c a": 1}
