@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numbers import py_round
+
 Z95 = 1.96
 
 
@@ -53,34 +59,112 @@ def _numbered(df: DataFrame, key: str) -> DataFrame:
     return df.agg(keys.alias("k")).select(F.posexplode("k").alias("i", key))
 
 
+#: Up to so many cells the whole matrix is sent to the tasks; a larger one is joined.
+MAX_CELLS = 1 << 20
+#: Draws that are weighed together.
+DRAWS_TOGETHER = 256
+
+
+def draw_weights(seed: int, draws: np.ndarray, size: int, *tags: str) -> np.ndarray:
+    """How often each of ``size`` keys is drawn in each draw: the counts of ``draw_index`` over as many slots as keys."""
+    out = np.zeros((len(draws), size), np.int64)
+    for row, draw in zip(out, draws.tolist()):
+        head = "|".join([str(seed), *tags, str(draw), ""])
+        for slot in range(size):
+            row[int(hashlib.md5(f"{head}{slot}".encode()).hexdigest()[:8], 16) % size] += 1
+    return out
+
+
+def _order(keys) -> list:
+    """Keys as Spark sorts them."""
+    return sorted(set(keys), key=lambda k: (k is not None, k.encode() if isinstance(k, str) else k))
+
+
+def _over_draws(spark: SparkSession, draws: int, of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(draw, difference) where ``of`` a block of draws gives a numerator and a denominator; draws over nothing are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for k in range(0, len(own), DRAWS_TOGETHER):
+                block = own[k : k + DRAWS_TOGETHER]
+                above, below = of(block)
+                on = np.flatnonzero(below)
+                yield pa.RecordBatch.from_arrays([pa.array(block[on]), pa.array(above[on] / below[on])], names=["draw", "difference"])
+
+    return spark.range(draws).mapInArrow(run, "draw long, difference double")
+
+
 def template_bootstrap(pairs: DataFrame, a: str, b: str, template: str, draws: int, seed: int) -> DataFrame:
     """(draw, difference): templates resampled with replacement, ratio of sums.
 
-    Outcomes are added up per template first, so draws meet a table of templates
-    and not of tasks.
+    Outcomes are added up per template first; a draw is a vector of weights, and all
+    draws of a block are one product of it with the sums.  More than MAX_CELLS
+    templates are joined with their slots instead.
     """
     cells = pairs.groupBy(template).agg(F.sum(F.col(a).cast("double")).alias("a"), F.sum(F.col(b).cast("double")).alias("b"), F.count("*").alias("n"))
+    spark: SparkSession = pairs.sparkSession
+    cells = cells.where(F.col(template).isNotNull())
+    found = cells.limit(MAX_CELLS + 1).collect()
+    if len(found) > MAX_CELLS:
+        return _template_slots(spark, cells, template, draws, seed)
+    at = {t: i for i, t in enumerate(_order(r[template] for r in found))}
+    sums = np.zeros((len(at), 3))
+    for r in found:
+        sums[at[r[template]]] = r["a"] or 0, r["b"] or 0, r["n"]
+
+    def of(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        drawn = draw_weights(seed, block, len(sums)) @ sums
+        return drawn[:, 0] - drawn[:, 1], drawn[:, 2]
+
+    return _over_draws(spark, draws, of)
+
+
+def _template_slots(spark: SparkSession, cells: DataFrame, template: str, draws: int, seed: int) -> DataFrame:
     numbered = _numbered(cells, template).join(cells, template)
     size = cells.agg(F.count("*").alias("size"))
-    spark: SparkSession = pairs.sparkSession
     slots = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(size)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
     drawn = slots.withColumn("i", draw_index(seed, F.col("size"), F.col("draw"), F.col("slot")).cast("int"))
-    return drawn.join(F.broadcast(numbered), "i").groupBy("draw").agg((F.sum("a") / F.sum("n") - F.sum("b") / F.sum("n")).alias("difference"))
+    return drawn.join(numbered, "i").groupBy("draw").agg((F.sum("a") / F.sum("n") - F.sum("b") / F.sum("n")).alias("difference"))
 
 
 def crossed_bootstrap(rows: DataFrame, difference: str, seed_key: str, template: str, draws: int, seed: int) -> DataFrame:
-    """(draw, difference): seeds and templates resampled independently, mean over the present cells."""
-    cells = rows.groupBy(seed_key, template).agg(F.avg(F.col(difference).cast("double")).alias("d"))
+    """(draw, difference): seeds and templates resampled independently, mean over the present cells.
+
+    With the weights u of seeds and v of templates a draw is u D v / u P v, where D
+    has the mean of each cell and P whether there is one: two products for a block of
+    draws, however many slots were drawn.  A matrix of more than MAX_CELLS is joined
+    with the drawn keys instead.
+    """
+    cells = rows.where(F.col(seed_key).isNotNull() & F.col(template).isNotNull()).groupBy(seed_key, template).agg(F.avg(F.col(difference).cast("double")).alias("d"))
     spark: SparkSession = rows.sparkSession
+    size = cells.agg(F.count_distinct(seed_key).alias("s"), F.count_distinct(template).alias("t")).first()
+    if size["s"] * size["t"] > MAX_CELLS:
+        return _crossed_slots(spark, cells, seed_key, template, draws, seed)
+    found = cells.collect()
+    seeds, templates = ({k: i for i, k in enumerate(_order(r[c] for r in found))} for c in (seed_key, template))
+    means, present = np.zeros((len(seeds), len(templates))), np.zeros((len(seeds), len(templates)))
+    for r in found:
+        at = seeds[r[seed_key]], templates[r[template]]
+        if r["d"] is not None:
+            means[at], present[at] = r["d"], 1
+
+    def of(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = draw_weights(seed, block, len(seeds), "seed"), draw_weights(seed, block, len(templates), "template")
+        return ((u @ means) * v).sum(1), ((u @ present) * v).sum(1)
+
+    return _over_draws(spark, draws, of)
+
 
+def _crossed_slots(spark: SparkSession, cells: DataFrame, seed_key: str, template: str, draws: int, seed: int) -> DataFrame:
     def slots(key: str, tag: str) -> DataFrame:
         numbered = _numbered(cells, key)
         size = numbered.agg(F.count("*").alias("size"))
         drawn = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(size)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
         drawn = drawn.withColumn("i", draw_index(seed, F.col("size"), F.lit(tag), F.col("draw"), F.col("slot")).cast("int"))
-        return drawn.join(F.broadcast(numbered), "i").groupBy("draw", key).agg(F.count("*").alias(f"n_{tag}"))
+        return drawn.join(numbered, "i").groupBy("draw", key).agg(F.count("*").alias(f"n_{tag}"))
 
-    met = slots(seed_key, "seed").join(F.broadcast(cells), seed_key).join(slots(template, "template"), ["draw", template])
+    met = slots(seed_key, "seed").join(cells.where("d is not null"), seed_key).join(slots(template, "template"), ["draw", template])
     weight = F.col("n_seed") * F.col("n_template")
     return met.groupBy("draw").agg((F.sum(F.col("d") * weight) / F.sum(weight)).alias("difference"))
 
@@ -103,6 +187,7 @@ def seed_sd(rows: DataFrame, value: str, seed_key: str, *keys: str) -> DataFrame
 
 
 def cell(k: Column, n: Column) -> Column:
-    """'%  (k/n)  [low-high]' of a rate."""
+    """'%  (k/n)  [low-high]' of a rate, with ties of the exact value to even, as Python prints it."""
     w = wilson(k, n)
-    return F.format_string("%5.1f%%  (%d/%d)  [%.1f-%.1f]", F.try_divide(k, n).cast("double") * 100, k, n, (w["center"] - w["half"]) * 100, (w["center"] + w["half"]) * 100)
+    tenth = lambda v: py_round(v * 100, 1)
+    return F.format_string("%5.1f%%  (%d/%d)  [%.1f-%.1f]", tenth(F.try_divide(k, n).cast("double")), k, n, tenth(w["center"] - w["half"]), tenth(w["center"] + w["half"]))

@@ -325,33 +325,66 @@ def mcnemar_exact(spark, sf_dir):
     return _rounded(stats.contrast(p, "quality", "clean", "lang"), "difference", "p")
 
 
-@query("""with p as (select coalesce(source, '') || '-' || coalesce(lang, '') as template, quality::double as a, (1 - toxic)::double as b from labels join documents using (doc_id)),
+_TEMPLATE_DRAWS = """with p as (select coalesce(source, '') || '-' || coalesce(lang, '') as template, quality::double as a, (1 - toxic)::double as b from labels join documents using (doc_id)),
     c as (select template, sum(a) as a, sum(b) as b, count(*) as n, row_number() over (order by template) - 1 as i from p group by 1), z as (select count(*) as size from c),
     d as (select draw, ('0x' || substr(md5('11|' || draw || '|' || slot), 1, 8))::bigint % size as i from range(10000) t(draw), z, range(size) s(slot))
-    select draw::bigint as draw, round(sum(a) / sum(n) - sum(b) / sum(n), 9) as difference from d join c using (i) group by 1""")
-def template_bootstrap(spark, sf_dir):
+    select draw::bigint as draw, round(sum(a) / sum(n) - sum(b) / sum(n), 9) as difference from d join c using (i) group by 1"""
+
+
+def _template_draws(spark, sf_dir):
     p = paired(spark, sf_dir).withColumn("clean", 1 - F.col("toxic"))
-    return _rounded(stats.template_bootstrap(p, "quality", "clean", "template", 10_000, 11), "difference")
+    return stats.template_bootstrap(p, "quality", "clean", "template", 10_000, 11)
 
 
-@query()
+@query(_TEMPLATE_DRAWS)
+def template_bootstrap(spark, sf_dir):
+    return _rounded(_template_draws(spark, sf_dir), "difference")
+
+
+_INTERVAL_SQL = """select round(quantile_cont(difference, 0.025), 6) as low, round(quantile_cont(difference, 0.975), 6) as high,
+    round(least(1.0, 2 * least(avg((difference <= 0)::int), avg((difference >= 0)::int))), 6) as p, round(quantile_cont(difference, 0.95), 6) as upper_bound"""
+
+
+@query(f"with draws as ({_TEMPLATE_DRAWS}) {_INTERVAL_SQL} from draws")
 def bootstrap_interval(spark, sf_dir):
-    p = paired(spark, sf_dir).withColumn("clean", 1 - F.col("toxic"))
-    draws = stats.template_bootstrap(p, "quality", "clean", "template", 10_000, 11)
-    return _rounded(stats.interval(draws), "low", "high", "p", "upper_bound", digits=6)
+    return _rounded(stats.interval(_rounded(_template_draws(spark, sf_dir), "difference")), "low", "high", "p", "upper_bound", digits=6)
 
 
-@query("""with r as (select (doc_id % 5)::int as seed, coalesce(source, '') || '-' || coalesce(lang, '') as template, quality - (1 - toxic) as d from labels join documents using (doc_id)),
+_CROSSED_DRAWS = """with r as (select (doc_id % 5)::int as seed, coalesce(source, '') || '-' || coalesce(lang, '') as template, quality - (1 - toxic) as d from labels join documents using (doc_id)),
     cells as (select seed, template, avg(d::double) as d from r group by 1, 2),
     si as (select seed, row_number() over (order by seed) - 1 as i from (select distinct seed from cells)), ti as (select template, row_number() over (order by template) - 1 as i from (select distinct template from cells)),
     sd as (select draw, seed, count(*) as n_seed from (select draw, ('0x' || substr(md5('5|seed|' || draw || '|' || slot), 1, 8))::bigint % (select count(*) from si) as i from range(6000) t(draw), range((select count(*) from si)) s(slot)) join si using (i) group by 1, 2),
     td as (select draw, template, count(*) as n_template from (select draw, ('0x' || substr(md5('5|template|' || draw || '|' || slot), 1, 8))::bigint % (select count(*) from ti) as i from range(6000) t(draw), range((select count(*) from ti)) s(slot)) join ti using (i) group by 1, 2)
-    select draw::bigint as draw, round(sum(d * n_seed * n_template) / sum(n_seed * n_template), 9) as difference from sd join cells using (seed) join td using (draw, template) group by 1""")
-def crossed_bootstrap(spark, sf_dir):
+    select draw::bigint as draw, round(sum(d * n_seed * n_template) / sum(n_seed * n_template), 9) as difference from sd join cells using (seed) join td using (draw, template) group by 1"""
+
+
+def _crossed_draws(spark, sf_dir):
     rows = paired(spark, sf_dir).select(F.pmod("doc_id", F.lit(5)).cast("int").alias("seed"), "template", (F.col("quality") - (1 - F.col("toxic"))).alias("d"))
     return _rounded(stats.crossed_bootstrap(rows, "d", "seed", "template", 6000, 5), "difference")
 
 
+@query(_CROSSED_DRAWS)
+def crossed_bootstrap(spark, sf_dir):
+    return _crossed_draws(spark, sf_dir)
+
+
+@query(f"with draws as ({_CROSSED_DRAWS}) {_INTERVAL_SQL}, quantile_cont(difference, 0.05) > -0.1 and quantile_cont(difference, 0.95) < 0.1 as equivalent from draws")
+def crossed_tests(spark, sf_dir):
+    """Interval, p, one-sided bound and equivalence within 0.1 of the crossed draws."""
+    draws = _crossed_draws(spark, sf_dir)
+    found = _rounded(stats.interval(draws), "low", "high", "p", "upper_bound", digits=6)
+    return found.crossJoin(stats.equivalent(draws, 0.1))  # two tables of one row
+
+
+@query("""with c as (select source, count(*) as n, sum(quality) as k from labels join documents using (doc_id) group by 1),
+    w as (select source, n, k, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) as center, 1.96 * sqrt((k / n) * (1 - k / n) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n) as half from c)
+    select source, printf('%5.1f%%  (%d/%d)  [%.1f-%.1f]', k::double / n * 100, k::bigint, n::bigint, (center - half) * 100, (center + half) * 100) as cell from w""")
+def rate_cells(spark, sf_dir):
+    """Rates as a report prints them."""
+    counted = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("k"))
+    return counted.select("source", stats.cell(F.col("k"), F.col("n")).alias("cell"))
+
+
 @query("with s as (select event_type, (user_id % 5)::bigint as seed, avg(value) as m from events group by 1, 2) select event_type, round(avg(m), 6) as mean, round(stddev_samp(m), 6) as sd, count(*)::bigint as n_seeds from s group by 1")
 def seed_sd(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("seed", F.pmod("user_id", F.lit(5)))
