@@ -52,11 +52,6 @@ def records(classified: DataFrame) -> DataFrame:
     )
 
 
-def tool_frequency(calls: DataFrame) -> DataFrame:
-    """How often each tool is called, over all calls (``call_rows``) of all rows that parse."""
-    return calls.where("error is null").groupBy(F.col("name").alias("tool")).agg(F.count("*").alias("n"), F.min("source_index").alias("first_seen"))
-
-
 def reason_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
-from ..operators import checker, gram, joins, layers, metrics, prepare, reports, sampling
+from ..operators import checker, distinct, frequent, gram, joins, layers, metrics, prepare, reports, sampling
 from ..sources import json_arrays, readers, shared, writers
 from ..streaming import attempts as in_order
 from ..streaming import episodes, events
+from ..schemas import LOSS_LOG
 from . import jobs, runs
 from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
 from .tasks import task_set, unknown_tools
@@ -148,8 +149,42 @@ def prepared_records(spark, sf_dir):
 
 @query(f"with {_CHATS_SQL}, c as (select * from e, range(case when m = 1 then 2 when m in (0, 2) then 0 else 1 end)) select event_type as tool, count(*)::bigint as n, min(source_index) as first_seen from c group by 1 order by n desc, first_seen limit 40")
 def tool_frequency_top40(spark, sf_dir):
-    counted = prepare.tool_frequency(prepare.call_rows(raw_chats(spark, sf_dir)))
-    return counted.orderBy(F.desc("n"), "first_seen").limit(40)
+    """Candidates by summaries of the names, which alone are counted."""
+    calls = shared.cut(prepare.call_rows(raw_chats(spark, sf_dir)).where("error is null").select(F.col("name").alias("tool"), "source_index"))
+    return frequent.most_frequent(calls, "tool", "source_index", 40)
+
+
+@query("select p_name, n, first_seen from (select p_name, count(*)::bigint as n, min(l_orderkey) as first_seen from lineitem join part on l_partkey = p_partkey group by 1) order by n desc, first_seen, p_name limit 40")
+def frequent_parts(spark, sf_dir):
+    """The 40 most ordered part names."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return frequent.most_frequent(lines, "p_name", "l_orderkey", 40)
+
+
+@query(f"with {_CHATS_SQL}, c as (select event_type from e, range(case when m = 1 then 2 when m in (0, 2) then 0 else 1 end)) select count(distinct event_type)::bigint as n, count(*)::bigint as rows from c")
+def distinct_tools(spark, sf_dir):
+    calls = prepare.call_rows(raw_chats(spark, sf_dir)).where("error is null")
+    return distinct.distinct_counts(calls, "name").select("n", "rows")
+
+
+@query("select l_returnflag, l_linestatus, count(*)::bigint as rows, count(distinct l_orderkey)::bigint as n, count(distinct l_orderkey) = count(*) as \"unique\", true as within from lineitem group by 1, 2")
+def distinct_orders(spark, sf_dir):
+    """Exact numbers of orders for each status of a line, whether none repeats, and that each lies within the sketch's bounds."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey")
+    keys = ["l_returnflag", "l_linestatus"]
+    exact = distinct.distinct_counts(lines, "l_orderkey", *keys)
+    bounds = distinct.distinct_bounds(lines, "l_orderkey", *keys).select(*keys, "low", "high")
+    return exact.join(bounds, keys).select(*keys, "rows", "n", (F.col("n") == F.col("rows")).alias("unique"), F.col("n").between(F.col("low"), F.col("high")).alias("within"))
+
+
+@query("""with s as (select 'third ' || (l_orderkey % 3) as name, l_orderkey as k from lineitem union all select 'returned ' || l_returnflag, l_orderkey from lineitem),
+    d as (select distinct name, k from s), n as (select distinct name from d), m as (select a.name as a, b.name as b from d a join d b on a.k = b.k and a.name < b.name group by 1, 2)
+    select x.name as a, y.name as b, m.a is not null as overlap from n x join n y on x.name < y.name left join m on m.a = x.name and m.b = y.name""")
+def split_overlaps(spark, sf_dir):
+    """Which parts of the orders share one: thirds of the numbers do not, lines of different return flags do."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    sets = F.array(F.concat(F.lit("third "), (F.col("l_orderkey") % 3).cast("string")), F.concat(F.lit("returned "), "l_returnflag"))
+    return distinct.overlaps(lines.select("l_orderkey", F.explode(sets).alias("name")), "l_orderkey", "name").drop("by")
 
 
 @query(f"with {_CHATS_SQL} select t.tool, count(r.source_index)::bigint as n from (values ('click'), ('view'), ('purchase'), ('never_called')) t(tool) left join r on r.event_type = t.tool and reason = 'ok' group by 1")
@@ -657,6 +692,27 @@ def examples_from_files(spark, sf_dir):
     return readers.read_examples(spark, f"{folder}/questions", f"{folder}/answers/*").select("id", "user_message", "truth")
 
 
+@query("select event_id, case when event_id % 7 = 0 then null else event_type end as event_type, event_id % 7 = 0 as broken from events")
+def lines_with_quarantine(spark, sf_dir):
+    """Lines of which some are cut off: rows and broken lines of one scan."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_json(F.struct(F.col("event_id").cast("int").alias("step"), F.lit(1).alias("epoch"), F.col("value").alias("sft_loss"), F.col("event_type").alias("note"))).alias("line"))
+    folder = shared.new_folder(spark, "lines")
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("substring(line, 1, locate(',', line))")).otherwise(F.col("line"))
+    e.select(cut.alias("value")).write.text(f"{folder}/in")
+    rows, broken = readers.read_lines(spark, f"{folder}/in", LOSS_LOG + ", note string", f"{folder}/read")
+    number = F.regexp_extract("broken_line", r'"step":(\d+)', 1).cast("long")
+    good = rows.select(F.col("step").cast("long").alias("event_id"), F.col("note").alias("event_type"), F.lit(False).alias("broken"))
+    return good.unionByName(broken.select(number.alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(True).alias("broken")))
+
+
+@query(f"with {STEPS_SQL.strip()} select condition, task_set, chain_length::int as chain_length, {_RATES} from tasks group by 1, 2, 3")
+def results_csv_round_trip(spark, sf_dir):
+    """Rates of result rows that were written as CSV, nested steps as JSON, and read again."""
+    folder = shared.new_folder(spark, "results")
+    writers.write_results_csv(metrics.with_task_set(result_rows(spark, sf_dir)), folder)
+    return _rounded(metrics.summarize(readers.read_results_csv(spark, folder), "condition", "task_set", "chain_length"), *_RATE_NAMES)
+
+
 # Event time (an addition).
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checker
-from ..schemas import BFCL_ANSWER, BFCL_QUESTION, DEFAULT_TASK_SET, PREPARED, RESULT, STEP
+from ..schemas import BFCL_ANSWER, BFCL_QUESTION, DEFAULT_TASK_SET, DIVERGENCE, LOSS_LOG, PREPARED, RESULT, STEP
 from . import json_arrays
 
 
@@ -15,6 +15,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_lines(spark: SparkSession, path: str, schema: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken): the lines of JSON files that have the schema's types, and those that do not, with their file.
+
+    One scan writes both below ``folder``, parted by whether a line is broken, so a
+    bad line is neither an error nor a row of nulls, and nothing is read twice.
+    """
+    parsed = spark.read.schema(f"{schema}, broken_line string").option("columnNameOfCorruptRecord", "broken_line").json(path)
+    parsed.withColumns({"file": F.col("_metadata.file_path"), "broken": F.col("broken_line").isNotNull()}).write.partitionBy("broken").parquet(folder)
+    whole = spark.read.schema(f"{schema}, broken_line string, file string, broken boolean").parquet(folder)
+    return whole.where("not broken").drop("broken_line", "broken", "file"), whole.where("broken").select("file", "broken_line")
+
+
+def read_layer_results(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Layer comparisons, and the lines that are none."""
+    return read_lines(spark, path, DIVERGENCE, folder)
+
+
+def read_loss_log(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Loss logs, and the lines that are none."""
+    return read_lines(spark, path, LOSS_LOG, folder)
+
+
 def jsonl_of_text(texts: DataFrame, column: str, schema: str) -> DataFrame:
     """The same from a text column, a row per non-blank line, with its line number."""
     lines = texts.select(F.posexplode(F.split(column, "\n")).alias("line", "json")).where(F.trim("json") != "")
