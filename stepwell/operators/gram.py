@@ -57,7 +57,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def _groups(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
+def groups_of(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
     """(key values, rows) of each group of a batch."""
     code = np.zeros(batch.num_rows, np.int64)
     for k in range(n_keys):
@@ -91,7 +91,7 @@ def blocks(vectors: DataFrame, keys: list[str], columns: list[str], sample: str)
 
         for batch in batches:
             types = [batch.column(k).type for k in range(m + 1)]
-            for key, rows in _groups(batch, m):
+            for key, rows in groups_of(batch, m):
                 ids = batch.column(m).take(pa.array(rows))
                 parts = [_matrix(batch.column(m + 1 + i).take(pa.array(rows))) for i in range(len(columns))]
                 waiting = held.setdefault(key, [])

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .gram import groups_of
+
 EPSILON = 1e-8
 
 
@@ -69,27 +71,42 @@ def _of_moments(m: np.ndarray, p: int, q: int) -> tuple[float, float]:
     return (0.0 if below < EPSILON else centred(xy, sx, sy) / below), (0.0 if norm < EPSILON else float(1 - st / norm))
 
 
-def similarity_of_all(pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """(layer, cka, cosine_distance) over all rows (layer int, x, y) of a layer, by sums of p x q cells."""
+def similarity_by(pairs: DataFrame, keys: list[str], p: int, q: int) -> DataFrame:
+    """(keys, cka, cosine_distance) over all rows (keys, x, y) of a group, by sums of p x q cells.
+
+    Tasks add up the cells of the groups that they hold; rows stay where they are.
+    """
     size = 1 + p + q + 2 * (p * p + q * q + p * q) + 3
+    m = len(keys)
+    rows = pairs.where((F.size("x") == p) & (F.size("y") == q)).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), "x", "y")
+    for i in range(m):
+        rows = rows.where(F.col(f"k{i}").isNotNull())
+    own = ", ".join(f"k{i} {rows.schema[i].dataType.simpleString()}" for i in range(m))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
         for batch in batches:
-            layer = batch.column(0).to_numpy(zero_copy_only=False)
-            x, y = (np.array(batch.column(c).flatten(), np.float64).reshape(-1, w) for c, w in ((1, p), (2, q)))
-            for k in np.unique(layer):
-                total[int(k)] = total.get(int(k), 0.0) + _moments(x[layer == k], y[layer == k])
-        for k, m in total.items():
-            yield pa.RecordBatch.from_pydict({"layer": pa.array(np.full(size, k, np.int32)), "cell": np.arange(size), "m": m})
+            types = [batch.column(i).type for i in range(m)]
+            x, y = (np.array(batch.column(c).flatten(), np.float64).reshape(-1, w) for c, w in ((m, p), (m + 1, q)))
+            for key, at in groups_of(batch, m):
+                total[key] = total.get(key, 0.0) + _moments(x[at], y[at])
+        for key, moments in total.items():
+            columns = [pa.repeat(pa.scalar(v, t), size) for v, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(size)), pa.array(moments)], names=[*(f"k{i}" for i in range(m)), "cell", "m"])
 
     def finish(table: pa.Table) -> pa.Table:
         found = _of_moments(table.sort_by("cell")["m"].to_numpy(), p, q)
-        return pa.table({"layer": table["layer"][:1], "cka": [found[0]], "cosine_distance": [found[1]]})
+        return pa.table({**{f"k{i}": table[f"k{i}"][:1] for i in range(m)}, "cka": [found[0]], "cosine_distance": [found[1]]})
 
-    rows = pairs.where(F.col("layer").isNotNull() & (F.size("x") == p) & (F.size("y") == q)).select("layer", "x", "y")
-    summed = rows.mapInArrow(add, "layer int, cell long, m double").groupBy("layer", "cell").agg(F.sum("m").alias("m"))
-    return summed.groupBy("layer").applyInArrow(finish, "layer int, cka double, cosine_distance double")
+    by = [f"k{i}" for i in range(m)]
+    summed = rows.mapInArrow(add, f"{own}, cell long, m double").groupBy(*by, "cell").agg(F.sum("m").alias("m"))
+    return summed.groupBy(*by).applyInArrow(finish, f"{own}, cka double, cosine_distance double").withColumnsRenamed(dict(zip(by, keys)))
+
+
+def similarity_of_all(pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(layer, cka, cosine_distance) over all rows (layer, x, y) of a layer."""
+    return similarity_by(pairs, ["layer"], p, q)
 
 
 METRICS = {"cka": cka, "cosine_distance": rsa}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import losses, numbers, stats, tools, values
 from ..functions.parsing import parse_output
 from ..operators import checker, distinct, frequent, gram, joins, layers, metrics, prepare, reports, sampling
-from ..sources import json_arrays, readers, shared, writers
+from ..sources import caches, commits, json_arrays, readers, shared, writers
 from ..streaming import attempts as in_order
 from ..streaming import episodes, events
 from ..schemas import LOSS_LOG
@@ -527,6 +528,21 @@ def aligned_layers_compared(spark, sf_dir):
     return _rounded(layers.compare_layers(x, y, layers.align_layers(spark, 10, 8)), "cka", "cosine_distance", digits=6)
 
 
+@query("""with v as (select label, embedding::double[] as e, row_number() over (partition by label order by vec_id) as i from embeddings),
+    a as (select i as source_layer, least(round_even(i * 8 / 10.0, 0), 7)::int as target_layer from range(10) t(i)),
+    c as (select * from (values ('first', 1), ('last', 33)) t(condition, start)),
+    p as (select condition, source_layer, target_layer, s.i, s.e[start:start + 31] as x, t.e[17:48] as y from c, a join v s on s.label = source_layer join v t on t.label = target_layer and t.i = s.i), """ + _PAIRS_SQL.format(k="condition, source_layer, target_layer") + """
+    select condition, 'probes' as input_set, source_layer::int as source_layer, target_layer, 'ffn' as stream, cka, cosine_distance from m""")
+def cached_conditions(spark, sf_dir):
+    """Two conditions' caches of ten layers against a teacher's cache of eight, bucket by bucket."""
+    folder, alignment = shared.new_folder(spark, "caches"), layers.align_layers(spark, 10, 8)
+    named = lambda start, condition: activations(spark, sf_dir, start, 32).select(F.lit(condition).alias("condition"), F.lit("probes").alias("input_set"), "layer", "stream", "sample_id", "vec")
+    name = folder.rsplit("-", 1)[-1]
+    students = caches.write_cache(named(1, "first").unionByName(named(33, "last")), f"students_{name}", f"{folder}/students", alignment)
+    teachers = caches.write_cache(named(17, "teacher").where("layer < 8").drop("condition"), f"teachers_{name}", f"{folder}/teachers")
+    return _rounded(caches.compare_cached(spark, students, teachers, 32, 32), "cka", "cosine_distance", digits=6)
+
+
 @query("select i::int as source_layer, least(round_even(i * 40 / 36.0, 0), 39)::int as target_layer from range(36) t(i)")
 def align_layers(spark, sf_dir):
     return layers.align_layers(spark, 36, 40)
@@ -713,6 +729,23 @@ def results_csv_round_trip(spark, sf_dir):
     return _rounded(metrics.summarize(readers.read_results_csv(spark, folder), "condition", "task_set", "chain_length"), *_RATE_NAMES)
 
 
+@query(f"with {STEPS_SQL.strip()}, r as (select 'rows' as part, condition, count(*)::bigint as n from tasks group by all) select * from r union all select 'summary', condition, count(distinct chain_length)::bigint from tasks group by all")
+def run_outputs(spark, sf_dir):
+    """A run whose first attempt fails between two tables, whose second is committed and whose third changes nothing."""
+    rows = result_rows(spark, sf_dir).select("condition", "task_id", "chain_length", "success", "steps", "injected_error_at_step")
+    summary = metrics.summarize(rows, "condition", "chain_length")
+    failing = summary.withColumn("n_tasks", F.raise_error(F.lit("the worker was lost")).cast("bigint"))
+    folder = shared.new_folder(spark, "run")
+    with contextlib.suppress(Exception):
+        commits.commit(spark, folder, "r1", 0, {"rows": rows, "summary": failing})
+    if commits.committed(spark, folder, "r1"):
+        raise AssertionError("half a run was committed")
+    for _ in range(2):
+        commits.commit(spark, folder, "r1", 0, {"rows": rows, "summary": summary})
+    parts = [commits.read_part(spark, folder, "r1", p).groupBy("condition").agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "condition", "n") for p in ("rows", "summary")]
+    return parts[0].unionByName(parts[1])
+
+
 # Event time (an addition).
 
 
