@@ -27,7 +27,8 @@ CLASSES = {
 }
 _CLASS_MATRIX = np.stack([*CLASSES.values()], axis=1).astype(np.int64)
 _CAPITAL = _any_of(bytes(range(65, 91)))
-_CAPITAL[0xC3] = True
+#: Second bytes of the capitals from À to Þ; the first is 0xC3.
+_LATIN_CAPITAL = _any_of(bytes(b for b in range(0x80, 0x9F) if b != 0x97))
 _BLANK = b" \t\n\x0b\x0c\r"
 
 #: Column names that ``doc_counts`` gives, all long.
@@ -73,5 +74,6 @@ def doc_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = np.flatnonzero(n_words)
     if len(full):
         out["longest_word"][full] = np.maximum.reduceat(length, words.first[full])
-    out["n_capital_words"] = np.bincount(owner[_CAPITAL[data[words.start]]], minlength=n)
+    first, second = data[words.start], data[np.minimum(words.start + 1, max(len(data) - 1, 0))]
+    out["n_capital_words"] = np.bincount(owner[_CAPITAL[first] | (first == 0xC3) & _LATIN_CAPITAL[second]], minlength=n)
     return {k: out[k].astype(np.int64) for k in COUNTS}

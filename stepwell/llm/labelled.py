@@ -1,4 +1,10 @@
-"""A bounded sample of labelled texts that a classifier is fitted on."""
+"""A bounded sample of labelled texts that a classifier is fitted on.
+
+Defined cases: null ids, labels and texts are left out, and so are texts of more
+than MAX_TRAIN_BYTES; an id with several labels counts as the largest, one with
+several texts as that of the least hash; empty texts are learned from; without
+labels, or without texts, there are no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 

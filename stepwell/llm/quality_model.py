@@ -13,7 +13,9 @@ inputs.  The fit runs on the driver over the counts (not the texts) of a
 bounded sample (``labelled.training_rows``).
 
 Defined cases: null and empty texts have all rates 0 and are scored like
-others; repeated rows score alike; without labels every score is 0.5.
+others; very long texts are counted and scored whole; repeated rows score alike;
+without labels every score is 0.5; an empty table has no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
