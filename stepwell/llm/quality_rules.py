@@ -5,11 +5,14 @@ are kept as mergeable log-linear histograms, one per (language, source, rate):
 a sketch is a set of (bucket, count) rows, merging two is adding counts, so
 Spark's partial aggregation builds them without moving a row of text, and no
 sketch has more than a few hundred buckets.  A value lies in a bucket whose
-width is at most 1/64 of it.  Quartiles read from the sketches give fences
-``q1 - 4 * spread`` and ``q3 + 4 * spread`` with ``spread = max(q3 - q1,
-floor)``; they replace fixed cutoffs and are joined back to the texts.  A group
-with fewer than MIN_GROUP texts uses the merged sketch of its language, or of
-all texts where that is small too.
+width is at most 1/64 of it.  A group's fences are ``q1 - reach`` and ``q3 +
+reach``; reach is read from the group's own sketch, the largest of FENCE times the
+quartile distance, TAIL times the distance from the third quartile to the group's
+tail, and a small floor.  The tail is the TAIL_PERCENT quantile of what is not
+absurd (not above ``q3 + FENCE * max(q3 - q1, prior)``), so that junk, of which a
+group may hold a lot, does not widen its own fence.  Fences replace fixed cutoffs
+and are joined back to the texts.  A group with fewer than MIN_GROUP texts uses the
+merged sketch of its language, or of all texts where that is small too.
 
 Defined cases: a null text has no words; a text without words, or that fails
 the base rules, is not kept; null language or source is a group of its own; a
@@ -31,7 +34,7 @@ from .doc_stats import COUNTS, doc_counts
 from .staging import stage
 from .text import blocks
 
-#: Rate: (numerator, denominator, least spread, whether values below the lower fence fail).
+#: Rate: (numerator, denominator, prior spread, whether values below the lower fence fail).
 RATES = {
     "mean_word": ("word_chars", "n_words", 4000, True),
     "symbols": ("n_symbols", "n_words", 250, False),
@@ -40,7 +43,9 @@ RATES = {
     "upper": ("n_upper", "word_chars", 400, False),
     "bangs": ("n_bangs", "n_words", 500, False),
 }
-FENCE = 4
+FENCE, TAIL, TAIL_PERCENT = 4, 6, 98
+#: The least reach of a fence is FENCE times the prior spread divided by this.
+FLOOR = 2
 MIN_GROUP = 200
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -88,27 +93,32 @@ def sketches(rates: DataFrame, lang: str = "lang", source: str = "source") -> Da
     )
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and rate: number of values, first and third quartile as a bucket's least value."""
+def _prior(rate: str = "rate"):
+    return F.coalesce(*(F.when(F.col(rate) == r, F.lit(x[2])) for r, x in RATES.items()))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and rate: number of values, first and third quartile and tail, each a bucket's least value."""
     merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rate")
-    upto = F.sum("n").over(group.orderBy("bucket"))
-    ranked = merged.withColumns({"upto": upto, "total": F.sum("n").over(group)})
-    value = _value_of(F.col("bucket"))
-    first = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, value))
-    return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("n"), first(1).alias("q1"), first(3).alias("q3"))
+    group = Window.partitionBy(*keys, "rate")  # the buckets of one sketch
+    ranked = merged.withColumns({"value": _value_of(F.col("bucket")), "upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
+    first = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("value"))).over(group)
+    placed = ranked.withColumns({"q1": first(1), "q3": first(3)})
+    absurd = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), _prior())
+    sane = placed.withColumn("sane", F.sum(F.when(F.col("value") <= absurd, F.col("n"))).over(group))
+    tail = F.min(F.when(F.col("upto") * 100 >= F.col("sane") * TAIL_PERCENT, F.col("value")))
+    return sane.groupBy(*keys, "rate").agg(F.max("total").alias("n"), F.max("q1").alias("q1"), F.max("q3").alias("q3"), tail.alias("tail"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source): ``lo_<rate>`` and ``hi_<rate>``."""
-    own, lang, every = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    named = lambda df, p, keys: df.select(*(F.col(k).alias(f"{p}_{k}") for k in keys), *(F.col(c).alias(f"{p}_{c}") for c in ("rate", "n", "q1", "q3")))
+    own, lang, every = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
+    named = lambda df, p, keys: df.select(*(F.col(k).alias(f"{p}_{k}") for k in keys), *(F.col(c).alias(f"{p}_{c}") for c in ("rate", "n", "q1", "q3", "tail")))
     o, g, e = named(own, "o", ["lang", "source"]), named(lang, "g", ["lang"]), named(every, "e", [])
     joined = o.join(g, F.col("o_lang").eqNullSafe(F.col("g_lang")) & (F.col("o_rate") == F.col("g_rate"))).join(e, F.col("o_rate") == F.col("e_rate"))
     pick = lambda c: F.when(F.col("o_n") >= MIN_GROUP, F.col(f"o_{c}")).when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{c}")).otherwise(F.col(f"e_{c}"))
-    floor = F.coalesce(*(F.when(F.col("o_rate") == r, F.lit(x[2])) for r, x in RATES.items()))
-    spread = F.greatest(pick("q3") - pick("q1"), floor) * FENCE
-    long = joined.select(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source"), F.col("o_rate").alias("rate"), (pick("q1") - spread).alias("lo"), (pick("q3") + spread).alias("hi"))
+    reach = F.greatest((pick("q3") - pick("q1")) * FENCE, (pick("tail") - pick("q3")) * TAIL, F.floor(_prior("o_rate") * FENCE / FLOOR))
+    long = joined.select(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source"), F.col("o_rate").alias("rate"), (pick("q1") - reach).alias("lo"), (pick("q3") + reach).alias("hi"))
     at = lambda c, r: F.max(F.when(F.col("rate") == r, F.col(c))).alias(f"{c}_{r}")
     return long.groupBy("t_lang", "t_source").agg(*(at(c, r) for r in RATES for c in ("lo", "hi")))
 

@@ -35,12 +35,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    """Counts by lists and windows, quartiles of the buckets' least values, fences by group."""
+    """Counts by lists and windows, quantiles of the buckets' least values, fences by group."""
     space = "[ \\t\\n\\x0b\\f\\r]"
-    stacked = " union all ".join(f"select doc_id, lang, source, '{r}' as rate, {a} * 10000 // greatest({b}, 1) as v, {floor} as least, {str(low).lower()} as low from counts where n_words > 0" for r, (a, b, floor, low) in quality_rules.RATES.items())
-    quartile = lambda q, w: f"list_sort(list(bucket) over (partition by {w}))[ceil(count(*) over (partition by {w}) * {q} / 4.0)::int]"
+    stacked = " union all ".join(f"select doc_id, lang, source, '{r}' as rate, {a} * 10000 // greatest({b}, 1) as v, {prior} as prior, {str(low).lower()} as low from counts where n_words > 0" for r, (a, b, prior, low) in quality_rules.RATES.items())
+    ordered = lambda w: f"list_sort(list(bucket) over (partition by {w}))"
     groups = {"o": "lang, source, rate", "g": "lang, rate", "e": "rate"}
-    columns = ", ".join(f"count(*) over (partition by {w}) as {k}_n, {quartile(1, w)} as {k}_1, {quartile(3, w)} as {k}_3" for k, w in groups.items())
+    lists = ", ".join(f"{ordered(w)} as {k}_v, count(*) over (partition by {w}) as {k}_n" for k, w in groups.items())
+    quarters = ", ".join(f"{k}_v[ceil({k}_n * {q} / 4.0)::int] as {k}_{q}" for k in groups for q in (1, 3))
+    absurd = lambda k: f"{k}_3 + {quality_rules.FENCE} * greatest({k}_3 - {k}_1, prior)"
+    tails = ", ".join(f"{k}_v[ceil(len(list_filter({k}_v, lambda x: x <= {absurd(k)})) * {quality_rules.TAIL_PERCENT} / 100.0)::int] as {k}_t" for k in groups)
     pick = lambda q: f"case when o_n >= {quality_rules.MIN_GROUP} then o_{q} when g_n >= {quality_rules.MIN_GROUP} then g_{q} else e_{q} end"
     return f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
@@ -57,9 +60,10 @@ counts as (
     from d left join nw using (doc_id) left join ls using (doc_id) left join repeats using (doc_id)
 ), rates as ({stacked}),
 buckets as (select *, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end as bucket from rates),
-fenced as (select *, {columns} from buckets),
+listed as (select *, {lists} from buckets), quarters as (select *, {quarters} from listed), tails as (select *, {tails} from quarters),
+fenced as (select *, greatest({quality_rules.FENCE} * ({pick(3)} - {pick(1)}), {quality_rules.TAIL} * ({pick("t")} - {pick(3)}), prior * {quality_rules.FENCE} // {quality_rules.FLOOR}) as reach from tails),
 inside as (
-    select doc_id, bool_and(v <= {pick(3)} + {quality_rules.FENCE} * greatest({pick(3)} - {pick(1)}, least) and (not low or v >= {pick(1)} - {quality_rules.FENCE} * greatest({pick(3)} - {pick(1)}, least))) as ok from fenced group by 1
+    select doc_id, bool_and(v <= {pick(3)} + reach and (not low or v >= {pick(1)} - reach)) as ok from fenced group by 1
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
     n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(ok, false) as kept

@@ -133,6 +133,33 @@ def test_base_counts(corpus):
     assert at == len(texts)
 
 
+def plain_fences(values, prior):
+    values = sorted(values)
+    q1, q3 = (values[math.ceil(len(values) * q / 4) - 1] for q in (1, 3))
+    sane = [v for v in values if v <= q3 + 4 * max(q3 - q1, prior)]
+    tail = sane[math.ceil(len(sane) * 98 / 100) - 1]
+    reach = max(4 * (q3 - q1), 6 * (tail - q3), 4 * prior // 2)
+    return q1 - reach, q3 + reach
+
+
+def test_groups_get_fences_of_their_own(spark):
+    """Two sources whose texts shout differently: what is usual in one is rejected in the other."""
+    rng = np.random.default_rng(5)
+
+    def words(share):
+        return " ".join(f"Zork{rng.integers(99999)}" if rng.random() < share else f"word{rng.integers(99999)}" for _ in range(80))
+
+    calm, loud = [words(0.02) for _ in range(250)], [words(float(rng.choice([0.1, 0.3, 0.5]))) for _ in range(250)]
+    probe = words(0.9)
+    rows = [(k, t, "en", "calm") for k, t in enumerate(calm)] + [(1000 + k, t, "en", "loud") for k, t in enumerate(loud)] + [(5000, probe, "en", "calm"), (5001, probe, "en", "loud")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fences = {r["t_source"]: r["hi_upper"] for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.text_rates(docs))).collect()}
+    assert fences["loud"] > 1.5 * fences["calm"]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(spark, docs).collect()}
+    assert not kept[5000] and kept[5001]
+    assert sum(not k for d, k in kept.items() if d < 5000) <= 2
+
+
 def test_rules_equal_plain_sketches(spark, corpus):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(spark, docs).collect()}
@@ -147,12 +174,10 @@ def test_rules_equal_plain_sketches(spark, corpus):
     for d, row in got.items():
         ok = row["n_words"] >= 50 and 100 * row["n_repeat_words"] <= 50 * row["n_words"]
         assert row["base_failed"] == (not ok)
-        for r, (_, _, floor, both) in quality_rules.RATES.items():
+        for r, (_, _, prior, both) in quality_rules.RATES.items():
             values = next((v for k in ((row["lang"], row["source"]), (row["lang"],)) if len(v := groups[k][r]) >= quality_rules.MIN_GROUP), groups[()][r])
-            values = sorted(values)
-            q1, q3 = (values[math.ceil(len(values) * q / 4) - 1] for q in (1, 3))
-            spread = 4 * max(q3 - q1, floor)
-            ok &= rate[d][r] <= q3 + spread and (not both or rate[d][r] >= q1 - spread)
+            low_end, high_end = plain_fences(values, prior)
+            ok &= rate[d][r] <= high_end and (not both or rate[d][r] >= low_end)
         assert row["kept"] == ok, d
 
 

@@ -148,12 +148,13 @@ def plain_quality(rows):
     for r in rows:
         c, rates = own[r["doc_id"]]
         ok = c["n_words"] >= 50 and 2 * c["n_repeat_words"] <= c["n_words"]
-        for name, (_, _, floor, both) in quality_rules.RATES.items():
-            values = next((v for k in ((r["lang"], r["source"]), (r["lang"],)) if len(v := groups[k][name]) >= quality_rules.MIN_GROUP), groups[()][name])
+        for name, (_, _, prior, both) in quality_rules.RATES.items():
+            values = sorted(next((v for k in ((r["lang"], r["source"]), (r["lang"],)) if len(v := groups[k][name]) >= quality_rules.MIN_GROUP), groups[()][name]))
             if ok:
-                q1, q3 = (sorted(values)[math.ceil(len(values) * q / 4) - 1] for q in (1, 3))
-                spread = 4 * max(q3 - q1, floor)
-                ok = rates[name] <= q3 + spread and (not both or rates[name] >= q1 - spread)
+                q1, q3 = (values[math.ceil(len(values) * q / 4) - 1] for q in (1, 3))
+                sane = [v for v in values if v <= q3 + 4 * max(q3 - q1, prior)]
+                reach = max(4 * (q3 - q1), 6 * (sane[math.ceil(len(sane) * 98 / 100) - 1] - q3), 2 * prior)
+                ok = rates[name] <= q3 + reach and (not both or rates[name] >= q1 - reach)
         if ok:
             kept.append(r["doc_id"])
     return kept
