@@ -86,6 +86,13 @@ def summary_by_condition_and_chain_length(rows: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, empty) for c in ("error_breakdown", "error_category_breakdown")}).orderBy(*keys)
 
 
+def error_rows(summary: DataFrame) -> DataFrame:
+    """A summary's error maps as rows: condition, task_set, chain_length, kind (``type`` or ``category``), error, n."""
+    keys = ["condition", "task_set", "chain_length"]
+    one = lambda c, kind: summary.select(*keys, F.lit(kind).alias("kind"), F.explode(c).alias("error", "n"))
+    return one("error_breakdown", "type").unionByName(one("error_category_breakdown", "category"))
+
+
 def step_success_by_position(rows: DataFrame, *keys: str) -> DataFrame:
     steps = rows.select(*keys, F.explode("steps").alias("s"))
     return steps.groupBy(*keys, F.col("s.step_index").alias("step_index")).agg(F.avg(F.col("s.succeeded").cast("double")).alias("success_rate"))
@@ -95,8 +102,9 @@ def success_by_chain_length(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chain_length").agg(chain_success_rate().alias("success_rate")).orderBy("chain_length")
 
 
-def describe(rows: DataFrame, *keys: str) -> DataFrame:
-    """Number of rows and a success rate that is 0, not null, over nothing."""
+def describe(rows: DataFrame, *keys: str, task_sets: tuple[str, ...] = ()) -> DataFrame:
+    """Number of rows and a success rate that is 0, not null, over nothing; of some task sets only, if they are named."""
+    rows = with_task_set(rows).where(F.col("task_set").isin(*task_sets)) if task_sets else rows
     return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), (F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("success_rate"))
 
 
@@ -132,6 +140,18 @@ def pooled_perplexity(nll: DataFrame, *keys: str) -> DataFrame:
     return used.groupBy(*keys).agg(F.exp(rate(F.sum("nll"), F.sum("n_tokens"))).alias("perplexity"))
 
 
+def perplexity_of_tokens(tokens: DataFrame, *keys: str, text: str = "text_id", place: str = "place", max_length: int = 512) -> DataFrame:
+    """Pooled perplexity from one row per token (text, place from 0, nll of predicting it), texts cut at ``max_length`` tokens.
+
+    The first token of a text is predicted from nothing and does not count, so a
+    text of one token has none; a group whose texts are all that short is an error.
+    """
+    within = (F.col(place) >= 1) & (F.col(place) < max_length)
+    pooled = tokens.where(F.col(text).isNotNull()).groupBy(*keys).agg(F.sum(F.when(within, F.col("nll"))).alias("nll"), F.count(F.when(within, 1)).alias("n_tokens"), F.count_if(F.col(place) == 1).alias("n_texts"))
+    checked = F.when(F.col("n_tokens") > 0, F.exp(F.try_divide("nll", "n_tokens"))).otherwise(F.raise_error(F.lit("no text has two tokens")).cast("double"))
+    return pooled.select(*keys, checked.alias("perplexity"), "n_tokens", "n_texts")
+
+
 def loss_log_summary(log: DataFrame, *keys: str, order: str = "step") -> DataFrame:
     """Number of entries, first and last losses, and how many losses are not finite."""
     odd = lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False)).cast("long")

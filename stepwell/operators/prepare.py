@@ -78,6 +78,14 @@ def stats_row(parsed: DataFrame, classified: DataFrame, splits: DataFrame, tools
     return out.withColumn("within_bounds", F.col("n_total").between(n_min, n_max))
 
 
+def stats_rows(stats: DataFrame) -> DataFrame:
+    """The stats row as (kind, name, n) rows."""
+    of_map = lambda c: stats.select(F.lit(c).alias("kind"), F.explode(c).alias("name", "n"))
+    top = stats.select(F.explode("top_tools").alias("t")).select(F.lit("top_tools").alias("kind"), F.col("t.tool").alias("name"), F.negative("t.minus_n").alias("n"))
+    sizes = stats.select(F.explode(F.create_map(*(x for c in ("n_raw", "n_distinct_tools", "n_total", "n_train", "n_test") for x in (F.lit(c), F.col(c).cast("long"))), F.lit("within_bounds"), F.col("within_bounds").cast("long"))).alias("name", "n"))
+    return of_map("drop_reasons").unionByName(of_map("kept_per_tool")).unionByName(top).unionByName(sizes.select(F.lit("size").alias("kind"), "name", "n"))
+
+
 def general_texts(texts: DataFrame, min_words: int = 10) -> DataFrame:
     """Stripped texts of ``min_words`` words or more, with their index."""
     stripped = strip(F.col("text"))

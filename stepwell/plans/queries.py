@@ -17,7 +17,6 @@ from ..streaming import episodes, events
 from ..schemas import LOSS_LOG
 from . import jobs, runs
 from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
-from .tasks import task_set, unknown_tools
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -227,6 +226,16 @@ def prepare_stats(spark, sf_dir):
     return prepare.stats_row(parsed, classified, _split(spark, sf_dir), event_tools(spark))
 
 
+@query(_SPLIT_SQL + """, c as (select event_type as tool, source_index from e, range(case when m = 1 then 2 when m in (0, 2) then 0 else 1 end)), z as (
+    select 'n_raw' as name, (select count(*) from e) as n union all select 'n_distinct_tools', (select count(distinct tool) from c) union all select 'n_total', (select count(*) from s)
+    union all select 'n_train', (select count(*) from s where split = 'train') union all select 'n_test', (select count(*) from s where split = 'test') union all select 'within_bounds', (select (count(*) between 500 and 1000)::int from s))
+    select 'size' as kind, name, n::bigint as n from z union all select 'drop_reasons', reason, count(*)::bigint from r group by all union all select 'top_tools', tool, count(*)::bigint from c group by all
+    union all select 'kept_per_tool', t.tool, count(r.source_index)::bigint from (values ('click'), ('view'), ('purchase'), ('never_called')) t(tool) left join r on r.event_type = t.tool and reason = 'ok' group by all""")
+def prepare_stats_rows(spark, sf_dir):
+    """All numbers of the stats row, as rows."""
+    return prepare.stats_rows(prepare_stats(spark, sf_dir))
+
+
 @query("""select conv_id, turn, max_by(text, turn) filter (where role = 'user') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as last_user from conversations""")
 def last_user_before(spark, sf_dir):
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -341,6 +350,72 @@ def overall_and_c35(spark, sf_dir):
     return _rounded(result_rows(spark, sf_dir).groupBy("condition").agg(F.avg(ok).alias("overall"), F.avg(F.when(F.col("chain_length").isin(3, 5), ok)).alias("c35")), "overall", "c35")
 
 
+@query(f"""with {STEPS_SQL.strip()}, f as (select *, case when failure_error_type in ('ToolExecutionError', 'ToolArgumentError', 'ToolTimeoutError') then 'tool_execution'
+    when failure_error_type in ('ProtocolError', 'MalformedCallError', 'UnknownToolError', 'WrongToolError') then 'protocol' else 'unknown' end as category from tasks where not success)
+    select condition, task_set, chain_length::int as chain_length, 'type' as kind, failure_error_type as error, count(*)::bigint as n from f group by all
+    union all select condition, task_set, chain_length::int, 'category', category, count(*)::bigint from f group by all""")
+def summary_error_rows(spark, sf_dir):
+    """The error maps of the summary, as rows."""
+    return metrics.error_rows(metrics.summary_by_condition_and_chain_length(result_rows(spark, sf_dir)))
+
+
+@query(f"with {STEPS_SQL.strip()} select condition, count(*)::bigint as n_rows, round(sum(success::int)::double / greatest(count(*), 1), 9) as success_rate from tasks where task_set = 'seen_tools' group by 1")
+def describe_seen_tools(spark, sf_dir):
+    """The same description over one task set."""
+    return _rounded(metrics.describe(result_rows(spark, sf_dir), "condition", task_sets=("seen_tools",)), "success_rate")
+
+
+@query("""with t as (select conv_id, turn, abs(sin(conv_id * 7 + turn * 3 + unnest(range(length(text))))) as nll, generate_subscripts(range(length(text)), 1) - 1 as place, role from conversations)
+    select role, round(exp(sum(nll) filter (where place between 1 and 63) / count(*) filter (where place between 1 and 63)), 6) as perplexity, (count(*) filter (where place between 1 and 63))::bigint as n_tokens, (count(*) filter (where place = 1))::bigint as n_texts from t group by 1""")
+def truncated_perplexity(spark, sf_dir):
+    """Characters as tokens, texts cut at 64 of them."""
+    c = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    tokens = c.select("role", F.concat_ws("-", "conv_id", "turn").alias("text_id"), "conv_id", "turn", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("place"))
+    tokens = tokens.select("role", "text_id", "place", F.abs(F.sin(F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("place"))).alias("nll"))
+    return _rounded(metrics.perplexity_of_tokens(tokens, "role", max_length=64), "perplexity", digits=6)
+
+
+@query("select label, i - 1 as i, round(avg(embedding[i]::double), 6) as m from embeddings, range(1, 65) t(i) group by all")
+def mean_pooled(spark, sf_dir):
+    """The mean vector of each label's embeddings, a row for each dimension."""
+    pooled = layers.mean_pool(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vec")), "label")
+    return _rounded(pooled.select("label", F.posexplode("vec").alias("i", "m")), "m", digits=6)
+
+
+@query("select event_id, event_id % 3 <> 1 and event_id % 5 <> 2 as matches from events")
+def arguments_match(spark, sf_dir):
+    """Objects with the same names and nearly the same values agree; another value or one name more does not."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    near = F.when(F.col("event_id") % 3 == 1, k + 1).otherwise(k)
+    more = F.when(F.col("event_id") % 5 == 2, F.lit(', "z": 0')).otherwise(F.lit(""))
+    actual = F.format_string('{"t": " %s ", "k": %d.0}', F.upper("event_type"), k)
+    expected = F.concat(F.format_string('{"k": %d, "t": "%s"', near, F.col("event_type")), more, F.lit("}"))
+    return e.select("event_id", values.arguments_match_col(actual, expected).alias("matches"))
+
+
+@query("select o_orderkey, case when o_custkey % 3 = 0 then 12 else (o_custkey % 12 + 1)::int end::int as n_ids from orders")
+def ids_cut_at_end(spark, sf_dir):
+    """Generated ids up to the first end id; a third of the outputs has none."""
+    end = F.when(F.col("o_custkey") % 3 == 0, F.lit(-1)).otherwise(F.pmod("o_custkey", F.lit(12)))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i >= end, F.when(end >= 0, 99).otherwise(i)).otherwise(i))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(losses.cut_at_eos(ids, 99)).alias("n_ids"))
+
+
+@query("select false as compatible, string_agg(n_name, ',' order by n_name) as differing from nation where n_regionkey = 2")
+def tokenizer_fields(spark, sf_dir):
+    """Two tokenizers as tables of fields, of which some differ."""
+    a = table(spark, sf_dir, "nation").select(F.col("n_name").alias("field"), F.col("n_nationkey").cast("string").alias("value"), "n_regionkey")
+    b = a.select("field", F.when(F.col("n_regionkey") == 2, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("value"))
+    return joins.tokenizers_agree(a.select("field", "value"), b).select("compatible", F.array_join("differing", ",").alias("differing"))
+
+
+@query("select p_partkey, p_brand as name, case when p_size % 4 <> 0 then p_size end as n_examples from part")
+def sweep_names(spark, sf_dir):
+    spec = F.when(F.col("p_size") % 4 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("@n"), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", jobs.sweep_name(spec).alias("s")).select("p_partkey", "s.name", "s.n_examples")
+
+
 # Statistics.
 
 
@@ -543,9 +618,11 @@ def cached_conditions(spark, sf_dir):
     return _rounded(caches.compare_cached(spark, students, teachers, 32, 32), "cka", "cosine_distance", digits=6)
 
 
-@query("select i::int as source_layer, least(round_even(i * 40 / 36.0, 0), 39)::int as target_layer from range(36) t(i)")
+@query("""with z as (select (select count(*) from supplier) as s, (select count(*) from nation) as t)
+    select i::int as source_layer, least(round_even(i * t / s::double, 0), t - 1)::int as target_layer from z, range((select s from z)) r(i)""")
 def align_layers(spark, sf_dir):
-    return layers.align_layers(spark, 36, 40)
+    """As many source layers as suppliers onto as many target layers as nations."""
+    return layers.align_layers(spark, *(table(spark, sf_dir, t).count() for t in ("supplier", "nation")))
 
 
 @query("""with p as (select vec_id, label, embedding::double[] as e from embeddings), q as (select vec_id, label, e[1:32] as s, e[33:64] as t from p),
@@ -606,15 +683,20 @@ def tool_calculate_discount(spark, sf_dir):
     return p.select("p_partkey", out.alias("o")).select("p_partkey", "o.error_type", F.get_json_object("o.result", "$.discounted_price").cast("double").alias("discounted_price"))
 
 
-@query()
+_CALLED = sorted(episodes.VALID_ARGUMENTS)
+
+
+@query(f"select tool, count(*)::bigint as n, 0::bigint as n_failed, 0::bigint as n_empty from (select ({_CALLED})[o_orderkey % {len(_CALLED)} + 1] as tool from orders) group by 1")
 def tool_results_all(spark, sf_dir):
-    """Every tool once with valid arguments, through the registries."""
-    rows = [(n, json.dumps(a)) for n, a in episodes.VALID_ARGUMENTS.items()]
-    calls = spark.createDataFrame(rows, "tool string, arguments string")
+    """An order calls one of all tools with valid arguments, through the registries."""
+    at = (F.pmod("o_orderkey", F.lit(len(_CALLED))) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    calls = table(spark, sf_dir, "orders").select(pick(_CALLED).alias("tool"), pick([json.dumps(episodes.VALID_ARGUMENTS[n]) for n in _CALLED]).alias("arguments"))
     both = tools.extended_registry()
     for n, (a, d, f) in tools.corpus_registry().tools.items():
         both.register(n, a, f, d)
-    return calls.select("tool", both.call(F.col("tool"), F.col("arguments")).alias("o")).select("tool", "o.*")
+    done = calls.select("tool", both.call(F.col("tool"), F.col("arguments")).alias("o"))
+    return done.groupBy("tool").agg(F.count("*").alias("n"), F.count("o.error_type").alias("n_failed"), F.count_if(F.col("o.result").isNull()).alias("n_empty"))
 
 
 @query("select event_id, case event_id % 4 when 0 then 'final' when 1 then 'malformed' else 'call' end as kind, case when event_id % 4 > 1 then event_type end as name from events")
@@ -625,33 +707,6 @@ def parse_outputs(spark, sf_dir):
     return e.select("event_id", parse_output(text).alias("p")).select("event_id", "p.kind", "p.name")
 
 
-@query("select * from (values ('c', 1, 46::bigint, 12::bigint), ('c', 3, 40, 10), ('c', 5, 35, 9), ('x', 1, 30, 8), ('x', 3, 64, 16), ('x', 5, 64, 16)) t(set_name, chain_length, n, n_injected)")
-def task_sets(spark, sf_dir):
-    both = [task_set(spark, k).withColumn("set_name", F.lit(k)) for k in ("c", "x")]
-    return both[0].unionByName(both[1]).groupBy("set_name", "chain_length").agg(F.count("*").alias("n"), F.count("injected_error_at_step").alias("n_injected"))
-
-
-@query("select 0::bigint as n_unknown")
-def tasks_name_known_tools(spark, sf_dir):
-    known = {"c": tools.demo_registry(), "x": tools.extended_registry()}
-    bad = [unknown_tools(task_set(spark, k), r.dimension(spark)) for k, r in known.items()]
-    return bad[0].unionByName(bad[1]).agg(F.count("*").alias("n_unknown"))
-
-
-@query()
-def episode_scripted(spark, sf_dir):
-    """Both task sets played by two scripted models, summarised."""
-    parts = []
-    for condition, model in (("distilled", episodes.scripted), ("base", episodes.careless)):
-        for kind, name in (("c", "unseen_tools"), ("x", "unseen_tools_ext")):
-            states = episodes.run_tasks(task_set(spark, kind), model, episodes.TOOLS[kind])
-            parts.append(metrics.result_rows(states, F.lit(condition), F.lit(name)))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    return metrics.summarize(rows, "condition", "task_set", "chain_length")
-
-
 @query("select event_id::varchar as task_id, event_type in ('click', 'view') and event_id % 3 <> 0 and not (event_type = 'click' and event_id % 3 = 1) as success from events")
 def bfcl_check(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -890,15 +945,6 @@ def repeated_keys(spark, sf_dir):
     return reports.repeated_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("""select c as condition, seed::int as seed, task_set, 1.0::double as full_chain_success_rate, n::bigint as n_tasks from (values ('a'), ('b')) x(c), (values (0), (1)) y(seed), (values ('seen_tools', 121), ('unseen_tools_ext', 158)) z(task_set, n) where c = 'b'
-    union all select 'a', seed, task_set, 0.0, n from (values (0), (1)) y(seed), (values ('seen_tools', 121), ('unseen_tools_ext', 158)) z(task_set, n)""")
-def evaluation_grid(spark, sf_dir):
-    """Two conditions, two seeds, two task sets: one model knows every call, one only talks."""
-    sets = {"seen_tools": (task_set(spark, "c"), episodes.TOOLS["c"]), "unseen_tools_ext": (task_set(spark, "x"), episodes.TOOLS["x"])}
-    rows = runs.evaluate_grid({"a": lambda seed: episodes.talker, "b": lambda seed: episodes.scripted}, [0, 1], sets)
-    return metrics.summarize(rows, "condition", "seed", "task_set").select("condition", "seed", "task_set", "full_chain_success_rate", "n_tasks")
-
-
 @query("select 'm' as condition, round(avg((event_id % 2 = 0)::int), 9) as accuracy, (count(*) filter (where event_id % 2 <> 0))::bigint as n_malformed from events")
 def single_turn_run(spark, sf_dir):
     """A model that calls the function of its prompt on even ids and writes broken JSON on odd ones."""

@@ -131,6 +131,24 @@ def test_interval_of_ten_thousand_draws(spark, monkeypatch):
     assert (got["low"], got["high"]) == tuple(pytest.approx(np.percentile(drawn, x), abs=2e-6) for x in (2.5, 97.5))
 
 
+def test_perplexity_of_cut_texts(spark):
+    rows = [("g", "a", k, 1.0 + k) for k in range(5)] + [("g", "b", 0, 9.0), ("g", "c", 0, 9.0), ("g", "c", 1, 3.0), ("g", None, 1, 99.0)]
+    df = spark.createDataFrame(rows, "g string, text_id string, place int, nll double")
+    got = metrics.perplexity_of_tokens(df, "g", max_length=3).first()
+    assert (got["n_tokens"], got["n_texts"]) == (3, 2) and got["perplexity"] == pytest.approx(math.exp((2 + 3 + 3) / 3))
+    uniform = spark.createDataFrame([("a", k, math.log(50)) for k in range(700)], "text_id string, place int, nll double")
+    assert metrics.perplexity_of_tokens(uniform).first()["perplexity"] == pytest.approx(50)
+    with pytest.raises(Exception, match="no text has two tokens"):
+        metrics.perplexity_of_tokens(df.where("text_id = 'b'"), "g").collect()
+
+
+def test_description_of_some_task_sets(spark):
+    rows = rows_of(spark, [{"task_set": "s"}, {"task_set": "t", "success": False}, {"task_set": None}])
+    assert metrics.describe(rows, task_sets=("s", "t")).first()["n_rows"] == 2
+    assert metrics.describe(rows, task_sets=("unseen_tools",)).first()["n_rows"] == 1
+    assert metrics.describe(rows, task_sets=("nothing",)).first()["success_rate"] == 0
+
+
 def test_layer_metrics():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(20, 10)), rng.normal(size=(20, 6))
