@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import global_place, sample_n
+from .sampling import global_place, sample_n, whole_row
 
 
 def zip_strict(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
@@ -22,9 +22,11 @@ def zip_strict(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFr
 
 def require(df: DataFrame, dimension: DataFrame, key: str, what: str) -> DataFrame:
     """Rows with their dimension's columns; a key that the dimension lacks fails the query."""
-    found = df.join(dimension.withColumn("_found", F.lit(True)), key, "left")
-    checked = F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.col(key).cast("string"))).cast(df.schema[key].dataType)).otherwise(F.col(key))
-    return found.withColumn(key, checked).drop("_found")
+    rows = df.select(F.col(key).alias("k"), whole_row(df).alias("row"))
+    known = dimension.select(F.col(key).alias("k"), whole_row(dimension).alias("found"))
+    checked = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.col("k").cast("string"))).cast(df.schema[key].dataType)).otherwise(F.col("k"))
+    own = [checked.alias(key) if c == key else F.col("row").getField(c).alias(c) for c in df.columns]
+    return rows.join(known, "k", "left").select(*own, *(F.col("found").getField(c).alias(c) for c in dimension.columns if c != key))
 
 
 def layer_subset(vectors: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rate
 from ..functions.tool_tables import PROTOCOL_ERRORS, TOOL_ERRORS
 from ..schemas import DEFAULT_TASK_SET
+from .sampling import columns_of, whole_row
 
 
 def _steps_where(test) -> Column:
@@ -115,8 +116,11 @@ def merged_error_totals(summary: DataFrame, *keys: str) -> DataFrame:
 
 def up_to_first_failure(steps: DataFrame, keys: list[str], order: str, failed: Column) -> DataFrame:
     """The steps of each episode up to and with its first failed one."""
-    first = steps.withColumn("_failed", failed).groupBy(*keys).agg(F.min(F.when(F.col("_failed"), F.col(order))).alias("_first"))
-    return steps.join(first, keys).where(F.col("_first").isNull() | (F.col(order) <= F.col("_first"))).drop("_first")
+    rows = steps.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(order).alias("at"), failed.alias("failed"), whole_row(steps).alias("row"))
+    own = [f"k{i}" for i in range(len(keys))]
+    first = rows.groupBy(*own).agg(F.min(F.when(F.col("failed"), F.col("at"))).alias("first"))
+    kept = rows.join(first, own).where(F.col("first").isNull() | (F.col("at") <= F.col("first")))
+    return kept.select(*columns_of("row", steps))
 
 
 def result_rows(states: DataFrame, condition: Column, task_set: Column, keep_transcript: bool = False) -> DataFrame:

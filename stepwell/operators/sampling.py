@@ -44,14 +44,25 @@ def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     return placed.join(F.broadcast(wanted), "place", "left_semi").drop("place")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash with a helper's."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def columns_of(row: str, df: DataFrame) -> list[Column]:
+    """The columns of ``df`` out of that struct."""
+    return [F.col(row).getField(c).alias(c) for c in df.columns]
+
+
 def global_place(df: DataFrame, order: str) -> DataFrame:
     """Adds place, the 0-based place in the order of ``order`` (unique), without a single-partition window."""
-    parted = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_start"))  # a row per partition
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return parted.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("place", (F.col("_start") + F.col("_own")).cast("long")).drop("_part", "_own", "_start")
+    parted = df.repartitionByRange(order).select(whole_row(df).alias("row"), F.col(order).alias("by"), F.spark_partition_id().alias("part"))
+    sizes = parted.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))  # a row per partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy("by")) - 1
+    placed = parted.withColumn("own", own).join(F.broadcast(starts), "part")
+    return placed.select(*(c for c, name in zip(columns_of("row", df), df.columns) if name != "place"), (F.col("start") + F.col("own")).cast("long").alias("place"))
 
 
 def striped(df: DataFrame, order: str, n: int, index: int) -> DataFrame:
@@ -59,12 +70,17 @@ def striped(df: DataFrame, order: str, n: int, index: int) -> DataFrame:
     return global_place(df, order).where(F.pmod("place", F.lit(n)) == index).drop("place")
 
 
+def _first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.select(whole_row(df).alias("row"), nth.alias("nth")).where("nth = 1").select(*columns_of("row", df))
+
+
 def last_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*(o.desc() for o in order)))).where("_rn = 1").drop("_rn")
+    return _first(df, key, [o.desc() for o in order])
 
 
 def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    return _first(df, key, list(order))
 
 
 def top_n(counts: DataFrame, key: str, n: int, known: DataFrame, count: str = "n") -> DataFrame:

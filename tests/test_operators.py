@@ -74,6 +74,19 @@ def test_last_and_first_wins(spark):
     assert sorted(r["v"] for r in sampling.first_wins(df, "id", F.col("ord")).collect()) == ["a", "c"]
 
 
+def test_helpers_leave_columns_of_any_name_alone(spark):
+    names = ["_rn", "row", "nth", "part", "own", "start", "n", "by", "_found", "found", "k", "k0", "at", "first", "_first", "failed"]
+    df = spark.createDataFrame([(1, 1, *range(len(names))), (1, 2, *range(len(names)))], ", ".join(f"{c} int" for c in ["key", "ord", *names]))
+    assert [tuple(r) for r in sampling.last_wins(df, "key", F.col("ord")).collect()] == [(1, 2, *range(len(names)))]
+    assert [tuple(r)[:-1] for r in sampling.global_place(df, "ord").orderBy("place").collect()] == [tuple(r) for r in df.orderBy("ord").collect()]
+    cut = metrics.up_to_first_failure(df, ["key"], "ord", F.col("ord") == 1)
+    assert [tuple(r) for r in cut.collect()] == [(1, 1, *range(len(names)))] and cut.columns == df.columns
+    from stepwell.operators import joins
+
+    found = joins.require(df, spark.createDataFrame([(1, "x")], "key int, size string"), "key", "key")
+    assert found.columns == [*df.columns, "size"] and found.count() == 2
+
+
 def test_python_rounding_and_hash(spark):
     df = spark.createDataFrame([(2.675,), (0.125,), (-1.005,)], "v double")
     assert [r[0] for r in df.select(py_round(F.col("v"), 2)).collect()] == [round(x, 2) for x in (2.675, 0.125, -1.005)]
