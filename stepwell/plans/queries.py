@@ -742,7 +742,7 @@ def json_array_files(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value", "props", note.alias("note"))
     folder = shared.new_folder(spark, "arrays")
     json_arrays.write_json_arrays(e.repartition(3, "event_id"), folder)
-    back = json_arrays.read_json_arrays(spark, f"{folder}/*.json", "event_id bigint, event_type string, user_id bigint, value double, props string, note string", 65_537)
+    back = json_arrays.read_json_arrays(spark, f"{folder}/*.json", "event_id bigint, event_type string, user_id bigint, value double, props string, note string", 262_147)
     return _rounded(back.drop("file", "at"), "value")
 
 
