@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rate
+from ..functions.numbers import py_round, rate
 from ..functions.tool_tables import PROTOCOL_ERRORS, TOOL_ERRORS
 from ..schemas import DEFAULT_TASK_SET
 from .sampling import columns_of, whole_row
@@ -109,6 +109,11 @@ def describe(rows: DataFrame, *keys: str, task_sets: tuple[str, ...] = ()) -> Da
     return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), (F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("success_rate"))
 
 
+def described(description: DataFrame, what: str = "tasks") -> DataFrame:
+    """``describe`` as the line that a worker logs."""
+    return description.withColumn("text", F.format_string(f"%d {what}, success %.3f", "n_rows", py_round(F.col("success_rate"), 3)))
+
+
 def merged_error_totals(summary: DataFrame, *keys: str) -> DataFrame:
     """Sums the error maps of a summary over its other keys."""
     return summary.select(*keys, F.explode("error_breakdown").alias("error_type", "n")).groupBy(*keys, "error_type").agg(F.sum("n").alias("n"))

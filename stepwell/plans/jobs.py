@@ -65,6 +65,21 @@ def result_path(root: str, kind: str, **keys) -> str:
     return "/".join([root.rstrip("/"), kind, *(f"{k}={v}" for k, v in keys.items() if v is not None)])
 
 
+def stage_file(seed: Column, *parts: Column, root: str = "runs/v2-seed") -> Column:
+    """Path of a job's result below its seed's run; parts that are null are left out."""
+    return F.concat(F.lit(root), seed.cast("string"), F.lit("/results/stages/"), F.concat_ws("_", *parts), F.lit(".json"))
+
+
+def log_file(seed: Column, *parts: Column, root: str = "runs/v2-seed") -> Column:
+    """Path of a job's loss log beside its result."""
+    return F.concat(F.lit(root), seed.cast("string"), F.lit("/results/training_logs/"), F.concat_ws("_", *parts), F.lit(".jsonl"))
+
+
+def local_log(condition: Column, sweep: Column, folder: str = "results/training_logs") -> Column:
+    """Path of the log that a training run writes itself: its condition, and its sweep if it has one."""
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), F.concat_ws("-", condition, sweep), F.lit(".jsonl"))
+
+
 def run_jobs(jobs: DataFrame, finished: DataFrame, keys: list[str], run: Callable[[dict], None], budget_s: float = float("inf"), clock: Callable[[], float] = time.monotonic) -> dict[str, list[dict]]:
     """Does the pending jobs in the order of their keys while the time budget lasts; a failure is let through.
 

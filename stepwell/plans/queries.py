@@ -801,6 +801,21 @@ def run_outputs(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query("""select c_custkey, 'runs/v2-seed' || c_nationkey || '/results/stages/sweep_' || c_mktsegment || case when c_custkey % 2 = 0 then '_n' || c_custkey else '' end || '.json' as result,
+    'runs/v2-seed' || c_nationkey || '/results/training_logs/sweep_' || c_mktsegment || '.jsonl' as log, 'results/training_logs/' || c_mktsegment || case when c_custkey % 2 = 0 then '-n' || c_custkey else '' end || '.jsonl' as own_log from customer""")
+def job_paths(spark, sf_dir):
+    """Where the results and logs of jobs lie; half of the jobs have a suffix."""
+    suffix = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("n"), F.col("c_custkey").cast("string")))
+    seed, name = F.col("c_nationkey"), F.col("c_mktsegment")
+    paths = jobs.stage_file(seed, F.lit("sweep"), name, suffix).alias("result"), jobs.log_file(seed, F.lit("sweep"), name).alias("log"), jobs.local_log(name, suffix).alias("own_log")
+    return table(spark, sf_dir, "customer").select("c_custkey", *paths)
+
+
+@query(f"with {STEPS_SQL.strip()} select condition, printf('%d tasks, success %.3f', count(*)::bigint, sum(success::int)::double / greatest(count(*), 1)) as text from tasks group by 1")
+def described_results(spark, sf_dir):
+    return metrics.described(metrics.describe(result_rows(spark, sf_dir), "condition")).select("condition", "text")
+
+
 # Event time (an addition).
 
 
