@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even, seeded_order
+from ..sources.shared import cut
 
 
 def ranked(df: DataFrame, seed: int, key: str, *strata: str) -> DataFrame:
@@ -55,13 +56,18 @@ def columns_of(row: str, df: DataFrame) -> list[Column]:
 
 
 def global_place(df: DataFrame, order: str) -> DataFrame:
-    """Adds place, the 0-based place in the order of ``order`` (unique), without a single-partition window."""
-    parted = df.repartitionByRange(order).select(whole_row(df).alias("row"), F.col(order).alias("by"), F.spark_partition_id().alias("part"))
-    sizes = parted.groupBy("part").agg(F.count("*").alias("n"))
+    """Adds place, the 0-based place in the order of ``order`` (unique), without a single-partition window.
+
+    Ranges are drawn from a sample, and partitions may be joined: another run of the
+    same plan can deal rows otherwise.  So each row is written with its partition and
+    its place there, once, and both the sizes and the rows are read from that.
+    """
+    parted = df.select(whole_row(df).alias("row"), F.col(order).alias("by")).repartitionByRange("by").sortWithinPartitions("by").drop("by")
+    numbered = cut(parted.select("row", F.monotonically_increasing_id().alias("at"))).select("row", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("own"))
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("start"))  # a row per partition
-    own = F.row_number().over(Window.partitionBy("part").orderBy("by")) - 1
-    placed = parted.withColumn("own", own).join(F.broadcast(starts), "part")
+    placed = numbered.join(F.broadcast(starts), "part")
     return placed.select(*(c for c, name in zip(columns_of("row", df), df.columns) if name != "place"), (F.col("start") + F.col("own")).cast("long").alias("place"))
 
 

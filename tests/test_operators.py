@@ -87,6 +87,21 @@ def test_helpers_leave_columns_of_any_name_alone(spark):
     assert found.columns == [*df.columns, "size"] and found.count() == 2
 
 
+def test_places_hold_where_ranges_come_from_samples(spark, tmp_path, request):
+    from stepwell.operators import joins
+
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    n = 60_000  # more rows than are sampled for the ranges
+    spark.range(n).select(F.shuffle(F.sequence(F.lit(0), F.lit(2)))[0].alias("x"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("k")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as in a table too large to be joined into one partition
+    assert sampling.global_place(rows, "k").where("place <> k").count() == 0
+    zipped = joins.zip_strict(rows.select("k"), rows.select("k", "x"), "k", "k")
+    assert zipped.where("a.k = b.k and a.k = place").count() == n
+    batches = sampling.epoch_batches(rows.select("k"), "k", 42, 3, 64)
+    assert batches.groupBy("batch").count().where("count <> 64").count() == 0 and batches.count() == n // 64 * 64
+
+
 def test_python_rounding_and_hash(spark):
     df = spark.createDataFrame([(2.675,), (0.125,), (-1.005,)], "v double")
     assert [r[0] for r in df.select(py_round(F.col("v"), 2)).collect()] == [round(x, 2) for x in (2.675, 0.125, -1.005)]
