@@ -120,12 +120,15 @@ def merged_error_totals(summary: DataFrame, *keys: str) -> DataFrame:
 
 
 def up_to_first_failure(steps: DataFrame, keys: list[str], order: str, failed: Column) -> DataFrame:
-    """The steps of each episode up to and with its first failed one."""
-    rows = steps.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(order).alias("at"), failed.alias("failed"), whole_row(steps).alias("row"))
+    """The steps of each episode up to and with its first failed one; steps without a key belong to none."""
     own = [f"k{i}" for i in range(len(keys))]
-    first = rows.groupBy(*own).agg(F.min(F.when(F.col("failed"), F.col("at"))).alias("first"))
-    kept = rows.join(first, own).where(F.col("first").isNull() | (F.col("at") <= F.col("first")))
-    return kept.select(*columns_of("row", steps))
+    rows = steps.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col(order).alias("at"), failed.alias("failed"), whole_row(steps).alias("row"))
+    for k in own:
+        rows = rows.where(F.col(k).isNotNull())
+    first = F.min(F.when(F.col("failed"), F.col("at"))).over(Window.partitionBy(*own))
+    kept = rows.withColumn("first", first).where(F.col("first").isNull() | (F.col("at") <= F.col("first")))
+    key = dict(zip(keys, own))  # so that what follows by key knows where it lies
+    return kept.select(*(F.col(key[c]).alias(c) if c in key else of_row for c, of_row in zip(steps.columns, columns_of("row", steps))))
 
 
 def result_rows(states: DataFrame, condition: Column, task_set: Column, keep_transcript: bool = False) -> DataFrame:

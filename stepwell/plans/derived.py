@@ -5,34 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def n_attempts(spark: SparkSession, sf_dir: str) -> int:
+    """How many rows ``attempts`` has at most, from the files' footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of episodes before truncation: an order is a task, its lines are steps in a total order."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    """Steps of episodes before truncation: an order is a task, its lines are steps in a total order.
+
+    Both tables are dealt by task over as many partitions as the lines need, and all that follows by task stays there.
+    """
+    n_lines = n_attempts(spark, sf_dir)
+    lines = spread(table(spark, sf_dir, "lineitem"), n_lines, "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")
     steps = lines.select(
         F.col("l_orderkey").alias("task_key"), (F.row_number().over(order) - 1).alias("step_index"), (F.col("l_returnflag") == "R").alias("failed"), (F.col("l_linestatus") == "O").alias("recovered"),
         F.element_at(F.array(*(F.lit(x) for x in ("ToolArgumentError", "ToolExecutionError", "WrongToolError", "MalformedCallError", "OddError"))), (F.pmod("l_suppkey", F.lit(5)) + 1).cast("int")).alias("error_type"),
         (F.pmod("l_partkey", F.lit(4)) != 0).alias("matched"), (F.pmod("l_partkey", F.lit(3)) != 0).alias("compared"),
     )
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_key"), F.col("o_orderpriority").alias("condition"))
+    orders = spread(table(spark, sf_dir, "orders"), n_lines, "o_orderkey").select(F.col("o_orderkey").alias("task_key"), F.col("o_orderpriority").alias("condition"))
     return steps.join(orders, "task_key")
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows: steps up to the first failure, nested per task."""
     steps = attempts(spark, sf_dir)
-    before = Window.partitionBy("task_key").orderBy("step_index").rowsBetween(Window.unboundedPreceding, -1)
-    seen = steps.withColumn("stopped", F.coalesce(F.max(F.col("failed").cast("int")).over(before), F.lit(0))).withColumn("chain_length", F.count("*").over(Window.partitionBy("task_key")))
+    task = Window.partitionBy("task_key")
+    seen = steps.withColumns({"first": F.min(F.when(F.col("failed"), F.col("step_index"))).over(task), "chain_length": F.count("*").over(task)})
     step = F.struct(
         F.col("step_index").cast("int").alias("step_index"), F.lit("tool").alias("tool_name"), (~F.col("failed")).alias("succeeded"), (~F.col("failed") & F.col("recovered")).alias("recovered_from_error"),
         F.lit(None).cast("string").alias("error"), F.when(F.col("failed"), F.col("error_type")).alias("error_type"), F.when(F.col("compared"), F.col("matched")).alias("arguments_match"),
     )
-    nested = seen.where("stopped = 0").groupBy("task_key", "condition", "chain_length").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    nested = seen.where("first is null or step_index <= first").groupBy("task_key", "condition", "chain_length").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     injected = F.when(F.pmod("task_key", F.lit(4)) == 0, F.pmod(F.floor(F.col("task_key") / 4), F.col("chain_length"))).cast("int")
     success = F.forall("steps", lambda s: s["succeeded"]) & (F.size("steps") == F.col("chain_length"))
     last = F.element_at("steps", -1)

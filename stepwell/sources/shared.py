@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DIR = "/tmp/checkpoints"
+ROWS_PER_TASK = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many partitions as ``n_rows`` rows need, so a task's share does not grow with the table.
+
+    Joins, groups and windows by these keys follow without another shuffle.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n_rows // ROWS_PER_TASK)), *keys)
