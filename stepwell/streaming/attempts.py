@@ -95,9 +95,9 @@ def in_order_batch(attempts: DataFrame, max_retries: int = 0) -> DataFrame:
     task = Window.partitionBy("task_key").orderBy("attempt")  # the attempts of one task
     before = task.rowsBetween(Window.unboundedPreceding, -1)
     whole = each.where(F.col("attempt") >= 0).withColumn("place", F.row_number().over(task) - 1).where(F.col("place") == F.col("attempt")).drop("place")
-    steps = whole.withColumn("step", F.coalesce(F.sum((~F.col("failed")).cast("int")).over(before), F.lit(0)).cast("int"))
-    tries = F.row_number().over(Window.partitionBy("task_key", "step").orderBy("attempt"))
-    ended = steps.withColumn("ends", F.col("failed") & (tries > max_retries))
+    ok = ~F.col("failed")
+    steps = whole.withColumns({"step": F.coalesce(F.sum(ok.cast("int")).over(before), F.lit(0)).cast("int"), "passed": F.coalesce(F.max(F.when(ok, F.col("attempt"))).over(before), F.lit(-1))})
+    ended = steps.withColumn("ends", F.col("failed") & (F.col("attempt") - F.col("passed") > max_retries)).drop("passed")
     kept = up_to_first_failure(ended, ["task_key"], "attempt", F.col("ends"))
     return kept.select("task_key", "attempt", "step", "failed", F.when(F.col("ends"), "failed").alias("outcome"))
 

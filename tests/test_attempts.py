@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stepwell.operators import metrics
 from stepwell.streaming import attempts
 
 SCHEMA = "task_key string, attempt int, failed boolean, ts timestamp"
@@ -81,5 +82,17 @@ def test_silent_tasks_are_given_up(spark, tmp_path):
     assert ("done", 0, 0, True, "failed") in got
 
 
+def test_partitions_grow_with_the_attempts(spark, monkeypatch):
+    from stepwell.plans import derived
+    from stepwell.sources import shared
+
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 200, raising=False)
+    folder = "/root/testdata/sf0.001"
+    least = derived.table(spark, folder, "lineitem").count() // 200
+    log = derived.attempts(spark, folder)
+    for rows in (derived.result_rows(spark, folder), attempts.in_order_batch(log.withColumnRenamed("step_index", "attempt")), metrics.up_to_first_failure(log, ["task_key"], "step_index", F.col("failed")).groupBy("task_key").count()):
+        assert rows.rdd.getNumPartitions() >= least > 4
+
+
 def test_no_attempts(spark):
     assert attempts.in_order_batch(frame(spark, [])).count() == 0
