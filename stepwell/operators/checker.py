@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import answer
@@ -45,7 +45,8 @@ def accuracy(rows: DataFrame, *keys: str) -> DataFrame:
 def agreement(rerun: DataFrame, recorded: DataFrame) -> DataFrame:
     """Compared tasks, same success and same sequence of tool names; the last recorded duplicate counts."""
     names = lambda c: F.transform(c, lambda s: s["tool_name"])
-    b = last_wins(recorded, "task_id", F.col("ord")).select("task_id", F.col("success").alias("b_success"), names(F.col("steps")).alias("b_tools"))
+    nth = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("ord")))
+    b = recorded.select("task_id", F.col("success").alias("b_success"), names(F.col("steps")).alias("b_tools"), "ord").withColumn("nth", nth).where("nth = 1")
     a = rerun.select("task_id", "success", names(F.col("steps")).alias("a_tools"))
     one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return a.join(b, "task_id").agg(F.count("*").alias("n_compared"), one(F.col("success") == F.col("b_success")).alias("same_success"), one(F.col("a_tools").eqNullSafe(F.col("b_tools"))).alias("same_tools"))

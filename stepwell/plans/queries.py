@@ -16,7 +16,7 @@ from ..streaming import attempts as in_order
 from ..streaming import episodes, events
 from ..schemas import LOSS_LOG
 from . import jobs, runs
-from .derived import STEPS_SQL, activations, attempts, event_tools, paired, raw_chats, result_rows, table
+from .derived import STEPS_SQL, activations, attempts, event_tools, n_attempts, paired, raw_chats, result_rows, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -304,7 +304,8 @@ def rerun_agreement(spark, sf_dir):
     changed = rows.where("task_key % 3 <> 0").withColumn("success", F.when(F.pmod("task_key", F.lit(5)) == 0, ~F.col("success")).otherwise(F.col("success")))
     changed = changed.withColumn("steps", F.when(F.pmod("task_key", F.lit(7)) == 0, F.slice("steps", 1, 1)).otherwise(F.col("steps")))
     recorded = changed.withColumn("ord", F.lit(1)).unionByName(rows.where("task_key % 3 = 1").withColumn("success", ~F.col("success")).withColumn("ord", F.lit(0)))
-    return checker.agreement(rows, recorded)
+    n = n_attempts(spark, sf_dir)  # each side is dealt by task once, with what is compared alone
+    return checker.agreement(*(shared.spread(side.select("task_id", "success", "steps.tool_name", *own), n, "task_id").withColumn("steps", F.transform("tool_name", lambda t: F.struct(t.alias("tool_name")))) for side, own in ((rows, []), (recorded, ["ord"]))))
 
 
 @query("select label, round(exp(sum(abs(embedding[1]::double)) / sum(len(embedding))), 6) as perplexity from embeddings group by 1")
