@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,42 @@ def triangle(vectors: DataFrame, *keys: str, vec: str = "vec", sample: str = "sa
     return tiles(vectors, list(keys), [vec], f"i {kind}, j {kind}, s double", pairs, sample)
 
 
+def _least_that_rounds_to(value: float, digits: int) -> float:
+    """The least number that is not below ``value``, rounded half away from zero, when it is rounded like it."""
+    unit = Decimal(1).scaleb(-digits)
+    rounds = lambda x: Decimal(repr(float(x))).quantize(unit, ROUND_HALF_UP)
+    wanted = rounds(value)
+    least = float(wanted - unit / 2)
+    while rounds(least) < wanted:
+        least = float(np.nextafter(least, np.inf))
+    while rounds(below := float(np.nextafter(least, -np.inf))) >= wanted:
+        least = below
+    return least
+
+
+def closest(vectors: DataFrame, *keys: str, vec: str = "vec", sample: str = "sample_id", digits: int = 6) -> DataFrame:
+    """(keys, i, j, s): of the pairs of ``triangle`` the one with the largest rounded similarity, ties by i, then j.
+
+    A tile gives its own best pair alone.
+    """
+    kind = vectors.schema[sample].dataType.simpleString()
+
+    def best(a: Side, b: Side, same: bool) -> dict:
+        s = a.unit(vec) @ b.unit(vec).T
+        if same:
+            s[np.tril_indices(len(a.ids))] = -np.inf
+        if not s.size or s.max() == -np.inf:
+            none = a.ids[:0]
+            return {"i": none, "j": none, "s": np.zeros(0)}
+        x, y = np.nonzero(s >= _least_that_rounds_to(float(s.max()), digits))
+        i, j = np.minimum(a.ids[x], b.ids[y]), np.maximum(a.ids[x], b.ids[y])
+        k = np.lexsort((j, i))[:1]
+        return {"i": i[k], "j": j[k], "s": s[x, y][k]}
+
+    found = tiles(vectors, list(keys), [vec], f"i {kind}, j {kind}, s double", best, sample).withColumn("s", F.round("s", digits))
+    return found.groupBy(*keys).agg(F.min_by(F.struct("i", "j", "s"), F.struct(F.negative("s"), "i", "j")).alias("c")).select(*keys, "c.i", "c.j", "c.s")
+
+
 def triangle_sums(vectors: DataFrame, *keys: str, vec: str = "vec", sample: str = "sample_id") -> DataFrame:
     """(keys, n_pairs, total, squares, least, most) of the pairs of ``triangle``, of which none leaves its tile."""
 

@@ -74,3 +74,25 @@ def test_no_join_or_window_gathers_samples_of_a_layer(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and all("block" in line and "vec" not in line for line in joins)
     assert "Cartesian" not in plan
+
+
+def test_closest_pair_of_each_tile_alone(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)).round(1) * rng.choice([1.0, 3.0], (90, 1))  # many pairs tie after rounding
+    rows = [(layer, 100 * layer + k, v.tolist()) for layer, part in ((0, x), (1, x[::-1]), (2, -x[:1]), (3, [x[0], -x[0]])) for k, v in enumerate(part)]
+    df = spark.createDataFrame(rows, "layer int, sample_id long, vec array<double>").repartition(3)
+    monkeypatch.setattr(gram, "TILE", 16)
+    cells = gram.triangle(df, "layer").withColumn("s", F.round("s", 6)).collect()
+    want = {}
+    for r in cells:
+        want[r["layer"]] = min(want.get(r["layer"], (9, 0, 0)), (-r["s"], r["i"], r["j"]))
+    got = {r["layer"]: (-r["s"], r["i"], r["j"]) for r in gram.closest(df, "layer").collect()}
+    assert got == want and set(got) == {0, 1, 3}
+
+
+@pytest.mark.parametrize("value", [0.9999994999, 0.9999995, 1.0, 0.1234565, -0.1234565, -0.5, 0.0, 2e-7, -3e-7])
+def test_least_number_that_rounds_alike(spark, value):
+    least = gram._least_that_rounds_to(value, 6)
+    below = float(np.nextafter(least, -np.inf))
+    got = spark.createDataFrame([(value, least, below)], "v double, l double, b double").select(*(F.round(c, 6) for c in "vlb")).first()
+    assert got[0] == got[1] > got[2]
