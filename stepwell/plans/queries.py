@@ -222,8 +222,11 @@ def split_disjoint(spark, sf_dir):
 
 @query()
 def prepare_stats(spark, sf_dir):
-    parsed, classified = _classified(spark, sf_dir)
-    return prepare.stats_row(parsed, classified, _split(spark, sf_dir), event_tools(spark))
+    """Texts are parsed once; what the numbers are counted from is written."""
+    parsed = prepare.parse_corpus(raw_chats(spark, sf_dir))
+    classified = shared.cut(prepare.classify(parsed, event_tools(spark)).drop("chat"))
+    splits = sampling.balance_and_split(prepare.records(classified), "tool", "source_index", 100, 0.8, 42)
+    return prepare.stats_row(classified, classified, splits, event_tools(spark))
 
 
 @query(_SPLIT_SQL + """, c as (select event_type as tool, source_index from e, range(case when m = 1 then 2 when m in (0, 2) then 0 else 1 end)), z as (
@@ -233,7 +236,7 @@ def prepare_stats(spark, sf_dir):
     union all select 'kept_per_tool', t.tool, count(r.source_index)::bigint from (values ('click'), ('view'), ('purchase'), ('never_called')) t(tool) left join r on r.event_type = t.tool and reason = 'ok' group by all""")
 def prepare_stats_rows(spark, sf_dir):
     """All numbers of the stats row, as rows."""
-    return prepare.stats_rows(prepare_stats(spark, sf_dir))
+    return prepare.stats_rows(shared.cut(prepare_stats(spark, sf_dir)))
 
 
 @query("""select conv_id, turn, max_by(text, turn) filter (where role = 'user') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as last_user from conversations""")
@@ -571,9 +574,7 @@ def gram_triangle(spark, sf_dir):
     select layer, i, j, round(s, 6) as s from s qualify row_number() over (partition by layer order by round(s, 6) desc, i, j) = 1""")
 def closest_pair(spark, sf_dir):
     """The two most similar samples of each layer, out of all cells above the diagonal."""
-    cells = _rounded(gram.triangle(_probes(spark, sf_dir), "layer"), "s", digits=6)
-    best = cells.groupBy("layer").agg(F.min_by(F.struct("i", "j", "s"), F.struct(F.negative("s"), "i", "j")).alias("c"))
-    return best.select("layer", "c.i", "c.j", "c.s")
+    return gram.closest(_probes(spark, sf_dir), "layer")
 
 
 @query("""with p as (select label::int as layer, vec_id as i, (embedding::double[])[1:32] as x from embeddings),

@@ -102,6 +102,10 @@ def test_places_hold_where_ranges_come_from_samples(spark, tmp_path, request):
     assert batches.groupBy("batch").count().where("count <> 64").count() == 0 and batches.count() == n // 64 * 64
 
 
+def test_the_stats_parse_texts_once(spark):
+    assert QUERIES["prepare_stats_rows"](spark, "/root/testdata/sf0.001").inputFiles() == []  # counted and written; no text is read again
+
+
 def test_python_rounding_and_hash(spark):
     df = spark.createDataFrame([(2.675,), (0.125,), (-1.005,)], "v double")
     assert [r[0] for r in df.select(py_round(F.col("v"), 2)).collect()] == [round(x, 2) for x in (2.675, 0.125, -1.005)]
