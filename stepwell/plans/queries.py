@@ -108,13 +108,16 @@ def attempt_steps(spark, sf_dir):
     return in_order.in_order_batch(attempts(spark, sf_dir).withColumnRenamed("step_index", "attempt"), 1)
 
 
+ATTEMPTS_PER_BUCKET = 8_000
+
+
 @query(f"with k as (with {_ATTEMPTS.format(retries=0)}) select task_key, count(*)::bigint as n_attempted from k group by 1")
 def attempts_stream(spark, sf_dir):
     """The same log as a stream of shuffled files, where attempts of a task arrive in any order, cut at the first failure."""
     log = attempts(spark, sf_dir).select("task_key", F.col("step_index").alias("attempt"), "failed", F.timestamp_seconds(F.lit(10**9)).alias("ts"))
     folder = shared.new_folder(spark, "attempts")
     log.repartition(4, F.xxhash64("task_key", "attempt")).write.parquet(f"{folder}/in")
-    kept = in_order.replay(spark, f"{folder}/in", log.schema, f"{folder}/out", f"{folder}/state", files_per_trigger=2)
+    kept = in_order.replay(spark, f"{folder}/in", log.schema, f"{folder}/out", f"{folder}/state", files_per_trigger=2, buckets=max(64, n_attempts(spark, sf_dir) // ATTEMPTS_PER_BUCKET))
     return kept.groupBy("task_key").agg(F.count("*").alias("n_attempted"))
 
 
