@@ -211,6 +211,20 @@ def test_a_narrow_sketch_loses_no_phrase(spark, monkeypatch):
     check_collocations(spark, [("to be or not to be", "en"), ("to be is not to do", "en"), ("to be", "fr")], 2)
 
 
+def test_texts_are_read_no_more_often_for_more_patterns(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(rng.choice([*"abcdefgh", "x" * 70, "é. b"], 60)), ["en", "fr"][k % 2]) for k in range(60)]
+    tags, real = [], collocations.stage
+    monkeypatch.setattr(collocations, "stage", lambda spark, df, tag: (tags.append(tag), real(spark, df, tag))[1])
+    check_collocations(spark, rows, 3)
+    first = tags[:]
+    monkeypatch.setattr(collocations, "BLOCK_PATTERN_BYTES", 300)
+    monkeypatch.setattr(collocations, "SHARD_TEXT_BYTES", 3000, raising=False)
+    monkeypatch.setattr(collocations, "WINDOWS", 50, raising=False)
+    check_collocations(spark, rows, 3)
+    assert tags == first + first
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n.,\x00é", max_size=30), max_size=4))
 def test_guarded_texts_match_whole_words(texts):
